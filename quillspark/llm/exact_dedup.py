@@ -75,7 +75,7 @@ def join_back(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     bound = max(64, n // HEAVY)
     heavy = groups.where(F.col("group_size") > bound)
     marked = rows.join(F.broadcast(heavy), "digest", "left")
-    rest = marked.where(F.col("group_size").isNull()).select("digest", "doc_id", "rid")
+    rest = marked.where(F.col("group_size").isNull()).select(*rows.columns)
     light = groups.where(F.col("group_size") <= bound)
     return marked.where(F.col("group_size").isNotNull()).unionByName(rest.join(light.hint("merge"), "digest"))
 

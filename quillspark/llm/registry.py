@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from quillspark.llm.huffman import op3_huffman
+from quillspark.llm.lattice import op10_lattice
 from quillspark.llm.media import op1_media
 from quillspark.llm.mixing import OP6_SQL, op6_mix
+from quillspark.llm.near_dedup import op9_near_dedup
 from quillspark.llm.packing import op5_packing
+from quillspark.llm.quality import op4_quality
 from quillspark.llm.secrets import op7_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_huffman": op3_huffman,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_mix": op6_mix,
     "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_lattice": op10_lattice,
 }
 
 ORACLES: dict[str, str] = {
