@@ -108,6 +108,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all columns as they were.
+
+    A document without words costs nothing and has no copies to take; it is left out.
+    """
+    copies = mix(docs, **options).where("copies > 0 AND size > 0")
+    picked = staged(copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct(), "mix-copies")
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    same = [docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), docs["source"].cast("string").eqNullSafe(F.col("__source")), size == F.col("__size")]
+    out = docs.join(picked, same, "inner").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*[docs[c] for c in docs.columns])
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "copies")
 

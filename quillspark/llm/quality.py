@@ -168,6 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, entries: int = ENT
     return train(out, prior)
 
 
+def _scores(s: tk.Slice, weight: np.ndarray, shift: float) -> np.ndarray:
+    total, n = np.zeros(s.n), np.zeros(s.n)
+    for at, b in _features(s):
+        of = np.searchsorted(at, s.offsets)
+        total += tk.segment_sum(weight[b], of)
+        n += np.diff(of)
+    return 1 / (1 + np.exp(-(shift + total / np.maximum(n, 1)).clip(-700, 700)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row of docs."""
     weight, shift = model.weight.astype(np.float64), model.shift
@@ -175,13 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in tk.slices(batch.column(1)):
-                total, n = np.zeros(s.n), np.zeros(s.n)
-                for at, b in _features(s):
-                    of = np.searchsorted(at, s.offsets)
-                    total += tk.segment_sum(weight[b], of)
-                    n += np.diff(of)
-                z = shift + total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(_scores(s, weight, shift))], names=["doc_id", "score"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -197,9 +200,17 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """Rows of docs whose score reaches cut, all columns as they were."""
-    bad = staged(classify(docs, labels, cut).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct(), "quality-bad")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows of docs whose score reaches cut, all columns as they were; filtered where they are read, without a join."""
+    model = fit(docs, labels)
+    weight, shift, at = model.weight.astype(np.float64), model.shift, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            for s in tk.slices(text):
+                yield batch.slice(s.first, s.n).filter(pa.array(_scores(s, weight, shift) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
