@@ -38,6 +38,8 @@ EPOCHS = 12
 RATE = 4.0
 CUT = 0.7
 SEED = 7
+#: Bytes of text whose features are held at a time.
+SLICE = 1 << 19
 
 _U = np.uint64
 _SHIFT = _U(64 - 15)
@@ -84,7 +86,7 @@ def bags(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in tk.slices(batch.column(1)):
+            for s in tk.slices(batch.column(1), SLICE):
                 doc, bucket = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for at, b in _features(s):
                     doc.append(np.searchsorted(s.offsets, at, side="right") - 1)
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in tk.slices(batch.column(1)):
+            for s in tk.slices(batch.column(1), SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(_scores(s, weight, shift))], names=["doc_id", "score"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, score double")
@@ -207,7 +209,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(at)
-            for s in tk.slices(text):
+            for s in tk.slices(text, SLICE):
                 yield batch.slice(s.first, s.n).filter(pa.array(_scores(s, weight, shift) >= cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,13 +9,15 @@ split (one longer than the slice gets a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,6 +110,24 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)), offsets
 
 
+def _trimmer():
+    """glibc keeps freed arrays of up to 32 MB; long-lived workers give them back after each batch."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+_TRIM = None
+
+
+def release() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    global _TRIM
+    if _TRIM is None:
+        _TRIM = _trimmer() or (lambda _: 0)
+    _TRIM(0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     data, offsets = string_buffer(column)
     n, i = len(offsets) - 1, 0
@@ -116,6 +136,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         j = min(max(j, i + 1), n)
         yield Slice(i, data[offsets[i] : offsets[j]], (offsets[i : j + 1] - offsets[i]).astype(np.int64))
         i = j
+    release()
 
 
 def bounds(solid: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> Words:

@@ -112,6 +112,6 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array):
         """Yields (first row, ids, offsets) for each slice."""
-        for s in tk.slices(column):
+        for s in tk.slices(column, 2 * tk.SLICE_BYTES):
             ids, of = self.slice_ids(s)
             yield s.first, ids, of
