@@ -20,12 +20,12 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", nam
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one, set for the session, where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
     import tempfile
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")

@@ -1,0 +1,187 @@
+"""Dedupe, splits, thresholds, fusion and model contracts on small tables."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import decision as dc
+from quillspark.operators import dedupe as dd
+from quillspark.operators import metrics as mt
+from quillspark.operators import models as md
+from quillspark.operators import remote as rm
+from quillspark.operators import sampling as sp
+from quillspark.sources import files, sinks
+
+
+def test_contradictions_drop_the_key(spark):
+    d = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, "a", 0), (4, "b", 1), (5, "b", 1)], "i long, t string, y int")
+    assert [r["i"] for r in dd.drop_contradictions(d, F.col("t"), "y", "i").collect()] == [4]
+    assert dd.keep_first(d, F.col("t"), "i").count() == 2
+
+
+@pytest.mark.parametrize(("n", "want"), [(120, {"stack": 24, "calib": 12, "test": 12, "base": 72}), (20, {"stack": 4, "calib": 4, "test": 4, "base": 8})])
+def test_split_sizes(spark, n, want):
+    d = spark.range(2 * n).select(F.col("id"), (F.col("id") % 2).cast("int").alias("y"))
+    got = {(r["y"], r["split"]): r["count"] for r in sp.split_labels(d, "y", "s", "id").groupBy("y", "split").count().collect()}
+    assert got == {(y, k): v for y in (0, 1) for k, v in want.items()}
+
+
+def test_youden(spark):
+    d = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9)], "y int, s double")
+    assert mt.youden_cut(d, "y", "s").first().asDict() == {"cut": 0.5, "j": 1.0}
+
+
+def brute_cut(pairs):
+    distinct = sorted({s for _, s in pairs})
+    cuts = [max(0.0, distinct[0] - 1e-6)] + [(a + b) / 2 for a, b in zip(distinct, distinct[1:], strict=False)] + [min(1.0, distinct[-1] + 1e-6)]
+    n1 = sum(y for y, _ in pairs)
+    n0 = len(pairs) - n1
+    js = [(sum(s >= c and y for y, s in pairs) / n1 - sum(s >= c and not y for y, s in pairs) / n0, c) for c in cuts]
+    best = max(j for j, _ in js)
+    top = sorted(c for j, c in js if abs(j - best) < 1e-10)
+    m = len(top) // 2
+    return round(top[m] if len(top) % 2 else (top[m - 1] + top[m]) / 2, 5), round(best, 4)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_youden_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randint(0, 1), r.choice([0.0, 1.0, round(r.random(), 2)])) for _ in range(60)]
+    got = mt.youden_cut(spark.createDataFrame(pairs, "y int, s double"), "y", "s").first()
+    assert (got["cut"], got["j"]) == pytest.approx(brute_cut(pairs), abs=1e-4)
+
+
+def test_thresholds_need_labels(spark):
+    d = spark.createDataFrame([(0, 0.1), (1, 0.9)], "y int, s double")
+    assert mt.engine_thresholds(d, "y", "s").count() == 0
+
+
+def test_auc_with_ties(spark):
+    d = spark.createDataFrame([(0, 0.5), (1, 0.5), (1, 0.9), (0, 0.1)], "y int, s double")
+    assert mt.roc_auc(d, "y", "s").first()["auc"] == pytest.approx(0.875)
+
+
+@pytest.mark.parametrize(
+    ("row", "want"),
+    [
+        ((0.2, True, None, 0, 0.8), (0.2, 1, "PROBABLY_HUMAN")),
+        ((0.2, True, "ok", 1, 0.8), (0.5, 2, "MIXED")),
+        ((0.05, True, "no_images", 0, None), (0.05, 1, "DEFINITELY_HUMAN")),
+        ((None, False, "error", 0, None), (0.5, 0, "MIXED")),
+        ((0.4, True, None, 2, 0.8), (0.6, 2, "PROBABLY_AI")),
+    ],
+)
+def test_decisions(spark, row, want):
+    d = spark.createDataFrame([row], "text_score double, text_available boolean, image_status string, image_count int, image_score double")
+    r = dc.decide(d).first()
+    assert (r["score"], r["analyzer_count"], r["verdict"]) == want
+
+
+def test_image_rollup(spark):
+    d = spark.createDataFrame([(1, "ok", 0.2), (1, "ok", 0.6), (1, "error", None), (2, "error", None)], "k int, status string, score double")
+    got = {r["k"]: (r["score"], r["status"], r["analyzed"], r["requested"]) for r in dc.image_rollup(d, "k").collect()}
+    assert got == {1: (0.4, "partial", 2, 3), 2: (0.0, "error", 0, 1)}
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [('[{"i":1,"score":0.2},{"i":0,"score":0.9}]', [0.9, 0.2]), ('[{"i":0,"score":2.5},{"i":1,"score":0}]', None), ('[{"i":0,"score":0.1},{"i":0,"score":0.2}]', None), ("nonsense", None), (None, None)],
+)
+def test_scores_by_index(spark, content, want):
+    assert dc.scores_by_index(spark.createDataFrame([(content, 2)], "content string, n int")).first()["scores"] == want
+
+
+def test_halving_scores_all_but_the_broken():
+    def client(texts):
+        if len(texts) > 1 or texts[0] == "bad":
+            raise ValueError("broken")
+        return [0.5]
+
+    assert rm.halving(client, ["a", "bad", "c"]) == [0.5, None, 0.5]
+
+
+def test_refusals_are_not_repeated():
+    calls = []
+
+    def client(texts):
+        calls.append(texts)
+        raise rm.RemoteError(401)
+
+    assert rm.halving(client, ["a", "b"]) == [None, None] and len(calls) == 1
+
+
+def test_retries_back_off():
+    pauses, left = [], [2]
+
+    def client(texts):
+        if left[0]:
+            left[0] -= 1
+            raise rm.RemoteError(503)
+        return [0.1] * len(texts)
+
+    assert rm.halving(client, ["a"], pause=pauses.append) == [0.1] and pauses == [0.5, 1.0]
+
+
+def test_cache(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, key string")
+    cache = spark.createDataFrame([("a", 0.1, 1), ("a", 0.2, 2), ("b", None, 3)], "key string, value double, stored_at int")
+    hit, todo = dc.with_cache(jobs, cache)
+    assert {r["i"]: r["value"] for r in hit.collect()} == {1: 0.2, 2: 0.2, 3: None} and [r["key"] for r in todo.collect()] == ["b"]
+
+
+def test_csv_with_bom(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text('﻿text,is_ai\n"two\nlines",1\n', encoding="utf-8")
+    d = files.csv(spark, str(p))
+    assert d.columns == ["text", "is_ai"] and d.first()["text"] == "two\nlines"
+    with pytest.raises(ValueError, match="missing"):
+        files.require(d, "subject")
+    assert files.csv(spark, str(tmp_path / "none.csv"), "text string").count() == 0
+
+
+def test_archive_members(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.bz2", "w:bz2") as t:
+        for name, body in (("x/1", b"one"), ("x/2", b"two" * 200_000)):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    rows = files.archive_members(spark, str(tmp_path / "a.tar.bz2")).collect()
+    assert [(r["member"], bytes(r["raw"])) for r in rows] == [("x/1", b"one")]
+
+
+def test_mail_folders(spark, tmp_path):
+    for d, n in (("human", 2), ("ai", 1), ("other", 1)):
+        (tmp_path / d).mkdir()
+        for i in range(n):
+            (tmp_path / d / f"{i}.eml").write_bytes(b"Subject: x\n\nbody")
+    got = {r["is_ai"]: r["count"] for r in files.mail_folder(spark, str(tmp_path)).groupBy("is_ai").count().collect()}
+    assert got == {0: 2, 1: 1}
+
+
+def test_validated(spark):
+    good = spark.createDataFrame([("w " * 30, "ai")], "text string, is_ai string")
+    assert files.validated(good, 1).count() == 1
+    with pytest.raises(Exception, match="bad row"):
+        files.validated(good, 0).collect()
+
+
+def test_settings():
+    s = files.Settings.from_env({"API_KEY": "changeme", "SEM_CONC": "99", "SEM_BATCH": "0", "API_TIMEOUT": "1"})
+    assert (s.api_key, s.sem_conc, s.sem_batch, s.api_timeout) == ("", 32, 1, 5.0)
+
+
+def test_artefacts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"word{i % 2} common text here", i % 2) for i in range(24)], "i long, text string, is_ai int")
+    held, model = md.evaluate_then_refit(rows, "i", "is_ai", features=50, iterations=5)
+    assert held.count() == 4
+    sinks.save_artefacts(str(tmp_path / "m"), model, metrics=spark.createDataFrame([(1.0,)], "auc double"))
+    back = sinks.load_artefacts(spark, str(tmp_path / "m"), "metrics")
+    assert md.probability(back["model"], md.balanced(rows, "is_ai")).where("(score >= 0.5) = (is_ai = 1)").count() == 24
+    with pytest.raises(RuntimeError, match="missing"):
+        sinks.load_artefacts(spark, str(tmp_path / "m"), "thresholds")
