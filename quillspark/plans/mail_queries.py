@@ -225,6 +225,7 @@ QUERIES = {f.__name__: f for f in (mime_roundtrip, attachment_digest, auth_resul
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), e AS (SELECT label, i, avg(v[i]) AS m, count(*) AS n FROM u, range(1, 65) r(i) GROUP BY 1, 2), c AS (SELECT label, i, n, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM e WHERE n >= 3)"
 _N = "chr(10)"
+_BODY_SQL = strip_sql(f"array_to_string(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, {quoted(chr(92) + 's+$')}, '')), chr(10))")
 
 ORACLES = {
     "mime_roundtrip": "SELECT doc_id, 'Report ' || doc_id AS subject, 'anna@' || source || '.Example.org' AS from_addr, lower(source || '.Example.org') AS from_domain, sha256(text) AS text_sha256, 'mime_plain' AS text_source, 'mixed+related' AS multipart_type, 2::BIGINT AS depth, 1::BIGINT AS attachments, 'https://example.org/' || doc_id AS first_link FROM documents",
@@ -240,7 +241,8 @@ ORACLES = {
     "image_ref_checks": "WITH k AS (SELECT unnest(['https://example.org/a.png', 'https://user:pw@example.org/a.png', 'data:image/png;base64,aGVsbG8=', 'data:image/svg+xml;base64,aGVsbG8=', 'aGVsbG8=', '@@@', ' ', 'data:image/gif;base64,']) AS ref, unnest(['ok_remote', 'invalid remote image URL', 'ok_inline', 'unsupported image data URI', 'ok_inline', 'invalid base64 image', 'empty image reference', 'empty or oversized image']) AS status, unnest(range(0, 8)) AS r) SELECT ref, status, count(*) AS n FROM documents JOIN k ON doc_id % 8 = r GROUP BY ALL",
     "tag_strip": "SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_sha256 FROM pages",
     "canonical_text": f"SELECT doc_id, sha256({mask_sql('text')}) AS clean_sha256 FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT contains(text, '&')",
-    "zone_split": f"SELECT doc_id AS msg_id, 'Re: ' || source AS zone_subject, CASE WHEN doc_id % 4 IN (0, 2) THEN {quoted(_GREETING)} ELSE '' END AS zone_greeting, CASE doc_id % 4 WHEN 0 THEN 'Best regards,' || {_N} || 'Anna' WHEN 1 THEN 'Anna' || {_N} || '+49 30 1234567' ELSE '' END AS zone_signature, sha256({strip_sql('array_to_string(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, ' + quoted(chr(92) + 's+$') + ', ' + quoted('') + ')), chr(10))')}) AS body_sha256 FROM documents",
+    "zone_split": f"SELECT doc_id AS msg_id, 'Re: ' || source AS zone_subject, CASE WHEN doc_id % 4 IN (0, 2) THEN {quoted(_GREETING)} ELSE '' END AS zone_greeting, CASE doc_id % 4 WHEN 0 THEN 'Best regards,' || {_N} || 'Anna' WHEN 1 THEN 'Anna' || {_N} || '+49 30 1234567' ELSE '' END AS zone_signature, sha256({_BODY_SQL}) AS body_sha256 FROM documents",
+    "zone_lengths": f"WITH b AS (SELECT doc_id, source, length({_BODY_SQL}) AS n FROM documents), z AS (SELECT 'subject' AS kind, length('Re: ' || source) AS n FROM b UNION ALL SELECT 'greeting', 10 FROM b WHERE doc_id % 4 IN (0, 2) UNION ALL SELECT 'body', n FROM b WHERE n > 0 UNION ALL SELECT 'signature', CASE WHEN doc_id % 4 = 0 THEN 18 ELSE 19 END FROM b WHERE doc_id % 4 < 2) SELECT kind, count(*) AS n, sum(n)::BIGINT AS chars FROM z GROUP BY 1",
     "zone_means": f"WITH {_ZONES} SELECT msg_id, kind, round(no_llm, 6) AS no_llm, round(with_llm, 6) AS with_llm FROM m",
     "zone_features": f"WITH {_ZONES} SELECT msg_id, " + ", ".join(f"round(coalesce(max(no_llm) FILTER (kind = '{k}'), 0.0), 6) AS score_{k}, max((kind = '{k}')::INT)::DOUBLE AS has_{k}" for k in lx.KINDS) + ", round(coalesce(avg(no_llm), 0.0), 6) AS mean_score, round(coalesce(avg(tfidf), 0.0), 6) AS mean_tf FROM m GROUP BY 1",
     "final_verdict": f"""WITH {_ZONES}, t AS (SELECT 'subject' AS kind, 0.5 AS th UNION ALL SELECT 'greeting', 0.5 UNION ALL SELECT 'body', 0.4),

@@ -11,7 +11,8 @@ from quillspark.operators import models as md
 from quillspark.operators import zones as zn
 from quillspark.plans.corpus_queries import TURNS, turns
 from quillspark.plans.mail_queries import zone_scores
-from quillspark.plans.sql import tokens_sql
+from quillspark.plans.sql import tokens_sql, verdict_sql
+from quillspark.plans.text_queries import VERDICTS_OF_TEXT
 from quillspark.session import shared_folder
 from quillspark.streaming import verdicts as sv
 
@@ -70,6 +71,7 @@ ORACLES = {
     "tfidf_vocab": f"WITH {_GRAMS} SELECT * FROM v",
     "tfidf_weights": f"WITH {_GRAMS}, w AS (SELECT msg_id, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), u AS (SELECT msg_id, w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)) AS w FROM w) SELECT msg_id, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM u GROUP BY 1",
     "char_gram_counts": f"WITH {TURNS}, t AS (SELECT msg_id, substring(text, 1, 60) AS s FROM turns), g AS (SELECT msg_id, substring(s, i, 3) AS term FROM t, range(1, 59) r(i) WHERE i + 2 <= length(s)), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 300",
+    "stream_verdicts": f"{VERDICTS_OF_TEXT} SELECT doc_id, base_score, semantic_score, score, label, {verdict_sql('score')} AS verdict FROM v",
     "balanced_weights": f"WITH {TURNS} SELECT is_ai, count(*) AS n, round((SELECT count(*) FROM turns) / (2 * count(*)), 6) AS weight FROM turns GROUP BY 1",
     "augmented": f"""WITH {TURNS}, c AS (SELECT msg_id, is_ai, text, copy FROM turns, range(1, 31) r(copy)), u AS (SELECT *, {_U} AS u FROM c),
       k AS (SELECT *, CASE WHEN is_ai = 0 THEN CASE WHEN u < 0.15 THEN 'typo' WHEN u < 0.30 THEN 'upper' WHEN u < 0.42 THEN 'lower' WHEN u < 0.52 THEN 'smile' WHEN u < 0.62 THEN 'prefix' WHEN u < 0.72 THEN 'suffix' ELSE 'same' END

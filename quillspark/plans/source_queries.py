@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import remote as rm
 from quillspark.plans.corpus_queries import TURNS, turns
-from quillspark.plans.sql import key_sql
+from quillspark.plans.sql import key_sql, strip_sql
 from quillspark.plans.text_queries import table
 from quillspark.session import shared_folder
 from quillspark.sources import files, sinks
@@ -89,6 +89,7 @@ ORACLES = {
     "resumed_append": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
     "json_report": "SELECT '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS line FROM documents",
     "remote_signals": f"SELECT doc_id, round((length(substring({key_sql('text')}, 1, 1200)) % 100) / 100.0::DOUBLE, 4) AS value FROM documents",
+    "text_as_mail": f"SELECT doc_id, '' AS subject, sha256({strip_sql("regexp_replace(replace(text, chr(13) || chr(10), chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g')")}) AS body_sha256 FROM documents",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "first_answer_sample": f"WITH {TURNS}, a AS (SELECT msg_id, is_ai, text FROM turns WHERE length(text) > 40), u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY msg_id) = 1) SELECT msg_id, is_ai, sha256(substring(text, 1, 4000)) AS text_sha256 FROM u QUALIFY row_number() OVER (PARTITION BY is_ai ORDER BY sha256('hc|' || msg_id), msg_id) <= 40",
 }

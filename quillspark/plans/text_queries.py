@@ -232,6 +232,9 @@ _VERDICT = f"""WITH {_PROFILE}, b AS (
   FROM b LEFT JOIN pr ON b.doc_id = pr.doc_id
 )"""
 
+#: The same verdicts over texts as they are.
+VERDICTS_OF_TEXT = _VERDICT.replace(_PLANTED_SQL, "text")
+
 ORACLES = {
     "token_stats": f"SELECT doc_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_tokens, len(regexp_extract_all(text, '\\S+'))::BIGINT AS space_words, t[1] AS first_token FROM (SELECT doc_id, text, {tokens_sql('text')} AS t FROM documents)",
     "sentence_stats": f"SELECT doc_id, len(s)::BIGINT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest, len(list_distinct(s))::BIGINT AS distinct_sentences FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)",
