@@ -7,9 +7,11 @@
 3. Candidates are verified: signatures are compared 32 at a time and a pair is dropped as
    soon as the posterior chance of reaching the threshold (uniform prior) falls below MISS;
    survivors are verified exactly on the full sets.
-4. Within a bucket only stars are compared first: each component's delegate with that of
-   the bucket's largest component.  Most members join in a few rounds.  What is then
-   left in one bucket but in different components is compared pair by pair, so no link between
+4. Within a bucket only stars are compared first: each member with the smallest one and with
+   one drawn by hash.  Buckets with the same members count once.  What is then left in one
+   bucket but in different components is compared in blocks of BLOCK members, inside the
+   tasks, on longer signatures (LONG_PERMS hashes of one byte); only pairs whose posterior
+   stays above MISS leave a task, once each, and are verified exactly.  So no link between
    components is lost, and a bucket of very many near copies never yields all its pairs.
 
 Defined cases: null text counts as empty; a text without words has an empty set and links
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
-from quillspark.llm.common import documents, id_text, staged
+from quillspark.llm.common import documents, id_text, partitions, staged
 from quillspark.llm.exact_dedup import join_back
 from quillspark.llm.graph import components
 
@@ -41,10 +43,14 @@ BANDS = PERMS // ROWS
 BATCH = 32
 #: Chance at which verification may give up a true link.
 MISS = 1e-6
-STAR_ROUNDS = 3
+#: The longer signatures of the last step, one byte a hash, and how many are compared at a time.
+LONG_PERMS = 1024
+LONG_BATCH = 64
+BLOCK = 1024
 
 _U = np.uint64
 _SEEDS = tk.mix(np.arange(1, PERMS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+_LONG_SEEDS = tk.mix(np.arange(1, LONG_PERMS + 1, dtype=_U) * _U(0xE7037ED1A0B428DB)) | _U(1)
 _PLACE = tk.mix(np.arange(1, 65, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 
 
@@ -125,7 +131,33 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return d.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(run, "digest binary, shingles array<bigint>").where(F.size("shingles") > 0).dropDuplicates(["digest"])
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS, perms: int = PERMS, batch: int = BATCH) -> list[tuple[int, int]]:
+def long_signatures(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """digest, keys (32 bits for each band), long (LONG_PERMS bytes) of the documents whose doc_id is in wanted; each digest once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in tk.slices(batch.column(1)):
+                x, of = shingle_sets(s, n)
+                full = np.flatnonzero(np.diff(of))
+                out = np.zeros((len(full), LONG_PERMS), dtype=np.uint8)
+                for i, d in enumerate(full.tolist()):
+                    own = x[of[d] : of[d + 1]]
+                    # Few hashes at a time for a very long text.
+                    step = 64 if len(own) < 1 << 14 else 1
+                    for k in range(0, LONG_PERMS, step):
+                        least = (own[:, None] * _LONG_SEEDS[k : k + step]).min(axis=0)
+                        out[i, k : k + step] = tk.mix(least) & _U(255)
+                digest = set_digests(x, of)
+                # Equal keys mean a shared band.
+                bands = (tk.mix((signatures(x, of)[full].reshape(-1, BANDS, ROWS).astype(_U) * _LONG_SEEDS[:ROWS]).sum(axis=2)) >> _U(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([digest[i] for i in full], pa.binary()), pa.array([r.tobytes() for r in bands], pa.binary()), pa.array([r.tobytes() for r in out], pa.binary())], names=["digest", "keys", "long"])
+
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    d = id_text(docs)
+    return d.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(run, "digest binary, keys binary, long binary").dropDuplicates(["digest"])
+
+
+def least_matches(percent: float = PERCENT, miss: float = MISS, perms: int = PERMS, batch: int = BATCH) -> list[tuple[int, int]]:
     """(hashes compared, matches below which the chance of similarity >= threshold is under miss).
 
     With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1), and its
@@ -164,9 +196,9 @@ def plausible(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> D
     return two.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
-    """Those of pairs (u, v: nodes) whose full sets reach the threshold; staged."""
-    live = staged(plausible(pairs, nodes, percent, miss), "near-plausible")
+def linked(live: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v: nodes) whose full sets reach the threshold; staged."""
+    live = staged(live, "near-plausible")
     met = live.select(F.col("u").alias("node")).unionByName(live.select(F.col("v").alias("node"))).distinct()
     wanted = staged(nodes.select("node", "doc_id", "digest").join(met, "node", "left_semi"), "near-wanted")
     sets = full_sets(docs, wanted, n).join(wanted.select("node", "digest"), "digest").select("node", "shingles")
@@ -186,12 +218,70 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(open_, "band", "left_semi")
 
 
-def delegates(members: DataFrame, round_: int) -> DataFrame:
-    """u, v: the delegate of each component of a bucket with that of the bucket's largest component."""
-    per = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "band", F.lit(round_)).alias("h"), "node")).alias("d"))
-    centre = per.groupBy("band").agg(F.max(F.struct("n", F.col("d.h").alias("h"), F.col("d.node").alias("node"), "label")).alias("c"))
-    star = per.join(centre, "band").where(F.col("label") != F.col("c.label"))
-    return star.select(F.greatest("d.node", "c.node").alias("u"), F.least("d.node", "c.node").alias("v")).distinct()
+def _compare(nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, long: np.ndarray, block: np.ndarray, slot: int, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of one group whose posterior stays up: of different components, of the two blocks (or the one), and met in no earlier band."""
+    out = []
+    two = len(np.unique(block)) > 1
+    for i in range(len(nodes) - 1):
+        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & ((block[i + 1 :] != block[i]) if two else True))
+        if slot and len(j):
+            j = j[~(keys[j, :slot] == keys[i, :slot]).any(axis=1)]
+        got, done = np.zeros(len(j), dtype=np.int64), 0
+        for n, least in table:
+            if not len(j):
+                break
+            got = got + (long[j, done:n] == long[i, done:n]).sum(axis=1)
+            keep = got >= least
+            j, got, done = j[keep], got[keep], n
+        out += [(max(nodes[i], nodes[k]), min(nodes[i], nodes[k])) for k in j.tolist()]
+    return out
+
+
+def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
+    """u, v: the pairs of members (band, slot, node, label) in one bucket but different components that long signatures can't rule out."""
+    spark = members.sparkSession
+    met = members.select("node").distinct()
+    wanted = staged(nodes.select("node", "doc_id", "digest").join(met, "node", "left_semi"), "near-open")
+    long = long_signatures(docs, wanted, n).join(wanted.select("node", "digest"), "digest").select("node", "keys", "long")
+    long = staged(long, "near-long")
+    size = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    rows = members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int"))
+    # Each member goes to the groups (block, other) of its bucket, the smaller block first.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("node", "label", "band", "slot", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(long, "node")
+    rows = rows.repartition(partitions(spark), "band", "b1", "b2").sortWithinPartitions("band", "b1", "b2", "node")
+    # One byte matches by chance in 1 of 256 cases.
+    table = least_matches(percent + (100 - percent) / 256, miss, LONG_PERMS, LONG_BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            col = {c: t.column(c).to_numpy() for c in ("node", "label", "band", "slot", "block", "b1", "b2")}
+            keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), dtype=np.uint32).reshape(-1, BANDS)
+            long = np.frombuffer(b"".join(t.column("long").to_pylist()), dtype=np.uint8).reshape(-1, LONG_PERMS)
+            edge = np.flatnonzero((np.diff(col["band"]) != 0) | (np.diff(col["b1"]) != 0) | (np.diff(col["b2"]) != 0)) + 1
+            found: list[tuple[int, int]] = []
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), t.num_rows], strict=True):
+                if b - a > 1:
+                    g = slice(a, b)
+                    found += _compare(col["node"][g], col["label"][g], keys[g], long[g], col["block"][g], int(col["slot"][a]), table)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            # The last group may go on in the next batch.
+            key = np.stack([t.column(c).to_numpy() for c in ("band", "b1", "b2")])
+            same = (key == key[:, -1:]).all(axis=0)
+            cut = int(np.argmax(same))
+            if cut:
+                yield pairs(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return rows.select("node", "label", "band", "slot", "block", "b1", "b2", "keys", "long").mapInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
@@ -202,31 +292,21 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
     nodes = staged(heads.join(classes.select("node"), "node", "left_semi"), "near-nodes")
 
     slots = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS * 4 + 1, F.lit(ROWS * 4))))
-    bands = nodes.select("node", F.explode(slots).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    members = staged(bands.join(shared, "band"), "near-members")
-
-    tried = members.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    tried = staged(tried, "near-tried")
-    links = linked(tried, nodes, docs, n, percent, miss)
-    members = members.select("band", "node")
-    labels = components(links)
-    for round_ in range(STAR_ROUNDS + 1):
-        members = staged(_mixed(_labelled(members, labels)), "near-mixed")
-        if members.isEmpty():
-            break
-        if round_ < STAR_ROUNDS:
-            pairs = delegates(members, round_)
-        else:
-            a, b = members, members.select("band", F.col("node").alias("node_b"), F.col("label").alias("label_b"))
-            pairs = a.join(b, "band").where("node > node_b AND label <> label_b").select(F.col("node").alias("u"), F.col("node_b").alias("v")).distinct()
-        fresh = staged(pairs.join(tried, ["u", "v"], "left_anti"), "near-fresh")
-        members = members.select("band", "node")
-        if fresh.isEmpty():
-            continue
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(linked(fresh, nodes, docs, n, percent, miss))
-        labels = components(links)
+    bands = nodes.select("node", F.posexplode(slots).alias("slot", "band"))
+    # Buckets with the same members are one: the one of the first band is kept, since pairs are compared in the first band they share.
+    shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("slot").alias("slot"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2")).where("n > 1")
+    once = shared.groupBy("hub", "n", "x1", "x2").agg(F.min(F.struct("slot", "band")).alias("s")).select("s.band", "hub")
+    members = staged(bands.join(once, "band"), "near-members")
+
+    drawn = members.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node")).alias("d")).select("band", F.col("d.node").alias("hub"))
+    stars = members.select("node", "hub").unionByName(members.drop("hub").join(drawn, "band").select("node", "hub"))
+    tried = staged(stars.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "near-tried")
+    labels = components(linked(plausible(tried, nodes, percent, miss), nodes, docs, n, percent))
+    mixed = staged(_mixed(_labelled(members.select("band", "slot", "node"), labels)), "near-mixed")
+    if not mixed.isEmpty():
+        live = blockwise(mixed, nodes, docs, n, percent, miss).join(tried, ["u", "v"], "left_anti")
+        more = linked(live, nodes, docs, n, percent)
+        labels = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     groups = staged(named.select("digest", "label", "group_size").join(least, "label").select("digest", "group_size", "component_id"), "near-groups")
