@@ -149,7 +149,7 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
-def by_length(words: list[bytes], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], most: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, uint8 (m, n)) for groups of marked words of equal length; a long word is a group of its own."""
     n = np.array([len(w) for w in words]) + 1
     order = np.argsort(n, kind="stable")
@@ -176,7 +176,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~batch.column(1).to_numpy(zero_copy_only=False)
-            for s in tk.slices(batch.column(0), 4 * tk.SLICE_BYTES):
+            for s in tk.slices(batch.column(0), 2 * tk.SLICE_BYTES):
                 low, w, h = _hashed(s)
                 if not len(h):
                     continue
