@@ -213,9 +213,10 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    return members.join(open_, "band", "left_semi")
+    """Members of the buckets that hold more than one component, with the number of blocks k of their bucket."""
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")
+    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks).where("lo <> hi").select("band", "k")
+    return members.join(open_, "band")
 
 
 def _compare(nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, long: np.ndarray, block: np.ndarray, slot: int, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -238,14 +239,13 @@ def _compare(nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, long: np.n
 
 
 def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
-    """u, v: the pairs of members (band, slot, node, label) in one bucket but different components that long signatures can't rule out."""
+    """u, v: the pairs of members (band, slot, node, label, k) in one bucket but different components that long signatures can't rule out."""
     spark = members.sparkSession
     met = members.select("node").distinct()
     wanted = staged(nodes.select("node", "doc_id", "digest").join(met, "node", "left_semi"), "near-open")
     long = long_signatures(docs, wanted, n).join(wanted.select("node", "digest"), "digest").select("node", "keys", "long")
     long = staged(long, "near-long")
-    size = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    rows = members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int"))
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int"))
     # Each member goes to the groups (block, other) of its bucket, the smaller block first.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("node", "label", "band", "slot", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(long, "node")
@@ -300,12 +300,11 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
 
     drawn = members.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node")).alias("d")).select("band", F.col("d.node").alias("hub"))
     stars = members.select("node", "hub").unionByName(members.drop("hub").join(drawn, "band").select("node", "hub"))
-    tried = staged(stars.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "near-tried")
-    labels = components(linked(plausible(tried, nodes, percent, miss), nodes, docs, n, percent))
+    stars = stars.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    labels = components(linked(plausible(stars, nodes, percent, miss), nodes, docs, n, percent))
     mixed = staged(_mixed(_labelled(members.select("band", "slot", "node"), labels)), "near-mixed")
     if not mixed.isEmpty():
-        live = blockwise(mixed, nodes, docs, n, percent, miss).join(tried, ["u", "v"], "left_anti")
-        more = linked(live, nodes, docs, n, percent)
+        more = linked(blockwise(mixed, nodes, docs, n, percent, miss), nodes, docs, n, percent)
         labels = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
