@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, id_text, partitions, scratch, staged
-from quillspark.llm.tokens import PieceEncoder, default_tokenizer
+from quillspark.llm.tokens import default_tokenizer, encoder_of
 
 LIMIT = 16
 STEP = 256
@@ -135,12 +135,12 @@ class Decoder:
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """doc_id, part, run, n, ids (16-bit little-endian with the end id): run counts ascending stretches of doc_id in a partition."""
-    path, state = tokenizer or default_tokenizer(), {}
+    path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = state.setdefault(path, None) or state.update({path: PieceEncoder(path)}) or state[path]
+        encoder = encoder_of(path)
         part, runs, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for first, ids, of in encoder.encode(batch.column(1)):
@@ -189,7 +189,7 @@ def ascending(ids: DataFrame) -> DataFrame:
     """
     spark = ids.sparkSession
     per_run = ids.groupBy("part", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("gaps"), F.count("doc_id").alias("n"), F.approx_count_distinct("doc_id").alias("d"))
-    bound = RUNS * max(1, ids.rdd.getNumPartitions())
+    bound = RUNS * max(1, len(ids.inputFiles()))
     found = per_run.limit(bound + 1).collect()
     if len(found) <= bound and not any(r["gaps"] for r in found):
         spans = sorted((r["lo"], r["hi"]) for r in found)
@@ -269,10 +269,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lengths = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, dtype=np.uint8)
     lengths[book["id"].to_numpy(dtype=np.int64)] = book["length"].to_numpy(dtype=np.uint8)
     blocks = spark.read.parquet(f"{path}/blocks")
-    decoders: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoders.setdefault("d", None) or decoders.update(d=Decoder(lengths)) or decoders["d"]
+        decode = Decoder(lengths)
         for batch in batches:
             for r in range(batch.num_rows):
                 block, n, docs, sizes, marks, payload = (batch.column(c)[r].as_py() for c in range(6))

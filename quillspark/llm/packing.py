@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, documents, id_text, staged
-from quillspark.llm.tokens import PieceEncoder, default_tokenizer
+from quillspark.llm.common import documents, id_text, staged
+from quillspark.llm.tokens import default_tokenizer, encoder_of
 
 LENGTH = 2048
 END = 0
@@ -36,25 +37,28 @@ ROUNDS = 6
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, rid of every piece; each text is encoded once, whole."""
-    path, encoders = tokenizer or default_tokenizer(), {}
-
-    def run(batch: pa.RecordBatch) -> dict:
-        encoder = encoders.setdefault(path, None) or encoders.update({path: PieceEncoder(path)}) or encoders[path]
-        row, piece, start, size, crc = [], [], [], [], []
-        for first, ids, of in encoder.encode(batch.column(1)):
-            for i in range(len(of) - 1):
-                own = np.append(ids[of[i] : of[i + 1]], np.uint32(end)).astype("<u4")
-                for k, a in enumerate(range(0, len(own), length)):
-                    part = own[a : a + length]
-                    row.append(first + i)
-                    piece.append(k)
-                    start.append(a)
-                    size.append(len(part))
-                    crc.append(zlib.crc32(part))
-        at = pa.array(row, type=pa.int64())
-        return {"doc_id": batch.column(0).take(at), "rid": batch.column(2).take(at), "piece": piece, "start": start, "length": size, "ids_crc32": crc}
-
-    return arrow_map(id_text(docs).withColumn("rid", F.monotonically_increasing_id()), run, "doc_id long, rid long, piece int, start long, length long, ids_crc32 long")
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in batches:
+            row, piece, start, size, crc = [], [], [], [], []
+            for first, ids, of in encoder.encode(batch.column(1)):
+                for i in range(len(of) - 1):
+                    own = np.append(ids[of[i] : of[i + 1]], np.uint32(end)).astype("<u4")
+                    for k, a in enumerate(range(0, len(own), length)):
+                        part = own[a : a + length]
+                        row.append(first + i)
+                        piece.append(k)
+                        start.append(a)
+                        size.append(len(part))
+                        crc.append(zlib.crc32(part))
+            at = pa.array(row, type=pa.int64())
+            columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "piece", "start", "length", "ids_crc32"])
+
+    rows = id_text(docs).withColumn("rid", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id long, rid long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

@@ -11,6 +11,7 @@ matched before lower-casing.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,3 +116,9 @@ class PieceEncoder:
         for s in tk.slices(column, 2 * tk.SLICE_BYTES):
             ids, of = self.slice_ids(s)
             yield s.first, ids, of
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder a process: a worker's later tasks find its table filled."""
+    return PieceEncoder(path)
