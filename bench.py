@@ -13,10 +13,8 @@ import sys
 import time
 
 HEADLINE = (
-    "doc_verdict",
     "token_stats",
     "sentence_stats",
-    "segment_rules",
     "masked_text",
     "lexicon_hits",
     "dedupe_keep_first",
@@ -32,6 +30,7 @@ HEADLINE = (
     "embedding_score",
     "modality_fusion",
     "tfidf_weights",
+    "doc_verdict",
 )
 
 
