@@ -2,8 +2,9 @@
 
 Counts of ids over the whole corpus give code lengths of at most LIMIT bits (package-merge);
 the canonical code follows from the lengths alone, and the codebook is a small table of
-(id, length), never larger than the vocabulary.  Ids are written in ascending order of
-doc_id as blocks that decode on their own.  A block holds whole documents, their lengths,
+(id, length), never larger than the vocabulary.  Ids are written as blocks that decode on
+their own; within blocks, and from block to block by first_doc, they are in ascending order of
+doc_id, in whatever order the files stand.  A block holds whole documents, their lengths,
 and the bit offset of every STEP-th id; the decoder looks the next LIMIT bits up in a table
 and advances all checkpoints of a block at once.
 
@@ -185,7 +186,7 @@ def ascending(ids: DataFrame) -> DataFrame:
     """ids with each partition in ascending order of doc_id, and partitions or runs that don't overlap.
 
     If the runs found while encoding already are ascending and disjoint, the rows stay where
-    they are; otherwise they are range-partitioned by doc_id and sorted.
+    they are; otherwise they are range-partitioned by doc_id and sorted, and part and run are 0.
     """
     spark = ids.sparkSession
     per_run = ids.groupBy("part", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("gaps"), F.count("doc_id").alias("n"), F.approx_count_distinct("doc_id").alias("d"))
@@ -195,7 +196,8 @@ def ascending(ids: DataFrame) -> DataFrame:
         spans = sorted((r["lo"], r["hi"]) for r in found)
         if all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)):
             return ids
-    return ids.repartitionByRange(partitions(spark) * 2, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n")
+    dealt = ids.repartitionByRange(partitions(spark) * 2, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n")
+    return dealt.withColumns({"part": F.lit(0), "run": F.lit(0).cast("long")})
 
 
 def write(ids: DataFrame, path: str) -> None:
@@ -212,7 +214,7 @@ def write(ids: DataFrame, path: str) -> None:
         base, block = TaskContext.get().partitionId() << 40, 0
         docs: list = []
         held: list[np.ndarray] = []
-        size = 0
+        size, of = 0, None
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(held)
@@ -223,19 +225,19 @@ def write(ids: DataFrame, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                # A new run begins: documents of one block stay ascending.
-                if docs and (size >= BLOCK or (doc is not None and docs[-1] is not None and doc < docs[-1])):
+            for doc, blob, *own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                # Another run begins, perhaps of another staged file read by the same task: between the two, other tasks may hold documents.
+                if docs and (size >= BLOCK or own != of):
                     yield close()
                     block, docs, held, size = block + 1, [], [], 0
                 held.append(np.frombuffer(blob.as_buffer(), dtype="<u2"))
                 docs.append(doc)
-                size += len(held[-1])
+                size, of = size + len(held[-1]), own
         if docs:
             yield close()
 
     # Blocks are incompressible.
-    ascending(ids).select("doc_id", "ids").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ascending(ids).select("doc_id", "ids", "part", "run").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def starts(blocks: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def test_edges(spark, edge, nothing):
     assert h.read(spark, path).count() == 0
 
 
+def test_small_files_that_share_a_task(spark, docs, rows):
+    from itertools import pairwise
+
+    # 60 sorted files of unequal size: Spark packs them into tasks by size, not by doc_id.
+    cuts = [0, *sorted((i * 37) % 199 + 1 for i in range(59)), len(rows)]
+    parts = docs.orderBy("doc_id").collect()
+    dealt = spark.sparkContext.parallelize(list(pairwise(cuts)), 60).flatMap(lambda c: parts[c[0] : c[1]])
+    ids = staged(h.tokenised(spark.createDataFrame(dealt, docs.schema)), "t")
+    assert len(ids.inputFiles()) == 60 > ids.rdd.getNumPartitions()
+    path = scratch(spark, "t")
+    h.write(ids, path)
+    assert result(h.read(spark, path)) == expected(rows)
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)
