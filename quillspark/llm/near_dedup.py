@@ -62,7 +62,8 @@ def shingle_sets(s: tk.Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.repeat(w.of[1:], count)
     place = np.arange(len(h))
     acc = np.zeros(len(h), dtype=_U)
-    for k in range(n):
+    # A slice may hold fewer words than a shingle.
+    for k in range(min(n, len(h))):
         inside = place[: len(h) - k] + k < last[: len(h) - k] if k else slice(None)
         if k:
             acc[: len(h) - k] += np.where(inside, h[k:] * _PLACE[k], _U(0))

@@ -95,6 +95,19 @@ def test_shingles_equal_plain_sets():
         assert np.diff(of).tolist() == [len(x) for x in sets_of(texts, n)]
 
 
+@pytest.mark.parametrize("n", [4, 5])
+@pytest.mark.parametrize("words", range(7))
+def test_shingles_of_a_slice_with_few_words(n, words):
+    text = " ".join("abcdefg"[:words])
+    (s,) = tk.slices(pa.array([text]))
+    x, of = nd.shingle_sets(s, n)
+    assert np.diff(of).tolist() == [len(x)] == [len(sets_of([text], n)[0])]
+    # The set is the same beside other documents.
+    (s,) = tk.slices(pa.array([text, prose(1, 20)]))
+    y, of = nd.shingle_sets(s, n)
+    assert (y[: of[1]] == x).all()
+
+
 def test_least_matches_is_the_posterior():
     # A fine sum over similarities with a uniform prior.
     grid = (np.arange(100_000) + 0.5) / 100_000
