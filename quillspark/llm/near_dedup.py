@@ -17,7 +17,7 @@
 Defined cases: null text counts as empty; a text without words has an empty set and links
 with nothing; fewer words than a shingle make one shingle of all words; a null doc_id is
 never a component's name unless all its documents have none; rows that repeat a doc_id
-are documents of their own; an empty table gives no rows; extra columns are ignored.
+are documents of their own, and exactly one row of a group is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,8 +100,8 @@ def signatures(x: np.ndarray, of: np.ndarray, chunk: int = 1 << 16) -> np.ndarra
     return out
 
 
-def signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, rid, digest (null for an empty set), n_shingles, sig."""
+def signed(docs: DataFrame, n: int, rid: str | None = None) -> DataFrame:
+    """doc_id, rid (a column of docs, or else new), digest (null for an empty set), n_shingles, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +114,8 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 raw = [None if e else r.tobytes() for r, e in zip(sig, none.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "rid", "digest", "n_shingles", "sig"])
 
-    return id_text(docs).withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, rid long, digest binary, n_shingles long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(rid).alias("rid")) if rid else id_text(docs).withColumn("rid", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id long, rid long, digest binary, n_shingles long, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -285,10 +286,12 @@ def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, per
     return rows.select("node", "label", "band", "slot", "block", "b1", "b2", "keys", "long").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
-    """(rows with digest and n_shingles, groups with digest, group_size, component_id)."""
-    rows = staged(signed(docs, n), "near-signed")
-    classes = staged(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")), "near-classes")
+def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with digest and n_shingles, groups with digest, group_size, component_id and keep_rid, the row that stays)."""
+    rows = staged(signed(docs, n, rid), "near-signed")
+    # A null doc_id comes last; of rows that share one, the first row stays.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    classes = staged(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("node"), first.alias("least"), F.count(F.lit(1)).alias("group_size")), "near-classes")
     heads = rows.where(F.col("digest").isNotNull()).select(F.col("rid").alias("node"), "doc_id", "digest", "sig")
     nodes = staged(heads.join(classes.select("node"), "node", "left_semi"), "near-nodes")
 
@@ -308,23 +311,32 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
         more = linked(blockwise(mixed, nodes, docs, n, percent, miss), nodes, docs, n, percent)
         labels = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = staged(named.select("digest", "label", "group_size").join(least, "label").select("digest", "group_size", "component_id"), "near-groups")
+    least = named.groupBy("label").agg(F.min("least").alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_rid"))
+    groups = staged(named.select("digest", "label", "group_size").join(least, "label").select("digest", "group_size", "component_id", "keep_rid"), "near-groups")
     return rows.select("doc_id", "rid", "digest", "n_shingles"), groups
 
 
+def decided(docs: DataFrame, n: int, percent: int, miss: float, rid: str | None = None) -> DataFrame:
+    """doc_id, rid, n_shingles, component_id, kept for each row of docs; a group keeps exactly one row."""
+    rows, groups = near_classes(docs, n, percent, miss, rid)
+    full = join_back(rows.where(F.col("digest").isNotNull()), groups, rows.count()).select("doc_id", "rid", "n_shingles", "component_id", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+    empty = rows.where(F.col("digest").isNull()).select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return full.unionByName(empty)
+
+
 def near_dedup(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows, groups = near_classes(docs, n, percent, miss)
-    full = join_back(rows.where(F.col("digest").isNotNull()), groups, rows.count()).select("doc_id", "n_shingles", "component_id")
-    empty = rows.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return decided(docs, n, percent, miss).drop("rid")
 
 
 def keep_one_of_near(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs with one document of each group, all columns as they were."""
-    gone = staged(near_dedup(docs, n, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows of docs with one document of each group, all columns as they were.
+
+    Rows are numbered and staged first, since neither doc_id nor text need tell them apart.
+    """
+    rows = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-rows")
+    gone = staged(decided(rows, n, percent, MISS, "__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid")), "near-gone")
+    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

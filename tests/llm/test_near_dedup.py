@@ -87,6 +87,17 @@ def test_edges(edge, nothing):
     assert nd.keep_one_of_near(nothing).count() == 0
 
 
+def test_repeated_and_null_ids_with_different_texts(spark):
+    a, b, c, d = (prose(200 + i, 40) for i in range(4))
+    near = lambda t, i: t + " " + prose(300 + i, 1)
+    rows = [(1, a), (2, b), (2, near(a, 0)), (3, near(b, 1)), (None, c), (None, near(a, 2)), (None, ""), (4, d), (4, near(d, 3)), (4, d), (None, ""), (5, None)]
+    got = nd.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _, roots = brute([t for _, t in rows], 5)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(rows[i]) for i in set(roots))
+    marks = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").count()
+    assert marks == len(set(roots))
+
+
 def test_shingles_equal_plain_sets():
     texts = ["A b c", "a B  c\td e\nf g", "", "x", "a b c d a b c d a b c d", "É é \x01"]
     for n in (1, 3, 5):
