@@ -1,7 +1,8 @@
 """Operator 7, secret scans by a battery of randomness tests.
 
 Base patterns (assignments, access keys, long hexadecimal) always count.  Besides, every
-run of 20 or more key characters is a candidate.  Its encoding is inferred (the smallest
+run of 20 or more key characters outside them is a candidate; '=' belongs to it only as
+padding at its end, so name and value of an assignment are tested apart.  Its encoding is inferred (the smallest
 of hexadecimal, base32, letters and digits, base64 whose alphabet holds it), and it is
 tested three ways: chi-squared uniformity over that alphabet and the number of runs of
 character classes give p-values under the null of ordinary words (whose figures are the
@@ -35,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Shorter runs can't be tested, whatever their padding.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+LEAST_CANDIDATE = 20
 #: False-discovery rate of the random spans.
 ALPHA = 0.001
 #: Two-sided level at which serial correlation rejects randomness.
@@ -116,6 +119,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what is to be tested: runs of key characters without what base spans cover."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        at, last = m.span()
+        free = []
+        for x, _, y in base:
+            if x < last and at < y:
+                free.append((at, x))
+                at = max(at, y)
+        for a, b in [*free, (at, last)]:
+            if b - a < LEAST_CANDIDATE:
+                continue
+            # Padding that no encoding has is left out.
+            if not encoding(text[a:b]):
+                b = a + len(text[a:b].rstrip("="))
+            if b - a >= LEAST_CANDIDATE:
+                out.append((a, b))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -130,11 +154,8 @@ def scan(docs: DataFrame) -> DataFrame:
             base = base_spans(text)
             kinds = [k for _, k, _ in base]
             extra = []
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                if any(x < b and a < y for x, _, y in base):
-                    continue
-                got = battery(m[0])
+            for a, b in candidates(text, base):
+                got = battery(text[a:b])
                 if got:
                     score = -math.log10(got[1]) + math.log10(weight(b - a))
                     extra.append(f"{a}:{b}:{min(max(int(score / BIN), 0), BINS)}")

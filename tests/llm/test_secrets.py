@@ -57,6 +57,22 @@ def test_random_strings_are_found_and_words_left_alone(spark):
     assert got[0]["spans"] == f"random:16:{16 + 40}" or got[0]["n_random"] == 0
 
 
+def test_values_behind_names_and_beside_base_spans(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    names = ["client_key=", "sig=", "AWS_ACCESS=", "https://example.org/?auth=", "MY_SERVICE_NAME="]
+    keys = [(names[i % len(names)], key(40) + "Aa0" + "=" * (i % 3)) for i in range(30)]
+    rows = [(i, f"{n}{k}\n") for i, (n, k) in enumerate(keys)]
+    # A key that ends in a hexadecimal base span: what is left of it is tested.
+    tails = [key(40) + "Z" + "0a1b" * 8 for _ in range(10)]
+    rows += [(100 + i, f"x {t} y") for i, t in enumerate(tails)]
+    rows += [(200, "configurationsettings=theinternationalization"), (201, "=" * 40), (202, "a=b=c" * 10)]
+    got = {x["doc_id"]: x["spans"] for x in s.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == f"random:{len(n)}:{len(n) + len(k)}" for i, (n, k) in enumerate(keys)) >= 27
+    assert sum(got[100 + i].startswith(f"random:2:{2 + 41},hex:") for i in range(10)) >= 8
+    assert not any("random" in got[i] for i in (200, 201, 202))
+
+
 def test_threshold_is_the_step_up_rule():
     p = [10 ** (-b * s.BIN) for b in range(0, 200, 7)]
     counts = {b: 1 for b in range(0, 200, 7)}
