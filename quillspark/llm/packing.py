@@ -5,7 +5,7 @@ and a rest.  Full pieces are sequences of their own.  Rests are dealt by a hash
 into groups of about GROUP pieces, so that no task holds more than its groups.  A group is
 packed by best fit in decreasing order of length and then improved: underfull bins exchange
 one piece for one, two for one, or pass a piece on, whenever that raises the sum of squared
-fills, until a bin is empty or no exchange is left.
+fills, until no exchange is left.
 
 Defined cases: null text counts as empty (one piece that holds the end id); a null doc_id
 is a document like any other; rows that repeat a doc_id are packed each on its own; an
@@ -31,8 +31,8 @@ LENGTH = 2048
 END = 0
 #: Pieces of a group; a group's loss to its last bin falls with the size.
 GROUP = 4096
-#: Rounds of the local search over all underfull bins of a group.
-ROUNDS = 6
+#: Stands for no bin.
+_NONE = 1 << 40
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -85,84 +85,92 @@ class Bins:
                 self.fill.append(s)
             insort(room, (left - s, b))
 
-    def improve(self, rounds: int = ROUNDS) -> None:
-        """Local search on the sum of squared fills: the emptiest bins give, fuller ones gain."""
-        for _ in range(rounds):
-            before = len([b for b in self.items if b])
-            open_ = sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
+    def improve(self) -> None:
+        """Local search on the sum of squared fills: the emptiest bins give, fuller ones gain, until a round changes nothing.
+
+        Every exchange raises the sum, so the rounds end.
+        """
+        # For each length, how many pieces of it each bin holds, and the fill of the emptiest of these bins less the length.
+        self.holders: list[dict[int, list[int]]] = [{} for _ in range(self.capacity + 1)]
+        self.low = np.full(self.capacity + 1, _NONE, dtype=np.int64)
+        for b in range(len(self.items)):
+            self._enter(b)
+        changed = True
+        while changed:
             changed = False
-            # What the other underfull bins hold, by length, to find partners by bisection.
-            stock = sorted((self.sizes[i], i, b) for b in open_ for i in self.items[b])
-            where = {i: b for _, i, b in stock}
-            for b in reversed(open_):
+            for b in sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], -b)):
                 if self.items[b]:
-                    changed |= self._gain(b, stock, where)
-            if not changed and len([b for b in self.items if b]) == before:
-                break
+                    self._leave(b)
+                    changed |= self._gain(b)
+                    self._enter(b)
+
+    def _enter(self, b: int) -> None:
+        """The pieces of b are on offer."""
+        for i in self.items[b]:
+            s = self.sizes[i]
+            self.holders[s].setdefault(b, []).append(i)
+            self.low[s] = min(self.low[s], self.fill[b] - s)
+
+    def _leave(self, b: int) -> None:
+        for s in {self.sizes[i] for i in self.items[b]}:
+            del self.holders[s][b]
+            self.low[s] = min((self.fill[g] for g in self.holders[s]), default=_NONE + s) - s
 
-    def _gain(self, b: int, stock: list[tuple[int, int, int]], where: dict[int, int]) -> bool:
-        """Raises the fill of b as far as moves and swaps with emptier bins allow; says whether any was made."""
+    def _gain(self, b: int) -> bool:
+        """Raises the fill of b, whose pieces are not on offer, as far as moves and swaps with emptier bins allow; says whether any was made."""
         any_ = False
         while (free := self.capacity - self.fill[b]) > 0:
             # Move: the longest piece of an emptier bin that fits.
-            best = self._partner(b, free, 0, stock, where)
-            if best is not None:
-                self._move(best, where[best], b, where)
+            best = self._partner(free, 0, 0, self.fill[b])
+            if best:
+                self._swap(b, best, [])
                 any_ = True
                 continue
-            # One for one: swap x of b for a longer y, y - x <= free, the closest fit first.
-            swap = None
-            for x in self.items[b]:
-                y = self._partner(b, free + self.sizes[x], self.sizes[x], stock, where, back=self.sizes[x])
-                if y is not None:
-                    gain = self.sizes[y] - self.sizes[x]
-                    if swap is None or gain > swap[0]:
-                        swap = (gain, [x], y)
-            # Two for one: two pieces of b for one that is longer than both together.
-            own = sorted(self.items[b], key=lambda i: self.sizes[i])[:6]
-            for p in range(len(own)):
-                for q in range(p + 1, len(own)):
-                    two = self.sizes[own[p]] + self.sizes[own[q]]
-                    y = self._partner(b, free + two, two, stock, where, back=two)
-                    if y is not None and (swap is None or self.sizes[y] - two > swap[0]):
-                        swap = (self.sizes[y] - two, [own[p], own[q]], y)
+            # One for one and two for one: x, or x and z, of b for a longer y, y - x - z <= free, the closest fit first.
+            own: dict[int, list[int]] = {}
+            for i in self.items[b]:
+                own.setdefault(self.sizes[i], []).append(i)
+            lengths = sorted(own)
+            gives = {s: [own[s][0]] for s in lengths}
+            for p, s in enumerate(lengths):
+                for t in lengths[p:]:
+                    if s + t < self.capacity and (s < t or len(own[s]) > 1):
+                        gives.setdefault(s + t, [own[s][0], own[t][-1]])
+            gain, swap = 0, None
+            for back, out in gives.items():
+                y = self._partner(free + back, back + gain, back, self.fill[b])
+                if y:
+                    gain, swap = y - back, (y, out)
             if swap is None:
                 break
-            giver = where[swap[2]]
-            self._move(swap[2], giver, b, where)
-            for x in swap[1]:
-                self._move(x, b, giver, where)
+            self._swap(b, *swap)
             any_ = True
         return any_
 
-    def _partner(self, b: int, most: int, over: int, stock: list[tuple[int, int, int]], where: dict[int, int], back: int = 0) -> int | None:
-        """The longest piece of at most `most` and over `over`, in another bin whose exchange raises the squares."""
-        at, tries = bisect_left(stock, (most + 1,)) - 1, 0
-        while at >= 0 and stock[at][0] > over and tries < 24:
-            size, i, _ = stock[at]
-            g = where[i]
-            if g != b:
-                delta = size - back
-                # (f_b + d)^2 + (f_g - d)^2 grows if f_b + d > f_g.
-                if self.fill[b] + delta > self.fill[g]:
-                    return i
-                tries += 1
-            at -= 1
-        return None
-
-    def _move(self, i: int, a: int, b: int, where: dict[int, int]) -> None:
-        self.items[a].remove(i)
-        self.items[b].append(i)
-        self.fill[a] -= self.sizes[i]
-        self.fill[b] += self.sizes[i]
-        where[i] = b
-
-
-def pack_group(sizes: list[int], capacity: int = LENGTH, rounds: int = ROUNDS) -> list[list[int]]:
+    def _partner(self, most: int, over: int, back: int, fill: int) -> int:
+        """The longest length of at most `most` and over `over` in a bin whose exchange with one filled so far raises the squares; 0 if there is none."""
+        # (f_b + d)^2 + (f_g - d)^2 grows if f_b + d > f_g, with d = y - back.
+        hit = np.flatnonzero(self.low[over + 1 : most + 1] < fill - back)
+        return over + 1 + int(hit[-1]) if len(hit) else 0
+
+    def _swap(self, b: int, size: int, out: list[int]) -> None:
+        """A piece of this length from the emptiest bin that holds one goes to b, and out goes there."""
+        g = min(self.holders[size], key=lambda g: (self.fill[g], g))
+        y = self.holders[size][g][0]
+        self._leave(g)
+        for i, a, to in [(y, g, b), *((x, b, g) for x in out)]:
+            self.items[a].remove(i)
+            self.items[to].append(i)
+            self.fill[a] -= self.sizes[i]
+            self.fill[to] += self.sizes[i]
+        self._enter(g)
+
+
+def pack_group(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
     """Items of each bin."""
     bins = Bins(sizes, capacity)
     bins.best_fit()
-    bins.improve(rounds)
+    bins.improve()
     return [b for b in bins.items if b]
 
 

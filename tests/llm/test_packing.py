@@ -69,6 +69,42 @@ def test_local_search(seed):
     assert len(used) <= before and sum(f * f for f in b.fill) >= squares
 
 
+def improved(sizes, capacity):
+    b = p.Bins(sizes, capacity)
+    b.best_fit()
+    b.improve()
+    return b, [(x, f) for x, f in zip(b.items, b.fill, strict=True) if x]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_exchange_is_left(seed):
+    from itertools import combinations
+
+    r = random.Random(seed)
+    # Many pieces of four lengths: fuller bins offer them first.
+    sizes = [r.choice([41, 43, 47, 53]) if r.random() < 0.6 else r.randint(40, 110) for _ in range(400)] + ([r.randint(1, 9) for _ in range(60)] if seed % 2 else [])
+    b, used = improved(sizes, 205)
+    assert sorted(i for x, _ in used for i in x) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in x) == f <= 205 for x, f in used)
+    emptiest: dict = {}
+    for x, f in used:
+        for i in x:
+            emptiest.setdefault(sizes[i], set()).add((f, tuple(x)))
+    for x, f in used:
+        gives = {0} | {sizes[i] for i in x} | {sizes[i] + sizes[k] for i, k in combinations(x, 2)}
+        for back in gives:
+            for size, bins in emptiest.items():
+                if 0 < size - back <= 205 - f:
+                    assert not any(f + size - back > g for g, y in bins if y != tuple(x))
+
+
+def test_large_pieces_fill_better():
+    r = random.Random(1)
+    sizes = [r.randint(400, 1100) for _ in range(2000)]
+    _, used = improved(sizes, 2048)
+    assert len(used) <= 755
+
+
 def test_search_empties_a_bin():
     # Best fit decreasing needs four bins here; exchanges reach three.
     sizes = [51, 51, 27, 27, 26, 26, 23, 23, 23, 23]
