@@ -5,7 +5,7 @@ Mails are built from documents, so what a parser must give back is known.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
@@ -20,8 +20,8 @@ from quillspark.sources import html as ht
 from quillspark.sources import mail as ml
 
 
-def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, raw: multipart mails with a plain part, an HTML part with an inline image, and an attachment."""
+def raw_mail(spark: SparkSession, sf_dir: str, attached: Column | None = None) -> DataFrame:
+    """doc_id, raw: multipart mails with a plain part, an HTML part with an inline image, and an attachment (the first 300 characters, or what is given)."""
     b64 = lambda c: F.base64(F.encode(c, "utf-8"))
     crlf = "\r\n"
     head = F.concat(
@@ -31,7 +31,7 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plain = F.concat(F.lit(f'--AAA{crlf}Content-Type: text/plain; charset="utf-8"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("text")), F.lit(crlf))
     web = F.concat(F.lit(f'--AAA{crlf}Content-Type: multipart/related; boundary="BBB"{crlf}{crlf}--BBB{crlf}Content-Type: text/html; charset="utf-8"{crlf}{crlf}<p>Hi <a href="https://example.org/'), F.col("doc_id").cast("string"), F.lit(f'">go</a> <img src="cid:logo@x"></p>{crlf}--BBB{crlf}Content-Type: image/png{crlf}Content-ID: <logo@x>{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("source")), F.lit(f"{crlf}--BBB--{crlf}"))
-    file = F.concat(F.lit(f'--AAA{crlf}Content-Type: application/pdf{crlf}Content-Disposition: attachment; filename="r'), F.col("doc_id").cast("string"), F.lit(f'.pdf"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.substring("text", 1, 300)), F.lit(f"{crlf}--AAA--{crlf}"))
+    file = F.concat(F.lit(f'--AAA{crlf}Content-Type: application/pdf{crlf}Content-Disposition: attachment; filename="r'), F.col("doc_id").cast("string"), F.lit(f'.pdf"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.substring("text", 1, 300) if attached is None else attached), F.lit(f"{crlf}--AAA--{crlf}"))
     return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, plain, web, file), "utf-8").alias("raw"))
 
 
@@ -45,6 +45,12 @@ def attachment_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", F.explode("attachments").alias("a")).select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
 
 
+def attachment_digest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """attachment_digest with the whole text attached."""
+    e = ml.emails(raw_mail(spark, sf_dir, F.col("text")), "doc_id")
+    return e.select("doc_id", F.explode("attachments").alias("a")).select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
+
+
 def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ml.emails(raw_mail(spark, sf_dir), "doc_id")
     return e.groupBy("authentication.spf", "authentication.dkim", "authentication.dmarc").agg(F.count(F.lit(1)).alias("n"))
@@ -106,6 +112,11 @@ def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text NOT RLIKE '[^\\\\x00-\\\\x7F]' AND NOT contains(text, '&')").select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
 
 
+def canonical_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """canonical_text over all documents; DuckDB has neither NFKC nor HTML entities."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
+
+
 _GREETING, _SIGN, _CONTACT = "Dear team,", "Best regards,\nAnna", "Anna\n+49 30 1234567"
 
 
@@ -221,7 +232,7 @@ def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(i, f.alias("score"), sc.reason(f).alias("reason"), sc.verdict(f).alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (mime_roundtrip, attachment_digest, auth_results, base64_gate, cid_resolution, image_references, image_ref_checks, page_text, page_links, link_scheme_counts, tag_strip, canonical_text, zone_split, zone_lengths, zone_means, zone_features, final_verdict, class_centroids, embedding_score, vector_softmax, modality_fusion, image_status_rollup, model_scores, vision_output, signal_cache_lookup, lexicon_join, fused_scores)}
+QUERIES = {f.__name__: f for f in (mime_roundtrip, attachment_digest, attachment_digest_whole, auth_results, base64_gate, cid_resolution, image_references, image_ref_checks, page_text, page_links, link_scheme_counts, tag_strip, canonical_text, canonical_text_whole, zone_split, zone_lengths, zone_means, zone_features, final_verdict, class_centroids, embedding_score, vector_softmax, modality_fusion, image_status_rollup, model_scores, vision_output, signal_cache_lookup, lexicon_join, fused_scores)}
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), e AS (SELECT label, i, avg(v[i]) AS m, count(*) AS n FROM u, range(1, 65) r(i) GROUP BY 1, 2), c AS (SELECT label, i, n, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM e WHERE n >= 3)"
 _N = "chr(10)"
@@ -230,6 +241,7 @@ _BODY_SQL = strip_sql(f"array_to_string(list_transform(string_split(text, chr(10
 ORACLES = {
     "mime_roundtrip": "SELECT doc_id, 'Report ' || doc_id AS subject, 'anna@' || source || '.Example.org' AS from_addr, lower(source || '.Example.org') AS from_domain, sha256(text) AS text_sha256, 'mime_plain' AS text_source, 'mixed+related' AS multipart_type, 2::BIGINT AS depth, 1::BIGINT AS attachments, 'https://example.org/' || doc_id AS first_link FROM documents",
     "attachment_digest": "SELECT doc_id, 'r' || doc_id || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(substring(text, 1, 300)))::BIGINT AS size, sha256(substring(text, 1, 300)) AS sha256 FROM documents",
+    "attachment_digest_whole": "SELECT doc_id, 'r' || doc_id || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(text))::BIGINT AS size, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM documents",
     "auth_results": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'none' END AS spf, 'pass' AS dkim, NULL::VARCHAR AS dmarc, count(*) AS n FROM documents GROUP BY 1",
     "base64_gate": "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'ok' ELSE 'bad_base64' END AS status, CASE doc_id % 4 WHEN 1 THEN 3 WHEN 2 THEN octet_length(encode(text)) END::BIGINT AS bytes FROM documents",
     "cid_resolution": """WITH r AS (SELECT doc_id AS msg_id, i - 1 AS pos, (['a', 'B', 'missing', NULL])[i] AS cid FROM documents, range(1, 5) t(i)),

@@ -88,6 +88,12 @@ def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("NOT contains(text, '@') AND NOT text RLIKE '[0-9]{3}'").select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
 
 
+def corpus_clean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_clean over all documents; the rule for numbers looks around, which DuckDB can't."""
+    c = tx.clean_corpus_text(_mail_like())
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
+
+
 def fake_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     full = F.concat(F.lit("Return-Path: <a@b.c>\nSubject: x "), F.col("lang"), F.lit("\n\n"), F.col("text"))
@@ -176,7 +182,7 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(payload, 256).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (token_stats, sentence_stats, normalized_key_hash, ascii_share, lexicon_hits, number_counts, masked_text, fallback_scores, corpus_clean, fake_headers, likely_human_filter, label_parsing, segment_profile, segment_rules, segment_spans, sentence_uniformity, repeated_sentences, near_duplicate_sentences, doc_verdict, verdict_histogram, subject_body_overlap, subject_profile, signal_categories, cache_keys)}
+QUERIES = {f.__name__: f for f in (token_stats, sentence_stats, normalized_key_hash, ascii_share, lexicon_hits, number_counts, masked_text, fallback_scores, corpus_clean, corpus_clean_whole, fake_headers, likely_human_filter, label_parsing, segment_profile, segment_rules, segment_spans, sentence_uniformity, repeated_sentences, near_duplicate_sentences, doc_verdict, verdict_histogram, subject_body_overlap, subject_profile, signal_categories, cache_keys)}
 
 _RULES = f"""
 d AS (SELECT doc_id, {_PLANTED_SQL} AS text FROM documents),
