@@ -35,13 +35,35 @@ def char_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.vocabulary(c, 2, 300)
 
 
+#: Terms of each vocabulary of the model with the largest ones: words of 1 to 2, characters of 3 to 5.
+TERMS = 35_000
+
+
+def tfidf_vocab_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = md.term_counts(turns(spark, sf_dir), "msg_id", md.word_grams(F.col("text")))
+    return md.vocabulary(c, 2, TERMS)
+
+
+def tfidf_weights_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    c = md.term_counts(t, "msg_id", md.word_grams(F.col("text")))
+    w = md.tfidf(c, md.vocabulary(c, 2, TERMS), t.count(), "msg_id")
+    return w.groupBy("msg_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
+def char_gram_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of whole turns."""
+    c = md.term_counts(turns(spark, sf_dir), "msg_id", md.char_grams(F.col("text"), 3, 5))
+    return md.vocabulary(c, 2, TERMS)
+
+
 def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.balanced(turns(spark, sf_dir), "is_ai").groupBy("is_ai").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
 
 
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out scores of the text model."""
-    held, _ = md.evaluate_then_refit(turns(spark, sf_dir), "msg_id", "is_ai", features=2000, iterations=20)
+    """Held-out scores of the text model: words of 1 to 3 without stopwords, 20,000 features for each length, 1,000 iterations at most."""
+    held, _ = md.evaluate_then_refit(turns(spark, sf_dir), "msg_id", "is_ai", words=3, features=20_000, iterations=1000, stopwords=True)
     return held.select("msg_id", "is_ai", "score")
 
 
@@ -61,7 +83,7 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.drain(spark, sf_dir, f"{shared_folder(spark)}/quillspark/stream-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_weights, char_gram_counts, balanced_weights, logreg_scores, tree_scores, augmented, stream_verdicts)}
+QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_vocab_whole, tfidf_weights, tfidf_weights_whole, char_gram_counts, char_gram_counts_whole, balanced_weights, logreg_scores, tree_scores, augmented, stream_verdicts)}
 
 _GRAMS = f"{TURNS}, t AS (SELECT msg_id, {tokens_sql('text')} AS t FROM turns), g AS (SELECT msg_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 500)"
 

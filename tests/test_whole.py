@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 import unicodedata
+from collections import Counter
+from itertools import pairwise
 
 import pytest
+import regex
 
 from quillspark.plans import registry
 
+SMALL = "/root/testdata/sf0.001"
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 TEXTS = ["Caf\u00e9 \ufb01ne \u2167 &amp; &lt;b&gt;tag&lt;/b&gt; \uff21\uff22", "Write to Ann.Lee+x@example.org, call +49 (0)30 1234-5678 or 12345; see HTTPS://x.example/a?b=1 now", "AT&T &copy; 2024\n> quoted\n\n\n\nrest \u00e9", "x" * 500 + " 0123456789 \u00fc", "", "www.example.org\r\nOn 12 of May 2024 Bob wrote:\nlost", "1234567890 12", "plain words only", "\u6f22\u5b57 123 456 789 01 end"]
 
@@ -52,6 +57,58 @@ def built(spark, tmp_path_factory):
     return path, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
 
 
+def gram_tables(spark, grams):
+    """(key to Counter of terms, the vocabulary as brute force has it) of the turns of sf0.001."""
+    from quillspark.plans.corpus_queries import turns
+
+    tf = {r["msg_id"]: Counter(grams(r["text"])) for r in turns(spark, SMALL).collect()}
+    df, total = Counter(), Counter()
+    for c in tf.values():
+        df.update(c.keys())
+        total.update(c)
+    order = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t.encode()))
+    return tf, df, total, order[:35_000]
+
+
+def words_of(text):
+    t = regex.findall(r"[\p{L}\p{N}]+(?:['\u2019\-][\p{L}\p{N}]+)*", text.lower())
+    return t + [f"{a} {b}" for a, b in pairwise(t)]
+
+
+def chars_of(text):
+    return [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+
+
+@pytest.mark.parametrize(("name", "grams"), [("tfidf_vocab_whole", words_of), ("char_gram_counts_whole", chars_of)])
+def test_vocabularies(spark, name, grams):
+    _, df, total, order = gram_tables(spark, grams)
+    got = {r["term"]: (r["df"], r["total"]) for r in registry.QUERIES[name](spark, SMALL).collect()}
+    assert got == {t: (df[t], total[t]) for t in order} and len(got) > 500
+
+
+def test_weights(spark):
+    tf, df, _, order = gram_tables(spark, words_of)
+    known = set(order)
+    got = {r["msg_id"]: r for r in registry.QUERIES["tfidf_weights_whole"](spark, SMALL).collect()}
+    for key, c in tf.items():
+        w = [(1 + math.log(n)) * (math.log((1 + len(tf)) / (1 + df[t])) + 1) for t, n in c.items() if t in known]
+        assert (key in got) == bool(w)
+        if w:
+            norm = math.sqrt(sum(x * x for x in w))
+            assert got[key]["terms"] == len(w) and got[key]["total"] == pytest.approx(sum(w) / norm, abs=2e-5) and got[key]["top"] == pytest.approx(max(w) / norm, abs=2e-5)
+
+
+def test_text_model_has_the_surveyed_sizes(spark, monkeypatch):
+    from quillspark.operators import models as md
+
+    seen = []
+    whole = md.text_pipeline
+    monkeypatch.setattr(md, "text_pipeline", lambda **o: seen.append(o) or whole(**o))
+    rows = registry.QUERIES["logreg_scores"](spark, SMALL).collect()
+    assert rows and all(0 <= r["score"] <= 1 for r in rows)
+    assert seen and all((o["words"], o["features"], o["iterations"], o["stopwords"]) == (3, 20_000, 1000, True) for o in seen)
+
+
 def sha(t: str) -> str:
     return hashlib.sha256(t.encode()).hexdigest()
 
