@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; a cluster gets an error, since
+    no folder of this machine would be there for the executors.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         found = context.getCheckpointDir()
     return found
@@ -26,13 +32,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths staged inside each settled() that is under way.
+_MADE: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, on storage that outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() staged; the tables that make() staged on its way are deleted, since nothing reads them any more."""
+    _MADE.append([])
+    try:
+        df = make()
+        path = scratch(spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for old in _MADE.pop():
+            remove(spark, old)
+    if _MADE:
+        _MADE[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def absent(docs: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of docs has, in upper or lower case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath

@@ -2,66 +2,99 @@
 
 A persistent index of text digests, bucketed and sorted by digest.  New documents are
 digested, reduced to one row for each digest, and sort-merge anti-joined with the index;
-what is left is appended.  Of equal texts within a batch the largest doc_id stays; a text
+what is left is appended under the name of its batch.  Which document of a digest stays is
+then read from the index.  Of equal texts within a batch the largest doc_id stays; a text
 that the index knows from an earlier batch is a duplicate of the document named there.
 
+A batch that is sent again, after a crash at any point or because its answer was lost, gets
+its first answer: digests that the index holds under the batch's own name are its own, and
+only those that are still missing are appended.  The number of buckets stands beside the
+index, so that it is opened as it was written.
+
 Defined cases: null text counts as empty; null doc_id is smaller than any other; rows that
 repeat both doc_id and text are equal texts like any others, and exactly one of them is
-kept; a batch that is appended again changes nothing; an empty batch gives no rows; extra
-columns are ignored.  A digest that a large share of rows has is pre-aggregated, and rows
-are joined back with those heavy digests by a broadcast of at most HEAVY entries.
+kept; an empty batch gives no rows; a very long text is one digest like any other; extra
+columns are ignored, whatever their names.  A digest that a large share of rows has is
+pre-aggregated, and rows are joined back with those heavy digests by a broadcast of at most
+HEAVY entries.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, exists, id_text, scratch, staged
+from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text, scratch, staged
 
 #: At most so many digests count as heavy, since each has over 1/HEAVY of all rows.
 HEAVY = 2000
+#: Digests of the first batch for each bucket of a new index, and the fewest and most buckets.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 16, 1 << 16
+#: Parts in which the registered query and the pipeline hand their documents to a new index.
+PARTS = 2
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8 as 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def digests(docs: DataFrame, normalise=None) -> DataFrame:
     """doc_id, digest (32 bytes) and rid, which tells repeated rows apart."""
     d = id_text(docs)
     text = normalise(F.col("text")) if normalise else F.col("text")
-    return d.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    return d.select("doc_id", text_digest(text).alias("digest"), F.monotonically_increasing_id().alias("rid"))
 
 
 class DigestIndex:
-    """digest, keep_id as a Parquet table at path, bucketed and sorted by digest."""
+    """digest, keep_id, batch as a Parquet table below path, bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.rows, self.note = f"{self.path}/rows", f"{self.path}/index.json"
         self.table = f"digest_index_{uuid.uuid4().hex}"
-        self.known = False
-        if exists(spark, path):
+        self.known = exists(spark, self.note)
+        if self.known:
+            self.buckets = json.loads(self._noted())["buckets"]
             self._declare()
 
+    def _noted(self) -> str:
+        fs, at = hadoop_fs(self.spark, self.note)
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def _declare(self) -> None:
-        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        fs, at = hadoop_fs(self.spark, self.rows)
+        fs.mkdirs(at)
+        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.rows}'")
+
+    def create(self, expected: int) -> None:
+        """Fixes the number of buckets, before any row is written, and notes it beside the rows."""
+        if self.buckets is None:
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, -(-expected // PER_BUCKET) - 1).bit_length()))
+        fs, at = hadoop_fs(self.spark, self.note)
+        stream = fs.create(at, False)
+        stream.write(bytearray(json.dumps({"buckets": self.buckets}).encode()))
+        stream.close()
+        self._declare()
         self.known = True
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table) if self.known else self.spark.createDataFrame([], "digest binary, keep_id long")
+        return self.spark.table(self.table) if self.known else self.spark.createDataFrame([], "digest binary, keep_id long, batch string")
 
-    def append(self, groups: DataFrame) -> None:
+    def append(self, groups: DataFrame, batch: str) -> None:
         """Adds the digests that the index lacks; groups has one row for each digest."""
-        new = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"))
-        if self.known:
-            new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+        new = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.lit(batch).alias("batch"))
+        new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
         # One task for each bucket, so that each bucket gains one sorted file.
-        out = new.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
-        if self.known:
-            out.saveAsTable(self.table)
-            self.spark.catalog.refreshTable(self.table)
-        else:
-            out.option("path", self.path).saveAsTable(self.table)
-            self.known = True
+        new.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -80,39 +113,81 @@ def join_back(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return marked.where(F.col("group_size").isNotNull()).unionByName(rest.join(light.hint("merge"), "digest"))
 
 
-def dedup(docs: DataFrame, index: DigestIndex, normalise=None) -> DataFrame:
-    """doc_id, keep_id, group_size (within this batch), kept, text_sha256, rid for each row of docs; the index gains the new digests.
+def cuts(rows: DataFrame, parts: int) -> list[int]:
+    """Ascending doc_ids, at most parts - 1, that split the rows into about equal parts."""
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 1000).alias("p")).first()["p"] if shares else None
+    return sorted(set(found or []))
 
-    A text that the index knew before has the keep_id stored there and no kept row.
+
+def dedup(docs: DataFrame, index: DigestIndex, normalise=None, batch: str | None = None, parts: int = 1) -> DataFrame:
+    """doc_id, keep_id, group_size (within these docs), kept, text_sha256, rid for each row of docs; the index gains the new digests.
+
+    batch names this call for a later retry; without it the call is a batch of its own.  With
+    parts, documents are added part by part in descending order of doc_id, null last, so that
+    the largest doc_id of a text still stays.  A text that the index knew from another batch has
+    the keep_id stored there and no kept row.
     """
     rows = staged(digests(docs, normalise), "digests")
-    groups = staged(groups_of(rows), "digest-groups")
-    if index.known:
-        before = index.read().withColumnRenamed("keep_id", "old_id").withColumn("old", F.lit(True))
-        groups = staged(groups.hint("merge").join(before, "digest", "left").select("digest", F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("old").isNull(), F.col("keep_rid")).alias("keep_rid"), "group_size"), "digest-known")
-    index.append(groups.where(F.col("keep_rid").isNotNull()))
-    out = join_back(rows, groups, rows.count())
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    n, batch = rows.count(), batch or uuid.uuid4().hex
+    edges: list = cuts(rows, parts)
+    spans = list(zip([None, *edges], [*edges, None], strict=True))[::-1]
+    if not index.known:
+        index.create(n)
+    found = []
+    for low, high in spans:
+        own = rows
+        if high is not None:
+            own = own.where(F.col("doc_id").isNull() | (F.col("doc_id") < high)) if low is None else own.where(F.col("doc_id") < high)
+        if low is not None:
+            own = own.where(F.col("doc_id") >= low)
+        part = staged(groups_of(own), "digest-groups")
+        index.append(part, batch)
+        found.append(part)
+    groups = found[0]
+    for g in found[1:]:
+        groups = groups.unionByName(g)
+    kept = index.read().select("digest", F.col("keep_id").alias("old_id"), (F.col("batch") == batch).alias("own"))
+    best = F.max(F.when(F.col("own"), F.struct(F.col("keep_id").isNotNull().alias("has"), "keep_id", "keep_rid"))).alias("best")
+    groups = groups.hint("merge").join(kept, "digest").groupBy("digest").agg(F.max("old_id").alias("keep_id"), best, F.sum("group_size").alias("group_size"))
+    groups = staged(groups.select("digest", "keep_id", F.col("best.keep_rid").alias("keep_rid"), "group_size"), "digest-known")
+    out = join_back(rows, groups, n)
+    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "rid")
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that were decided to stay, all columns as they were.
+
+    decided has doc_id, digest (of the whole text) and kept, one row for each row of docs.
+    Texts are not shuffled to find those that stay: rows that go, or of whose equals some go,
+    are looked up in the narrow table of their keys, which the planner broadcasts while it is
+    small.  Of rows equal in doc_id and text, of which some go, one stays if any was decided to.
+    """
+    keys = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.min("kept").alias("all"))
+    one, two, kept = absent(docs, "key_id", "key_digest", "key_kept")
+    odd = staged(keys.where(~F.col("all")).select(F.col("doc_id").alias(one), F.col("digest").alias(two), F.col("kept").alias(kept)), "keys-odd")
+    same = [docs["doc_id"].cast("long").eqNullSafe(F.col(one)), text_digest(docs["text"]) == F.col(two)]
+    out = docs.join(odd.drop(kept), same, "left_anti")
+    again = odd.where(F.col(kept)).drop(kept)
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def keep_first_of_equals(docs: DataFrame) -> DataFrame:
-    """Rows of docs with one document for each text, all columns as they were."""
+    """Rows of docs with one document for each text, the one with the largest doc_id, all columns as they were.
+
+    Null and empty texts are equal texts, and one of them stays; of rows equal in doc_id and
+    text one stays; an empty table gives no rows.
+    """
     spark = docs.sparkSession
-    decided = staged(dedup(docs, DigestIndex(spark, scratch(spark, "digest-index"))), "dedup")
-    keep = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    again = staged(decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 AND kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "dedup-repeated")
-    text = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    once = [docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), text == F.col("__sha")]
-    if again.isEmpty():
-        return docs.join(keep, once, "left_semi")
-    single = keep.join(again.withColumnsRenamed({"__id": "a", "__sha": "b"}), (F.col("__sha") == F.col("b")) & F.col("__id").eqNullSafe(F.col("a")), "left_anti")
-    cols = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeated = docs.join(again, once, "left_semi").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", *cols).select(docs.columns)
-    return docs.join(single, once, "left_semi").unionByName(repeated)
+    decided = staged(dedup(docs, DigestIndex(spark, scratch(spark, "digest-index")), parts=PARTS), "dedup")
+    return keep_rows(docs, decided.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir), DigestIndex(spark, scratch(spark, "digest-index")))
+    """All documents through a new index in PARTS batches: the later ones are anti-joined with what the earlier ones left there."""
+    return dedup(documents(spark, sf_dir), DigestIndex(spark, scratch(spark, "digest-index")), parts=PARTS).drop("rid")
 
 
 OP8_SQL = """

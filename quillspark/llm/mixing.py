@@ -15,9 +15,11 @@ more than its share.
 
 Defined cases: null text counts as empty (size 0; never changes a target, taken is 0);
 a null source is a source of its own, last in order; a source without words has target 0;
-rows that repeat a doc_id share their random number and are told apart by size only, so
-ties are taken together; an empty table gives no rows; extra columns are ignored.
-Random numbers come from SHA-256 of seed and doc_id, so reruns agree.
+rows that repeat a doc_id, or have none, are drawn each on its own while their texts differ;
+rows equal in doc_id, source and text are taken together; a very long text counts with all its
+words, and its source may miss its target by up to half of it; an empty table gives no rows;
+extra columns are ignored, whatever their names.
+Random numbers come from SHA-256 of seed, doc_id and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -36,9 +38,21 @@ CELLS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words of the whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def measures(docs: DataFrame, seed: str = SEED) -> dict[str, Column]:
+    """doc_id, source, size (the number of words of the whole text) and draw of the rows of docs.
+
+    draw holds the first 52 bits of a digest of the seed, doc_id and text, so rows that share a
+    doc_id, or have none, are drawn each on its own; only rows equal in doc_id, source and text
+    share a draw.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    named = F.concat(F.lit(f"{seed}|"), F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")), F.lit("|"), F.md5(text.cast("binary")))
+    return {
+        "doc_id": docs["doc_id"].cast("long"),
+        "source": docs["source"].cast("string"),
+        "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "draw": F.conv(F.substring(F.sha2(named.cast("binary"), 256), 1, 13), 16, 10).cast("long"),
+    }
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -61,26 +75,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", (F.col("source_size") / F.col("n")).alias("mean"), target.alias("target"))
 
 
-def uniform(seed: str) -> Column:
-    """In (0, 1), from the first 52 bits of a digest of seed and doc_id."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
-    sizes = staged(sized(docs), "mix-sizes")
-    per_source = staged(targets(sizes, weights, share, cap), "mix-targets").withColumnRenamed("source", "of")
-    rows = sizes.join(per_source, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+def ranked(rows: DataFrame, per_source: DataFrame, source: str, size: str, draw: str) -> DataFrame:
+    """rows with source_size, target, sure (certain copies), want (words beyond them), at (the rank in (0, 1)) and its cells c1 and c2."""
+    rows = rows.join(per_source, F.col(source).eqNullSafe(F.col("of")), "inner").drop("of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("sure", F.floor(ratio + 1e-12).cast("long")).withColumn("part", F.greatest(ratio - F.col("sure"), F.lit(0.0)))
     rows = rows.withColumn("want", F.col("target") - F.col("sure") * F.col("source_size"))
-    tilt = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.sqrt(F.col("size") / F.col("mean"))))
-    u, odds = uniform(seed), F.col("part") / (1 - F.col("part")) * F.when(F.col("mean") > 0, tilt).otherwise(F.lit(1.0))
+    tilt = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.sqrt(F.col(size) / F.col("mean"))))
+    u = (F.col(draw).cast("double") + 0.5) / float(1 << 52)
+    odds = F.col("part") / (1 - F.col("part")) * F.when(F.col("mean") > 0, tilt).otherwise(F.lit(1.0))
     rank = (u / (1 - u)) / odds
     # rank / (1 + rank) has the order of rank and lies in (0, 1).
-    rows = rows.withColumn("at", F.when((F.col("part") > 0) & (F.col("size") > 0), F.round(rank / (1 + rank), 14)))
-    rows = staged(rows.withColumn("c1", F.least(F.floor(F.col("at") * CELLS), F.lit(CELLS - 1)).cast("int")).withColumn("c2", F.least(F.floor((F.col("at") * CELLS - F.col("c1")) * CELLS), F.lit(CELLS - 1)).cast("int")), "mix-ranks")
+    rows = rows.withColumn("at", F.when((F.col("part") > 0) & (F.col(size) > 0), F.round(rank / (1 + rank), 14)))
+    rows = rows.withColumn("c1", F.least(F.floor(F.col("at") * CELLS), F.lit(CELLS - 1)).cast("int"))
+    return rows.withColumn("c2", F.least(F.floor((F.col("at") * CELLS - F.col("c1")) * CELLS), F.lit(CELLS - 1)).cast("int")).drop("mean", "part")
+
+
+def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row for each source: target and the cells of its cut; the rows of the last cell that are taken; sizes with their ranks), all staged."""
+    per_source = staged(targets(sizes, weights, share, cap), "mix-targets").withColumnRenamed("source", "of")
+    rows = staged(ranked(sizes, per_source, "source", "size", "draw"), "mix-ranks")
     open_ = rows.where(F.col("at").isNotNull())
     named = ["source", "want"]
 
@@ -96,29 +110,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     fine = inside.groupBy(*named, "c2", F.col("base_1").alias("base")).agg(F.sum("size").alias("words"))
     second = staged(cut(fine, "c2", "2"), "mix-cut2")
     last = inside.join(second, F.col("source").eqNullSafe(F.col("of_2")) & (F.col("c2") == F.col("cut_2")))
-    w = W.partitionBy("source").orderBy("at", "doc_id", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy("source").orderBy("at", "doc_id", "size", "draw").rangeBetween(W.unboundedPreceding, W.currentRow)
     # The document over the end is taken if more than half of it fits.
     edge = last.withColumn("sum", F.sum("size").over(w) + F.col("base_2")).where(F.col("sum") - F.col("size") / 2 <= F.col("want"))
-    edge = staged(edge.select("source", "doc_id", "size").distinct().select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("size").alias("e_size"), F.lit(True).alias("e")), "mix-edge")
-    out = rows.join(first, F.col("source").eqNullSafe(F.col("of_1")), "left").join(second, F.col("source").eqNullSafe(F.col("of_2")), "left")
-    out = out.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("size") == F.col("e_size")), "left")
+    edge = staged(edge.select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("size").alias("e_size"), F.col("draw").alias("e_draw")).distinct().withColumn("e", F.lit(True)), "mix-edge")
+    cuts = per_source.join(first, F.col("of").eqNullSafe(F.col("of_1")), "left").join(second, F.col("of").eqNullSafe(F.col("of_2")), "left")
+    return staged(cuts.select("of", "source_size", "mean", "target", "cut_1", "cut_2"), "mix-cuts"), edge, rows
+
+
+def copies_of(edge: DataFrame, rows: DataFrame, doc_id: str, source: str, size: str, draw: str) -> DataFrame:
+    """rows (with ranks and the cells of the cut) with copies."""
+    same = F.col(source).eqNullSafe(F.col("e_source")) & F.col(doc_id).eqNullSafe(F.col("e_id")) & (F.col(size) == F.col("e_size")) & (F.col(draw) == F.col("e_draw"))
     below = F.col("cut_1").isNull() | (F.col("c1") < F.col("cut_1")) | ((F.col("c1") == F.col("cut_1")) & (F.col("cut_2").isNull() | (F.col("c2") < F.col("cut_2")))) | F.coalesce(F.col("e"), F.lit(False))
     sampled = F.when(F.col("at").isNotNull() & below, F.lit(1)).otherwise(F.lit(0))
-    out = out.withColumn("copies", (F.col("sure") + sampled).cast("long"))
+    return rows.join(edge, same, "left").withColumn("copies", (F.col("sure") + sampled).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
+    sizes = staged(docs.select(*[c.alias(k) for k, c in measures(docs, seed).items()]), "mix-sizes")
+    cuts, edge, rows = plan(sizes, weights, share, cap)
+    out = copies_of(edge, rows.join(cuts.select("of", "cut_1", "cut_2"), F.col("source").eqNullSafe(F.col("of"))), "doc_id", "source", "size", "draw")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """Rows of docs as often as the mix takes them, all columns as they were.
 
-    A document without words costs nothing and has no copies to take; it is left out.
+    A row is decided where it is read, from its own draw and its source's cut, so texts are not
+    shuffled: what is joined is a row for each source and the few rows of the last cells.  A
+    document without words (null and empty texts too) costs nothing and has no copies to take; it
+    is left out.  An empty table gives no rows.
     """
-    copies = mix(docs, **options).where("copies > 0 AND size > 0")
-    picked = staged(copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct(), "mix-copies")
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    same = [docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), docs["source"].cast("string").eqNullSafe(F.col("__source")), size == F.col("__size")]
-    out = docs.join(picked, same, "inner").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    # Columns of docs stand aside in a struct, so no name of theirs can clash.
+    found = measures(docs, seed)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in found.items()])
+    sizes = staged(docs.select(*[c.alias(k) for k, c in found.items()]), "mix-sizes")
+    cuts, edge, _ = plan(sizes, **options)
+    placed = ranked(rows, cuts, "source", "size", "draw")
+    out = copies_of(edge, placed, "doc_id", "source", "size", "draw").where("copies > 0 AND size > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +158,8 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH s AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(sha256('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS draw FROM documents
 ), g AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM s GROUP BY source),
 w AS (
   SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS top FROM g
@@ -138,19 +170,19 @@ w AS (
   SELECT source, source_size, source_size / n AS mean,
          coalesce(least(top, weight * max(CASE WHEN level * weight <= top THEN level END) OVER ()), top) AS target FROM l
 ), p AS (
-  SELECT s.doc_id, s.source, s.size, source_size, mean, target,
+  SELECT s.doc_id, s.source, s.size, s.draw, source_size, mean, target,
          floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12)::BIGINT AS sure,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 ), q AS (
   SELECT *, greatest(ratio - sure, 0.0) AS part, target - sure * source_size AS want,
-         (('0x' || substr(sha256('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+         (draw::DOUBLE + 0.5) / 4503599627370496.0 AS u,
          CASE WHEN mean > 0 THEN greatest(0.25, least(4.0, sqrt(size / mean))) ELSE 1.0 END AS tilt
   FROM p
 ), o AS (
   SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part) * tilt) END AS rk FROM q
 ), c AS (
-  SELECT *, CASE WHEN rk IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rk IS NULL ORDER BY round(rk / (1 + rk), 14), doc_id, size) END AS run FROM o
+  SELECT *, CASE WHEN rk IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rk IS NULL ORDER BY round(rk / (1 + rk), 14), doc_id, size, draw) END AS run FROM o
 )
 SELECT doc_id, size, source_size, round(target, 3) AS target,
        (sure + CASE WHEN rk IS NOT NULL AND run - size / 2.0 <= want THEN 1 ELSE 0 END)::BIGINT AS copies,

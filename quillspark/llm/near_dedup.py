@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
 from quillspark.llm.common import documents, id_text, partitions, staged
-from quillspark.llm.exact_dedup import join_back
+from quillspark.llm.exact_dedup import join_back, keep_rows, text_digest
 from quillspark.llm.graph import components
 
 SHINGLE = 5
@@ -100,8 +100,8 @@ def signatures(x: np.ndarray, of: np.ndarray, chunk: int = 1 << 16) -> np.ndarra
     return out
 
 
-def signed(docs: DataFrame, n: int, rid: str | None = None) -> DataFrame:
-    """doc_id, rid (a column of docs, or else new), digest (null for an empty set), n_shingles, sig."""
+def signed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, rid, sha (of the whole text), digest (of the set; null for an empty one), n_shingles, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +112,11 @@ def signed(docs: DataFrame, n: int, rid: str | None = None) -> DataFrame:
                 none = size == 0
                 digest = [None if e else d for d, e in zip(set_digests(x, of), none.tolist(), strict=True)]
                 raw = [None if e else r.tobytes() for r, e in zip(sig, none.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), batch.column(2).slice(s.first, s.n), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "rid", "digest", "n_shingles", "sig"])
+                kept = [batch.column(c).slice(s.first, s.n) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "rid", "sha", "digest", "n_shingles", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(rid).alias("rid")) if rid else id_text(docs).withColumn("rid", F.monotonically_increasing_id())
-    return rows.mapInArrow(run, "doc_id long, rid long, digest binary, n_shingles long, sig binary")
+    rows = id_text(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), text_digest(F.col("text")).alias("sha"))
+    return rows.mapInArrow(run, "doc_id long, rid long, sha binary, digest binary, n_shingles long, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -286,9 +287,9 @@ def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, per
     return rows.select("node", "label", "band", "slot", "block", "b1", "b2", "keys", "long").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(rows with digest and n_shingles, groups with digest, group_size, component_id and keep_rid, the row that stays)."""
-    rows = staged(signed(docs, n, rid), "near-signed")
+    rows = staged(signed(docs, n), "near-signed")
     # A null doc_id comes last; of rows that share one, the first row stays.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     classes = staged(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("node"), first.alias("least"), F.count(F.lit(1)).alias("group_size")), "near-classes")
@@ -313,30 +314,31 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_rid"))
     groups = staged(named.select("digest", "label", "group_size").join(least, "label").select("digest", "group_size", "component_id", "keep_rid"), "near-groups")
-    return rows.select("doc_id", "rid", "digest", "n_shingles"), groups
+    return rows.select("doc_id", "rid", "sha", "digest", "n_shingles"), groups
 
 
-def decided(docs: DataFrame, n: int, percent: int, miss: float, rid: str | None = None) -> DataFrame:
-    """doc_id, rid, n_shingles, component_id, kept for each row of docs; a group keeps exactly one row."""
-    rows, groups = near_classes(docs, n, percent, miss, rid)
-    full = join_back(rows.where(F.col("digest").isNotNull()), groups, rows.count()).select("doc_id", "rid", "n_shingles", "component_id", (F.col("rid") == F.col("keep_rid")).alias("kept"))
-    empty = rows.where(F.col("digest").isNull()).select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+def decided(docs: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
+    """doc_id, sha, n_shingles, component_id, kept for each row of docs; a group keeps exactly one row."""
+    rows, groups = near_classes(docs, n, percent, miss)
+    full = join_back(rows.where(F.col("digest").isNotNull()), groups, rows.count()).select("doc_id", "sha", "n_shingles", "component_id", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+    empty = rows.where(F.col("digest").isNull()).select("doc_id", "sha", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return full.unionByName(empty)
 
 
 def near_dedup(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    return decided(docs, n, percent, miss).drop("rid")
+    return decided(docs, n, percent, miss).drop("sha")
 
 
 def keep_one_of_near(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of docs with one document of each group, all columns as they were.
 
-    Rows are numbered and staged first, since neither doc_id nor text need tell them apart.
+    Rows are told apart by doc_id and the digest of their whole text, so rows that share an id,
+    or have none, and hold other texts are documents of their own.  Rows without words (null and
+    empty texts too) all stay, repeated or not; of other rows equal in doc_id and text at most one
+    stays; an empty table gives no rows.
     """
-    rows = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-rows")
-    gone = staged(decided(rows, n, percent, MISS, "__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid")), "near-gone")
-    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
+    return keep_rows(docs, staged(decided(docs, n, percent, MISS).select("doc_id", F.col("sha").alias("digest"), "kept"), "near-decided"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

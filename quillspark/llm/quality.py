@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, entries: int = ENT
     # At most `rows` ids, so the broadcast is bounded.
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows // 2) for y in (0, 1)]
     picked = staged(chosen[0].unionByName(chosen[1]), "quality-sample")
-    held = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("__id"))), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
+    held = id_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
     found = staged(bags(held).join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id"), "quality-bags")
     out, total = [], 0
     for r in found.orderBy(order, "doc_id").toLocalIterator():

@@ -34,25 +34,90 @@ def test_stage_keeps_columns_and_one_of_each(edge, nothing):
     assert e.keep_first_of_equals(nothing).count() == 0
 
 
+def frame(spark, *rows):
+    return spark.createDataFrame([*rows], "doc_id long, text string")
+
+
+def answer(df):
+    return sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+
+
 def test_index_persists_and_appends(spark):
     path = scratch(spark, "index")
-    frame = lambda *x: spark.createDataFrame([*x], "doc_id long, text string")
-    first = e.dedup(frame((1, "a"), (2, "a"), (3, "b")), e.DigestIndex(spark, path))
-    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in first.collect()} == {1: (2, False), 2: (2, True), 3: (3, True)}
+    first = e.dedup(frame(spark, (1, "a"), (2, "a"), (3, "b")), e.DigestIndex(spark, path))
+    assert answer(first) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
     # Another session of the index: opened again from its files.
     index = e.DigestIndex(spark, path)
-    second = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in e.dedup(frame((9, "a"), (10, "c"), (3, "b")), index).collect()}
-    assert second == {9: (2, False), 10: (10, True), 3: (3, False)}
+    assert answer(e.dedup(frame(spark, (9, "a"), (10, "c"), (3, "b")), index)) == [(3, 3, 1, False), (9, 2, 1, False), (10, 10, 1, True)]
     assert sorted(r["keep_id"] for r in index.read().collect()) == [2, 3, 10]
-    e.dedup(frame((9, "a"), (10, "c")), index)
+    e.dedup(frame(spark, (9, "a"), (10, "c")), index)
     assert index.read().count() == 3
 
 
+def test_a_batch_sent_again_gets_its_first_answer(spark):
+    path = scratch(spark, "index")
+    one, two = frame(spark, (1, "a"), (2, "a"), (3, "b")), frame(spark, (4, "a"), (5, "c"))
+    first = answer(e.dedup(one, e.DigestIndex(spark, path), batch="1"))
+    # The answer was lost after the index had been written.
+    assert answer(e.dedup(one, e.DigestIndex(spark, path), batch="1")) == first
+    second = answer(e.dedup(two, e.DigestIndex(spark, path), batch="2", parts=2))
+    assert second == [(4, 2, 1, False), (5, 5, 1, True)]
+    assert answer(e.dedup(one, e.DigestIndex(spark, path), batch="1", parts=3)) == first
+    assert answer(e.dedup(two, e.DigestIndex(spark, path), batch="2")) == second
+    assert e.DigestIndex(spark, path).read().count() == 3
+
+
+def test_a_batch_of_which_only_a_part_was_appended(spark):
+    index = e.DigestIndex(spark, scratch(spark, "index"))
+    rows = frame(spark, *[(i, str(i % 40)) for i in range(100)])
+    index.create(100)
+    index.append(e.groups_of(e.digests(rows.where("doc_id >= 80"))), "b")
+    got = answer(e.dedup(rows, index, batch="b", parts=2))
+    last = {str(i % 40): i for i in range(100)}
+    assert got == sorted((i, last[str(i % 40)], 3 if i % 40 < 20 else 2, last[str(i % 40)] == i) for i in range(100))
+
+
+def test_parts_equal_one_batch(spark, edge):
+    key = lambda df: sorted((r["doc_id"] is None, r["doc_id"], r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    whole = key(e.dedup(edge, e.DigestIndex(spark, scratch(spark, "t"))))
+    for parts in (2, 5):
+        assert key(e.dedup(edge, e.DigestIndex(spark, scratch(spark, "t")), parts=parts)) == whole
+
+
 def test_index_is_bucketed(spark):
-    index = e.DigestIndex(spark, scratch(spark, "index"), buckets=4)
-    e.dedup(spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string"), index)
-    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {index.table}").collect()}
-    assert described["Num Buckets"] == "4" and "digest" in described["Sort Columns"]
+    rows = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
+    path = scratch(spark, "index")
+    index = e.DigestIndex(spark, path, buckets=4)
+    e.dedup(rows, index)
+    # Opened again with another number: the one that was written counts, so all texts are known.
+    for other in (index, e.DigestIndex(spark, path, buckets=8)):
+        described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {other.table}").collect()}
+        assert described["Num Buckets"] == "4" and "digest" in described["Sort Columns"]
+    assert not any(r["kept"] for r in e.dedup(rows, e.DigestIndex(spark, path, buckets=8)).collect())
+    large = e.DigestIndex(spark, scratch(spark, "index"))
+    large.create(100 * e.PER_BUCKET)
+    assert large.buckets == 128
+
+
+def test_the_query_goes_through_the_index(spark, docs, monkeypatch):
+    plans = []
+    append = e.DigestIndex.append
+
+    def seen(self, groups, batch):
+        before = self.read().count()
+        plans.append((before, groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()))
+        append(self, groups, batch)
+
+    monkeypatch.setattr(e.DigestIndex, "append", seen)
+    e.dedup(docs, e.DigestIndex(spark, scratch(spark, "t")), parts=e.PARTS)
+    assert len(plans) == e.PARTS and plans[0][0] == 0 and plans[1][0] > 0
+    assert all("SortMergeJoin" in p and "LeftAnti" in p for _, p in plans)
+
+
+def test_stage_with_repeated_and_null_ids_of_other_texts(spark):
+    rows = [(3, "a", "s"), (5, "b", "s"), (5, "a", "s"), (None, "c", "s"), (None, "d", "t"), (None, "d", "t"), (7, "d", "u"), (8, "e", "u"), (8, "e", "u")]
+    got = e.keep_first_of_equals(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [(5, "b", "s"), (5, "a", "s"), (None, "c", "s"), (7, "d", "u"), (8, "e", "u")]))
 
 
 def test_heavy_digests(spark, monkeypatch):
