@@ -14,7 +14,7 @@ from quillspark.llm.mixing import OP6_SQL, op6_mix
 from quillspark.llm.near_dedup import op9_near_dedup
 from quillspark.llm.packing import op5_packing
 from quillspark.llm.quality import op4_quality
-from quillspark.llm.rollup import OP2_SQL, op2_rollup
+from quillspark.llm.rollup import op2_rollup
 from quillspark.llm.secrets import op7_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_rollup": OP2_SQL,
     "op6_mix": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }

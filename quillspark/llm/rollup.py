@@ -3,31 +3,46 @@
 Totals by source, language and tokenizer version are kept as additive deltas.  A batch of
 changes (insert, delete, revise) is reduced to one signed row for each key before anything
 is written, and committed once: deltas are written to a folder of the attempt, and the
-batch exists from the moment its commit file is created, which only one writer can do.  A
+batch exists from the moment its commit file is renamed into place, which only one writer can do.  A
 batch that is committed again with the same content is skipped; with other content it is
 an error.  Totals sum the deltas of committed batches; compact() folds them into one.
 
+Counts are those of public tokenizers over whole texts; a tokenizer's file is its version.
+
 Defined cases: null source or language are keys of their own; null counts are 0; a null
 doc_id is a document like any other; rows that repeat a doc_id are counted each; an empty batch
-commits and changes nothing; keys whose totals are all 0 disappear; extra columns are ignored.
+commits and changes nothing; an empty table has no totals; a very long text is encoded whole; an
+empty or null text has 0 tokens; keys whose totals are all 0 disappear; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, hadoop_fs, scratch, staged
+from quillspark.llm.common import documents, exists, hadoop_fs, scratch, staged
+from quillspark.llm.tokens import encoder_of
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens", "chars")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
-#: Tokenizer versions that need no vocabulary: words between white space, and runs of letters or digits.
-PATTERNS = {"words@1": r"[^\x20\x09-\x0D]+", "alnum@1": r"[\p{L}\p{N}]+"}
+#: Names of the public tokenizer files whose counts the registered query keeps; a file is a version.
+VERSIONS = ("word_bpe_49k.json", "byte_bpe_50k.json")
+
+
+def default_tokenizers() -> dict[str, str]:
+    """Path of each version's file, by the version's name."""
+    import public_tokenizers
+
+    return {os.path.splitext(name)[0]: public_tokenizers.path(name) for name in VERSIONS}
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -46,11 +61,16 @@ def revisions(counts: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """State below path: deltas/<attempt> (Parquet) and commits/<batch> (JSON naming the attempt)."""
+    """State below path: deltas/<attempt> (Parquet), commits/<batch>.json naming the attempt, and after a compaction folded.json: the batches of its first delta."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _folded(self) -> dict:
+        """attempt and batches (name to content) of the compaction that this state began with."""
+        at = f"{self.path}/folded.json"
+        return json.loads(self._text(at)) if exists(self.spark, at) else {"attempt": None, "batches": {}}
+
     def _commits(self) -> dict[str, dict]:
         fs, at = hadoop_fs(self.spark, f"{self.path}/commits")
         out = {}
@@ -70,15 +90,29 @@ class Rollup:
             stream.close()
 
     def _create(self, path: str, text: str) -> bool:
-        """Creates the file unless it is there already."""
+        """Creates the file unless it is there already.
+
+        It is written aside and renamed without overwriting, so no reader sees half a commit and,
+        where the file system renames atomically, only one writer can win.
+        """
         fs, at = hadoop_fs(self.spark, path)
-        # Written aside and renamed, so that a reader never sees half a commit.
-        aside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/aside/{uuid.uuid4().hex}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        aside = hadoop.Path(f"{self.path}/aside/{uuid.uuid4().hex}")
         stream = fs.create(aside, False)
         stream.write(bytearray(text.encode()))
         stream.close()
         fs.mkdirs(at.getParent())
-        return not fs.exists(at) and fs.rename(aside, at)
+        plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        context = hadoop.FileContext.getFileContext(fs.makeQualified(at).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(at), plain)
+        except Exception:
+            # Another writer was first; any other failure goes on.
+            fs.delete(aside, False)
+            if not fs.exists(at):
+                raise
+            return False
+        return True
 
     def commit(self, batch: str, *deltas: DataFrame) -> bool:
         """Adds the deltas under this batch name; False if the batch was there already."""
@@ -92,18 +126,19 @@ class Rollup:
         delta = self.spark.read.schema(SCHEMA).parquet(at)
         seen = delta.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*KEYS, *SUMS).cast("decimal(38,0)"))).first()
         mark = {"attempt": attempt, "content": f"{seen[0]}:{seen[1]}"}
-        if self._create(f"{self.path}/commits/{batch}.json", json.dumps(mark)):
+        known = self._folded()["batches"].get(batch)
+        if known is None and self._create(f"{self.path}/commits/{batch}.json", json.dumps(mark)):
             return True
-        known = json.loads(self._text(f"{self.path}/commits/{batch}.json"))
+        known = known or json.loads(self._text(f"{self.path}/commits/{batch}.json"))["content"]
         fs, p = hadoop_fs(self.spark, at)
         fs.delete(p, True)
-        if known["content"] != mark["content"]:
+        if known != mark["content"]:
             raise ValueError(f"batch {batch} was committed with other content")
         return False
 
     def totals(self) -> DataFrame:
         """The keys and their docs, tokens and chars over all committed batches."""
-        attempts = sorted({c["attempt"] for c in self._commits().values()})
+        attempts = sorted({self._folded()["attempt"], *(c["attempt"] for c in self._commits().values())} - {None})
         if not attempts:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/deltas/{a}" for a in attempts))
@@ -111,26 +146,42 @@ class Rollup:
         return out.where(" OR ".join(f"{s} <> 0" for s in SUMS))
 
     def compact(self) -> str:
-        """A new state with one delta that names all batches folded into it; returns its path."""
-        path = f"{self.path}-{uuid.uuid4().hex[:8]}"
-        attempt = uuid.uuid4().hex
+        """A new state whose one delta and one file stand for all batches so far; returns its path.  The old state stays as it is."""
+        path, attempt = f"{self.path}-{uuid.uuid4().hex[:8]}", uuid.uuid4().hex
+        batches = self._folded()["batches"] | {name: mark["content"] for name, mark in self._commits().items()}
         self.totals().coalesce(1).write.parquet(f"{path}/deltas/{attempt}")
-        to = Rollup(self.spark, path)
-        for batch, mark in self._commits().items():
-            to._create(f"{path}/commits/{batch}.json", json.dumps({"attempt": attempt, "content": mark["content"]}))
+        Rollup(self.spark, path)._create(f"{path}/folded.json", json.dumps({"attempt": attempt, "batches": batches}))
         return path
 
 
-def counted(docs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """source, lang, tokenizer, doc_id, tokens, chars and the estimate that ingestion books first (a quarter of n_chars)."""
+def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
+    """source, lang, tokenizer, doc_id, tokens, chars and the estimate that ingestion books first (a quarter of n_chars).
+
+    Each whole text is encoded once by every tokenizer (name to path); a row for each.
+    """
+    paths = tokenizers or default_tokenizers()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros((batch.num_rows, len(paths)), dtype=np.int64)
+            for k, path in enumerate(paths.values()):
+                for first, _, of in encoder_of(path).encode(batch.column(0)):
+                    n[first : first + len(of) - 1, k] = np.diff(of)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(paths)), pa.array(n.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*batch.schema.names[1:], "n"])
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    counts: list[Column] = [F.struct(F.lit(name).alias("tokenizer"), F.regexp_count(text, F.lit(p)).cast("long").alias("tokens")) for name, p in patterns.items()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.length(text).cast("long").alias("chars"), F.coalesce(F.floor(F.col("n_chars") / 4), F.lit(0)).alias("guess"), F.coalesce("n_chars", F.lit(0)).alias("guess_chars"), F.array(*counts).alias("c"))
-    return rows.select("doc_id", "source", "lang", "chars", "guess", "guess_chars", F.inline("c"))
+    rows = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.length(text).cast("long").alias("chars"), F.coalesce(F.floor(F.col("n_chars") / 4), F.lit(0)).cast("long").alias("guess"), F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("guess_chars"))
+    rows = rows.mapInArrow(run, "doc_id long, source string, lang string, chars long, guess long, guess_chars long, n array<bigint>")
+    return rows.select("doc_id", "source", "lang", "chars", "guess", "guess_chars", F.posexplode("n").alias("k", "tokens")).select("doc_id", "source", "lang", "chars", "guess", "guess_chars", F.element_at(F.array(*map(F.lit, paths)), F.col("k") + 1).alias("tokenizer"), "tokens")
 
 
 def op2_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingestion books all documents at an estimate, a second batch revises every count to the exact one, a third takes toxic documents out; the second is then sent again."""
+    """Token totals of all documents by source, language and tokenizer version.
+
+    Ingestion books all documents at an estimate, a second batch revises every count to the exact
+    one, a third takes toxic documents out; the state is compacted, and the second batch then sent again.
+    """
     rows = staged(counted(documents(spark, sf_dir)), "rollup-counts")
     state = Rollup(spark, scratch(spark, "rollup"))
     guess = rows.select(*KEYS, F.col("guess").alias("tokens"), F.col("guess_chars").alias("chars"))
@@ -139,20 +190,6 @@ def op2_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.commit("ingest", inserts(guess))
     state.commit("recount", revisions(exact))
     state.commit("takedown", deletes(rows.join(toxic, "doc_id", "left_semi")))
+    state = Rollup(spark, state.compact())
     state.commit("recount", revisions(exact))
     return state.totals()
-
-
-OP2_SQL = r"""
-WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-d AS (
-  SELECT d.source, d.lang, coalesce(d.text, '') AS text FROM documents d
-  WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = d.doc_id)
-), c AS (
-  SELECT source, lang, 'words@1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens, length(text) AS chars FROM d
-  UNION ALL
-  SELECT source, lang, 'alnum@1', len(regexp_extract_all(text, '[\p{L}\p{N}]+')), length(text) FROM d
-)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(chars)::BIGINT AS chars
-FROM c GROUP BY ALL
-"""

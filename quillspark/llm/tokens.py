@@ -1,15 +1,18 @@
 """Token ids of whole texts through the ``tokenizers`` library, with a bounded piece cache.
 
-The library's pre-tokenizer of the word BPE never matches across white space, nor from
-an ASCII letter into an ASCII character that is no letter, so a text can be cut there
-and each distinct piece encoded once.  Pieces go to the library in batches; the ids of
-pieces met often are kept in a direct-mapped table of fixed size.  Texts that hold the
-opening of a special token ("<|") go to the library whole, because special tokens are
-matched before lower-casing.
+A text may be encoded in pieces where the tokenizer's own pre-tokenizer is known to cut it
+anyway; each distinct piece is then encoded once, in batches, and the ids of pieces met often
+are kept in a direct-mapped table of fixed size.  Two forms are known by their definition in
+the file: the lower-casing word BPE, which never matches across white space, nor from an ASCII
+letter into an ASCII character that is no letter; and the byte-level BPE, which always begins a
+new piece at a single space between two visible ASCII characters.  A tokenizer of any other
+form gets its texts whole.  So do texts that hold the opening of a special token, because
+special tokens are matched before anything else.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -23,6 +26,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _OTHER = np.zeros(256, dtype=bool)
 _OTHER[33:128] = True
 _OTHER &= ~_LETTER
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = True
 
 WIDTH = 8
 
@@ -34,6 +39,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How the two known forms are defined in a tokenizer file.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _form(definition: dict) -> str:
+    """word, byte, or whole for a tokenizer whose cuts are not known."""
+    normal, pre = definition.get("normalizer"), definition.get("pre_tokenizer") or {}
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"].startswith("<|") for t in definition.get("added_tokens") or []):
+        return "whole"
+    if normal and normal.get("normalizers") == _WORD_NORMAL and pre.get("type") == "Sequence":
+        first, second = (pre.get("pretokenizers") or [{}, {}])[:2]
+        if first.get("pattern") == {"Regex": _WORD_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") and second.get("type") == "ByteLevel" and not second.get("use_regex") and not second.get("add_prefix_space"):
+            return "word"
+    if not normal and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        return "byte"
+    return "whole"
+
+
 class PieceEncoder:
     """encode(column) -> (flat uint32 ids, offsets of each document)."""
 
@@ -41,38 +65,53 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            definition = json.load(f)
+        self.form = _form(definition)
         self.tok = Tokenizer.from_file(path)
+        self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.model = self.tok.model
-        self.keys = np.zeros(slots, dtype=np.uint64)
-        self.ids = np.zeros((slots, WIDTH), dtype=np.uint16)
-        self.lens = np.zeros(slots, dtype=np.uint8)
-        self.mask = np.uint64(slots - 1)
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        if self.form != "whole":
+            self.keys = np.zeros(slots, dtype=np.uint64)
+            self.ids = np.zeros((slots, WIDTH), dtype=self.kind)
+            self.lens = np.zeros(slots, dtype=np.uint8)
+            self.mask = np.uint64(slots - 1)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.many(texts, add_special_tokens=False)]
 
     def _pieces(self, texts: list[str]) -> list[list[int]]:
-        """A piece of lower-case ASCII letters passes the normaliser and pre-tokenizer unchanged: straight to the model."""
-        out: list[list[int] | None] = [[t.id for t in self.model.tokenize(x)] if x.isascii() and x.isalpha() else None for x in texts]
+        """A piece of lower-case ASCII letters passes the word form's normaliser and pre-tokenizer unchanged: straight to the model."""
+        plain = self.form == "word"
+        out: list[list[int] | None] = [[t.id for t in self.model.tokenize(x)] if plain and x.isascii() and x.isalpha() else None for x in texts]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def _cut(self, s: tk.Slice) -> tk.Words:
+        """The pieces of a slice, as this form cuts them."""
+        d = s.data
+        cut = np.zeros(len(d), dtype=bool)
+        if self.form == "byte":
+            if len(d) > 2:
+                cut[1:-1] = (d[1:-1] == 0x20) & _VISIBLE[d[:-2]] & _VISIBLE[d[2:]]
+            return tk.bounds(np.ones(len(d), dtype=bool), s.offsets, cut)
+        if len(d):
+            cut[1:] = _LETTER[d[:-1]] & _OTHER[d[1:]]
+        return tk.bounds(~tk.SPACE[d], s.offsets, cut)
+
     def slice_ids(self, s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
-        if b"<|" in s.data.tobytes():
+        if self.form == "whole" or b"<|" in s.data.tobytes():
             found = self._library([s.raw(i).decode() for i in range(s.n)])
             of = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
             return np.fromiter((y for x in found for y in x), dtype=np.uint32, count=int(of[-1])), of
-        solid = ~tk.SPACE[s.data]
-        cut = np.zeros(len(solid), dtype=bool)
-        if len(solid):
-            cut[1:] = _LETTER[s.data[:-1]] & _OTHER[s.data[1:]]
-        w = tk.bounds(solid, s.offsets, cut)
+        w = self._cut(s)
         if not len(w.starts):
             return np.zeros(0, np.uint32), np.zeros(s.n + 1, np.int64)
-        low = tk.LOWER[s.data]
+        low = tk.LOWER[s.data] if self.form == "word" else s.data
         h = tk.range_hash(tk.prefix(low), w.starts, w.ends)
         slot = (h & self.mask).astype(np.int64)
         rows, lens = self.ids[slot], self.lens[slot].astype(np.int64)
@@ -83,9 +122,9 @@ class PieceEncoder:
             raw, where = low.tobytes(), miss[at]
             found = self._pieces([raw[a:b].decode() for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)])
             n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            table = np.zeros((len(found), WIDTH), dtype=np.uint16)
+            table = np.zeros((len(found), WIDTH), dtype=self.kind)
             short = n <= WIDTH
-            fill = np.fromiter((y for x, ok in zip(found, short.tolist(), strict=True) if ok for y in x), dtype=np.uint16, count=int(n[short].sum()))
+            fill = np.fromiter((y for x, ok in zip(found, short.tolist(), strict=True) if ok for y in x), dtype=self.kind, count=int(n[short].sum()))
             inside = (np.arange(WIDTH) < n[:, None]) & short[:, None]
             table[inside] = fill
             long = {i: found[i] for i in np.flatnonzero(~short).tolist()}
@@ -118,7 +157,7 @@ class PieceEncoder:
             yield s.first, ids, of
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def encoder_of(path: str) -> PieceEncoder:
     """One encoder a process: a worker's later tasks find its table filled."""
     return PieceEncoder(path)

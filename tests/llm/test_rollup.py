@@ -1,15 +1,37 @@
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
+import pyarrow as pa
 import pytest
 
-from quillspark.llm import registry
+from quillspark.llm import registry, tokens
 from quillspark.llm import rollup as ru
 from quillspark.llm.common import scratch
-from tests.compare import rows_of, rows_of_sql
 
 
-def test_query_against_sql(spark, data, duck):
-    assert rows_of(registry.QUERIES["op2_rollup"](spark, data)) == rows_of_sql(duck, registry.ORACLES["op2_rollup"])
+@pytest.fixture(scope="module")
+def encoders():
+    from tokenizers import Tokenizer
+
+    return {name: Tokenizer.from_file(path) for name, path in ru.default_tokenizers().items()}
+
+
+def n_ids(tok, text):
+    return len(tok.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_query_against_brute_force(spark, data, docs, encoders):
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").where("toxic = 1").collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in docs.collect():
+        if r["doc_id"] not in toxic:
+            for name, tok in encoders.items():
+                for i, x in enumerate((1, n_ids(tok, r["text"]), len(r["text"] or ""))):
+                    want[(r["source"], r["lang"], name)][i] += x
+    got = registry.QUERIES["op2_rollup"](spark, data).collect()
+    assert toxic and {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"], r["chars"]] for r in got} == dict(want) and len(got) == len(want)
 
 
 def counts(spark, *rows):
@@ -54,8 +76,46 @@ def test_a_lost_attempt_leaves_no_trace(spark):
     assert state_of(s) == {("a", "en", "v1"): (1, 1, 1)}
 
 
-def test_edges(edge, nothing, spark):
-    got = ru.counted(edge).groupBy("tokenizer").count().collect()
-    assert {r["count"] for r in got} == {edge.count()} and ru.counted(nothing).count() == 0
-    words = {r["doc_id"]: r["tokens"] for r in ru.counted(edge).where("tokenizer = 'words@1'").collect()}
-    assert (words[1], words[2], words[3], words[8], words[7]) == (0, 0, 0, 2, 60_000)
+def test_compaction_keeps_batches_and_takes_more(spark):
+    s = ru.Rollup(spark, scratch(spark, "r"))
+    row = lambda n: ru.inserts(counts(spark, ("a", "en", "v1", n, n, 0, 0)))
+    for i in range(3):
+        s.commit(str(i), row(i))
+    small = ru.Rollup(spark, s.compact())
+    assert small._commits() == {} and small.commit("3", row(10)) and not small.commit("3", row(10)) and not small.commit("1", row(1))
+    with pytest.raises(ValueError, match="other content"):
+        small.commit("0", row(9))
+    smaller = ru.Rollup(spark, small.compact())
+    assert state_of(smaller) == state_of(small) == {("a", "en", "v1"): (4, 13, 13)} and not smaller.commit("3", row(10)) and not smaller.commit("2", row(2))
+
+
+def test_edges(edge, nothing, encoders):
+    got = ru.counted(edge).collect()
+    assert len(got) == 2 * edge.count() and ru.counted(nothing).count() == 0
+    by_id = {r["doc_id"]: r["text"] for r in edge.collect()}
+    for r in got:
+        assert r["tokens"] == n_ids(encoders[r["tokenizer"]], by_id[r["doc_id"]])
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a b": 0, "c": 1, "?": 2}, unk_token="?"))
+    tok.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    tok.save(str(tmp_path / "t.json"))
+    e = tokens.PieceEncoder(str(tmp_path / "t.json"))
+    assert e.form == "whole" and [(f, ids.tolist(), of.tolist()) for f, ids, of in e.encode(pa.array(["a b,c", None, "x y,c"]))] == [(0, [0, 1, 2, 1], [0, 2, 2, 4])]
+
+
+@pytest.mark.parametrize("name", ru.VERSIONS)
+def test_pieces_give_the_ids_of_whole_texts(name, rows):
+    import public_tokenizers
+
+    e, r = tokens.PieceEncoder(public_tokenizers.path(name)), random.Random(1)
+    odd = ["".join(r.choice(" \t\n  ab'sZ1.,<|é漢😀\u00a0\u2003\x7f") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    odd += ["a b", "a  b", " a", "a ", "", None, "x <|endoftext|> y", "x" * 300_000]
+    column = pa.array([t for _, t, _ in rows] + odd)
+    assert e.form != "whole"
+    for first, ids, of in e.encode(column):
+        for i, want in enumerate(e._library([t or "" for t in column.slice(first, len(of) - 1).to_pylist()])):
+            assert ids[of[i] : of[i + 1]].tolist() == want
