@@ -4,8 +4,9 @@ A text may be encoded in pieces where the tokenizer's own pre-tokenizer is known
 anyway; each distinct piece is then encoded once, in batches, and the ids of pieces met often
 are kept in a direct-mapped table of fixed size.  Two forms are known by their definition in
 the file: the lower-casing word BPE, which never matches across white space, nor from an ASCII
-letter into an ASCII character that is no letter; and the byte-level BPE, which always begins a
-new piece at a single space between two visible ASCII characters.  A tokenizer of any other
+letter into an ASCII character that is no letter; and the byte-level BPE, none of whose matches
+goes from a visible character into ASCII white space, nor from an ASCII letter into an ASCII
+character that is no letter, and which looks ahead only from white space.  A tokenizer of any other
 form gets its texts whole.  So do texts that hold the opening of a special token, because
 special tokens are matched before anything else.
 """
@@ -83,9 +84,13 @@ class PieceEncoder:
         return [e.ids for e in self.many(texts, add_special_tokens=False)]
 
     def _pieces(self, texts: list[str]) -> list[list[int]]:
-        """A piece of lower-case ASCII letters passes the word form's normaliser and pre-tokenizer unchanged: straight to the model."""
-        plain = self.form == "word"
-        out: list[list[int] | None] = [[t.id for t in self.model.tokenize(x)] if plain and x.isascii() and x.isalpha() else None for x in texts]
+        """A piece of ASCII letters (and, in the byte form, a space before them) is one piece of the pre-tokenizer too: straight to the model."""
+        out: list[list[int] | None] = [None] * len(texts)
+        for i, x in enumerate(texts):
+            led = self.form == "byte" and x[0] == " "
+            word = x[1:] if led else x
+            if word.isascii() and word.isalpha():
+                out[i] = [t.id for t in self.model.tokenize(f"Ġ{word}" if led else word)]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
             out[i] = ids
@@ -96,8 +101,11 @@ class PieceEncoder:
         d = s.data
         cut = np.zeros(len(d), dtype=bool)
         if self.form == "byte":
-            if len(d) > 2:
-                cut[1:-1] = (d[1:-1] == 0x20) & _VISIBLE[d[:-2]] & _VISIBLE[d[2:]]
+            if len(d):
+                seen = _VISIBLE[d[:-1]]
+                # The last byte of a two-byte character; none of those that begin with C3 to DF is white space.
+                seen[1:] |= (d[:-2] >= 0xC3) & (d[:-2] <= 0xDF)
+                cut[1:] = (tk.SPACE[d[1:]] & seen) | (_LETTER[d[:-1]] & _OTHER[d[1:]])
             return tk.bounds(np.ones(len(d), dtype=bool), s.offsets, cut)
         if len(d):
             cut[1:] = _LETTER[d[:-1]] & _OTHER[d[1:]]
