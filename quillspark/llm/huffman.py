@@ -2,18 +2,21 @@
 
 Counts of ids over the whole corpus give code lengths of at most LIMIT bits (package-merge);
 the canonical code follows from the lengths alone, and the codebook is a small table of
-(id, length), never larger than the vocabulary.  Ids are written as blocks that decode on
-their own; within blocks, and from block to block by first_doc, they are in ascending order of
-doc_id, in whatever order the files stand.  A block holds whole documents, their lengths,
-and the bit offset of every STEP-th id; the decoder looks the next LIMIT bits up in a table
-and advances all checkpoints of a block at once.
+(id, length), never larger than the vocabulary.  Ids are range-partitioned by doc_id and written
+as blocks that decode on their own, in ascending order of doc_id within blocks, from block to
+block and from file to file.  A block holds whole documents, their lengths, and the bit offset
+of every STEP-th id; the decoder looks the next LIMIT bits up in a table and advances all
+checkpoints of a block at once.
 
 File format: <path>/codebook and <path>/blocks, both Parquet.  A row of blocks has first_doc,
-doc_ids, doc_tokens, n_ids, checkpoints (64-bit little-endian) and payload.
+last_doc, block (numbers that ascend with the blocks), doc_ids, doc_tokens, n_ids, checkpoints
+(64-bit little-endian) and payload.
 
 Defined cases: null text counts as empty (only the end id); a null doc_id comes first; rows
-that repeat a doc_id stay apart, in order of their number of ids; an empty table gives
-empty files; one distinct id gets a code of one bit; extra columns are ignored.
+that repeat a doc_id, or have none, stay apart, in order of their number of ids and then of where
+they were read, and may lie in several partitions; a very long text is one document of one block;
+an empty table gives empty files; one distinct id gets a code of one bit; extra columns are
+ignored.  A tokenizer with more than 65,536 ids is refused.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, id_text, partitions, scratch, staged
@@ -34,8 +38,8 @@ STEP = 256
 #: A block is closed once it holds so many ids.
 BLOCK = 1 << 16
 END = 2
-#: Sorted input has few runs of ascending doc_id a partition; beyond this it is range-partitioned.
-RUNS = 64
+#: Ids are held in 16 bits.
+MOST_IDS = 1 << 16
 
 _BLOCKS = "first_doc long, last_doc long, block long, n_ids long, doc_ids array<bigint>, doc_tokens array<bigint>, checkpoints binary, payload binary"
 
@@ -135,31 +139,23 @@ class Decoder:
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, part, run, n, ids (16-bit little-endian with the end id): run counts ascending stretches of doc_id in a partition."""
+    """doc_id, rid (tells repeated rows apart), n, ids (16-bit little-endian with the end id)."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         encoder = encoder_of(path)
-        part, runs, last = TaskContext.get().partitionId(), 0, None
+        if max(encoder.size, end + 1) > MOST_IDS:
+            raise ValueError(f"{path} has {encoder.size} ids, over {MOST_IDS}")
         for batch in batches:
             for first, ids, of in encoder.encode(batch.column(1)):
                 n = len(of) - 1
-                own = batch.column(0).slice(first, n)
                 # One end id after each document.
                 joined = np.insert(ids, of[1:], np.uint32(end)).astype("<u2")
                 ends = of + np.arange(n + 1)
-                stretch = []
-                for x in own.to_pylist():
-                    if last is not None and (x is None or x < last):
-                        runs += 1
-                    stretch.append(runs)
-                    last = x if x is not None else -(1 << 63)
                 blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(joined)])
-                yield pa.RecordBatch.from_arrays([own, pa.array([part] * n, pa.int32()), pa.array(stretch, pa.int64()), pa.array(np.diff(ends), pa.int64()), blob], names=["doc_id", "part", "run", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(ends), pa.int64()), blob], names=["doc_id", "rid", "n", "ids"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, part int, run long, n long, ids binary")
+    return id_text(docs).withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, rid long, n long, ids binary")
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
@@ -183,21 +179,9 @@ def id_counts(ids: DataFrame) -> np.ndarray:
 
 
 def ascending(ids: DataFrame) -> DataFrame:
-    """ids with each partition in ascending order of doc_id, and partitions or runs that don't overlap.
-
-    If the runs found while encoding already are ascending and disjoint, the rows stay where
-    they are; otherwise they are range-partitioned by doc_id and sorted, and part and run are 0.
-    """
-    spark = ids.sparkSession
-    per_run = ids.groupBy("part", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("gaps"), F.count("doc_id").alias("n"), F.approx_count_distinct("doc_id").alias("d"))
-    bound = RUNS * max(1, len(ids.inputFiles()))
-    found = per_run.limit(bound + 1).collect()
-    if len(found) <= bound and not any(r["gaps"] for r in found):
-        spans = sorted((r["lo"], r["hi"]) for r in found)
-        if all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)):
-            return ids
-    dealt = ids.repartitionByRange(partitions(spark) * 2, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n")
-    return dealt.withColumns({"part": F.lit(0), "run": F.lit(0).cast("long")})
+    """ids range-partitioned and sorted by doc_id.  Rows that repeat an id, or have none, are told apart by their length and rid, so they may spread over partitions too."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.col("rid").asc()]
+    return ids.repartitionByRange(partitions(ids.sparkSession) * 2, *order).sortWithinPartitions(*order)
 
 
 def write(ids: DataFrame, path: str) -> None:
@@ -214,7 +198,7 @@ def write(ids: DataFrame, path: str) -> None:
         base, block = TaskContext.get().partitionId() << 40, 0
         docs: list = []
         held: list[np.ndarray] = []
-        size, of = 0, None
+        size = 0
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(held)
@@ -225,44 +209,31 @@ def write(ids: DataFrame, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
         for batch in batches:
-            for doc, blob, *own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                # Another run begins, perhaps of another staged file read by the same task: between the two, other tasks may hold documents.
-                if docs and (size >= BLOCK or own != of):
+            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if size >= BLOCK:
                     yield close()
                     block, docs, held, size = block + 1, [], [], 0
                 held.append(np.frombuffer(blob.as_buffer(), dtype="<u2"))
                 docs.append(doc)
-                size, of = size + len(held[-1]), own
+                size += len(held[-1])
         if docs:
             yield close()
 
     # Blocks are incompressible.
-    ascending(ids).select("doc_id", "ids", "part", "run").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ascending(ids).select("doc_id", "ids").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def starts(blocks: DataFrame) -> DataFrame:
-    """block, before: ids of all earlier blocks.  Range partitions are summed on their own; the driver sees one sum for each."""
+    """block, before: ids of all earlier blocks.  Blocks are summed within their partition; the driver sees one sum for each."""
     spark = blocks.sparkSession
-    narrow = blocks.select(F.col("first_doc"), "block", "n_ids").repartitionByRange(partitions(spark), F.col("first_doc").asc_nulls_first(), "block").sortWithinPartitions(F.col("first_doc").asc_nulls_first(), "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = total + np.cumsum(n) - n
-            total += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(own, pa.int64()), pa.array(n, pa.int64())], names=["block", "part", "own", "n"])
-
-    local = staged(narrow.mapInArrow(run, "block long, part int, own long, n long"), "huffman-starts")
-    sums = {r["part"]: r["n"] for r in local.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    narrow = blocks.select("block", F.shiftright("block", 40).alias("part"), "n_ids")
     base, table = 0, []
-    for part in sorted(sums):
+    for part, n in sorted((r["part"], r["n"]) for r in narrow.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         table.append((part, base))
-        base += sums[part]
-    offset = spark.createDataFrame(table, "part int, base long")
-    return local.join(offset, "part").select("block", (F.col("own") + F.col("base")).alias("before"))
+        base += n
+    offset = spark.createDataFrame(table, "part long, base long")
+    earlier = F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_ids")
+    return narrow.withColumn("own", earlier).join(offset, "part").select("block", (F.col("own") + F.col("base")).alias("before"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,8 @@ fills, until no exchange is left.
 
 Defined cases: null text counts as empty (one piece that holds the end id); a null doc_id
 is a document like any other; rows that repeat a doc_id are packed each on its own; an
-empty table gives no rows; extra columns are ignored; ties are broken by doc_id.
+empty table gives no rows; extra columns are ignored; ties are broken by doc_id; a very long
+text is encoded whole and gives a full sequence for every `length` ids.
 """
 
 from __future__ import annotations
@@ -179,8 +180,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     cut = staged(pieces(docs, tokenizer, length, end), "pack-pieces")
     full, rest = cut.where(F.col("length") == length), cut.where(F.col("length") < length)
     groups = max(1, -(-rest.count() // group))
-    # Whole sequences: 2 x a number of their own; packed ones: odd, group and bin.
-    whole = full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.xxhash64("doc_id", "rid", "piece").bitwiseAND(F.lit((1 << 62) - 1)) * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # Whole sequences: 2 x the number of their row in the staged table; packed ones: odd, group and bin.
+    whole = full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "rid"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

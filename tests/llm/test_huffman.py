@@ -65,12 +65,52 @@ def test_small_files_that_share_a_task(spark, docs, rows):
     parts = docs.orderBy("doc_id").collect()
     dealt = spark.sparkContext.parallelize(list(pairwise(cuts)), 60).flatMap(lambda c: parts[c[0] : c[1]])
     ids = staged(h.tokenised(spark.createDataFrame(dealt, docs.schema)), "t")
-    assert len(ids.inputFiles()) == 60 > ids.rdd.getNumPartitions()
+    assert len(ids.inputFiles()) == 60
     path = scratch(spark, "t")
     h.write(ids, path)
     assert result(h.read(spark, path)) == expected(rows)
 
 
+def blocks_in_file_order(spark, path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    return [r for f in sorted(glob.glob(f"{path.removeprefix('file:')}/blocks/part-*")) for r in pq.read_table(f).to_pylist()]
+
+
+@pytest.mark.parametrize("ids", [[3, 4, 1, 2], list(range(400))[::-1], [5] * 300 + [4, 6], [None] * 200 + [1] * 200])
+def test_files_are_in_ascending_order(spark, monkeypatch, ids):
+    monkeypatch.setattr(h, "BLOCK", 40)
+    rows = [(i, "word " * (k % 7), None) for k, i in enumerate(ids)]
+    path = scratch(spark, "t")
+    h.write(staged(h.tokenised(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)), "t"), path)
+    blocks = blocks_in_file_order(spark, path)
+    written = [(i is not None, i or 0) for b in blocks for i in b["doc_ids"]]
+    assert written == sorted(written) and len(written) == len(ids)
+    assert [b["block"] for b in blocks] == sorted({b["block"] for b in blocks})
+    assert result(h.read(spark, path)) == expected(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]))))
+    if len(ids) > 4:
+        # Rows of one id do not all fall into one partition.
+        assert len({b["block"] >> 40 for b in blocks}) > 2
+
+
+def test_large_vocabularies_are_refused(spark, docs, monkeypatch):
+    monkeypatch.setattr(h, "MOST_IDS", 1000)
+    with pytest.raises(Exception, match="49408 ids, over 1000"):
+        h.tokenised(docs).count()
+
+
+def test_another_tokenizer(spark, docs, rows):
+    import public_tokenizers
+
+    path, tok = scratch(spark, "t"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    h.write(staged(h.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), 50256), "t"), path)
+    for i, (_, _, n, crc) in zip(rows, result(h.read(spark, path)), strict=True):
+        want = np.array([*tok.encode(i[1], add_special_tokens=False).ids, 50256], dtype="<u4")
+        assert (n, crc) == (len(want), zlib.crc32(want))
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)

@@ -51,6 +51,22 @@ def test_edges(edge, nothing):
     assert p.pack(nothing).count() == 0
 
 
+def test_full_pieces_have_sequences_of_their_own(spark):
+    # Equal rows, each of many full pieces.
+    d = spark.createDataFrame([(1, "a b c d " * 600)] * 40 + [(None, "e f " * 900)] * 40, "doc_id long, text string").repartition(5)
+    got = p.pack(d, length=64).where("length = 64").collect()
+    assert len(got) == len({r["sequence_id"] for r in got}) > 40 * 30 and {r["offset"] for r in got} == {0}
+
+
+def test_another_tokenizer(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    want = {r["doc_id"]: zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 50256][:2048], dtype="<u4")) for r in docs.collect()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in p.pack(docs, path, end=50256).where("piece = 0").collect()} == want
+
+
 def test_many_groups(docs, rows):
     check(p.pack(docs, group=16).collect(), rows)
 
@@ -111,4 +127,4 @@ def test_search_empties_a_bin():
     b = p.Bins(sizes, 100)
     b.best_fit()
     b.improve()
-    assert len([x for x in b.items if x]) <= len(p.pack_group(sizes, 100)) <= 4
+    assert len([x for x in b.items if x]) == len(p.pack_group(sizes, 100)) == 3
