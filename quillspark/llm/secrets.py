@@ -2,18 +2,21 @@
 
 Base patterns (assignments, access keys, long hexadecimal) always count.  Besides, every
 run of 20 or more key characters outside them is a candidate; '=' belongs to it only as
-padding at its end, so name and value of an assignment are tested apart.  Its encoding is inferred (the smallest
-of hexadecimal, base32, letters and digits, base64 whose alphabet holds it), and it is
-tested three ways: chi-squared uniformity over that alphabet and the number of runs of
-character classes give p-values under the null of ordinary words (whose figures are the
-constants below), and the serial correlation of neighbouring symbols must not reject
-randomness.  The two p-values are combined by Fisher's method, weighted by length (longer strings carry
-more evidence; weights average 1) and held to a false-discovery rate by the step-up rule
-over all candidates of the corpus, from counts in bins of the logarithm.
+padding at its end, so name and value of an assignment are tested apart.  Its encoding is
+inferred (the smallest of hexadecimal, base32, letters and digits, base64 whose alphabet holds
+it), and it is tested three ways: chi-squared uniformity over that alphabet, the number of runs
+of character classes, and the serial correlation of vowels between neighbours.  Each gives the
+chance that a string of ordinary words comes so near to randomness (their figures are the
+constants below); the three are combined by Fisher's method.  Candidates of the corpus are
+then held to a false-discovery rate by the step-up rule, each weighted by its length (longer
+strings carry more evidence) over the mean weight of all candidates, so that weights average 1.
+Candidates that no encoding fits count among them, as never rejected.  The rule needs only
+counts in bins of the logarithm.
 
 Defined cases: null text counts as empty; an empty text has no spans and the digest of the
 empty string; repeated rows are scanned alike and each counts as a candidate of its own; an empty
-table gives no rows; extra columns are ignored.  Spans are code points, end exclusive.
+table gives no rows; a very long text is scanned whole; extra columns are ignored.  Spans are
+code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -41,14 +44,18 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
 LEAST_CANDIDATE = 20
 #: False-discovery rate of the random spans.
 ALPHA = 0.001
-#: Two-sided level at which serial correlation rejects randomness.
-SERIAL_LEVEL = 1e-4
-#: Ordinary words: sum of squared letter frequencies, and changes of class from one symbol to the next.
-WORD_CONCENTRATION = 0.075
-WORD_CHANGES = 0.08
+#: Strings of ordinary words, with or without marks between them, in English or other prose: chance that two
+#: symbols are equal and its spread by the root of the length, changes of class from one symbol to the next, and the
+#: correlation of vowels between neighbours with its spread.  All err on the side of randomness.
+WORD_CONCENTRATION, CONCENTRATION_SPREAD = 0.051, 0.058
+WORD_CHANGES = 0.27
+WORD_SERIAL, SERIAL_SPREAD = -0.18, 0.95
+LEAST_P = 1e-60
+#: Strings are no more alike than so many symbols of them show: longer ones count as this long.
+MOST_EVIDENCE = 64
 #: Bins of -log10 p for the step-up rule.
 BIN, BINS = 0.05, 1200
-#: Length at which the weight of a candidate is 1.
+#: Length by which weights are stated; beyond twice of it they rise no more.
 USUAL_LENGTH = 32
 
 ALPHABETS = (
@@ -67,44 +74,66 @@ def encoding(s: str) -> tuple[str, int] | None:
     return None
 
 
-def _upper_normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_VOWEL = np.zeros(128, dtype=bool)
+_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = True
+
+
+def _below(z: float) -> float:
+    """Standard normal distribution function."""
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def chi_squared(x: np.ndarray, k: int) -> float:
+    """Against the uniform distribution over k symbols."""
+    counts = np.bincount(x, minlength=128).astype(float)
+    return float((counts**2).sum()) * k / len(x) - len(x)
+
+
+def p_uniform(x: np.ndarray, k: int) -> float:
+    """Chance that words of this length have so small a chi-squared."""
+    n = len(x)
+    # Chi-squared is linear in the share of equal pairs.
+    equal = ((chi_squared(x, k) + n) * n / k - n) / (n * (n - 1))
+    return _below((equal - WORD_CONCENTRATION) * math.sqrt(min(n, MOST_EVIDENCE)) / CONCENTRATION_SPREAD)
+
+
+def p_runs(x: np.ndarray, name: str) -> float:
+    """Bound on the chance that words of this length change class so often (Chernoff's, for a binomial number of changes)."""
+    kind = (x >= 97) * 1 + ((x >= 48) & (x <= 57)) * 2 + ((x >= 65) & (x <= 90)) * 4
+    if name == "hex":
+        kind = (x >= 58) * 1
+    n = len(x) - 1
+    q, p = float((kind[1:] != kind[:-1]).sum()) / n, WORD_CHANGES
+    if q <= p:
+        return 1.0
+    return math.exp(-min(n, MOST_EVIDENCE) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)))
+
+
+def p_serial(x: np.ndarray) -> float:
+    """Chance that words of this length have a serial correlation of vowels so near 0; 1 without vowels or without other symbols."""
+    d = _VOWEL[x] - _VOWEL[x].mean()
+    var = float((d * d).sum())
+    if not var:
+        return 1.0
+    t, scale = abs(float((d[1:] * d[:-1]).sum()) / var), math.sqrt(min(len(x), MOST_EVIDENCE)) / SERIAL_SPREAD
+    return _below((t - WORD_SERIAL) * scale) - _below((-t - WORD_SERIAL) * scale)
 
 
 def battery(s: str) -> tuple[str, float] | None:
-    """(encoding, p) with p the chance that an ordinary string of this length looks so random; none if no encoding fits or serial correlation rejects randomness."""
+    """(encoding, p) with p the chance that an ordinary string of this length looks so random; none if no encoding fits."""
     found = encoding(s)
     if not found:
         return None
     name, k = found
     x = np.frombuffer(s.rstrip("=").encode(), dtype=np.uint8).astype(np.int64)
-    n = len(x)
-    if n < 16:
-        return None
-    counts = np.bincount(x, minlength=128)
-    chi = float((counts.astype(float) ** 2).sum()) * k / n - n
-    # Under ordinary words chi is noncentral: k - 1 degrees, n times the excess concentration.
-    shift = n * (k * WORD_CONCENTRATION - 1)
-    p_chi = _upper_normal((k - 1 + shift - chi) / math.sqrt(2 * (k - 1 + 2 * shift))) if shift > 0 else 1.0
-    kind = (x >= 97) * 1 + ((x >= 48) & (x <= 57)) * 2 + ((x >= 65) & (x <= 90)) * 4
-    if name == "hex":
-        kind = (x >= 58) * 1
-    runs = int((kind[1:] != kind[:-1]).sum())
-    mean = (n - 1) * WORD_CHANGES
-    p_runs = _upper_normal((runs - 0.5 - mean) / math.sqrt(mean * (1 - WORD_CHANGES)))
-    order = np.cumsum(counts > 0)[x].astype(float)
-    d = order - order.mean()
-    var = float((d * d).sum())
-    r = float((d[1:] * d[:-1]).sum()) / var if var else 1.0
-    z = (r + 1 / n) * math.sqrt(n)
-    if math.erfc(abs(z) / math.sqrt(2)) < SERIAL_LEVEL:
+    if len(x) < 16:
         return None
-    p_chi, p_runs = max(p_chi, 1e-60), max(p_runs, 1e-60)
-    half = -(math.log(p_chi) + math.log(p_runs))
-    return name, max(math.exp(-half) * (1 + half), 1e-60)
+    half = -sum(math.log(min(max(p, LEAST_P), 1.0)) for p in (p_uniform(x, k), p_runs(x, name), p_serial(x)))
+    return name, max(math.exp(-half) * (1 + half + half * half / 2), LEAST_P)
 
 
 def weight(n: int) -> float:
+    """Before it is divided by the mean weight of all candidates."""
     return min(n, 2 * USUAL_LENGTH) / USUAL_LENGTH
 
 
@@ -122,13 +151,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of what is to be tested: runs of key characters without what base spans cover."""
     out = []
+    # What base spans cover, as disjoint stretches in order; candidates are in order too, so one pass over both is enough.
+    covered: list[list[int]] = []
+    for x, _, y in base:
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    j = 0
     for m in CANDIDATE.finditer(text):
         at, last = m.span()
         free = []
-        for x, _, y in base:
-            if x < last and at < y:
-                free.append((at, x))
-                at = max(at, y)
+        while j < len(covered) and covered[j][1] <= at:
+            j += 1
+        i = j
+        while i < len(covered) and covered[i][0] < last:
+            free.append((at, covered[i][0]))
+            at = max(at, covered[i][1])
+            i += 1
+        j = max(j, i - 1)
         for a, b in [*free, (at, last)]:
             if b - a < LEAST_CANDIDATE:
                 continue
@@ -145,34 +186,36 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base (joined), base_sha256 and extra: start:end:bin of each candidate outside the base spans."""
+    """doc_id, counts, base (joined), base_sha256, extra: start:end:bin of each candidate outside the base spans that an encoding fits, tested and weights: the number and the summed weight of all candidates."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "base_sha256", "extra")}
+        out: dict = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "base_sha256", "extra", "tested", "weights")}
         for value in batch.column(1):
             text = value.as_py()
             base = base_spans(text)
             kinds = [k for _, k, _ in base]
-            extra = []
-            for a, b in candidates(text, base):
+            extra, found = [], candidates(text, base)
+            for a, b in found:
                 got = battery(text[a:b])
                 if got:
                     score = -math.log10(got[1]) + math.log10(weight(b - a))
                     extra.append(f"{a}:{b}:{min(max(int(score / BIN), 0), BINS)}")
             text = _joined(base)
-            for k, v in zip(out, (kinds.count(0), kinds.count(1), kinds.count(2), text, hashlib.sha256(text.encode()).hexdigest(), ",".join(extra)), strict=True):
+            row = (kinds.count(0), kinds.count(1), kinds.count(2), text, hashlib.sha256(text.encode()).hexdigest(), ",".join(extra), len(found), sum(weight(b - a) for a, b in found))
+            for k, v in zip(out, row, strict=True):
                 out[k].append(v)
         return {"doc_id": batch.column(0)} | out
 
-    return arrow_map(id_text(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base string, base_sha256 string, extra string")
+    return arrow_map(id_text(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base string, base_sha256 string, extra string, tested long, weights double")
 
 
-def threshold(counts: dict[int, int], alpha: float = ALPHA) -> int:
-    """The lowest bin from which on the step-up rule rejects; BINS + 1 if none."""
-    total, above, best = sum(counts.values()), 0, BINS + 1
+def threshold(counts: dict[int, int], tested: int, mean: float, alpha: float = ALPHA) -> int:
+    """The lowest bin of -log10(p / weight) from which on the step-up rule rejects among all tested; BINS + 1 if none.  mean is that of the weights."""
+    above, best = 0, BINS + 1
     for b in sorted(counts, reverse=True):
         above += counts[b]
-        if 10 ** (-b * BIN) * total / above <= alpha:
+        # Every p of the bin is at most that of its lower edge.
+        if 10 ** (-b * BIN) * mean * tested / above <= alpha:
             best = b
     return best
 
@@ -181,8 +224,10 @@ def find_secrets(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     found = staged(scan(docs), "secret-spans")
     bins = found.where(F.col("extra") != "").select(F.explode(F.split("extra", ",")).alias("x")).select(F.split("x", ":")[2].cast("int").alias("bin")).groupBy("bin").count()
+    all_ = found.agg(F.sum("tested").alias("n"), F.sum("weights").alias("w")).first()
+    tested, mean = all_["n"] or 0, (all_["w"] or 0.0) / max(all_["n"] or 0, 1)
     # At most BINS + 1 rows.
-    least = threshold({r["bin"]: r["count"] for r in bins.collect()}, alpha)
+    least = threshold({r["bin"]: r["count"] for r in bins.collect()}, tested, mean, alpha)
     picked = F.filter(F.split("extra", ","), lambda x: F.get(F.split(x, ":"), F.lit(2)).cast("int") >= least)
     random = F.when(F.col("extra") == "", F.array().cast("array<string>")).otherwise(F.transform(picked, lambda x: F.concat_ws(":", F.lit("random"), F.get(F.split(x, ":"), F.lit(0)), F.get(F.split(x, ":"), F.lit(1)))))
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))

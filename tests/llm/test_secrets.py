@@ -1,10 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
+import time
+from collections import Counter
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 
 from quillspark.llm import registry
@@ -76,11 +81,106 @@ def test_values_behind_names_and_beside_base_spans(spark):
 def test_threshold_is_the_step_up_rule():
     p = [10 ** (-b * s.BIN) for b in range(0, 200, 7)]
     counts = {b: 1 for b in range(0, 200, 7)}
-    cut = s.threshold(counts, 0.01)
+    cut = s.threshold(counts, len(p), 1.0, 0.01)
     ranked = sorted(p)
     want = max((k + 1 for k, x in enumerate(ranked) if x * len(p) / (k + 1) <= 0.01), default=0)
     assert sum(b >= cut for b in counts) == want
-    assert s.threshold({}, 0.01) == s.BINS + 1
+    assert s.threshold({}, 0, 0.0, 0.01) == s.BINS + 1
+    # Candidates that no encoding fits, and weights that are twice as large on average, both ask for smaller p.
+    assert s.threshold(counts, 50 * len(p), 1.0, 0.01) > cut and s.threshold(counts, len(p), 50.0, 0.01) > cut
+
+
+WORDS = "the of and to in for is on that by this with you it not or be are from at as your all have new more an was we will home can us about if page my has search free but our one other do no information time they site he up may what which their news out use any there see only so his when contact here business who web also now help get view online first been would how were services some these click its like service than find price date back top people had list name just over state year day into email two health world next used go work last most products music buy data make them should product system post her city add policy number such please available copyright support message after best software then good video well where info rights public books high school through each links she review years order very privacy book items company read group need many user said does set under general research university january mail full map reviews program life know games way days management part could great united hotel real item international center must store travel comments made development report off member details line terms before hotels did send right type because local those using results office education national car design take posted internet address community within states area want phone shipping reserved subject between forum family long based code show even black check special prices website index being women much sign file link open today technology south case project same pages version section own found sports house related security both county american photo game members power while care network down computer systems three total place end following download him without per access think north resources current posts big media law control water history pictures size art personal since including guide shop directory board location change white text small rating rate government children during return students shopping account times sites level digital profile previous form events love old main call hours image department title description".split()
+
+
+def ordinary(r, n):
+    """Words up to n characters, joined as identifiers, paths and compounds are."""
+    glue = r.choice(["", "_", "-", "/", "camel"])
+    out = r.choice(WORDS)
+    while len(out) < n:
+        word = r.choice(WORDS)
+        out += word.capitalize() if glue == "camel" else ("" if glue == "camel" else glue) + word
+    return out[:n]
+
+
+def test_p_values_of_ordinary_strings_are_not_too_small():
+    r = random.Random(5)
+    for n in (20, 28, 40, 64, 200):
+        p = sorted(s.battery(ordinary(r, n))[1] for _ in range(3000))
+        assert p[3] >= 0.001 and p[30] >= 0.01
+
+
+def test_false_discoveries_stay_below_the_rate():
+    r = random.Random(6)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    wrong = []
+    for _ in range(60):
+        rows = [(ordinary(r, r.choice([20, 24, 32, 48, 64, 90])), False) for _ in range(300)] + [(key(r.choice([24, 32, 64])), True) for _ in range(5)]
+        found = [(s.battery(t)[1], s.weight(len(t)), y) for t, y in rows]
+        mean = sum(w for _, w, _ in found) / len(found)
+        bins = [min(max(int((-math.log10(p) + math.log10(w)) / s.BIN), 0), s.BINS) for p, w, _ in found]
+        cut = s.threshold(Counter(bins), len(found), mean, 0.1)
+        hit = [y for b, (_, _, y) in zip(bins, found, strict=True) if b >= cut]
+        wrong.append(hit.count(False) / max(len(hit), 1))
+    assert sum(wrong) / len(wrong) <= 0.1
+
+
+def test_tests_against_plain_formulas():
+    r = random.Random(7)
+    for text in [ordinary(r, 30), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40)), "ab" * 12, "AB23" * 6, "a" * 25]:
+        x = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+        name, k = s.encoding(text)
+        n = len(text)
+        seen = Counter(text)
+        assert s.chi_squared(x, k) == pytest.approx(sum((seen[c] - n / k) ** 2 / (n / k) for c in seen) + (k - len(seen)) * n / k)
+        equal = sum(text[i] == text[j] for i in range(n) for j in range(n) if i != j) / (n * (n - 1))
+        assert s.p_uniform(x, k) == pytest.approx(NormalDist(s.WORD_CONCENTRATION, s.CONCENTRATION_SPREAD / n**0.5).cdf(equal))
+        kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "-" for c in text]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+        tail = sum(math.comb(n - 1, j) * s.WORD_CHANGES**j * (1 - s.WORD_CHANGES) ** (n - 1 - j) for j in range(changes, n))
+        assert name == "hex" or s.p_runs(x, name) >= tail * 0.999
+        v = [c.lower() in "aeiouy" for c in text]
+        m = sum(v) / n
+        if 0 < m < 1:
+            corr = sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False)) / sum((a - m) ** 2 for a in v)
+            null = NormalDist(s.WORD_SERIAL, s.SERIAL_SPREAD / n**0.5)
+            assert s.p_serial(x) == pytest.approx(null.cdf(abs(corr)) - null.cdf(-abs(corr)))
+        p = [min(max(y, s.LEAST_P), 1) for y in (s.p_uniform(x, k), s.p_runs(x, name), s.p_serial(x))]
+        chi = -2 * sum(map(math.log, p))
+        # Survival function of chi-squared with six degrees of freedom.
+        assert s.battery(text)[1] == pytest.approx(math.exp(-chi / 2) * (1 + chi / 2 + chi**2 / 8))
+
+
+def test_random_spans_against_the_exact_rule(spark):
+    r = random.Random(8)
+    texts = {}
+    for i in range(200):
+        parts = [ordinary(r, r.randint(15, 90)) for _ in range(r.randint(0, 4))]
+        if i % 5 == 0:
+            parts.append("".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 60))))
+        parts += ["/" * 30] * (i % 3 == 0)
+        r.shuffle(parts)
+        texts[i] = " ".join(parts)
+    found = [(i, m.start(), m.end()) for i, t in texts.items() for m in re.finditer(r"\S{20,}", t)]
+    assert all(re.fullmatch(r"[A-Za-z0-9+/_-]+", texts[i][a:b]) for i, a, b in found)
+    w = [min(b - a, 64) / 32 for _, a, b in found]
+    p = [(s.battery(texts[i][a:b]) or ("", 1.0))[1] * sum(w) / len(w) / x for (i, a, b), x in zip(found, w, strict=True)]
+    order = sorted(range(len(p)), key=p.__getitem__)
+    k = max((k + 1 for k, j in enumerate(order) if p[j] * len(p) / (k + 1) <= s.ALPHA), default=0)
+    want = {found[j] for j in order[:k]}
+    got = set()
+    for x in s.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got |= {(x["doc_id"], *map(int, y.split(":")[1:])) for y in x["spans"].split(",") if y.startswith("random")}
+    # Bins of a twentieth of a decade may leave out what lies at the very edge.
+    assert got <= want and len(want - got) <= 2 and len(want) >= 20
+
+
+def test_many_base_spans_in_one_text():
+    text = " ".join(f"token=abcdef{i}" + "Zz9" * 9 for i in range(30_000))
+    base = s.base_spans(text)
+    began = time.perf_counter()
+    assert len(base) == 30_000 and s.candidates(text, base) == []
+    assert time.perf_counter() - began < 5
 
 
 def test_edges(edge, nothing):
