@@ -1,19 +1,20 @@
 """Operator 4, quality classifier by supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, character n-grams and
-repeats (a word equal to the one or two before it);
-a softmax layer turns the average into class probabilities.  Vectors and layer are trained
+A document is the average of learned vectors of its hashed words, pairs of words and character
+n-grams; a softmax layer turns the average into class probabilities.  Vectors and layer are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows.
 Since the layer is linear in the average, scoring needs one number a bucket: the vector's
 product with the difference of the two classes' weights.
 
 The sample: at most ROWS labelled documents, half of each label as far as they go, chosen
 by a hash of doc_id among rows whose crc32(doc_id as text) mod 4 is not 2, and at most
-ENTRIES bucket counts in all (whole documents).  The true label odds are restored by a shift of the logit.
+ENTRIES bucket counts in all (whole documents); of rows that share a labelled doc_id one is
+learned from.  The true label odds are restored by a shift of the logit.
 
 Defined cases: null text counts as empty; a text without characters scores as the labelled
 rows' share of label 1; without any labelled row every score is 0.5; a null doc_id is not
-held out; repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+held out; repeated rows score alike; a very long text is averaged whole; labels that contradict
+each other count as the lower one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from quillspark.llm.common import crc_mod, documents, id_text, staged
 
 ROWS = 4000
 ENTRIES = 12_000_000
-BUCKETS = 1 << 15
+BITS = 17
+BUCKETS = 1 << BITS
 DIM = 8
 GRAMS = (2, 3, 4)
 EPOCHS = 12
@@ -42,11 +44,11 @@ SEED = 7
 SLICE = 1 << 19
 
 _U = np.uint64
-_SHIFT = _U(64 - 15)
+_SHIFT = _U(64 - BITS)
 
 
 def _features(s: tk.Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions of bytes, buckets) of words and of character n-grams within words, a pair for each kind."""
+    """(positions of bytes, buckets) of words, of pairs of words and of character n-grams within words, a pair for each kind."""
     data = s.data
     if not len(data):
         return
@@ -59,14 +61,13 @@ def _features(s: tk.Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h ^= h >> _U(29)
         return ((h * _U(0xBF58476D1CE4E5B9)) >> _SHIFT).astype(np.int32)
 
-    own = bucket(w.starts, w.ends, 1)
-    yield w.starts, own
-    # Word pairs of equal words: one bucket for each distance, whatever the word is.
+    yield w.starts, bucket(w.starts, w.ends, 1)
+    # Pairs of neighbouring words, at the place of the second.
     h = tk.range_hash(sums, w.starts, w.ends)
-    first = np.repeat(w.of[:-1], w.counts)
-    for back in (1, 2):
-        at = back + np.flatnonzero((h[back:] == h[:-back]) & (np.arange(back, len(h)) - back >= first[back:]))
-        yield w.starts[at], np.full(len(at), back, dtype=np.int32)
+    second = np.ones(len(h), dtype=bool)
+    second[w.of[:-1][w.counts > 0]] = False
+    at = np.flatnonzero(second)
+    yield w.starts[at], (tk.mix(h[at - 1] * _U(0x9E3779B97F4A7C15) + h[at]) >> _SHIFT).astype(np.int32)
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     solid = ~tk.SPACE[data]
     # Index of the first character at or after the end of the word that holds each character.
@@ -82,7 +83,7 @@ def _features(s: tk.Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """doc_id, buckets (16-bit), counts (32-bit) of each document, each bucket once."""
+    """doc_id, buckets, counts (both 32-bit) of each document, each bucket once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +96,7 @@ def bags(docs: DataFrame) -> DataFrame:
                 of = np.searchsorted(key, np.arange(s.n + 1) * BUCKETS)
                 cut = list(zip(of[:-1].tolist(), of[1:].tolist(), strict=True))
                 key = key % BUCKETS
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([key[a:b].astype("<u2").tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary())], names=["doc_id", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([key[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary())], names=["doc_id", "buckets", "counts"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, buckets binary, counts binary")
 
@@ -136,8 +137,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs:
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(own)), label[own]] -= 1
             back = np.repeat(p @ layer.T, size, axis=0) * part[:, None]
+            met, where = np.unique(at, return_inverse=True)
             for d in range(DIM):
-                vectors[:, d] -= rate * np.bincount(at, weights=back[:, d], minlength=BUCKETS).astype(np.float32)
+                vectors[met, d] -= rate * np.bincount(where, weights=back[:, d]).astype(np.float32)
             layer -= rate * (mean.T @ p) / len(own)
             bias -= rate * p.sum(axis=0) / len(own)
     ones = int(label.sum())
@@ -159,10 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, entries: int = ENT
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows // 2) for y in (0, 1)]
     picked = staged(chosen[0].unionByName(chosen[1]), "quality-sample")
     held = id_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+    # One row for each id, however many share it; minima are combined before the shuffle.
+    held = held.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text")
     found = staged(bags(held).join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id"), "quality-bags")
     out, total = [], 0
     for r in found.orderBy(order, "doc_id").toLocalIterator():
-        own = np.frombuffer(r["buckets"], "<u2")
+        own = np.frombuffer(r["buckets"], "<u4")
         total += len(own)
         if out and total > entries:
             break
