@@ -126,8 +126,9 @@ def test_training_against_plain_loops(monkeypatch):
 
 
 def test_many_rows_of_one_labelled_id(spark):
-    d = spark.createDataFrame([(4, "")] * 3000 + [(4, "good words here")] * 50 + [(7, "bad bad bad")], "doc_id long, text string")
-    labels = spark.createDataFrame([(4, 1), (7, 0)], "doc_id long, quality int")
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    d = spark.createDataFrame([(one, "")] * 3000 + [(one, "good words here")] * 50 + [(two, "bad bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1), (two, 0)], "doc_id long, quality int")
     seen = []
     train = q.train
     q.train = lambda rows, prior: seen.append(len(rows)) or train(rows, prior)
