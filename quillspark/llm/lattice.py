@@ -2,19 +2,23 @@
 
 A word, with the mark of its beginning, is a lattice of all ways to cut it into pieces of
 an existing vocabulary.  A forward recursion in log space sums over all of them, so the
-score of a text is the log of its marginal probability, not that of one best cut.  Piece
-weights begin as the vocabulary's own scores (read as ranks under a Zipf law) and are
-re-estimated by one round of expected counts (forward-backward) over all distinct words of
-the training documents.  Single bytes are pieces, so every text has a probability.
+score of a text is the log of its marginal probability, not that of one best cut.  The public
+vocabulary at hand is one of merges, whose scores are ranks and no unigram log probabilities:
+piece weights therefore begin as a Zipf law of those ranks and are re-estimated by one round of
+expected counts (forward-backward) over all distinct words of the training documents.  Single
+bytes are pieces, so every text has a probability.
 
 A text's probability is the product of its words' and the end's, so the lattice is run
-once for each distinct word of the corpus.  Words met often are scored from a table of at
-most FREQUENT entries that all tasks hold; the others are joined with the full table.
+once for each distinct word of the corpus.  Words met often, in training documents or others,
+are scored from a table of at most FREQUENT entries that all tasks hold; the others are joined
+with the full table.  A word of over LONG bytes (a text without spaces is one) runs through the
+lattice by itself, CHUNK bytes at a time: scoring holds the arcs of a chunk only, learning 16
+bytes besides for each byte of the word.
 
 Defined cases: null text counts as empty (only the end); a null doc_id is not held out and
 learned from; without training documents every count is 0 and pieces keep their first
-weights; rows that repeat a doc_id are scored each on its own; an empty table gives no rows;
-extra columns are ignored.
+weights; rows that repeat a doc_id are scored each on its own; a very long text is scored whole;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ FREQUENT = 1 << 19
 OFFSET, PRIOR = 2.7, 1e4
 #: Words longer than this many bytes run through the lattice on their own.
 LONG = 64
+CHUNK = 1 << 14
 SLOTS = 1 << 20
 MARK = b" "
 
@@ -143,6 +148,69 @@ class Lattice:
             value = np.where(at, logp[ids], -np.inf) + alpha[:, j - ids.shape[1] : j] + beta[:, j : j + 1] + scale[:, None]
             total += np.bincount(ids[at], weights=np.exp(value[at]), minlength=len(total))
 
+    def _spans(self, word: np.ndarray, lo: int, hi: int, by_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces) of the arcs of one word that end in lo + 1 .. hi, in order of their end; or that start in lo .. hi - 1, in order of their start."""
+        a, b = (max(0, lo - self.longest), hi) if by_end else (lo, min(len(word), hi + self.longest))
+        tk._TABLE.need(b - a + 1)
+        sums = np.zeros(b - a + 1, dtype=_U)
+        np.cumsum((word[a:b].astype(_U) + _U(1)) * tk._TABLE.fwd[: b - a], out=sums[1:])
+        k = np.arange(1, self.longest + 1)
+        if by_end:
+            ends = np.arange(lo + 1, hi + 1)[:, None]
+            starts = ends - k
+        else:
+            starts = np.arange(lo, hi)[:, None]
+            ends = starts + k
+        starts, ends = (x.reshape(-1) for x in np.broadcast_arrays(starts, ends))
+        inside = (starts >= 0) & (ends <= len(word))
+        starts, ends = starts[inside], ends[inside]
+        ids = self.find(tk.mix((sums[ends - a] - sums[starts - a]) * tk._TABLE.inv[starts - a] + (ends - starts).astype(_U)))
+        met = ids >= 0
+        return starts[met], ends[met], ids[met]
+
+    def _run(self, word: np.ndarray, p: np.ndarray, by_end: bool, kept: np.ndarray | None) -> float:
+        """The recursion over one long word, forwards or backwards, in scaled numbers; kept takes the log of each place.  Returns the log of the last."""
+        n, scale = len(word), 0.0
+        value = [1.0]
+        if kept is not None:
+            kept[0 if by_end else n] = 0.0
+        for at in range(0, n, CHUNK):
+            if by_end:
+                lo, hi = at, min(n, at + CHUNK)
+            else:
+                lo, hi = max(0, n - at - CHUNK), n - at
+            starts, ends, ids = self._spans(word, lo, hi, by_end)
+            # Steps from a place back to one whose value is known, place by place.
+            here, step, weight = (ends - lo - 1 if by_end else starts - lo), (ends - starts).tolist(), p[ids].tolist()
+            edge = np.searchsorted(here, np.arange(hi - lo + 1)).tolist()
+            logs = np.empty(hi - lo)
+            for j in range(hi - lo) if by_end else range(hi - lo - 1, -1, -1):
+                size, v = len(value), 0.0
+                for i in range(edge[j], edge[j + 1]):
+                    v += weight[i] * value[size - step[i]]
+                if v < 1e-200:
+                    value = [x * 1e200 for x in value[-self.longest :]]
+                    v, scale = v * 1e200, scale - 200 * np.log(10)
+                value.append(v)
+                logs[j] = np.log(v) + scale
+            value = value[-self.longest :]
+            if kept is not None:
+                kept[lo + by_end : hi + by_end] = logs
+        return float(np.log(value[-1]) + scale)
+
+    def forward_long(self, word: np.ndarray, logp: np.ndarray) -> float:
+        """Log of the summed probability of all cuts of one long word."""
+        return self._run(word, np.exp(logp), True, None)
+
+    def expected_long(self, word: np.ndarray, logp: np.ndarray, weight: float, total: np.ndarray) -> None:
+        p = np.exp(logp)
+        alpha, beta = np.empty(len(word) + 1), np.empty(len(word) + 1)
+        whole = self._run(word, p, True, alpha)
+        self._run(word, p, False, beta)
+        for lo in range(0, len(word), CHUNK):
+            starts, ends, ids = self._spans(word, lo, min(len(word), lo + CHUNK), True)
+            total += np.bincount(ids, weights=weight * np.exp(alpha[starts] + logp[ids] + beta[ends] - whole), minlength=len(total))
+
 
 def _logsum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
@@ -171,7 +239,7 @@ def _hashed(s: tk.Slice) -> tuple[np.ndarray, tk.Words, np.ndarray]:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """h, word, c (occurrences in training documents) of each distinct word of all documents."""
+    """h, word, c (occurrences in training documents), n (in all) of each distinct word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,18 +252,19 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                 n = np.bincount(back, weights=np.repeat(train[s.first : s.first + s.n], w.counts).astype(np.float64), minlength=len(uniq))
                 raw = low.tobytes()
                 words = [raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64))], names=["h", "word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(np.bincount(back, minlength=len(uniq)).astype(np.int64))], names=["h", "word", "c", "n"])
 
-    rows = held(docs).select("text", "held_out").mapInArrow(run, "h long, word binary, c long")
+    rows = held(docs).select("text", "held_out").mapInArrow(run, "h long, word binary, c long, n long")
     # Equal hashes are equal words, so the word is carried along as a key rather than aggregated.
-    return rows.groupBy("h", "word").agg(F.sum("c").alias("c"))
+    return rows.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def _start(path: str) -> tuple[Lattice, np.ndarray]:
     pieces, score = read_pieces(path)
     p = 1 / (OFFSET - score)
     hashes = np.array([tk.hash_bytes(x) for x in pieces], dtype=_U)
-    return Lattice(hashes, max(map(len, pieces))), p / p.sum()
+    # Words hold a space at their beginning only, so pieces with another one never fit.
+    return Lattice(hashes, max(len(x) for x in pieces if MARK not in x[1:])), p / p.sum()
 
 
 def learn(vocab: DataFrame, path: str, ends: int) -> tuple[np.ndarray, float]:
@@ -207,7 +276,10 @@ def learn(vocab: DataFrame, path: str, ends: int) -> tuple[np.ndarray, float]:
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for own, chars in by_length(words):
-                lattice.expected(lattice.arcs(chars), logp, c[own].astype(np.float64), total)
+                if chars.shape[1] > LONG:
+                    lattice.expected_long(chars[0], logp, float(c[own[0]]), total)
+                else:
+                    lattice.expected(lattice.arcs(chars), logp, c[own].astype(np.float64), total)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["piece", "n"])
 
@@ -221,23 +293,26 @@ def learn(vocab: DataFrame, path: str, ends: int) -> tuple[np.ndarray, float]:
 
 
 def word_scores(vocab: DataFrame, path: str, logp10: np.ndarray) -> DataFrame:
-    """h, c, lp (log10 of the word's marginal probability)."""
+    """h, c, n, lp (log10 of the word's marginal probability)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, _ = _start(path)
         logp = logp10 * np.log(10)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for own, chars in by_length(batch.column(2).to_pylist()):
-                out[own] = lattice.forward(lattice.arcs(chars), logp)[:, -1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out / np.log(10))], names=["h", "c", "lp"])
+            for own, chars in by_length(batch.column(3).to_pylist()):
+                if chars.shape[1] > LONG:
+                    out[own] = lattice.forward_long(chars[0], logp)
+                else:
+                    out[own] = lattice.forward(lattice.arcs(chars), logp)[:, -1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out / np.log(10))], names=["h", "c", "n", "lp"])
 
-    return vocab.select("h", "c", "word").mapInArrow(run, "h long, c long, lp double")
+    return vocab.select("h", "c", "n", "word").mapInArrow(run, "h long, c long, n long, lp double")
 
 
 def frequent(scores: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The words with the highest counts: as many whole bins of the logarithm of the count as fit below most."""
-    bin_ = F.floor(F.log2(F.col("c") + 1) * 32)
+    """The words with the highest counts over all documents: as many whole bins of the logarithm of the count as fit below most."""
+    bin_ = F.floor(F.log2(F.col("n") + 1) * 32)
     found = sorted(((r["b"], r["count"]) for r in scores.groupBy(bin_.alias("b")).count().collect()), reverse=True)
     total, least = 0, None
     for b, n in found:
