@@ -36,7 +36,9 @@ BITS = 17
 BUCKETS = 1 << BITS
 DIM = 8
 GRAMS = (2, 3, 4)
+#: Passes over the sample: at least EPOCHS, and as many as STEPS batches need.
 EPOCHS = 12
+STEPS = 1000
 RATE = 4.0
 CUT = 0.7
 SEED = 7
@@ -109,17 +111,19 @@ class Model:
     shift: float
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: int | None = None, seed: int = SEED) -> Model:
     """Stochastic gradient descent on batches of 32; prior is the log odds of label 1 among all labelled rows."""
     if not rows:
         return Model(np.zeros(BUCKETS, np.float32), prior)
+    batches = -(-len(rows) // 32)
+    epochs = epochs or max(EPOCHS, -(-STEPS // batches))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     label = np.array([y for _, _, y in rows])
     share = [(n / max(1, n.sum())).astype(np.float32) for _, n, _ in rows]
-    steps, step = epochs * -(-len(rows) // 32), 0
+    steps, step = epochs * batches, 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 32):
