@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,18 +47,25 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """make() staged; the tables that make() staged on its way are deleted, since nothing reads them any more."""
+    """make() staged; the tables that make() staged on its way are deleted, since nothing reads them any more.
+
+    So are the shuffle files of what went out of scope: Spark drops them once the driver's
+    garbage collector has found them free, which it is asked for here.
+    """
     _MADE.append([])
     try:
         df = make()
-        path = scratch(spark, name)
+        path, schema = scratch(spark, name), df.schema
         df.write.option("compression", "zstd").parquet(path)
     finally:
         for old in _MADE.pop():
             remove(spark, old)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
     if _MADE:
         _MADE[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def absent(docs: DataFrame, *names: str) -> list[str]:

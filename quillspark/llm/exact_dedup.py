@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text, scratch, staged
+from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text, scratch, settled, staged
 
 #: At most so many digests count as heavy, since each has over 1/HEAVY of all rows.
 HEAVY = 2000
@@ -103,14 +103,14 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
 
 
-def join_back(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
-    """Each row with its group.  Digests with over n / HEAVY rows are at most HEAVY: they go by broadcast, the others by sort-merge."""
+def join_back(rows: DataFrame, groups: DataFrame, n: int, key: str = "digest", size: str = "group_size") -> DataFrame:
+    """Each of the n rows with its group, if it has one.  Keys with over n / HEAVY rows are at most HEAVY: they go by broadcast, the others by sort-merge, so no task gathers the rows of a hot key."""
     bound = max(64, n // HEAVY)
-    heavy = groups.where(F.col("group_size") > bound)
-    marked = rows.join(F.broadcast(heavy), "digest", "left")
-    rest = marked.where(F.col("group_size").isNull()).select(*rows.columns)
-    light = groups.where(F.col("group_size") <= bound)
-    return marked.where(F.col("group_size").isNotNull()).unionByName(rest.join(light.hint("merge"), "digest"))
+    heavy = groups.where(F.col(size) > bound)
+    marked = rows.join(F.broadcast(heavy), key, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns)
+    light = groups.where(F.col(size) <= bound)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest.join(light.hint("merge"), key))
 
 
 def cuts(rows: DataFrame, parts: int) -> list[int]:
@@ -181,8 +181,9 @@ def keep_first_of_equals(docs: DataFrame) -> DataFrame:
     text one stays; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    decided = staged(dedup(docs, DigestIndex(spark, scratch(spark, "digest-index")), parts=PARTS), "dedup")
-    return keep_rows(docs, decided.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
+    index = DigestIndex(spark, scratch(spark, "digest-index"))
+    decided = settled(spark, "dedup", lambda: dedup(docs, index, parts=PARTS).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
+    return keep_rows(docs, decided)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

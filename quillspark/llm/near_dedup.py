@@ -11,13 +11,18 @@
    one drawn by hash.  Buckets with the same members count once.  What is then left in one
    bucket but in different components is compared in blocks of BLOCK members, inside the
    tasks, on longer signatures (LONG_PERMS hashes of one byte); only pairs whose posterior
-   stays above MISS leave a task, once each, and are verified exactly.  So no link between
+   stays above MISS leave a task, once each, and are verified exactly.  A bucket of over REFINE
+   blocks (a passage that very many texts share) is first cut into buckets of the longer
+   signatures' bands (128 of 8 hashes, which miss a pair at similarity 0.8 with a chance below
+   1e-10), so its members are copied 128 times, however many they are.  So no link between
    components is lost, and a bucket of very many near copies never yields all its pairs.
+   Hot bands are joined by a broadcast of at most HEAVY keys, never in one task.
 
 Defined cases: null text counts as empty; a text without words has an empty set and links
 with nothing; fewer words than a shingle make one shingle of all words; a null doc_id is
 never a component's name unless all its documents have none; rows that repeat a doc_id
-are documents of their own, and exactly one row of a group is kept; an empty table gives no rows; extra columns are ignored.
+are documents of their own, and exactly one row of a group is kept; a very long text has one set
+of all its shingles; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
-from quillspark.llm.common import documents, id_text, partitions, staged
+from quillspark.llm.common import documents, id_text, partitions, settled, staged
 from quillspark.llm.exact_dedup import join_back, keep_rows, text_digest
 from quillspark.llm.graph import components
 
@@ -47,6 +52,9 @@ MISS = 1e-6
 LONG_PERMS = 1024
 LONG_BATCH = 64
 BLOCK = 1024
+#: Blocks of a bucket beyond which it is cut by bands of LONG_ROWS hashes of the longer signatures.
+REFINE = 64
+LONG_ROWS = 8
 
 _U = np.uint64
 _SEEDS = tk.mix(np.arange(1, PERMS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -218,8 +226,15 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with the number of blocks k of their bucket."""
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")
-    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks).where("lo <> hi").select("band", "k")
-    return members.join(open_, "band")
+    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks, F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "k", "n")
+    return join_back(members, open_, members.count(), "band", "n").drop("n")
+
+
+def _refined(members: DataFrame, long: DataFrame) -> DataFrame:
+    """Members of large buckets in smaller ones, by bands of their longer signatures; a pair may share several."""
+    slots = F.transform(F.sequence(F.lit(0), F.lit(LONG_PERMS // LONG_ROWS - 1)), lambda i: F.xxhash64("band", i, F.substring(F.col("long"), i * LONG_ROWS + 1, F.lit(LONG_ROWS))))
+    rows = members.join(long.select("node", "long"), "node").select("slot", "node", "label", F.explode(slots).alias("band"))
+    return _mixed(staged(rows, "near-refined"))
 
 
 def _compare(nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, long: np.ndarray, block: np.ndarray, slot: int, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,11 +258,14 @@ def _compare(nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, long: np.n
 
 def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
     """u, v: the pairs of members (band, slot, node, label, k) in one bucket but different components that long signatures can't rule out."""
-    spark = members.sparkSession
+    spark, columns = members.sparkSession, ["band", "slot", "node", "label", "k"]
     met = members.select("node").distinct()
     wanted = staged(nodes.select("node", "doc_id", "digest").join(met, "node", "left_semi"), "near-open")
     long = long_signatures(docs, wanted, n).join(wanted.select("node", "digest"), "digest").select("node", "keys", "long")
     long = staged(long, "near-long")
+    large = members.where(F.col("k") > REFINE)
+    if not large.isEmpty():
+        members = members.where(F.col("k") <= REFINE).select(*columns).unionByName(staged(_refined(large, long), "near-refined").select(*columns))
     rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int"))
     # Each member goes to the groups (block, other) of its bucket, the smaller block first.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -284,15 +302,15 @@ def blockwise(members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, per
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return rows.select("node", "label", "band", "slot", "block", "b1", "b2", "keys", "long").mapInArrow(run, "u long, v long")
+    return rows.select("node", "label", "band", "slot", "block", "b1", "b2", "keys", "long").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(rows with digest and n_shingles, groups with digest, group_size, component_id and keep_rid, the row that stays)."""
     rows = staged(signed(docs, n), "near-signed")
     # A null doc_id comes last; of rows that share one, the first row stays.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    classes = staged(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("node"), first.alias("least"), F.count(F.lit(1)).alias("group_size")), "near-classes")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    classes = staged(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("node"), least_row.alias("least"), F.count(F.lit(1)).alias("group_size")), "near-classes")
     heads = rows.where(F.col("digest").isNotNull()).select(F.col("rid").alias("node"), "doc_id", "digest", "sig")
     nodes = staged(heads.join(classes.select("node"), "node", "left_semi"), "near-nodes")
 
@@ -300,17 +318,18 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
     bands = nodes.select("node", F.posexplode(slots).alias("slot", "band"))
     # Buckets with the same members are one: the one of the first band is kept, since pairs are compared in the first band they share.
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("slot").alias("slot"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2")).where("n > 1")
-    once = shared.groupBy("hub", "n", "x1", "x2").agg(F.min(F.struct("slot", "band")).alias("s")).select("s.band", "hub")
-    members = staged(bands.join(once, "band"), "near-members")
+    once = staged(shared.groupBy("hub", "n", "x1", "x2").agg(F.min(F.struct("slot", "band")).alias("s")).select("s.band", "hub", "n"), "near-shared")
+    members = staged(join_back(bands, once, BANDS * nodes.count(), "band", "n"), "near-members")
 
-    drawn = members.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node")).alias("d")).select("band", F.col("d.node").alias("hub"))
-    stars = members.select("node", "hub").unionByName(members.drop("hub").join(drawn, "band").select("node", "hub"))
+    drawn = members.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node")).alias("d"), F.count(F.lit(1)).alias("n")).select("band", F.col("d.node").alias("hub"), "n")
+    stars = members.select("node", "hub").unionByName(join_back(members.select("band", "node"), drawn, members.count(), "band", "n").select("node", "hub"))
     stars = stars.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    labels = components(linked(plausible(stars, nodes, percent, miss), nodes, docs, n, percent))
+    spark = docs.sparkSession
+    labels = settled(spark, "near-labels", lambda: components(linked(plausible(stars, nodes, percent, miss), nodes, docs, n, percent)))
     mixed = staged(_mixed(_labelled(members.select("band", "slot", "node"), labels)), "near-mixed")
     if not mixed.isEmpty():
-        more = linked(blockwise(mixed, nodes, docs, n, percent, miss), nodes, docs, n, percent)
-        labels = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        first = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        labels = settled(spark, "near-labels", lambda: components(linked(blockwise(mixed, nodes, docs, n, percent, miss), nodes, docs, n, percent).unionByName(first)))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_rid"))
     groups = staged(named.select("digest", "label", "group_size").join(least, "label").select("digest", "group_size", "component_id", "keep_rid"), "near-groups")
@@ -338,7 +357,7 @@ def keep_one_of_near(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT)
     empty texts too) all stay, repeated or not; of other rows equal in doc_id and text at most one
     stays; an empty table gives no rows.
     """
-    return keep_rows(docs, staged(decided(docs, n, percent, MISS).select("doc_id", F.col("sha").alias("digest"), "kept"), "near-decided"))
+    return keep_rows(docs, settled(docs.sparkSession, "near-decided", lambda: decided(docs, n, percent, MISS).select("doc_id", F.col("sha").alias("digest"), "kept")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import graph, registry
+from quillspark.llm import exact_dedup, graph, registry
 from quillspark.llm import near_dedup as nd
 from quillspark.llm import textkit as tk
 from tests.llm.conftest import edge_rows, prose
@@ -65,8 +65,11 @@ def crowd():
     return texts + [shared + " " + prose(100 + i, r.randint(2, 30)) for i in range(80)]
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize(("refine", "heavy"), [(64, 2000), (0, 2000), (2, 2), (64, 100_000)])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, refine, heavy):
     monkeypatch.setattr(nd, "BLOCK", 16)  # many blocks for a bucket
+    monkeypatch.setattr(nd, "REFINE", refine)
+    monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
     texts = crowd()
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup(d).collect()}
