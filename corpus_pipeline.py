@@ -4,6 +4,14 @@ STAGES are applied in order; each takes (spark, docs, sf_dir), and its result is
 Parquet and read again as the next one's docs.  All but the last return the columns of
 documents.  Counted as part of the subpackage quillspark.llm.
 
+Each stage works on all rows its predecessor kept.  Null and empty texts: the classifier scores
+them as the labelled rows' share of label 1, exact dedup keeps one of them, near dedup leaves
+them alone, the mix leaves them out, since they cost no words.  Very long texts go through every
+stage whole; packing cuts them into sequences.  Rows that repeat a doc_id, or have none, are told
+apart by their texts; repeated rows are equal texts, of which one stays.  Ties are broken by
+doc_id.  An empty table gives no rows at any stage.  Extra columns, whatever their names, are
+carried along up to packing, which ignores them.
+
 A document may occur twice after mixing (a second copy); both copies are packed.
 """
 
@@ -14,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import exact_dedup, mixing, near_dedup, packing, quality
-from quillspark.llm.common import documents, staged
+from quillspark.llm.common import documents, settled
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +63,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage wrote on its way is deleted once its result stands."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
