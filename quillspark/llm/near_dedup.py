@@ -16,7 +16,7 @@
    signatures' bands (128 of 8 hashes, which miss a pair at similarity 0.8 with a chance below
    1e-10), so its members are copied 128 times, however many they are.  So no link between
    components is lost, and a bucket of very many near copies never yields all its pairs.
-   Hot bands are joined by a broadcast of at most HEAVY keys, never in one task.
+   Members of hot bands are joined with them by a broadcast of at most HEAVY keys, never in one task.
 
 Defined cases: null text counts as empty; a text without words has an empty set and links
 with nothing; fewer words than a shingle make one shingle of all words; a null doc_id is
@@ -319,7 +319,7 @@ def near_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, miss
     # Buckets with the same members are one: the one of the first band is kept, since pairs are compared in the first band they share.
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("slot").alias("slot"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2")).where("n > 1")
     once = staged(shared.groupBy("hub", "n", "x1", "x2").agg(F.min(F.struct("slot", "band")).alias("s")).select("s.band", "hub", "n"), "near-shared")
-    members = staged(join_back(bands, once, BANDS * nodes.count(), "band", "n"), "near-members")
+    members = staged(bands.join(once.select("band", "hub"), "band"), "near-members")
 
     drawn = members.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node")).alias("d"), F.count(F.lit(1)).alias("n")).select("band", F.col("d.node").alias("hub"), "n")
     stars = members.select("node", "hub").unionByName(join_back(members.select("band", "node"), drawn, members.count(), "band", "n").select("node", "hub"))
