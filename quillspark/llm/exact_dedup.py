@@ -33,6 +33,9 @@ from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text,
 HEAVY = 2000
 #: Digests of the first batch for each bucket of a new index, and the fewest and most buckets.
 PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 16, 1 << 16
+#: Bits of one row of the bitmap that finds rows which may go, bits for each of their keys, and the most rows of it:
+#: 4 KB each, so what is broadcast stays below 32 MB.
+MAP_BITS, BITS_PER_KEY, MOST_MAPS = 1 << 15, 16, 1 << 13
 #: Parts in which the registered query and the pipeline hand their documents to a new index.
 PARTS = 2
 
@@ -155,23 +158,43 @@ def dedup(docs: DataFrame, index: DigestIndex, normalise=None, batch: str | None
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "rid")
 
 
+def bitmap(keys: DataFrame, place: Column, maps: int) -> DataFrame:
+    """map, bits: a bit for each place (0 .. maps * MAP_BITS - 1) that occurs, at most `maps` rows of MAP_BITS bits."""
+    return keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.col("p") % MAP_BITS).alias("bits"))
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs that were decided to stay, all columns as they were.
 
     decided has doc_id, digest (of the whole text) and kept, one row for each row of docs.
-    Texts are not shuffled to find those that stay: rows that go, or of whose equals some go,
-    are looked up in the narrow table of their keys, which the planner broadcasts while it is
-    small.  Of rows equal in doc_id and text, of which some go, one stays if any was decided to.
+    Texts that stay are not shuffled: a bitmap of the hashed keys of rows that go, or of whose
+    equals some go, is broadcast (its size is bounded), and only rows that it marks are joined
+    with the table of those keys.  With very many such keys more rows are marked than need be;
+    the join decides all the same.  Of rows equal in doc_id and text, of which some go, one stays
+    if any was decided to.
     """
     keys = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.min("kept").alias("all"))
-    one, two, kept = absent(docs, "key_id", "key_digest", "key_kept")
+    one, two, kept, place, at, bits = absent(docs, "key_id", "key_digest", "key_kept", "key_place", "key_map", "key_bits")
     odd = staged(keys.where(~F.col("all")).select(F.col("doc_id").alias(one), F.col("digest").alias(two), F.col("kept").alias(kept)), "keys-odd")
-    same = [docs["doc_id"].cast("long").eqNullSafe(F.col(one)), text_digest(docs["text"]) == F.col(two)]
-    out = docs.join(odd.drop(kept), same, "left_anti")
-    again = odd.where(F.col(kept)).drop(kept)
+    n = odd.count()
+    if not n:
+        return docs
+    maps = min(MOST_MAPS, 1 << max(0, -(-n * BITS_PER_KEY // MAP_BITS) - 1).bit_length())
+    hashed = F.pmod(F.xxhash64(one, two), F.lit(maps * MAP_BITS))
+    marks = staged(bitmap(odd, hashed, maps).withColumnsRenamed({"map": at, "bits": bits}), "keys-map")
+    rows = docs.withColumns({one: docs["doc_id"].cast("long"), two: text_digest(docs["text"])}).withColumn(place, hashed)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(F.col(place) % MAP_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # As conditions of the join, so that no row carries its 4 KB of the bitmap along.
+    marked = [F.floor(F.col(place) / MAP_BITS).cast("int") == F.col(at), byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({place} % 8 AS INT))")) != 0]
+    clear = rows.join(F.broadcast(marks), marked, "left_anti").select(*docs.columns)
+    open_ = rows.join(F.broadcast(marks), marked, "left_semi").drop(place)
+    named = odd.select(F.col(one).alias(at), F.col(two).alias(bits), kept)
+    same = [F.col(one).eqNullSafe(F.col(at)), F.col(two) == F.col(bits)]
+    out = clear.unionByName(open_.join(named.drop(kept), same, "left_anti").select(*docs.columns))
+    again = named.where(F.col(kept)).drop(kept)
     if again.isEmpty():
         return out
-    return out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(open_.join(again, same, "left_semi").dropDuplicates([one, two]).select(*docs.columns))
 
 
 def keep_first_of_equals(docs: DataFrame) -> DataFrame:

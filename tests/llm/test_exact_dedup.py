@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillspark.llm import exact_dedup as e
 from quillspark.llm import registry
 from quillspark.llm.common import scratch
@@ -120,6 +123,27 @@ def test_stage_with_repeated_and_null_ids_of_other_texts(spark):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [(5, "b", "s"), (5, "a", "s"), (None, "c", "s"), (7, "d", "u"), (8, "e", "u")]))
 
 
+@pytest.mark.parametrize(("bits", "maps"), [(16, 1 << 13), (1, 1)])
+def test_rows_that_stay_by_bitmap(spark, monkeypatch, bits, maps):
+    # One row of the bitmap for all keys: far more rows are marked than go.
+    monkeypatch.setattr(e, "BITS_PER_KEY", bits)
+    monkeypatch.setattr(e, "MOST_MAPS", maps)
+    monkeypatch.setattr(e, "MAP_BITS", 1 << 15)
+    rows = [(i if i % 11 else None, f"t{i % 30_000}") for i in range(40_000)]
+    got = e.keep_first_of_equals(spark.createDataFrame(rows, "doc_id long, text string"))
+    best: dict = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, (False, 0)), (i is not None, i or 0))
+    assert sorted((t, i) for i, t in map(tuple, got.collect()) if i is not None) == sorted((t, i) for t, (has, i) in best.items() if has)
+    assert got.count() == 30_000
+
+
+def test_bitmap_marks_exactly_the_places(spark):
+    places = [0, 7, 8, 32_767, 32_768, 99_999, 131_071]
+    got = e.bitmap(spark.createDataFrame([(p,) for p in places * 2], "p long"), F.col("p"), 4).collect()
+    assert sorted(r["map"] * e.MAP_BITS + i for r in got for i in range(e.MAP_BITS) if r["bits"][i // 8] >> i % 8 & 1) == places
+
+
 def test_heavy_digests(spark, monkeypatch):
     monkeypatch.setattr(e, "HEAVY", 3)
     d = spark.createDataFrame([(i, "same" if i % 3 else str(i)) for i in range(600)], "doc_id long, text string")
