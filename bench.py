@@ -31,6 +31,7 @@ HEADLINE = (
     "modality_fusion",
     "tfidf_weights",
     "doc_verdict",
+    "segment_rules",
 )
 
 

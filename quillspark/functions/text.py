@@ -6,6 +6,8 @@ Regular expressions are written in the form that Java and RE2 read alike, so the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +42,20 @@ def space_word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+"))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _sentences(c: Column) -> Column:
+    # What follows the last end is left out of the search for ends, which would else look through it from each of its characters.
+    ended = F.regexp_extract(c, r"(?s)^(.*[.!?…]\s)", 1)
+    return once(ended, lambda e: F.split(F.concat(F.regexp_replace(e, SENTENCE_END, f"$1{MARK}$2"), F.substring(c, F.length(e) + 1, F.length(c))), MARK))
+
+
 def sentences(c: Column) -> Column:
-    """Runs up to . ! ? … before white space or the end, trimmed; blank ones dropped."""
-    parts = F.split(F.regexp_replace(c, SENTENCE_END, f"$1{MARK}$2"), MARK)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """Runs up to . ! ? … before white space or the end, trimmed; blank ones dropped.  Linear in the text."""
+    return F.filter(F.transform(once(c, _sentences), strip), lambda s: s != "")
 
 
 def paragraphs(c: Column) -> Column:
@@ -55,9 +67,11 @@ def paragraphs(c: Column) -> Column:
 def segments(c: Column, most: int = lx.SEGMENTS) -> Column:
     """Paragraphs, or the sentences of a single paragraph; at most `most`."""
     body = strip(F.translate(F.substring(c, 1, lx.SEMANTIC_CHARS), MARK, " "))
-    blocks = paragraphs(body)
-    lone = sentences(body)
-    return F.slice(F.when((F.size(blocks) == 1) & (F.size(lone) > 1), lone).otherwise(blocks), 1, most)
+
+    def of_one(block: Column, lone: Column) -> Column:
+        return F.when(F.size(lone) > 1, lone).otherwise(block)
+
+    return once(body, lambda b: once(paragraphs(b), lambda p: F.slice(F.when(F.size(p) == 1, once(sentences(b), lambda s: of_one(p, s))).otherwise(p), 1, most)))
 
 
 def distinct_hits(c: Column, phrases: tuple[str, ...]) -> Column:

@@ -88,11 +88,17 @@ def with_cache(jobs: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Dat
     return hit, hit.where("value IS NULL").select(key).distinct()
 
 
+#: Phrases that every task may hold.
+MOST_PHRASES = 100_000
+
+
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, key: str, body: str) -> DataFrame:
     """key, group, hits: phrases of each group that occur in the lower-cased text.
 
-    lexicon (group, phrase) is a word list of at most 10,000 phrases, so it is broadcast.
+    lexicon (group, phrase) is a word list, so it is broadcast; one of more than MOST_PHRASES rows is an error.
     """
+    if lexicon.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
+        raise ValueError(f"a lexicon of over {MOST_PHRASES} phrases")
     texts = df.select(F.col(key), F.lower(body).alias("__low"))
-    hits = texts.join(F.broadcast(lexicon.limit(10_000)), F.contains("__low", F.col("phrase")))
+    hits = texts.join(F.broadcast(lexicon), F.contains("__low", F.col("phrase")))
     return hits.groupBy(key, "group").agg(F.count_distinct("phrase").alias("hits"))

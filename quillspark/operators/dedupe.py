@@ -86,9 +86,19 @@ def shared_passages(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFr
 
 
 def numbered(df: DataFrame, prefix: Column, *order: str) -> DataFrame:
-    """name: prefix and a four-digit number by order within the prefix."""
-    w = W.partitionBy("__p").orderBy(*order)
-    return df.withColumn("__p", prefix).withColumn("name", F.concat("__p", F.lit("_"), F.lpad(F.row_number().over(w).cast("string"), 4, "0"))).drop("__p")
+    """name: prefix and a number of at least four digits by order within the prefix.
+
+    Rows are range-partitioned by prefix and order; a row's number is its place in its partition
+    plus the rows of its prefix in earlier ones, so a prefix with very many rows is spread.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("__p", prefix).repartitionByRange(parts, "__p", *order).withColumn("__part", F.spark_partition_id())
+    own = F.row_number().over(W.partitionBy("__part", "__p").orderBy(*order))
+    counts = rows.groupBy("__part", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    # A row for each prefix and partition.
+    before = counts.select(F.col("__part").alias("__q"), F.col("__p").alias("__r"), (F.sum("__n").over(W.partitionBy("__p").orderBy("__part")) - F.col("__n")).alias("__before"))
+    placed = rows.withColumn("__rn", own).join(before, (F.col("__part") == F.col("__q")) & F.col("__p").eqNullSafe(F.col("__r")))
+    return placed.withColumn("name", F.concat("__p", F.lit("_"), F.format_string("%04d", F.col("__before") + F.col("__rn")))).drop("__p", "__part", "__rn", "__q", "__r", "__before")
 
 
 def readiness(df: DataFrame, label: str, key: Column, least: int) -> DataFrame:

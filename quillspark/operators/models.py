@@ -19,12 +19,12 @@ from quillspark.functions import text as tx
 
 def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
     """Word n-grams of lo to hi words, joined by a space."""
-    t = tx.tokens(c)
 
-    def grams(n: int) -> Column:
+    def grams(t: Column, n: int) -> Column:
         return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
+    # Tokens are bound outside the loops over places.
+    return tx.once(tx.tokens(c), lambda t: F.concat(*[grams(t, n) for n in range(lo, hi + 1)]))
 
 
 def char_grams(c: Column, lo: int = 3, hi: int = 5) -> Column:
@@ -53,11 +53,11 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, sublinear:
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Adds weight n / (2 n_c); the class table has two rows."""
+    """Adds weight n / (2 n_c), n_c the rows of the same class; a class table of any size is joined as the planner likes."""
     n = df.groupBy(label).count()
     total = n.agg(F.sum("count").alias("t"))
     w = n.crossJoin(total).select(F.col(label).alias("__l"), (F.col("t") / (2 * F.col("count"))).alias("weight"))
-    return df.join(F.broadcast(w.limit(2)), F.col(label) == F.col("__l")).drop("__l")
+    return df.join(w, F.col(label).eqNullSafe(F.col("__l"))).drop("__l")
 
 
 def text_pipeline(body: str = "text", label: str = "is_ai", words: int = 2, features: int = 20_000, least: int = 2, rows: int = 1000, c: float = 1.0, iterations: int = 100, stopwords: bool = False, chars: bool = False) -> Pipeline:

@@ -13,7 +13,8 @@ from quillspark.functions import text as tx
 def exploded(df: DataFrame, key: str = "doc_id", body: str = "text", subject: str | None = None, most: int = lx.SEGMENTS) -> DataFrame:
     """A row for each segment: key, idx, kind, content.  The subject, if any, is segment -1."""
     parts = tx.segments(tx.nonnull(F.col(body)), most)
-    rows = df.select(F.col(key), F.posexplode(parts).alias("idx", "content"), F.size(parts).alias("n"))
+    # The number of segments is taken before the explode, not once more for each segment.
+    rows = df.select(F.col(key), parts.alias("parts")).select(key, "parts", F.size("parts").alias("n")).select(key, F.posexplode("parts").alias("idx", "content"), "n")
     rows = rows.select(key, "idx", F.when((F.col("idx") == F.col("n") - 1) & tx.has_sign_off(F.col("content")), "signature").otherwise("paragraph").alias("kind"), "content")
     if subject:
         own = df.select(F.col(key), F.lit(-1).alias("idx"), F.lit("subject").alias("kind"), tx.strip(tx.nonnull(F.col(subject))).alias("content")).where("content <> ''")
@@ -45,7 +46,8 @@ def near_repeated(keys: Column) -> Column:
     """Whether two of at most 40 sentences, each of 5 or more distinct tokens, overlap by 0.82 or more."""
     sets = F.filter(F.transform(keys, lambda k: F.array_distinct(tx.tokens(k))), lambda t: F.size(t) >= 5)
     indexed = F.transform(sets, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    return F.exists(indexed, lambda a: F.exists(indexed, lambda b: (b["i"] > a["i"]) & (tx.jaccard(a["t"], b["t"]) >= lx.NEAR_JACCARD)))
+    # Bound outside the loops, so the sentences are tokenised once and not once for each of them.
+    return tx.once(indexed, lambda all_: F.exists(all_, lambda a: F.exists(all_, lambda b: (b["i"] > a["i"]) & (tx.jaccard(a["t"], b["t"]) >= lx.NEAR_JACCARD))))
 
 
 def rules(segments: DataFrame) -> DataFrame:
@@ -79,9 +81,10 @@ def rules(segments: DataFrame) -> DataFrame:
     parts += F.when((g >= 2) & (F.col("numbers") < 2), 0.08).otherwise(zero)
     parts += F.when(F.col("uniform"), 0.08).otherwise(zero)
     parts += F.when(r > 0, F.least(0.15 + 0.04 * (r - 1), F.lit(0.23))).when(F.col("near"), 0.12).otherwise(zero)
-    parts = F.when((F.col("numbers") >= 3) & (k == 0), F.greatest(parts - 0.04, zero)).otherwise(parts)
+    # Columns of their own, since what follows reads them several times.
+    rows = rows.withColumn("raw", parts).withColumn("raw", F.when((F.col("numbers") >= 3) & (k == 0), F.greatest(F.col("raw") - 0.04, zero)).otherwise(F.col("raw")))
     enough = F.col("words") >= lx.LEAST_WORDS
-    score = F.when(enough, sc.clamp(parts, 0.0, 0.95)).otherwise(zero)
+    rows = rows.withColumn("score", F.when(enough, sc.clamp(F.col("raw"), 0.0, 0.95)).otherwise(zero))
     signal = [
         F.when(k > 0, F.concat(F.lit("formulaic_language: "), F.array_join(tx.hit_list(low, lx.FORMULAIC), "; "))),
         F.when(t > 0, F.concat(F.lit("formal_transitions: "), F.array_join(tx.hit_list(low, lx.TRANSITIONS), "; "))),
@@ -90,7 +93,7 @@ def rules(segments: DataFrame) -> DataFrame:
         F.when(r > 0, "repeated_content: one or more sentences are duplicated").when(F.col("near"), "near_repeated_content: sentences use highly similar wording"),
     ]
     signals = F.when(enough, F.filter(F.array(*signal), lambda s: s.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return rows.withColumns({"score": score, "sufficient": enough, "label": sc.semantic_label(score, enough), "signals": signals}).drop("low", "sents", "lengths", "keys", "mean")
+    return rows.withColumns({"sufficient": enough, "label": sc.semantic_label(F.col("score"), enough), "signals": signals}).drop("low", "sents", "lengths", "keys", "mean", "raw")
 
 
 def profile(segments: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -64,7 +64,7 @@ def signals(jobs: DataFrame, cache: DataFrame, client: Client | None, batch: int
     hit, todo = with_cache(jobs, cache)
     if client is None:
         return hit
-    texts = jobs.groupBy("key").agg(F.first("text").alias("text")).join(todo, "key", "left_semi")
+    texts = jobs.groupBy("key").agg(F.min("text").alias("text")).join(todo, "key", "left_semi")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

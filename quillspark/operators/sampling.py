@@ -41,11 +41,12 @@ def split_labels(df: DataFrame, label: str, seed: int | str, key: str, stack: in
     Only the bounded parts need an order: their union is a per-class top-n, which combines
     before the shuffle, and the base is all that is left.
     """
-    n = df.groupBy(label).count().withColumnRenamed("count", "__n")
+    # A row for each class, however many there are: the planner chooses how to join it.
+    n = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
     most = stack + calib + test
     top = per_class(df.select(key, label), label, most, seed, key)
     w = W.partitionBy(label).orderBy(order_key(seed, key), key)
-    ranked = top.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(n.limit(1000)), label)
+    ranked = top.withColumn("__rn", F.row_number().over(w)).join(n, F.col(label).eqNullSafe(F.col("__label")))
     size = lambda share, cap: F.least(F.lit(cap), F.greatest(F.lit(4), F.round(F.col("__n") * share).cast("int")))
     s, c, t = size(0.2, stack), size(0.1, calib), size(0.1, test)
     ranked = ranked.withColumn("split", F.when(F.col("__rn") <= s, "stack").when(F.col("__rn") <= s + c, "calib").when(F.col("__rn") <= s + c + t, "test"))

@@ -67,9 +67,11 @@ def final_scores(zones: DataFrame, trees: DataFrame, key: str) -> DataFrame:
 def verdicts(finals: DataFrame, zones: DataFrame, thresholds: DataFrame, key: str, human_cut: Column, ai_cut: Column, embeddings_expected: bool = True) -> DataFrame:
     """key, final, verdict, flagged.  A lost embedding or zones that disagree make it uncertain.
 
-    thresholds: kind, threshold: at most one row for each of the four kinds, so it is broadcast.
+    thresholds: kind, threshold: one row for each kind at most; a kind with two is an error, as it would repeat the zones.
     """
-    z = zones.join(F.broadcast(thresholds.limit(len(lx.KINDS))), "kind", "left").withColumn("label", sc.zone_label(F.col("no_llm"), F.col("threshold")))
+    if thresholds.groupBy("kind").count().where("count > 1").limit(1).count():
+        raise ValueError("two thresholds for one kind")
+    z = zones.join(thresholds, "kind", "left").withColumn("label", sc.zone_label(F.col("no_llm"), F.col("threshold")))
     g = z.groupBy(key).agg(F.bool_or(F.col("label") == "AI").alias("any_ai"), F.bool_or(F.col("label") == "HUMAN").alias("any_human"), F.bool_or(F.col("embedding").isNull()).alias("lost"), F.array_sort(F.collect_set(F.when(F.col("label") == "AI", F.col("kind")))).alias("flagged"))
     d = finals.join(g, key, "left")
     base = sc.three_way(F.col("final"), human_cut, ai_cut)

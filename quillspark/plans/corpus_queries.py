@@ -211,7 +211,7 @@ ORACLES = {
     "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "batch_plan": "SELECT batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch FROM documents) GROUP BY 1",
     "task_plan": f"SELECT doc_id, ({STYLES!r})[('0x' || substr({order_sql('style', 'doc_id')}, 1, 12))::BIGINT % {len(STYLES)} + 1] AS style, ({FORMATS!r})[('0x' || substr({order_sql('format', 'doc_id')}, 1, 12))::BIGINT % {len(FORMATS)} + 1] AS format, greatest(45, least(250, len(regexp_extract_all(text, '\\S+'))))::BIGINT AS words FROM documents",
-    "row_numbering": "SELECT doc_id, lang || '_' || lpad((row_number() OVER (PARTITION BY lang ORDER BY doc_id))::VARCHAR, 4, '0') AS name FROM documents",
+    "row_numbering": "SELECT doc_id, lang || '_' || format('{:04d}', row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS name FROM documents",
     "readiness_gate": f"WITH {_KEYED}, p AS (SELECT key, count(*) AS n, count(*) FILTER (is_ai = 0) AS n0, count(*) FILTER (is_ai = 1) AS n1 FROM k GROUP BY 1), g AS (SELECT sum(n0)::BIGINT AS human, sum(n1)::BIGINT AS ai, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n0 > 0 AND n1 > 0) AS contradictory FROM p) SELECT *, human >= 20 AND ai >= 20 AND repeated = 0 AND contradictory = 0 AS ready FROM g",
     "provenance_check": f"WITH {TURNS} SELECT source, bool_or(NOT starts_with(source, 'conv3')) AS unexpected, count(*) AS n FROM turns WHERE is_ai = 1 GROUP BY 1",
     "schema_tolerant_union": "WITH u AS (SELECT doc_id AS id, lang, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages) SELECT lang IS NULL AS from_pages, count(*) AS n, count(DISTINCT url) AS urls FROM u GROUP BY 1",

@@ -20,8 +20,8 @@ from quillspark.sources import html as ht
 from quillspark.sources import mail as ml
 
 
-def raw_mail(spark: SparkSession, sf_dir: str, attached: Column | None = None) -> DataFrame:
-    """doc_id, raw: multipart mails with a plain part, an HTML part with an inline image, and an attachment (the first 300 characters, or what is given)."""
+def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, raw: multipart mails with a plain part, an HTML part with an inline image, and an attachment; the plain part and the attachment hold the whole text."""
     b64 = lambda c: F.base64(F.encode(c, "utf-8"))
     crlf = "\r\n"
     head = F.concat(
@@ -31,7 +31,7 @@ def raw_mail(spark: SparkSession, sf_dir: str, attached: Column | None = None) -
     )
     plain = F.concat(F.lit(f'--AAA{crlf}Content-Type: text/plain; charset="utf-8"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("text")), F.lit(crlf))
     web = F.concat(F.lit(f'--AAA{crlf}Content-Type: multipart/related; boundary="BBB"{crlf}{crlf}--BBB{crlf}Content-Type: text/html; charset="utf-8"{crlf}{crlf}<p>Hi <a href="https://example.org/'), F.col("doc_id").cast("string"), F.lit(f'">go</a> <img src="cid:logo@x"></p>{crlf}--BBB{crlf}Content-Type: image/png{crlf}Content-ID: <logo@x>{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("source")), F.lit(f"{crlf}--BBB--{crlf}"))
-    file = F.concat(F.lit(f'--AAA{crlf}Content-Type: application/pdf{crlf}Content-Disposition: attachment; filename="r'), F.col("doc_id").cast("string"), F.lit(f'.pdf"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.substring("text", 1, 300) if attached is None else attached), F.lit(f"{crlf}--AAA--{crlf}"))
+    file = F.concat(F.lit(f'--AAA{crlf}Content-Type: application/pdf{crlf}Content-Disposition: attachment; filename="r'), F.col("doc_id").cast("string"), F.lit(f'.pdf"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("text")), F.lit(f"{crlf}--AAA--{crlf}"))
     return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, plain, web, file), "utf-8").alias("raw"))
 
 
@@ -45,12 +45,6 @@ def attachment_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", F.explode("attachments").alias("a")).select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
 
 
-def attachment_digest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """attachment_digest with the whole text attached."""
-    e = ml.emails(raw_mail(spark, sf_dir, F.col("text")), "doc_id")
-    return e.select("doc_id", F.explode("attachments").alias("a")).select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
-
-
 def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ml.emails(raw_mail(spark, sf_dir), "doc_id")
     return e.groupBy("authentication.spf", "authentication.dkim", "authentication.dmarc").agg(F.count(F.lit(1)).alias("n"))
@@ -109,11 +103,7 @@ def tag_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text NOT RLIKE '[^\\\\x00-\\\\x7F]' AND NOT contains(text, '&')").select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
-
-
-def canonical_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """canonical_text over all documents; DuckDB has neither NFKC nor HTML entities."""
+    """All documents, cleaned; DuckDB has neither NFKC nor HTML entities, so a test holds it against brute force."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
 
 
@@ -178,8 +168,9 @@ def embedding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", sc.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).alias("p"))
-    return e.select("vec_id", *[F.round(F.get("p", F.lit(i)), 5).alias(f"p{i}") for i in range(4)])
+    """The softmax over all dimensions of each vector, a row for each."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", sc.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
+    return e.select("vec_id", F.posexplode("p").alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("p", 5).alias("p"))
 
 
 def modality_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +223,7 @@ def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(i, f.alias("score"), sc.reason(f).alias("reason"), sc.verdict(f).alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (mime_roundtrip, attachment_digest, attachment_digest_whole, auth_results, base64_gate, cid_resolution, image_references, image_ref_checks, page_text, page_links, link_scheme_counts, tag_strip, canonical_text, canonical_text_whole, zone_split, zone_lengths, zone_means, zone_features, final_verdict, class_centroids, embedding_score, vector_softmax, modality_fusion, image_status_rollup, model_scores, vision_output, signal_cache_lookup, lexicon_join, fused_scores)}
+QUERIES = {f.__name__: f for f in (mime_roundtrip, attachment_digest, auth_results, base64_gate, cid_resolution, image_references, image_ref_checks, page_text, page_links, link_scheme_counts, tag_strip, canonical_text, zone_split, zone_lengths, zone_means, zone_features, final_verdict, class_centroids, embedding_score, vector_softmax, modality_fusion, image_status_rollup, model_scores, vision_output, signal_cache_lookup, lexicon_join, fused_scores)}
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), e AS (SELECT label, i, avg(v[i]) AS m, count(*) AS n FROM u, range(1, 65) r(i) GROUP BY 1, 2), c AS (SELECT label, i, n, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM e WHERE n >= 3)"
 _N = "chr(10)"
@@ -240,8 +231,7 @@ _BODY_SQL = strip_sql(f"array_to_string(list_transform(string_split(text, chr(10
 
 ORACLES = {
     "mime_roundtrip": "SELECT doc_id, 'Report ' || doc_id AS subject, 'anna@' || source || '.Example.org' AS from_addr, lower(source || '.Example.org') AS from_domain, sha256(text) AS text_sha256, 'mime_plain' AS text_source, 'mixed+related' AS multipart_type, 2::BIGINT AS depth, 1::BIGINT AS attachments, 'https://example.org/' || doc_id AS first_link FROM documents",
-    "attachment_digest": "SELECT doc_id, 'r' || doc_id || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(substring(text, 1, 300)))::BIGINT AS size, sha256(substring(text, 1, 300)) AS sha256 FROM documents",
-    "attachment_digest_whole": "SELECT doc_id, 'r' || doc_id || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(text))::BIGINT AS size, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM documents",
+    "attachment_digest": "SELECT doc_id, 'r' || doc_id || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(text))::BIGINT AS size, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM documents",
     "auth_results": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'none' END AS spf, 'pass' AS dkim, NULL::VARCHAR AS dmarc, count(*) AS n FROM documents GROUP BY 1",
     "base64_gate": "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'ok' ELSE 'bad_base64' END AS status, CASE doc_id % 4 WHEN 1 THEN 3 WHEN 2 THEN octet_length(encode(text)) END::BIGINT AS bytes FROM documents",
     "cid_resolution": """WITH r AS (SELECT doc_id AS msg_id, i - 1 AS pos, (['a', 'B', 'missing', NULL])[i] AS cid FROM documents, range(1, 5) t(i)),
@@ -252,7 +242,6 @@ ORACLES = {
     "image_references": "SELECT doc_id, 1::BIGINT AS refs, sha256('data:image/png;base64,' || base64(encode(source))) AS first_sha256 FROM documents",
     "image_ref_checks": "WITH k AS (SELECT unnest(['https://example.org/a.png', 'https://user:pw@example.org/a.png', 'data:image/png;base64,aGVsbG8=', 'data:image/svg+xml;base64,aGVsbG8=', 'aGVsbG8=', '@@@', ' ', 'data:image/gif;base64,']) AS ref, unnest(['ok_remote', 'invalid remote image URL', 'ok_inline', 'unsupported image data URI', 'ok_inline', 'invalid base64 image', 'empty image reference', 'empty or oversized image']) AS status, unnest(range(0, 8)) AS r) SELECT ref, status, count(*) AS n FROM documents JOIN k ON doc_id % 8 = r GROUP BY ALL",
     "tag_strip": "SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_sha256 FROM pages",
-    "canonical_text": f"SELECT doc_id, sha256({mask_sql('text')}) AS clean_sha256 FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT contains(text, '&')",
     "zone_split": f"SELECT doc_id AS msg_id, 'Re: ' || source AS zone_subject, CASE WHEN doc_id % 4 IN (0, 2) THEN {quoted(_GREETING)} ELSE '' END AS zone_greeting, CASE doc_id % 4 WHEN 0 THEN 'Best regards,' || {_N} || 'Anna' WHEN 1 THEN 'Anna' || {_N} || '+49 30 1234567' ELSE '' END AS zone_signature, sha256({_BODY_SQL}) AS body_sha256 FROM documents",
     "zone_lengths": f"WITH b AS (SELECT doc_id, source, length({_BODY_SQL}) AS n FROM documents), z AS (SELECT 'subject' AS kind, length('Re: ' || source) AS n FROM b UNION ALL SELECT 'greeting', 10 FROM b WHERE doc_id % 4 IN (0, 2) UNION ALL SELECT 'body', n FROM b WHERE n > 0 UNION ALL SELECT 'signature', CASE WHEN doc_id % 4 = 0 THEN 18 ELSE 19 END FROM b WHERE doc_id % 4 < 2) SELECT kind, count(*) AS n, sum(n)::BIGINT AS chars FROM z GROUP BY 1",
     "zone_means": f"WITH {_ZONES} SELECT msg_id, kind, round(no_llm, 6) AS no_llm, round(with_llm, 6) AS with_llm FROM m",
@@ -265,7 +254,7 @@ ORACLES = {
       SELECT msg_id, round(final, 6) AS final, CASE WHEN (ai AND hu) OR final IS NULL THEN 'UNCERTAIN' WHEN final < 0.42 THEN 'HUMAN' WHEN final >= 0.58 THEN 'AI' ELSE 'UNCERTAIN' END AS verdict, flagged FROM h""",
     "class_centroids": f"WITH {_UNIT} SELECT label, n, i - 1 AS i, round(x, 5) AS x FROM c",
     "embedding_score": f"WITH {_UNIT}, d AS (SELECT vec_id, sum(v[i] * (a.x - h.x)) AS gap FROM u, (SELECT i, x FROM c WHERE label = 1) a JOIN (SELECT i, x FROM c WHERE label = 0) h USING (i) GROUP BY 1) SELECT vec_id, round(1 / (1 + exp(-least(greatest(8 * gap, -50), 50))), 5) AS similarity FROM d",
-    "vector_softmax": "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 5) AS p0, round(e[2] / list_sum(e), 5) AS p1, round(e[3] / list_sum(e), 5) AS p2, round(e[4] / list_sum(e), 5) AS p3 FROM e",
+    "vector_softmax": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT vec_id, unnest(range(0, len(e))) AS i, round(unnest(list_transform(e, lambda x: x / list_sum(e))), 5) AS p FROM e",
     "modality_fusion": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id * 37 % 121 <= 100 THEN (doc_id * 37 % 121) / 100.0::DOUBLE END AS t,
         CASE WHEN (doc_id % 4 IN (0, 1) OR (doc_id % 4 = 3 AND doc_id % 3 > 0)) AND doc_id * 53 % 111 <= 100 THEN (doc_id * 53 % 111) / 100.0::DOUBLE END AS i FROM documents),
       m AS (SELECT *, list_avg(list_filter([t, i], lambda x: x IS NOT NULL)) AS mean FROM d)

@@ -17,41 +17,26 @@ from quillspark.session import shared_folder
 from quillspark.streaming import verdicts as sv
 
 
-def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = md.term_counts(turns(spark, sf_dir), "msg_id", md.word_grams(F.col("text")))
-    return md.vocabulary(c, 2, 500)
-
-
-def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
-    c = md.term_counts(t, "msg_id", md.word_grams(F.col("text")))
-    w = md.tfidf(c, md.vocabulary(c, 2, 500), t.count(), "msg_id")
-    return w.groupBy("msg_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
-
-
-def char_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir).select("msg_id", F.substring("text", 1, 60).alias("text"))
-    c = md.term_counts(t, "msg_id", md.char_grams(F.col("text"), 3, 3))
-    return md.vocabulary(c, 2, 300)
-
-
 #: Terms of each vocabulary of the model with the largest ones: words of 1 to 2, characters of 3 to 5.
 TERMS = 35_000
 
 
-def tfidf_vocab_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = md.term_counts(turns(spark, sf_dir), "msg_id", md.word_grams(F.col("text")))
     return md.vocabulary(c, 2, TERMS)
 
 
-def tfidf_weights_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
-    c = md.term_counts(t, "msg_id", md.word_grams(F.col("text")))
+    # Written once: both the vocabulary and the weights read them.
+    path = f"{shared_folder(spark)}/quillspark/terms-{uuid.uuid4().hex}"
+    md.term_counts(t, "msg_id", md.word_grams(F.col("text"))).write.parquet(path)
+    c = spark.read.parquet(path)
     w = md.tfidf(c, md.vocabulary(c, 2, TERMS), t.count(), "msg_id")
     return w.groupBy("msg_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
 
 
-def char_gram_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def char_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of whole turns."""
     c = md.term_counts(turns(spark, sf_dir), "msg_id", md.char_grams(F.col("text"), 3, 5))
     return md.vocabulary(c, 2, TERMS)
@@ -83,16 +68,16 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.drain(spark, sf_dir, f"{shared_folder(spark)}/quillspark/stream-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_vocab_whole, tfidf_weights, tfidf_weights_whole, char_gram_counts, char_gram_counts_whole, balanced_weights, logreg_scores, tree_scores, augmented, stream_verdicts)}
+QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_weights, char_gram_counts, balanced_weights, logreg_scores, tree_scores, augmented, stream_verdicts)}
 
-_GRAMS = f"{TURNS}, t AS (SELECT msg_id, {tokens_sql('text')} AS t FROM turns), g AS (SELECT msg_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 500)"
+_GRAMS = f"{TURNS}, t AS (SELECT msg_id, {tokens_sql('text')} AS t FROM turns), g AS (SELECT msg_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 35000)"
 
 _U = "('0x' || substr(sha256('augment-u|' || msg_id || '|' || copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 ORACLES = {
     "tfidf_vocab": f"WITH {_GRAMS} SELECT * FROM v",
     "tfidf_weights": f"WITH {_GRAMS}, w AS (SELECT msg_id, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), u AS (SELECT msg_id, w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)) AS w FROM w) SELECT msg_id, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM u GROUP BY 1",
-    "char_gram_counts": f"WITH {TURNS}, t AS (SELECT msg_id, substring(text, 1, 60) AS s FROM turns), g AS (SELECT msg_id, substring(s, i, 3) AS term FROM t, range(1, 59) r(i) WHERE i + 2 <= length(s)), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 300",
+    "char_gram_counts": f"WITH {TURNS}, g AS (SELECT msg_id, unnest(list_concat(" + ", ".join(f"list_transform(range(1, greatest(length(text) - {n - 2}, 1)), lambda i: substring(text, i, {n}))" for n in (3, 4, 5)) + ")) AS term FROM turns), c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 35000",
     "stream_verdicts": f"{VERDICTS_OF_TEXT} SELECT doc_id, base_score, semantic_score, score, label, {verdict_sql('score')} AS verdict FROM v",
     "balanced_weights": f"WITH {TURNS} SELECT is_ai, count(*) AS n, round((SELECT count(*) FROM turns) / (2 * count(*)), 6) AS weight FROM turns GROUP BY 1",
     "augmented": f"""WITH {TURNS}, c AS (SELECT msg_id, is_ai, text, copy FROM turns, range(1, 31) r(copy)), u AS (SELECT *, {_U} AS u FROM c),

@@ -80,16 +80,8 @@ def _mail_like():
     return F.concat(F.lit("See https://example.org/x?a=1 or write to someone@example.org now.\n> quoted "), F.substring("text", 1, 40), F.lit("\nCall +49 30 1234 56789 today\n--------------------\n"), F.col("text"), F.lit("\n\n\n\nUnsubscribe here\nOn Monday the person at work wrote:\nlost "), F.col("text"))
 
 
-_MAIL_LIKE_SQL = "'See https://example.org/x?a=1 or write to someone@example.org now.' || chr(10) || '> quoted ' || substring(text, 1, 40) || chr(10) || 'Call +49 30 1234 56789 today' || chr(10) || '--------------------' || chr(10) || text || repeat(chr(10), 4) || 'Unsubscribe here' || chr(10) || 'On Monday the person at work wrote:' || chr(10) || 'lost ' || text"
-
-
 def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tx.clean_corpus_text(_mail_like())
-    return table(spark, sf_dir, "documents").where("NOT contains(text, '@') AND NOT text RLIKE '[0-9]{3}'").select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
-
-
-def corpus_clean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """corpus_clean over all documents; the rule for numbers looks around, which DuckDB can't."""
+    """All documents as mails, cleaned; the rule for numbers looks around, which DuckDB can't, so a test holds it against brute force."""
     c = tx.clean_corpus_text(_mail_like())
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
 
@@ -142,8 +134,9 @@ def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.filter(F.transform(tx.sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))), lambda k: tx.word_count(k) >= 5)
-    d = table(spark, sf_dir, "documents").select("doc_id", keys.alias("k")).where(F.size("k").between(2, lx.NEAR_SENTENCES))
-    return d.select("doc_id", pr.near_repeated(F.col("k")).alias("near_repeated"))
+    d = table(spark, sf_dir, "documents").select("doc_id", keys.alias("k"))
+    # The rule looks at texts of at most NEAR_SENTENCES sentences; of longer ones it says no.
+    return d.select("doc_id", F.when(F.size("k").between(2, lx.NEAR_SENTENCES), pr.near_repeated(F.col("k"))).otherwise(F.lit(False)).alias("near_repeated"))
 
 
 def doc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,11 +171,11 @@ def signal_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite keys of cached signals, over the JSON of task, version, url, model, kind and text."""
-    payload = F.to_json(F.array(F.lit("semantic"), F.lit("v1"), F.lit("local"), F.lit("m"), F.col("role"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))))
+    payload = F.to_json(F.array(F.lit("semantic"), F.lit("v1"), F.lit("local"), F.lit("m"), F.col("role"), F.col("text")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(payload, 256).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (token_stats, sentence_stats, normalized_key_hash, ascii_share, lexicon_hits, number_counts, masked_text, fallback_scores, corpus_clean, corpus_clean_whole, fake_headers, likely_human_filter, label_parsing, segment_profile, segment_rules, segment_spans, sentence_uniformity, repeated_sentences, near_duplicate_sentences, doc_verdict, verdict_histogram, subject_body_overlap, subject_profile, signal_categories, cache_keys)}
+QUERIES = {f.__name__: f for f in (token_stats, sentence_stats, normalized_key_hash, ascii_share, lexicon_hits, number_counts, masked_text, fallback_scores, corpus_clean, fake_headers, likely_human_filter, label_parsing, segment_profile, segment_rules, segment_spans, sentence_uniformity, repeated_sentences, near_duplicate_sentences, doc_verdict, verdict_histogram, subject_body_overlap, subject_profile, signal_categories, cache_keys)}
 
 _RULES = f"""
 d AS (SELECT doc_id, {_PLANTED_SQL} AS text FROM documents),
@@ -250,13 +243,6 @@ ORACLES = {
     "number_counts": f"SELECT doc_id, ({NUMBERS_SQL.replace('content', 'text')})::BIGINT AS numbers FROM documents",
     "masked_text": f"SELECT doc_id, sha256({mask_sql('text')}) AS masked_sha256, length({mask_sql('text')})::BIGINT AS masked_chars FROM documents",
     "fallback_scores": f"SELECT doc_id, round(least(({hits('low', lx.INDICATORS)}) / 4.0::DOUBLE, 1.0), 4) AS score FROM (SELECT doc_id, lower({_PLANTED_SQL}) AS low FROM documents)",
-    "corpus_clean": f"""WITH d AS (SELECT doc_id, {_MAIL_LIKE_SQL} AS t FROM documents WHERE NOT contains(text, '@') AND NOT regexp_matches(text, '[0-9]{{3}}')),
-      a AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '(?i)https?://\\S+|www\\.\\S+', '', 'g'), '(?i)\\b[\\w.+%-]+@[\\w.-]+\\.[a-z]{{2,}}\\b', '', 'g'), '+49 30 1234 56789', ''), chr(13), '') AS t FROM d),
-      l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda s: {strip_sql('s')}) AS ls FROM a),
-      p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda s: regexp_matches(s, '(?i)^on .{{10,}} wrote:\\s*$')), true) AS pos FROM l),
-      f AS (SELECT doc_id, list_filter(CASE WHEN pos > 0 THEN list_slice(ls, 1, pos - 1) ELSE ls END, lambda s: NOT regexp_matches(s, '(?i)^(-{{2,}}\\s*original message|unsubscribe|list-unsubscribe:|x-spam-|message-id:)|^\\s*[-_=*~]{{8,}}\\s*$|^[>|]')) AS ls FROM p),
-      k AS (SELECT doc_id, {strip_sql("regexp_replace(array_to_string(ls, chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS c FROM f)
-      SELECT doc_id, sha256(c) AS clean_sha256, length(c)::BIGINT AS clean_chars FROM k""",
     "fake_headers": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 1 THEN 'Return-Path: <a@b.c>' || chr(10) || chr(10) || text WHEN doc_id % 3 = 0 THEN text ELSE regexp_replace(text, '^[\\r\\n]+', '') END) AS body_sha256 FROM documents",
     "likely_human_filter": f"SELECT doc_id, source AS subject_source FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) BETWEEN 35 AND 650 AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / greatest(length(text), 1) >= 0.82 AND length('Re: ' || source) >= 4 AND ({hits('lower(substring(text, 1, 600))', lx.AUTOMATION)}) = 0",
     "label_parsing": "SELECT raw, (CASE WHEN lower(trim(raw)) IN ('1', 'true', 'ai', 'yes') THEN 1 WHEN lower(trim(raw)) IN ('0', 'false', 'human', 'no') THEN 0 END)::BIGINT AS label, count(*) AS n FROM (SELECT ([' AI ', 'Human', 'yes', 'NO', '1', '0', 'True', 'false', 'maybe'])[doc_id % 9 + 1] AS raw FROM documents) GROUP BY ALL",
@@ -264,10 +250,10 @@ ORACLES = {
     "segment_rules": f"WITH {_RULES} SELECT doc_id, (idx - 1)::BIGINT AS idx, 'paragraph' AS kind, words::BIGINT AS words, formulaic::BIGINT AS formulaic, generic::BIGINT AS generic, numbers::BIGINT AS numbers, score, {_LABEL} AS label FROM k",
     "sentence_uniformity": f"WITH s AS (SELECT doc_id, len(regexp_extract_all(s, '{tx.TOKEN.replace(chr(39), chr(39) * 2)}')) AS n FROM (SELECT doc_id, unnest({sentences_sql('text')}) AS s FROM documents)), g AS (SELECT doc_id, count(*) AS sentences, avg(n) AS mean, stddev_pop(n) AS sd FROM s WHERE n > 0 GROUP BY 1) SELECT doc_id, sentences, round(mean, 6) AS mean_words, round(sd / mean, 6) AS variation, sentences >= 4 AND mean >= 8 AND sd / mean <= 0.22 AS uniform FROM g",
     "repeated_sentences": f"WITH {_RULES.replace(_PLANTED_SQL, 'text')} SELECT doc_id, len(keys)::BIGINT AS long_sentences, (len(keys) - len(list_distinct(keys)))::BIGINT AS repeats FROM (SELECT doc_id, list_filter(list_transform({sentences_sql('text')}, lambda s: trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))), lambda k: len(regexp_extract_all(k, '{tx.TOKEN.replace(chr(39), chr(39) * 2)}')) >= 5) AS keys FROM documents)",
-    "near_duplicate_sentences": f"WITH k AS (SELECT doc_id, list_filter(list_transform({sentences_sql('text')}, lambda s: trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))), lambda k: len(regexp_extract_all(k, '{tx.TOKEN.replace(chr(39), chr(39) * 2)}')) >= 5) AS keys FROM documents), s AS (SELECT doc_id, list_filter(list_transform(keys, lambda k: list_distinct({tokens_sql('k')})), lambda t: len(t) >= 5) AS sets FROM k WHERE len(keys) BETWEEN 2 AND 40) SELECT doc_id, len(list_filter(range(1, len(sets) + 1), lambda a: len(list_filter(range(a + 1, len(sets) + 1), lambda b: len(list_intersect(sets[a], sets[b])) / len(list_distinct(list_concat(sets[a], sets[b]))) >= 0.82)) > 0)) > 0 AS near_repeated FROM s",
+    "near_duplicate_sentences": f"WITH k AS (SELECT doc_id, list_filter(list_transform({sentences_sql('text')}, lambda s: trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))), lambda k: len(regexp_extract_all(k, '{tx.TOKEN.replace(chr(39), chr(39) * 2)}')) >= 5) AS keys FROM documents), s AS (SELECT doc_id, list_filter(list_transform(keys, lambda k: list_distinct({tokens_sql('k')})), lambda t: len(t) >= 5) AS sets, len(keys) BETWEEN 2 AND 40 AS few FROM k) SELECT doc_id, few AND len(list_filter(range(1, len(sets) + 1), lambda a: len(list_filter(range(a + 1, len(sets) + 1), lambda b: len(list_intersect(sets[a], sets[b])) / len(list_distinct(list_concat(sets[a], sets[b]))) >= 0.82)) > 0)) > 0 AS near_repeated FROM s",
     "doc_verdict": f"{_VERDICT} SELECT doc_id, base_score, semantic_score, score, label, {verdict_sql('score')} AS verdict FROM v",
     "verdict_histogram": f"{_VERDICT} SELECT o.source, {verdict_sql('score')} AS verdict, count(*) AS n, round(avg(score), 6) AS mean_score FROM v JOIN documents o ON o.doc_id = v.doc_id GROUP BY ALL",
     "subject_body_overlap": f"WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS subject, text FROM documents), t AS (SELECT doc_id, list_distinct(list_filter({tokens_sql('subject')}, lambda x: length(x) >= 3 AND NOT list_contains({list(lx.SUBJECT_STOPWORDS)!r}, x))) AS s, {tokens_sql('substring(text, length(subject) + 1)')} AS b FROM d) SELECT doc_id, CASE WHEN len(s) > 0 THEN round(len(list_intersect(s, b)) / len(s), 4) END AS relevance FROM t",
     "signal_categories": f"WITH {_RULES} SELECT c AS category, count(*) AS n FROM (SELECT unnest(cats) AS c FROM sig) GROUP BY 1",
-    "cache_keys": "SELECT conv_id, turn, sha256('[\"semantic\",\"v1\",\"local\",\"m\",\"' || role || '\",\"' || conv_id || ':' || turn || '\"]') AS key FROM conversations",
+    "cache_keys": "SELECT conv_id, turn, sha256(to_json(['semantic', 'v1', 'local', 'm', role, text])::VARCHAR) AS key FROM conversations",
 }

@@ -20,12 +20,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", nam
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one for a local session and an error for a cluster."""
     import tempfile
 
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

@@ -201,7 +201,7 @@ def gate(raw_b64: Column) -> tuple[Column, Column]:
 def parsed(c: Column, include_inline: bool = False) -> Column:
     @F.pandas_udf(MAIL)
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(bytes(x), include_inline) for x in s], columns=MAIL.names)
+        return pd.DataFrame([parse(bytes(x) if x is not None else b"", include_inline) for x in s], columns=MAIL.names)
 
     return run(c)
 

@@ -17,8 +17,8 @@ def write_numbered(df: DataFrame, path: str, kind: str, name: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key is not there yet, and returns them; running it again appends nothing."""
-    spark = df.sparkSession
+    """Appends the rows whose key is not there yet, one for each key, and returns them; running it again appends nothing."""
+    spark, df = df.sparkSession, df.dropDuplicates([key])
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         df = df.join(spark.read.parquet(path).select(key), key, "left_anti")

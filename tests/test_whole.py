@@ -79,7 +79,7 @@ def chars_of(text):
     return [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
 
 
-@pytest.mark.parametrize(("name", "grams"), [("tfidf_vocab_whole", words_of), ("char_gram_counts_whole", chars_of)])
+@pytest.mark.parametrize(("name", "grams"), [("tfidf_vocab", words_of), ("char_gram_counts", chars_of)])
 def test_vocabularies(spark, name, grams):
     _, df, total, order = gram_tables(spark, grams)
     got = {r["term"]: (r["df"], r["total"]) for r in registry.QUERIES[name](spark, SMALL).collect()}
@@ -89,7 +89,7 @@ def test_vocabularies(spark, name, grams):
 def test_weights(spark):
     tf, df, _, order = gram_tables(spark, words_of)
     known = set(order)
-    got = {r["msg_id"]: r for r in registry.QUERIES["tfidf_weights_whole"](spark, SMALL).collect()}
+    got = {r["msg_id"]: r for r in registry.QUERIES["tfidf_weights"](spark, SMALL).collect()}
     for key, c in tf.items():
         w = [(1 + math.log(n)) * (math.log((1 + len(tf)) / (1 + df[t])) + 1) for t, n in c.items() if t in known]
         assert (key in got) == bool(w)
@@ -115,18 +115,18 @@ def sha(t: str) -> str:
 
 def test_canonical_text(spark, built):
     path, texts = built
-    got = {r["doc_id"]: r["clean_sha256"] for r in registry.QUERIES["canonical_text_whole"](spark, path).collect()}
+    got = {r["doc_id"]: r["clean_sha256"] for r in registry.QUERIES["canonical_text"](spark, path).collect()}
     assert got == {i: sha(canonical(t)) for i, t in texts.items()}
 
 
 def test_corpus_clean(spark, built):
     path, texts = built
-    got = {r["doc_id"]: (r["clean_sha256"], r["clean_chars"]) for r in registry.QUERIES["corpus_clean_whole"](spark, path).collect()}
+    got = {r["doc_id"]: (r["clean_sha256"], r["clean_chars"]) for r in registry.QUERIES["corpus_clean"](spark, path).collect()}
     want = {i: corpus_clean(mail_like(t)) for i, t in texts.items()}
     assert got == {i: (sha(c), len(c)) for i, c in want.items()}
 
 
 def test_attachment_digest(spark, built):
     path, texts = built
-    got = {r["doc_id"]: (r["size"], r["sha256"]) for r in registry.QUERIES["attachment_digest_whole"](spark, path).collect()}
+    got = {r["doc_id"]: (r["size"], r["sha256"]) for r in registry.QUERIES["attachment_digest"](spark, path).collect()}
     assert got == {i: (len(t.encode()), sha(t) if t else None) for i, t in texts.items()}
