@@ -112,10 +112,21 @@ def profile(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.select(key, "score", sc.semantic_label(F.col("score"), F.col("sufficient")).alias("label"), "sufficient", "segments", signals.alias("signals"))
 
 
-def document_verdicts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """key, base_score, semantic_score, score, label, verdict: the whole text path without a trained model."""
-    base = docs.select(F.col(key), tx.fallback_score(tx.mask(tx.nonnull(F.col(body)))).alias("base_score"))
+def document_verdicts(docs: DataFrame, key: str = "doc_id", body: str = "text", models: DataFrame | None = None) -> DataFrame:
+    """key, base_score, semantic_score, score, label, verdict: the whole text path; with models also backend.
+
+    models (key, transformer, linear) has the scores of trained models, null where one has none.
+    A document's base score is the transformer's, else the linear model's, else that of the
+    keywords; only a model's score is raised by semantic evidence.  Without models every
+    document takes the keywords.
+    """
+    base = docs.select(F.col(key), tx.fallback_score(tx.mask(tx.nonnull(F.col(body)))).alias("base_score"), F.lit("keywords").alias("backend"))
+    if models is not None:
+        scored = models.select(F.col(key), sc.valid_score(F.col("transformer")).alias("t"), sc.valid_score(F.col("linear")).alias("l"))
+        backend = F.when(F.col("t").isNotNull(), "transformer").when(F.col("l").isNotNull(), "linear").otherwise(F.col("backend"))
+        base = base.join(scored, key, "left").select(key, F.coalesce("t", "l", "base_score").alias("base_score"), backend.alias("backend"))
     p = profile(exploded(docs, key, body), key).select(key, F.col("score").alias("semantic_score"), "label")
     out = base.join(p, key, "left").withColumns({"semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "label": F.coalesce("label", F.lit("insufficient_context"))})
-    out = out.withColumn("score", sc.fuse(F.col("base_score"), F.col("semantic_score"), F.lit(False)))
-    return out.withColumn("verdict", sc.verdict(F.col("score")))
+    out = out.withColumn("score", sc.fuse(F.col("base_score"), F.col("semantic_score"), F.col("backend") != "keywords"))
+    out = out.withColumn("verdict", sc.verdict(F.col("score")))
+    return out if models is not None else out.drop("backend")

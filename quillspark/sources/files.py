@@ -52,6 +52,17 @@ def validated(df: DataFrame, expected: int, least_words: int = 25) -> DataFrame:
     return df.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.concat(F.lit("bad row: "), F.substring(tx.nonnull(F.col("text")), 1, 60))).isNull())
 
 
+def accepted(df: DataFrame, key: str, *order: str, subject: str = "subject", body: str = "body", least: int = 25, most: int = 500) -> DataFrame:
+    """Generated mails that are taken: a subject, `least` to `most` words, and of rows that share a key the first in the given order.
+
+    Rows are judged before the first is chosen, so a refused one does not hide a later one.
+    """
+    from quillspark.operators import dedupe
+
+    words = tx.space_word_count(tx.nonnull(F.col(body)))
+    return dedupe.keep_first(df.where((tx.strip(tx.nonnull(F.col(subject))) != "") & words.between(least, most)), F.col(key), *order)
+
+
 def numeric_label(c: Column) -> Column:
     """The label as a whole number, 0 where it is none."""
     return F.coalesce(c.try_cast("int"), F.lit(0))

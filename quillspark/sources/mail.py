@@ -198,6 +198,14 @@ def gate(raw_b64: Column) -> tuple[Column, Column]:
     return data, status
 
 
+def raw_gate(raw: Column, most: int = lx.ZONE_MAIL_BYTES) -> Column:
+    """Status of a raw mail as it is uploaded to the zone service: ok, empty (nothing but white space) or too_large."""
+    size = F.octet_length(raw)
+    # White space is looked for only in what is within the limit.
+    blank = F.trim(F.regexp_replace(F.when(size <= most, raw).cast("string"), r"\s+", "")) == ""
+    return F.when(raw.isNull() | (size == 0), "empty").when(size > most, "too_large").when(blank, "empty").otherwise("ok")
+
+
 def parsed(c: Column, include_inline: bool = False) -> Column:
     @F.pandas_udf(MAIL)
     def run(s: pd.Series) -> pd.DataFrame:
