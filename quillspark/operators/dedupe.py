@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.session import ranged
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -91,8 +92,7 @@ def numbered(df: DataFrame, prefix: Column, *order: str) -> DataFrame:
     Rows are range-partitioned by prefix and order; a row's number is its place in its partition
     plus the rows of its prefix in earlier ones, so a prefix with very many rows is spread.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("__p", prefix).repartitionByRange(parts, "__p", *order).withColumn("__part", F.spark_partition_id())
+    rows = ranged(df.withColumn("__p", prefix), "__p", *order)
     own = F.row_number().over(W.partitionBy("__part", "__p").orderBy(*order))
     counts = rows.groupBy("__part", "__p").agg(F.count(F.lit(1)).alias("__n"))
     # A row for each prefix and partition.

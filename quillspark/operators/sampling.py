@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.session import ranged
+
 
 def order_key(seed: int | str, *keys: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
@@ -82,9 +84,7 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
 
     Positions come from range partitions and their sizes, not from one global window.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    part = ranged.withColumn("__part", F.spark_partition_id())
+    part = ranged(df, *order)
     counts = part.groupBy("__part").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     local = part.withColumn("__rn", F.row_number().over(W.partitionBy("__part").orderBy(*order)))

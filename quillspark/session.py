@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", name: str = "quillspark") -> SparkSession:
@@ -19,6 +22,19 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", nam
     )
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df range-partitioned by order, with its partition as __part; written to the shared folder once.
+
+    Range bounds are drawn anew wherever a plan is run, so numbers that are put together from two
+    readings of the partitions must both come from one written table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillspark/ranged-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one for a local session and an error for a cluster."""
     import tempfile
