@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from quillspark.llm.fim import OP13_SQL, op13_fim
 from quillspark.llm.huffman import op3_huffman
 from quillspark.llm.lattice import op10_lattice
 from quillspark.llm.media import op1_media
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_lattice": op10_lattice,
+    "op13_fim": op13_fim,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mix": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_fim": OP13_SQL,
 }
