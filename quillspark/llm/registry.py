@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.alignment import op12_alignment
 from quillspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from quillspark.llm.fim import OP13_SQL, op13_fim
 from quillspark.llm.huffman import op3_huffman
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_lattice": op10_lattice,
+    "op12_alignment": op12_alignment,
     "op13_fim": op13_fim,
 }
 

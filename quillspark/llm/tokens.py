@@ -8,7 +8,11 @@ letter into an ASCII character that is no letter; and the byte-level BPE, none o
 goes from a visible character into ASCII white space, nor from an ASCII letter into an ASCII
 character that is no letter, and which looks ahead only from white space.  A tokenizer of any other
 form gets its texts whole.  So do texts that hold the opening of a special token, because
-special tokens are matched before anything else.
+special tokens are matched before anything else; with plain=True their strings are plain text.
+
+Pieces of a sentencepiece vocabulary (SpacedEncoder) are cut before every space that follows
+another character, if no piece of the vocabulary goes on after a space inside it: merges then
+never cross such a place.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ def _form(definition: dict) -> str:
 class PieceEncoder:
     """encode(column) -> (flat uint32 ids, offsets of each document)."""
 
-    def __init__(self, path: str, slots: int = 1 << 20) -> None:
+    def __init__(self, path: str, slots: int = 1 << 20, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,15 +74,19 @@ class PieceEncoder:
             definition = json.load(f)
         self.form = _form(definition)
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = self.plain = plain
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.model = self.tok.model
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         if self.form != "whole":
-            self.keys = np.zeros(slots, dtype=np.uint64)
-            self.ids = np.zeros((slots, WIDTH), dtype=self.kind)
-            self.lens = np.zeros(slots, dtype=np.uint8)
-            self.mask = np.uint64(slots - 1)
+            self._table(slots)
+
+    def _table(self, slots: int) -> None:
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.ids = np.zeros((slots, WIDTH), dtype=self.kind)
+        self.lens = np.zeros(slots, dtype=np.uint8)
+        self.mask = np.uint64(slots - 1)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.many(texts, add_special_tokens=False)]
@@ -112,7 +120,7 @@ class PieceEncoder:
         return tk.bounds(~tk.SPACE[d], s.offsets, cut)
 
     def slice_ids(self, s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
-        if self.form == "whole" or b"<|" in s.data.tobytes():
+        if self.form == "whole" or (not self.plain and b"<|" in s.data.tobytes()):
             found = self._library([s.raw(i).decode() for i in range(s.n)])
             of = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
             return np.fromiter((y for x in found for y in x), dtype=np.uint32, count=int(of[-1])), of
@@ -165,6 +173,61 @@ class PieceEncoder:
             yield s.first, ids, of
 
 
+class SpacedEncoder(PieceEncoder):
+    """A sentencepiece model over texts that begin with the space it would add; an empty text has no ids."""
+
+    def __init__(self, path: str, slots: int = 1 << 20) -> None:
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size, self.plain = len(self.sp), True
+        names = [self.sp.id_to_piece(i) for i in range(self.size)]
+        self.lone = names.index("▁")
+        self.form = "whole" if any("▁" in x.lstrip("▁") for x in names) else "spaced"
+        self._table(slots)
+
+    def _cut(self, s: tk.Slice) -> tk.Words:
+        cut = np.zeros(len(s.data), dtype=bool)
+        cut[1:] = (s.data[1:] == 32) & (s.data[:-1] != 32)
+        return tk.bounds(np.ones(len(s.data), dtype=bool), s.offsets, cut)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return self._pieces(texts)
+
+    def _pieces(self, texts: list[str]) -> list[list[int]]:
+        """The library adds the first space; it takes a lone one for nothing."""
+        found = self.sp.encode([x[1:] for x in texts], num_threads=1)
+        return [[self.lone] if x == " " else ids for x, ids in zip(texts, found, strict=True)]
+
+
+def byte_entries(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level BPE, in whose entries every byte stands as a visible character."""
+    from tokenizers import Tokenizer
+
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    tok = Tokenizer.from_file(path)
+    out = [b""] * tok.get_vocab_size(with_added_tokens=True)
+    for entry, i in tok.get_vocab(with_added_tokens=False).items():
+        out[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+    return out
+
+
+def spaced_entries(path: str) -> list[bytes]:
+    """The bytes of each id of a sentencepiece model: a piece in UTF-8 with spaces for their marks, a byte piece its byte."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(len(sp))]
+
+
+@lru_cache(maxsize=2)
+def aligned_encoders(byte_path: str, spaced_path: str) -> tuple[PieceEncoder, SpacedEncoder]:
+    """The two encoders of a process that aligns."""
+    return PieceEncoder(byte_path, plain=True), SpacedEncoder(spaced_path)
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> PieceEncoder:
     """One encoder a process: a worker's later tasks find its table filled."""
