@@ -18,6 +18,7 @@ from quillspark.llm.packing import op5_packing
 from quillspark.llm.quality import op4_quality
 from quillspark.llm.rollup import op2_rollup
 from quillspark.llm.secrets import op7_secrets
+from quillspark.llm.spotsigs import op11_spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_lattice": op10_lattice,
+    "op11_spotsigs": op11_spotsigs,
     "op12_alignment": op12_alignment,
     "op13_fim": op13_fim,
 }
