@@ -151,3 +151,77 @@ def test_disagreeing_zones_are_uncertain(spark):
     cuts = spark.createDataFrame([("body", 0.5), ("subject", 0.5)], "kind string, threshold double")
     v = zn.verdicts(zn.final_scores(d, trees, "msg_id"), d, cuts, "msg_id", F.lit(0.2), F.lit(0.4)).first()
     assert v["verdict"] == "UNCERTAIN" and v["flagged"] == ["body"]
+
+
+def mutated(seeds: list[bytes], n: int, seed: int = 1):
+    """n light mutations: bytes changed, cut, doubled, moved, and odd pieces put in."""
+    import random
+
+    r = random.Random(seed)
+    odd = [b"\0", b"\xff", b"=?", b"?=", b"=?utf-8?b?", b";", b'"', b"<", b">", b"@", b":", b",", b"(", b"\r\n", b"\r\n\r\n", b"--", b"boundary=", b"charset=", b"\xed\xa0\x80", b"group: a@b, c;", b"=?x\0y?q?a?=", b"filename*=utf-8''%ff%", b"utf-7", b"unicode_escape"]
+    for _ in range(n):
+        x = bytearray(r.choice(seeds))
+        for _ in range(r.randint(1, 4)):
+            i = r.randrange(len(x) + 1)
+            k = r.randrange(5)
+            if k == 0 and i < len(x):
+                x[i] = r.randrange(256)
+            elif k == 1:
+                del x[i : i + r.randint(1, 12)]
+            elif k == 2:
+                x[i:i] = r.choice(odd)
+            elif k == 3:
+                j = r.randrange(len(x) + 1)
+                x[i:i] = x[j : j + r.randint(1, 30)]
+            else:
+                x[i : i + 1] = r.choice(odd)
+        yield bytes(x)
+
+
+def full_mail() -> bytes:
+    m = alternative()
+    m["To"], m["Reply-To"], m["Date"], m["Message-ID"] = "team: b@c.d, e@f.g;", '"A, B" <r@x.y>', "Mon, 02 Jan 2023 10:00:00 +0100", "<1@x>"
+    m["Authentication-Results"] = "mx; spf=pass; dkim=fail"
+    m.add_attachment("Ünïcode".encode("utf-16"), maintype="text", subtype="csv", filename="ä.csv")
+    inner = alternative()
+    m.add_attachment(inner)
+    return m.as_bytes() + b"\r\nX: =?utf-8?q?=C3=A4?=\r\n"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_mutated_mail_fails(seed):
+    """20,000 broken mails: each gives a row that Arrow can hold."""
+    import pyarrow as pa
+
+    seeds = [full_mail(), alternative().as_bytes(), b"From: g: a@b;\r\nContent-Type: text/plain; charset=\"utf-8\"\r\n\r\nHi"]
+    keys = set(ml.READ.names)
+    rows = []
+    for x in mutated(seeds, 10_000, seed):
+        got = ml.read(x)
+        assert set(got) == keys
+        rows.append(got)
+        assert all(isinstance(v, str) for v in (*ml.subject_and_body(x), *ml.preferred_body(x)))
+    table = pa.Table.from_pylist(rows)
+    assert table.num_rows == 10_000
+    assert any("header failed" in w for r in rows for w in r["warnings"])
+
+
+def test_unreadable_mails_are_rows(spark):
+    deep = b"".join(b'Content-Type: multipart/mixed; boundary="%d"\r\n\r\n--%d\r\n' % (i, i) for i in range(3000))
+    surrogate = b"Subject: \xed\xa0\x80\xff\r\nContent-Type: text/plain; charset=utf-7\r\n\r\n+2AA-"
+    escape = b"Content-Type: text/plain; charset=unicode_escape\r\n\r\n\\ud800 x"
+    nul = b'From: a@b.c\r\nContent-Type: text/plain; charset="a\0b"\r\n\r\nbody'
+    rows = [(i, x) for i, x in enumerate([deep, surrogate, escape, nul, None, b"", b"From: group: a@b;\r\n\r\nx"])]
+    d = spark.createDataFrame(rows, "msg_id long, raw binary")
+    got = {r["msg_id"]: r for r in ml.emails(d).collect()}
+    assert set(got) == {0, 1, 2, 3, 5, 6} and got[0]["metadata"]["warnings"] and got[3]["text"] == "body"
+    assert len(d.select(ml.subject_body(F.col("raw")).alias("m")).collect()) == len(rows)
+
+
+def test_headers_are_parsed_once():
+    raw = full_mail()
+    ml._header_object.cache_clear()
+    ml.parse(raw)
+    missed = ml._header_object.cache_info().misses
+    ml.parse(raw)
+    assert ml._header_object.cache_info().misses == missed
