@@ -1,24 +1,32 @@
 """Operator 2, token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are kept as additive deltas.  A batch of
-changes (insert, delete, revise) is reduced to one signed row for each key before anything
+changes (insert, delete, revise, move) is reduced to one signed row for each key before anything
 is written, and committed once: deltas are written to a folder of the attempt, and the
-batch exists from the moment its commit file is renamed into place, which only one writer can do.  A
-batch that is committed again with the same content is skipped; with other content it is
-an error.  Totals sum the deltas of committed batches; compact() folds them into one.
+batch exists from the moment its entry is renamed into the next free place of a numbered log,
+which only one writer can do.  A batch that is committed again with the same content is skipped;
+with other content it is an error.  A batch's name may be any string; it stands inside the entry.
+
+compact() puts an entry into the same log that stands for all entries before it: their sums and
+the names of their batches are tables of its own.  A commit that comes while it runs takes the
+place first, and the compaction begins anew, or comes after it; so no committed batch is lost,
+whatever runs at once.  Every FOLD_AFTER commits one is done by itself, so that readers open few
+files.  sweep() removes deltas that a compaction replaced and those of attempts that crashed.
 
 Counts are those of public tokenizers over whole texts; a tokenizer's file is its version.
 
 Defined cases: null source or language are keys of their own; null counts are 0; a null
 doc_id is a document like any other; rows that repeat a doc_id are counted each; an empty batch
 commits and changes nothing; an empty table has no totals; a very long text is encoded whole; an
-empty or null text has 0 tokens; keys whose totals are all 0 disappear; extra columns are ignored.
+empty or null text has 0 tokens; keys whose totals are all 0 disappear; extra columns are ignored;
+a revision keeps its document's key, a move changes it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -27,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, exists, hadoop_fs, scratch, staged
+from quillspark.llm.common import documents, hadoop_fs, remove, scratch, staged
 from quillspark.llm.tokens import encoder_of
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens", "chars")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
+#: Commits after which one compacts.
+FOLD_AFTER = 100
+#: Seconds after which a table that nothing names counts as left behind.
+SWEEP_AGE = 86_400.0
 #: Names of the public tokenizer files whose counts the registered query keeps; a file is a version.
 VERSIONS = ("word_bpe_49k.json", "byte_bpe_50k.json")
 
@@ -60,26 +72,44 @@ def revisions(counts: DataFrame) -> DataFrame:
     return counts.select(*KEYS, F.lit(0).alias("docs"), (F.coalesce("tokens", F.lit(0)) - F.coalesce("old_tokens", F.lit(0))).alias("tokens"), (F.coalesce("chars", F.lit(0)) - F.coalesce("old_chars", F.lit(0))).alias("chars"))
 
 
+def moves(counts: DataFrame) -> DataFrame:
+    """Deltas of documents that change key; old_source, old_lang, old_tokenizer, old_tokens and old_chars are what they were counted under."""
+    old = counts.select(*(F.col(f"old_{k}").alias(k) for k in (*KEYS, "tokens", "chars")))
+    return inserts(counts).unionByName(deletes(old))
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
+
+
 class Rollup:
-    """State below path: deltas/<attempt> (Parquet), commits/<batch>.json naming the attempt, and after a compaction folded.json: the batches of its first delta."""
+    """State below path: log/<number>.json, one for each commit and compaction, and their tables deltas/<attempt> and batches/<attempt>.
+
+    An entry of a batch has batch, attempt and content; one of a compaction has attempt alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folded(self) -> dict:
-        """attempt and batches (name to content) of the compaction that this state began with."""
-        at = f"{self.path}/folded.json"
-        return json.loads(self._text(at)) if exists(self.spark, at) else {"attempt": None, "batches": {}}
-
-    def _commits(self) -> dict[str, dict]:
-        fs, at = hadoop_fs(self.spark, f"{self.path}/commits")
-        out = {}
-        if fs.exists(at):
-            for f in fs.listStatus(at):
-                name = f.getPath().getName()
-                if name.endswith(".json"):
-                    out[name[:-5]] = json.loads(self._text(f.getPath().toString()))
-        return out
+    def _numbers(self) -> list[int]:
+        fs, at = hadoop_fs(self.spark, f"{self.path}/log")
+        if not fs.exists(at):
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(at))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+
+    def _place(self, number: int) -> str:
+        return f"{self.path}/log/{number:012d}.json"
+
+    def _read(self) -> tuple[int, str | None, dict[str, dict]]:
+        """(the next free place, the attempt of the last compaction, the entries of the batches since then by name)."""
+        numbers, batches = self._numbers(), {}
+        for n in reversed(numbers):
+            entry = json.loads(self._text(self._place(n)))
+            if "batch" not in entry:
+                return numbers[-1] + 1, entry["attempt"], batches
+            batches[entry["batch"]] = entry
+        return (numbers[-1] + 1 if numbers else 1), None, batches
 
     def _text(self, path: str) -> str:
         fs, at = hadoop_fs(self.spark, path)
@@ -92,7 +122,7 @@ class Rollup:
     def _create(self, path: str, text: str) -> bool:
         """Creates the file unless it is there already.
 
-        It is written aside and renamed without overwriting, so no reader sees half a commit and,
+        It is written aside and renamed without overwriting, so no reader sees half an entry and,
         where the file system renames atomically, only one writer can win.
         """
         fs, at = hadoop_fs(self.spark, path)
@@ -114,6 +144,17 @@ class Rollup:
             return False
         return True
 
+    def _folded(self, attempt: str) -> DataFrame:
+        """batch, content of the batches that a compaction stands for."""
+        return self.spark.read.schema("batch string, content string").parquet(f"{self.path}/batches/{attempt}")
+
+    def _known(self, batch: str, fold: str | None, batches: dict[str, dict]) -> str | None:
+        """Content of a batch that was committed."""
+        if batch in batches:
+            return batches[batch]["content"]
+        found = self._folded(fold).where(F.col("batch") == batch).first() if fold else None
+        return found["content"] if found else None
+
     def commit(self, batch: str, *deltas: DataFrame) -> bool:
         """Adds the deltas under this batch name; False if the batch was there already."""
         rows = [d.select(*(F.col(k).cast("string").alias(k) for k in KEYS), *(F.coalesce(F.col(s).cast("long"), F.lit(0)).alias(s) for s in SUMS)) for d in deltas]
@@ -122,36 +163,73 @@ class Rollup:
             all_ = all_.unionByName(d)
         attempt = uuid.uuid4().hex
         at = f"{self.path}/deltas/{attempt}"
-        all_.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS)).coalesce(1).write.parquet(at)
+        _added(all_).coalesce(1).write.parquet(at)
         delta = self.spark.read.schema(SCHEMA).parquet(at)
         seen = delta.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*KEYS, *SUMS).cast("decimal(38,0)"))).first()
-        mark = {"attempt": attempt, "content": f"{seen[0]}:{seen[1]}"}
-        known = self._folded()["batches"].get(batch)
-        if known is None and self._create(f"{self.path}/commits/{batch}.json", json.dumps(mark)):
-            return True
-        known = known or json.loads(self._text(f"{self.path}/commits/{batch}.json"))["content"]
-        fs, p = hadoop_fs(self.spark, at)
-        fs.delete(p, True)
-        if known != mark["content"]:
-            raise ValueError(f"batch {batch} was committed with other content")
-        return False
+        content = f"{seen[0]}:{seen[1]}"
+        while True:
+            free, fold, batches = self._read()
+            known = self._known(batch, fold, batches)
+            if known is not None:
+                remove(self.spark, at)
+                if known != content:
+                    raise ValueError(f"batch {batch!r} was committed with other content")
+                return False
+            if self._create(self._place(free), json.dumps({"batch": batch, "attempt": attempt, "content": content})):
+                break
+        if len(batches) + 1 >= FOLD_AFTER:
+            self.compact()
+        return True
 
     def totals(self) -> DataFrame:
         """The keys and their docs, tokens and chars over all committed batches."""
-        attempts = sorted({self._folded()["attempt"], *(c["attempt"] for c in self._commits().values())} - {None})
+        _, fold, batches = self._read()
+        return self._sums(fold, batches)
+
+    def _sums(self, fold: str | None, batches: dict[str, dict]) -> DataFrame:
+        attempts = sorted({*([fold] if fold else []), *(e["attempt"] for e in batches.values())})
         if not attempts:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/deltas/{a}" for a in attempts))
-        out = rows.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
-        return out.where(" OR ".join(f"{s} <> 0" for s in SUMS))
-
-    def compact(self) -> str:
-        """A new state whose one delta and one file stand for all batches so far; returns its path.  The old state stays as it is."""
-        path, attempt = f"{self.path}-{uuid.uuid4().hex[:8]}", uuid.uuid4().hex
-        batches = self._folded()["batches"] | {name: mark["content"] for name, mark in self._commits().items()}
-        self.totals().coalesce(1).write.parquet(f"{path}/deltas/{attempt}")
-        Rollup(self.spark, path)._create(f"{path}/folded.json", json.dumps({"attempt": attempt, "batches": batches}))
-        return path
+        return _added(rows).where(" OR ".join(f"{s} <> 0" for s in SUMS))
+
+    def compact(self) -> bool:
+        """Puts one entry into the log that stands for all before it; False if there was nothing since the last one."""
+        while True:
+            free, fold, batches = self._read()
+            if not batches:
+                return False
+            attempt = uuid.uuid4().hex
+            self._sums(fold, batches).coalesce(1).write.parquet(f"{self.path}/deltas/{attempt}")
+            names = self.spark.createDataFrame([(e["batch"], e["content"]) for e in batches.values()], "batch string, content string")
+            (names.unionByName(self._folded(fold)) if fold else names).write.parquet(f"{self.path}/batches/{attempt}")
+            if self._create(self._place(free), json.dumps({"attempt": attempt})):
+                return True
+            # A commit took the place: what was summed lacks it.
+            self._drop(attempt)
+
+    def _drop(self, attempt: str) -> None:
+        for kind in ("deltas", "batches"):
+            remove(self.spark, f"{self.path}/{kind}/{attempt}")
+
+    def sweep(self, older: float = SWEEP_AGE) -> int:
+        """Removes tables that no reader needs any more and that are older than so many seconds; returns how many.
+
+        Those are the tables of attempts that never came to an entry, and of entries before the
+        last compaction.  Commits, compactions and readers that take longer than that must not run meanwhile.
+        """
+        limit, gone = time.time() - older, 0
+        for kind in ("deltas", "batches"):
+            fs, at = hadoop_fs(self.spark, f"{self.path}/{kind}")
+            old = [f.getPath().getName() for f in fs.listStatus(at) if f.getModificationTime() / 1000 <= limit] if fs.exists(at) else []
+            # Read after the tables were listed, so that whatever was committed since then is kept.
+            _, fold, batches = self._read()
+            used = {fold, *(e["attempt"] for e in batches.values())}
+            for name in old:
+                if name not in used:
+                    remove(self.spark, f"{self.path}/{kind}/{name}")
+                    gone += 1
+        return gone
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
@@ -190,6 +268,6 @@ def op2_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.commit("ingest", inserts(guess))
     state.commit("recount", revisions(exact))
     state.commit("takedown", deletes(rows.join(toxic, "doc_id", "left_semi")))
-    state = Rollup(spark, state.compact())
+    state.compact()
     state.commit("recount", revisions(exact))
     return state.totals()

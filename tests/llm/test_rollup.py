@@ -64,8 +64,9 @@ def test_batches_are_idempotent(spark):
         s.commit("b", ru.inserts(counts(spark, row, row)))
     # A second writer with the same state sees the commit as well.
     assert not ru.Rollup(spark, s.path).commit("b", ru.inserts(counts(spark, row)))
-    small = ru.Rollup(spark, s.compact())
-    assert state_of(small) == state_of(s) and not small.commit("b", ru.inserts(counts(spark, row)))
+    before = state_of(s)
+    assert s.compact() and not s.compact()
+    assert state_of(s) == before and not s.commit("b", ru.inserts(counts(spark, row)))
 
 
 def test_a_lost_attempt_leaves_no_trace(spark):
@@ -76,17 +77,85 @@ def test_a_lost_attempt_leaves_no_trace(spark):
     assert state_of(s) == {("a", "en", "v1"): (1, 1, 1)}
 
 
+def adds(spark, n):
+    return ru.inserts(counts(spark, ("a", "en", "v1", n, n, 0, 0)))
+
+
 def test_compaction_keeps_batches_and_takes_more(spark):
     s = ru.Rollup(spark, scratch(spark, "r"))
-    row = lambda n: ru.inserts(counts(spark, ("a", "en", "v1", n, n, 0, 0)))
     for i in range(3):
-        s.commit(str(i), row(i))
-    small = ru.Rollup(spark, s.compact())
-    assert small._commits() == {} and small.commit("3", row(10)) and not small.commit("3", row(10)) and not small.commit("1", row(1))
+        s.commit(str(i), adds(spark, i))
+    assert s.compact() and s.commit("3", adds(spark, 10)) and not s.commit("3", adds(spark, 10)) and not s.commit("1", adds(spark, 1))
     with pytest.raises(ValueError, match="other content"):
-        small.commit("0", row(9))
-    smaller = ru.Rollup(spark, small.compact())
-    assert state_of(smaller) == state_of(small) == {("a", "en", "v1"): (4, 13, 13)} and not smaller.commit("3", row(10)) and not smaller.commit("2", row(2))
+        s.commit("0", adds(spark, 9))
+    assert s.compact() and not s.commit("3", adds(spark, 10)) and not s.commit("2", adds(spark, 2))
+    assert state_of(s) == {("a", "en", "v1"): (4, 13, 13)}
+    # A state that was opened before the compaction goes on with the same log.
+    assert ru.Rollup(spark, s.path).commit("4", adds(spark, 1)) and state_of(s) == {("a", "en", "v1"): (5, 14, 14)}
+
+
+NAMES = ["2024/01", "a:b", "", "..", "x y", "2024\\01", "ä", "a.json", "0" * 300, "2024/01/", "\n"]
+
+
+def test_any_name(spark):
+    s = ru.Rollup(spark, scratch(spark, "r"))
+    assert all(s.commit(name, adds(spark, 1)) for name in NAMES)
+    assert state_of(s) == {("a", "en", "v1"): (len(NAMES), len(NAMES), len(NAMES))}
+    assert not any(s.commit(name, adds(spark, 1)) for name in NAMES)
+    s.compact()
+    assert not any(s.commit(name, adds(spark, 1)) for name in NAMES) and s.commit("2024", adds(spark, 1))
+
+
+def test_two_writers_at_once(spark, monkeypatch):
+    """The other writer takes the place between this one's look at the log and its entry."""
+    path = scratch(spark, "r")
+    one, two = ru.Rollup(spark, path), ru.Rollup(spark, path)
+    plain, waiting = ru.Rollup._create, []
+
+    def late(self, at, text):
+        while waiting:
+            waiting.pop()()
+        return plain(self, at, text)
+
+    monkeypatch.setattr(ru.Rollup, "_create", late)
+    waiting.append(lambda: two.commit("b", adds(spark, 2)))
+    assert one.commit("a", adds(spark, 1)) and state_of(one) == {("a", "en", "v1"): (2, 3, 3)}
+    # The same batch from both: one of them wins, once.
+    waiting.append(lambda: two.commit("c", adds(spark, 4)))
+    assert not one.commit("c", adds(spark, 4)) and state_of(one) == {("a", "en", "v1"): (3, 7, 7)}
+    # A commit that comes while a compaction runs is in the sums.
+    waiting.append(lambda: two.commit("d", adds(spark, 8)))
+    assert one.compact() and state_of(one) == {("a", "en", "v1"): (4, 15, 15)}
+    # And a compaction that comes while a commit runs does not close the log to it.
+    waiting.append(two.compact)
+    assert one.commit("e", adds(spark, 16)) and one.commit("f", adds(spark, 32))
+    assert state_of(two) == {("a", "en", "v1"): (6, 63, 63)}
+    # Two compactions give one state.
+    waiting.append(two.compact)
+    one.compact()
+    assert state_of(one) == state_of(two) == {("a", "en", "v1"): (6, 63, 63)}
+    assert not any(two.commit(x, adds(spark, n)) for x, n in zip("abcdef", (1, 2, 4, 8, 16, 32), strict=True))
+
+
+def test_compacts_by_itself_and_sweeps(spark, monkeypatch):
+    monkeypatch.setattr(ru, "FOLD_AFTER", 3)
+    s = ru.Rollup(spark, scratch(spark, "r"))
+    for i in range(7):
+        s.commit(f"n/{i}", adds(spark, 1))
+    assert len(s._read()[2]) == 1
+    counts(spark, ("a", "en", "v1", 9, 9, 0, 0)).selectExpr("source", "lang", "tokenizer", "1L AS docs", "tokens", "chars").write.parquet(f"{s.path}/deltas/dead")
+    assert s.sweep() == 0
+    # Six commits and the first compaction were replaced; one attempt is left behind; a batch table was replaced.
+    assert s.sweep(older=-5) == 6 + 1 + 1 + 1 and s.sweep(older=-5) == 0
+    assert state_of(s) == {("a", "en", "v1"): (7, 7, 7)} and not s.commit("n/0", adds(spark, 1))
+
+
+def test_moves(spark):
+    s = ru.Rollup(spark, scratch(spark, "r"))
+    s.commit("1", ru.inserts(counts(spark, ("a", "en", "v1", 10, 50, 0, 0), ("a", "en", "v1", 1, 2, 0, 0))))
+    moved = spark.createDataFrame([("b", "en", "v1", 12, 55, "a", "en", "v1", 10, 50)], "source string, lang string, tokenizer string, tokens long, chars long, old_source string, old_lang string, old_tokenizer string, old_tokens long, old_chars long")
+    s.commit("2", ru.moves(moved))
+    assert state_of(s) == {("a", "en", "v1"): (1, 1, 2), ("b", "en", "v1"): (1, 12, 55)}
 
 
 def test_edges(edge, nothing, encoders):
