@@ -3,20 +3,20 @@
 Base patterns (assignments, access keys, long hexadecimal) always count.  Besides, every
 run of 20 or more key characters outside them is a candidate; '=' belongs to it only as
 padding at its end, so name and value of an assignment are tested apart.  Its encoding is
-inferred (the smallest of hexadecimal, base32, letters and digits, base64 whose alphabet holds
-it), and it is tested three ways: chi-squared uniformity over that alphabet, the number of runs
-of character classes, and the serial correlation of vowels between neighbours.  Each gives the
-chance that a string of ordinary words comes so near to randomness (their figures are the
-constants below); the three are combined by Fisher's method.  Candidates of the corpus are
+inferred (the smallest of hexadecimal, base32, lower or upper case with digits, letters and
+digits, and the two base64 alphabets that holds it), and chi-squared uniformity over that
+alphabet, runs of character classes and serial correlation are tested and combined, calibrated
+for each encoding and length by simulation: see randomness.  The letters of the simulated
+ordinary strings follow the trigrams of all words of the table.  Candidates of the corpus are
 then held to a false-discovery rate by the step-up rule, each weighted by its length (longer
 strings carry more evidence) over the mean weight of all candidates, so that weights average 1.
-Candidates that no encoding fits count among them, as never rejected.  The rule needs only
+Candidates that no encoding fits, numbers among them, count too, as never rejected.  The rule needs only
 counts in bins of the logarithm.
 
 Defined cases: null text counts as empty; an empty text has no spans and the digest of the
 empty string; repeated rows are scanned alike and each counts as a candidate of its own; an empty
-table gives no rows; a very long text is scanned whole; extra columns are ignored.  Spans are
-code points, end exclusive.
+table gives no rows; a table without words has ordinary strings of any letters; a very long text
+is scanned whole; extra columns are ignored.  Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import randomness as rn
+from quillspark.llm import textkit as tk
 from quillspark.llm.common import arrow_map, documents, id_text, staged
 
 # The base patterns and their least lengths.
@@ -43,93 +46,56 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
 LEAST_CANDIDATE = 20
 #: False-discovery rate of the random spans.
-ALPHA = 0.001
-#: Strings of ordinary words, with or without marks between them, in English or other prose: chance that two
-#: symbols are equal and its spread by the root of the length, changes of class from one symbol to the next, and the
-#: correlation of vowels between neighbours with its spread.  All err on the side of randomness.
-WORD_CONCENTRATION, CONCENTRATION_SPREAD = 0.051, 0.058
-WORD_CHANGES = 0.27
-WORD_SERIAL, SERIAL_SPREAD = -0.18, 0.95
-LEAST_P = 1e-60
-#: Strings are no more alike than so many symbols of them show: longer ones count as this long.
-MOST_EVIDENCE = 64
+ALPHA = 0.01
 #: Bins of -log10 p for the step-up rule.
 BIN, BINS = 0.05, 1200
 #: Length by which weights are stated; beyond twice of it they rise no more.
 USUAL_LENGTH = 32
 
-ALPHABETS = (
-    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z"), 16),
-    ("base32", re.compile(r"[A-Z2-7]+=*\Z"), 32),
-    ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 62),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]+={0,2}\Z"), 64),
-)
+#: Words of more letters than this teach no trigrams.
+LONGEST_WORD = 19
+_KEY = np.zeros(256, dtype=bool)
+_KEY[48:58] = _KEY[65:91] = _KEY[97:123] = True
+_KEY[[ord(c) for c in "+/_=-"]] = True
+_KEY[128:] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
-def encoding(s: str) -> tuple[str, int] | None:
-    """(name, size of alphabet); none for what no encoding makes, such as rules of dashes."""
-    for name, pattern, k in ALPHABETS:
-        if pattern.match(s):
-            return name, k
-    return None
+def trigrams(docs: DataFrame) -> np.ndarray:
+    """Trigrams of the words of all texts, runs of key characters that are ASCII letters only and no candidates; 27 ** 3 counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27**3, dtype=np.int64)
+        for batch in batches:
+            for s in tk.slices(batch.column(1)):
+                w = tk.bounds(_KEY[s.data], s.offsets)
+                letters = np.concatenate([[0], np.cumsum(_LETTER[s.data])])
+                size = w.ends - w.starts
+                fit = (size <= LONGEST_WORD) & (letters[w.ends] - letters[w.starts] == size)
+                total += rn.count_trigrams(s.data, w.starts[fit], w.ends[fit])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["i", "n"])
 
-_VOWEL = np.zeros(128, dtype=bool)
-_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = True
+    found = id_text(docs).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(27**3)
+    out[found["i"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    return out.reshape(27, 27, 27)
 
 
-def _below(z: float) -> float:
-    """Standard normal distribution function."""
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+def simulated(spark: SparkSession, counts: np.ndarray) -> rn.Nulls:
+    """The nulls of all encodings and lengths, a task for each encoding."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                for n, weights, scores in rn.simulate(i, rn.Letters(counts)):
+                    null = rn.Null.of(weights, scores)
+                    row = [[i], [n], [null.weights.tolist()], [null.scores.tolist()], [null.shares.tolist()], [null.scale]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["which", "n", "weights", "scores", "shares", "scale"])
 
-def chi_squared(x: np.ndarray, k: int) -> float:
-    """Against the uniform distribution over k symbols."""
-    counts = np.bincount(x, minlength=128).astype(float)
-    return float((counts**2).sum()) * k / len(x) - len(x)
-
-
-def p_uniform(x: np.ndarray, k: int) -> float:
-    """Chance that words of this length have so small a chi-squared."""
-    n = len(x)
-    # Chi-squared is linear in the share of equal pairs.
-    equal = ((chi_squared(x, k) + n) * n / k - n) / (n * (n - 1))
-    return _below((equal - WORD_CONCENTRATION) * math.sqrt(min(n, MOST_EVIDENCE)) / CONCENTRATION_SPREAD)
-
-
-def p_runs(x: np.ndarray, name: str) -> float:
-    """Bound on the chance that words of this length change class so often (Chernoff's, for a binomial number of changes)."""
-    kind = (x >= 97) * 1 + ((x >= 48) & (x <= 57)) * 2 + ((x >= 65) & (x <= 90)) * 4
-    if name == "hex":
-        kind = (x >= 58) * 1
-    n = len(x) - 1
-    q, p = float((kind[1:] != kind[:-1]).sum()) / n, WORD_CHANGES
-    if q <= p:
-        return 1.0
-    return math.exp(-min(n, MOST_EVIDENCE) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)))
-
-
-def p_serial(x: np.ndarray) -> float:
-    """Chance that words of this length have a serial correlation of vowels so near 0; 1 without vowels or without other symbols."""
-    d = _VOWEL[x] - _VOWEL[x].mean()
-    var = float((d * d).sum())
-    if not var:
-        return 1.0
-    t, scale = abs(float((d[1:] * d[:-1]).sum()) / var), math.sqrt(min(len(x), MOST_EVIDENCE)) / SERIAL_SPREAD
-    return _below((t - WORD_SERIAL) * scale) - _below((-t - WORD_SERIAL) * scale)
-
-
-def battery(s: str) -> tuple[str, float] | None:
-    """(encoding, p) with p the chance that an ordinary string of this length looks so random; none if no encoding fits."""
-    found = encoding(s)
-    if not found:
-        return None
-    name, k = found
-    x = np.frombuffer(s.rstrip("=").encode(), dtype=np.uint8).astype(np.int64)
-    if len(x) < 16:
-        return None
-    half = -sum(math.log(min(max(p, LEAST_P), 1.0)) for p in (p_uniform(x, k), p_runs(x, name), p_serial(x)))
-    return name, max(math.exp(-half) * (1 + half + half * half / 2), LEAST_P)
+    kinds = spark.range(len(rn.ENCODINGS), numPartitions=len(rn.ENCODINGS)).mapInArrow(run, "which long, n long, weights array<double>, scores array<double>, shares array<double>, scale double")
+    return {(r["which"], r["n"]): rn.Null(np.array(r["weights"]), np.array(r["scores"]), np.array(r["shares"]), r["scale"]) for r in kinds.collect()}
 
 
 def weight(n: int) -> float:
@@ -174,7 +140,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             if b - a < LEAST_CANDIDATE:
                 continue
             # Padding that no encoding has is left out.
-            if not encoding(text[a:b]):
+            if rn.encoding(text[a:b]) is None:
                 b = a + len(text[a:b].rstrip("="))
             if b - a >= LEAST_CANDIDATE:
                 out.append((a, b))
@@ -185,7 +151,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, nulls: rn.Nulls) -> DataFrame:
     """doc_id, counts, base (joined), base_sha256, extra: start:end:bin of each candidate outside the base spans that an encoding fits, tested and weights: the number and the summed weight of all candidates."""
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -196,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [k for _, k, _ in base]
             extra, found = [], candidates(text, base)
             for a, b in found:
-                got = battery(text[a:b])
+                got = rn.battery(text[a:b], nulls)
                 if got:
                     score = -math.log10(got[1]) + math.log10(weight(b - a))
                     extra.append(f"{a}:{b}:{min(max(int(score / BIN), 0), BINS)}")
@@ -222,7 +188,7 @@ def threshold(counts: dict[int, int], tested: int, mean: float, alpha: float = A
 
 def find_secrets(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    found = staged(scan(docs), "secret-spans")
+    found = staged(scan(docs, simulated(docs.sparkSession, trigrams(docs))), "secret-spans")
     bins = found.where(F.col("extra") != "").select(F.explode(F.split("extra", ",")).alias("x")).select(F.split("x", ":")[2].cast("int").alias("bin")).groupBy("bin").count()
     all_ = found.agg(F.sum("tested").alias("n"), F.sum("weights").alias("w")).first()
     tested, mean = all_["n"] or 0, (all_["w"] or 0.0) / max(all_["n"] or 0, 1)
