@@ -131,7 +131,7 @@ SIGN_OFF = (
 
 GREETING_START = r"(?iU)^(?:hi\b|hey\b|hello\b|dear\b|good (?:morning|evening|afternoon)\b|здравств\p{L}*|добр\p{L}*|привет\p{L}*|хай\b|уважаем\p{L}*|коллеги\b|всем привет)"
 SIGN_OFF_START = r"(?iU)^(?:--\s*$|с уважением\b|с наилучшими\b|всего доброго\b|best regards\b|kind regards\b|regards\b|sincerely\b|cheers\b)"
-CONTACT = r"(?iU)(?:[\w.+-]+@[\w.-]+\.\w+|\+\d[\d ()-]{6,}|(?:тел|phone|tel)\s*[:.])"
+CONTACT = r"(?iU)(?:[\w.+-]@[\w.-]+\.\w+|\+\d[\d ()-]{6,}|(?:тел|phone|tel)\s*[:.])"
 
 POSITIVE_LABELS = ("1", "true", "ai", "yes")
 NEGATIVE_LABELS = ("0", "false", "human", "no")

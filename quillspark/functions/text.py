@@ -2,6 +2,11 @@
 
 Regular expressions are written in the form that Java and RE2 read alike, so the SQL in
 ``plans`` can use the same patterns.  White space is ASCII white space.
+
+Java's regular expressions search from every character anew and call themselves for each turn of a
+group.  Where that would be quadratic in a long run of one kind, or too deep, the pattern here
+begins only where such a run begins (or where the last match ended) and never gives back what it
+took; it finds what the plain pattern finds.
 """
 
 from __future__ import annotations
@@ -13,12 +18,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
 
+# What counts as a word, a number, the end of a sentence, and a gap between paragraphs.
 TOKEN = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
 NUMBER = r"(?<![\p{L}\p{N}_])(?:\d{2,}|\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?)(?![\p{L}\p{N}_])"
 SENTENCE_END = r"(?s)(\S.*?[.!?…])(\s)"
 PARAGRAPH_GAP = r"((?:[ \t]*\r?\n[ \t]*){2,})"
 MARK = "\u0001"
-EDGES = r"^\s+|\s+$"
+BLANKS = " \t\n\x0b\f\r"
+#: The same patterns for Java.
+JAVA_TOKEN = f"{TOKEN}+"
+JAVA_GAP = r"(?:(?<![ \t])|\G)(?:[ \t]*+\r?\n){2,}+[ \t]*+"
 
 
 def nonnull(c: Column) -> Column:
@@ -26,16 +35,16 @@ def nonnull(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def tokens(c: Column) -> Column:
     """Lower-case words; inner apostrophes and hyphens stay."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(JAVA_TOKEN), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(TOKEN))
+    return F.regexp_count(c, F.lit(JAVA_TOKEN))
 
 
 def space_word_count(c: Column) -> Column:
@@ -60,7 +69,7 @@ def sentences(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines, trimmed; blank ones dropped."""
-    parts = F.split(F.regexp_replace(c, PARAGRAPH_GAP, MARK), MARK)
+    parts = F.split(F.regexp_replace(c, JAVA_GAP, MARK), MARK)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -107,17 +116,27 @@ def ascii_ratio(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.greatest(F.length(c), F.lit(1))
 
 
+def untagged(c: Column) -> Column:
+    """Every tag as a space.  Nothing after the last > can be one."""
+
+    def before(t: Column, tail: Column) -> Column:
+        head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+        return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), tail)
+
+    return once(c, lambda t: before(t, F.substring_index(t, ">", -1)))
+
+
 def mask(c: Column) -> Column:
     """The native part of the canonical clean-up: tags, addresses, control characters, white space, case."""
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
+    c = untagged(c)
     c = F.regexp_replace(c, r"(?i)(?:https?://|www\.)\S+", " url ")
-    c = F.regexp_replace(c, r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", " email ")
+    c = F.regexp_replace(c, r"(?:(?<![\p{L}\p{N}_.+-])|\G)[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++\.[\p{L}\p{N}_.-]+", " email ")
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(untagged(c), r"\s+", " "))
 
 
 def strip_fake_headers(c: Column) -> Column:
@@ -132,7 +151,8 @@ def strip_fake_headers(c: Column) -> Column:
 def clean_corpus_text(c: Column) -> Column:
     """Addresses and long numbers go, then quoted, list and rule lines; everything from "On ... wrote:" on goes."""
     c = F.regexp_replace(c, r"(?i)https?://\S+|www\.\S+", "")
-    c = F.regexp_replace(c, r"(?i)\b[\w.+%-]+@[\w.-]+\.[a-z]{2,}\b", "")
+    # What can't begin an address is skipped within its run and put back.
+    c = F.regexp_replace(c, r"(?i)((?:(?<![\w.+%-])|\G)(?:(?!\b)(?:\w++|[.+%-]++))?)\b[\w.+%-]++@[\w.-]+\.[a-z]{2,}\b", "$1")
     c = F.regexp_replace(c, r"(?<![\p{L}\p{N}_])(?:\+?\d[\d .()-]{9,}\d)(?![\p{L}\p{N}_])", "")
     lines = F.transform(F.split(F.replace(c, F.lit("\r"), F.lit("")), "\n"), strip)
     stops = F.transform(lines, lambda s: s.rlike(r"(?i)^on .{10,} wrote:\s*$"))

@@ -28,10 +28,9 @@ def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
 
 
 def char_grams(c: Column, lo: int = 3, hi: int = 5) -> Column:
-    def grams(n: int) -> Column:
-        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
+    """Runs of lo to hi characters: those of each length that begin at the 1st, 1 + n-th, ... character, then at the 2nd, and so on."""
+    runs = [F.regexp_extract_all(F.substring(c, F.lit(k), F.length(c)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for n in range(lo, hi + 1) for k in range(1, n + 1)]
+    return F.concat(*runs)
 
 
 def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:

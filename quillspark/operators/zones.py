@@ -17,12 +17,12 @@ def split(df: DataFrame, subject: str = "subject", body: str = "body") -> DataFr
     first sign-off within the last seven lines on, else the last of several blocks if it
     has at most four lines and a contact.
     """
-    lines = F.transform(F.split(F.replace(tx.nonnull(F.col(body)), F.lit("\r\n"), F.lit("\n")), "\n"), lambda s: F.regexp_replace(s, r"\s+$", ""))
-    flat = F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    lines = F.transform(F.split(F.replace(tx.nonnull(F.col(body)), F.lit("\r\n"), F.lit("\n")), "\n"), lambda s: F.rtrim(s, F.lit(tx.BLANKS)))
+    flat = F.btrim(F.array_join(lines, "\n"), F.lit("\n"))
     d = df.withColumn("__flat", flat).withColumn("__first", F.substring_index("__flat", "\n", 1))
     greets = (F.length("__first") <= 120) & tx.strip(F.col("__first")).rlike(lx.GREETING_START)
     d = d.withColumn("zone_greeting", F.when(greets, tx.strip(F.col("__first"))).otherwise(""))
-    rest = F.when(greets, F.regexp_replace(F.substring(F.col("__flat"), F.length("__first") + 1, F.length("__flat")), r"^\n+", "")).otherwise(F.col("__flat"))
+    rest = F.when(greets, F.ltrim(F.substring(F.col("__flat"), F.length("__first") + 1, F.length("__flat")), F.lit("\n"))).otherwise(F.col("__flat"))
     d = d.withColumn("__rest", rest).withColumn("__lines", F.when(F.col("__rest") == "", F.array().cast("array<string>")).otherwise(F.split("__rest", "\n"))).withColumn("__n", F.size("__lines"))
     tail = F.slice(F.col("__lines"), F.greatest(F.col("__n") - 6, F.lit(1)), F.lit(7))
     hit = F.array_position(F.transform(tail, lambda s: tx.strip(s).rlike(lx.SIGN_OFF_START)), F.lit(True)).cast("int")

@@ -73,3 +73,82 @@ def test_keys_repeated_within_one_append(spark, tmp_path):
 def test_missing_mail_is_an_empty_tree(spark):
     r = spark.createDataFrame([(None,), (b"Subject: x\r\n\r\nhi",)], "raw binary").select(mail.parsed(F.col("raw")).alias("m")).collect()
     assert sorted(str(x["m"]["headers"]["subject"]) for x in r) == ["None", "x"]
+
+
+MEGABYTE = 1_000_000
+LONG = {
+    "blanks inside": "a" + " " * MEGABYTE + "b",
+    "blanks": " " * MEGABYTE,
+    "one word": "a" * MEGABYTE,
+    "lines": "a\n" * (MEGABYTE // 2),
+    "empty lines": "\n" * MEGABYTE,
+    "blank lines": "x\n" + " \n" * (MEGABYTE // 2) + "y",
+    "a gap that ends late": "x\n" + " " * MEGABYTE + "y",
+    "tags left open": "<" * MEGABYTE,
+    "tags and a close": "<a" * (MEGABYTE // 2) + ">" + "<" * 1000,
+    "joined words": "a-" * (MEGABYTE // 2) + "a",
+    "dots": "a." * (MEGABYTE // 2),
+    "at signs": "a@" * (MEGABYTE // 2),
+    "digits": "1 2-" * (MEGABYTE // 4) + "x",
+}
+ONE_TEXT = {
+    "strip": tx.strip,
+    "tokens": lambda c: F.size(tx.tokens(c)),
+    "word_count": tx.word_count,
+    "space_word_count": tx.space_word_count,
+    "sentences": lambda c: F.size(tx.sentences(c)),
+    "paragraphs": lambda c: F.size(tx.paragraphs(c)),
+    "segments": lambda c: F.size(tx.segments(c)),
+    "number_count": tx.number_count,
+    "space_key": tx.space_key,
+    "ascii_ratio": tx.ascii_ratio,
+    "mask": tx.mask,
+    "strip_tags": tx.strip_tags,
+    "strip_fake_headers": tx.strip_fake_headers,
+    "clean_corpus_text": tx.clean_corpus_text,
+    "has_sign_off": tx.has_sign_off,
+    "likely_human": lambda c: tx.likely_human(F.lit("subject"), c),
+    "char_grams": lambda c: F.size(models.char_grams(c, 3, 5)),
+    "word_grams": lambda c: F.size(models.word_grams(c, 1, 2)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ONE_TEXT))
+def test_every_text_function_is_linear(spark, name):
+    """A megabyte of any one kind, in about a second each; the first one pays for what is compiled."""
+    for kind, text in [("", "warm"), *LONG.items()]:
+        d = spark.createDataFrame([(text,)], "t string").select(ONE_TEXT[name](F.col("t")).alias("x"))
+        began = time.perf_counter()
+        d.collect()
+        assert time.perf_counter() - began < (4 if kind else 30), kind
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_zones_are_linear(spark, kind):
+    d = zones.split(spark.createDataFrame([("s", LONG[kind])], "subject string, body string"))
+    began = time.perf_counter()
+    d.collect()
+    assert time.perf_counter() - began < 6
+
+
+def test_java_patterns_find_what_the_plain_ones_find(spark):
+    """On random texts over few characters, the same pieces as Python's plain patterns."""
+    import random
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab.@+-_ <>\n\t\r1é%") for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    texts += ["a@b.c+d@e.f", "a@b.cc.d@e.ff", "<<a>b>", "é.a@b.cc", "éa.b@c.dd", "..a@b.cc", "\n \n\t\n x", " \r\n \n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = d.select("i", tx.untagged(F.col("t")).alias("u"), F.regexp_replace("t", tx.JAVA_GAP, "#").alias("g"), F.regexp_replace("t", r"(?:(?<![\p{L}\p{N}_.+-])|\G)[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++\.[\p{L}\p{N}_.-]+", "#").alias("e"), F.regexp_replace("t", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "#").alias("f"), tx.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?i)\b[\w.+%-]+@[\w.-]+\.[a-z]{2,}\b", "").alias("c"), F.regexp_replace("t", r"(?i)((?:(?<![\w.+%-])|\G)(?:(?!\b)(?:\w++|[.+%-]++))?)\b[\w.+%-]++@[\w.-]+\.[a-z]{2,}\b", "$1").alias("k")).collect()
+    for x in got:
+        t = texts[x["i"]]
+        assert x["u"] == re.sub(r"<[^>]+>", " ", t)
+        assert x["g"] == re.sub(r"((?:[ \t]*\r?\n[ \t]*){2,})", "#", t)
+        assert x["e"] == x["f"] and x["c"] == x["k"]
+        assert x["s"] == t.strip(" \t\n\x0b\f\r")
+
+
+def test_char_grams_of_wide_characters(spark):
+    texts = ["", "a", "ab", "abc", "漢字😀é", "😀😀😀😀😀"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", models.char_grams(F.col("t"), 2, 3).alias("g")).collect()
+    assert {r["t"]: sorted(r["g"]) for r in got} == {t: sorted(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)) for t in texts}
