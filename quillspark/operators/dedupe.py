@@ -2,31 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.session import ranged
+from quillspark.session import absent, ranged, row_hash
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key in the given order.
+    """The first row of each key in the given order, exactly one; a null key is a key like any other.
 
-    The winner is found by a min over the narrow order columns, which combines before the
+    Rows equal in order are told apart by a hash of all their columns; of rows equal in all columns
+    one stays.  The winner is found by a min over narrow columns, which combines before the
     shuffle; only then are whole rows joined, so one hot key never gathers its rows in a task.
     """
-    keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first")).select("__key", *[F.col(f"__first.{c}").alias(f"__{c}") for c in order])
-    same = [F.col("__key").eqNullSafe(first["__key"])] + [keyed[c].eqNullSafe(first[f"__{c}"]) for c in order]
-    return keyed.join(first, [keyed["__key"].eqNullSafe(first["__key"]), *same[1:]], "left_semi").drop("__key")
+    k, row, first = absent(df, "first_key", "first_row", "first_of_key")
+    keyed = df.withColumn(k, key).withColumn(row, F.struct(*[df[c] for c in order], row_hash(df)))
+    won = keyed.groupBy(k).agg(F.min(row).alias(first)).select(F.struct(k, first).alias(first))
+    kept = keyed.withColumn(row, F.struct(k, row)).join(won, F.col(row) == F.col(first), "left_semi")
+    return kept.dropDuplicates([row]).drop(k, row)
 
 
 def drop_contradictions(df: DataFrame, key: Column, label: str, *order: str) -> DataFrame:
-    """First row of each key whose rows all have one label; keys with several labels go."""
-    keyed = df.withColumn("__k", key)
-    clean = keyed.groupBy("__k").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select("__k")
-    return keep_first(keyed.join(clean, "__k", "left_semi"), F.col("__k"), *order).drop("__k")
+    """First row of each key whose rows all have one label; keys with several labels go.
+
+    A null label is no label: it contradicts none, and keys without any other go.
+    """
+    k, kind = absent(df, "clean_key", "clean_label")
+    keyed = df.withColumn(k, key)
+    clean = keyed.groupBy(k).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select(F.struct(k).alias(kind))
+    return keep_first(keyed.join(clean, F.struct(keyed[k]) == F.col(kind), "left_semi"), F.col(k), *order).drop(k)
+
+
+_STATE = "struct<held:boolean,label:string,row:string>"
+
+
+def fold_contradictions(df: DataFrame, key: Column, label: str, *order: str) -> DataFrame:
+    """What is left of each key when its rows are taken in order: a row is held, equal labels are passed over, another label drops the held row and itself, and the next row is held again.
+
+    So labels 0, 1, 0 keep the third row.  Rows without a label are left out.  Rows equal in order
+    are taken in the order of a hash of all columns.  What a stretch of rows does depends on its
+    first label and on whether a row is held before it and with that label: three outcomes.  Range
+    partitions are summed up so, one narrow row for each key and partition, and the summaries of
+    a key, as many as it has partitions, are put together in order; no task gathers a key.
+    """
+    k, row, won = absent(df, "fold_key", "fold_row", "fold_won")
+    keyed = df.withColumn(k, F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"})).withColumn(row, F.to_json(F.struct(*[df[c] for c in order], row_hash(df).alias(won)), {"ignoreNullFields": "false"}))
+    narrow = keyed.where(F.col(label).isNotNull()).select(F.col(k).alias("k"), F.col(label).cast("string").alias("y"), F.col(row).alias("row"), *[df[c].alias(f"o{i}") for i, c in enumerate(order)], row_hash(df).alias("h"))
+    by = ["k", *[f"o{i}" for i in range(len(order))], "h"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = narrow.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("k", "y", "row").mapInArrow(_stretches, "k string, part int, first string, same boolean, empty " + _STATE + ", held " + _STATE + ", other " + _STATE)
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("held"), none.alias("label"), none.alias("row"))
+
+    def merge(state: Column, x: Column) -> Column:
+        equal = F.when(x["same"], state).otherwise(x["held"])
+        return F.when(~state["held"], x["empty"]).otherwise(F.when(state["label"] == x["first"], equal).otherwise(x["other"]))
+
+    per_key = sums.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("part", "first", "same", "empty", "held", "other"))).alias("all"))
+    left = per_key.select("k", F.aggregate("all", start, merge).alias("s")).where("s.held").select(F.struct("k", "s.row").alias(won))
+    same = F.struct(F.col(k), F.col(row))
+    return keyed.join(left, same == F.col(won), "left_semi").dropDuplicates([k]).drop(k, row)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The outcomes of each key's rows in this partition: from nothing held, from a row held with the first label (same: it stays), and with another one."""
+    part = TaskContext.get().partitionId()
+    key, first, done = None, None, []
+    empty: tuple | None = None
+    held: tuple | None = None
+    other: tuple | None = None
+    same = True
+
+    def step(state: tuple | None, y: str, row: str) -> tuple | None:
+        return (y, row) if state is None else state if state[0] == y else None
+
+    def out(rows: list) -> pa.RecordBatch:
+        states = [[x[4 + j] for x in rows] for j in range(3)]
+        kind = pa.struct([("held", pa.bool_()), ("label", pa.string()), ("row", pa.string())])
+        cols = [pa.array([{"held": s is not None, "label": s and s[0], "row": s and s[1]} for s in col], kind) for col in states]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([x[2] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.bool_()), *cols], names=["k", "part", "first", "same", "empty", "held", "other"])
+
+    for batch in batches:
+        for k, y, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                if key is not None:
+                    done.append((key, part, first, same, empty, held, other))
+                key, first, same, empty, held, other = k, y, True, None, None, (None, None)
+            if same and y != first:
+                same, held = False, None
+            elif not same:
+                held = step(held, y, row)
+            empty, other = step(empty, y, row), step(other, y, row)
+        if len(done) >= 10_000:
+            yield out(done)
+            done = []
+    if key is not None:
+        done.append((key, part, first, same, empty, held, other))
+    if done:
+        yield out(done)
 
 
 def contradictions(df: DataFrame, key: Column, label: str) -> DataFrame:
@@ -92,13 +171,14 @@ def numbered(df: DataFrame, prefix: Column, *order: str) -> DataFrame:
     Rows are range-partitioned by prefix and order; a row's number is its place in its partition
     plus the rows of its prefix in earlier ones, so a prefix with very many rows is spread.
     """
-    rows = ranged(df.withColumn("__p", prefix), "__p", *order)
-    own = F.row_number().over(W.partitionBy("__part", "__p").orderBy(*order))
-    counts = rows.groupBy("__part", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    p, part, n, before, q, r = absent(df, "prefix_of", "part_of", "n_of", "before_of", "part_at", "prefix_at")
+    rows = ranged(df.withColumn(p, prefix), part, p, *order)
+    own = F.row_number().over(W.partitionBy(part, p).orderBy(*order))
+    counts = rows.groupBy(part, p).agg(F.count(F.lit(1)).alias(n))
     # A row for each prefix and partition.
-    before = counts.select(F.col("__part").alias("__q"), F.col("__p").alias("__r"), (F.sum("__n").over(W.partitionBy("__p").orderBy("__part")) - F.col("__n")).alias("__before"))
-    placed = rows.withColumn("__rn", own).join(before, (F.col("__part") == F.col("__q")) & F.col("__p").eqNullSafe(F.col("__r")))
-    return placed.withColumn("name", F.concat("__p", F.lit("_"), F.format_string("%04d", F.col("__before") + F.col("__rn")))).drop("__p", "__part", "__rn", "__q", "__r", "__before")
+    earlier = counts.select(F.col(part).alias(q), F.col(p).alias(r), (F.sum(n).over(W.partitionBy(p).orderBy(part)) - F.col(n)).alias(before))
+    placed = rows.withColumn(n, own).join(earlier, (F.col(part) == F.col(q)) & F.col(p).eqNullSafe(F.col(r)))
+    return placed.withColumn("name", F.concat(p, F.lit("_"), F.format_string("%04d", F.col(before) + F.col(n)))).drop(p, part, n, q, r, before)
 
 
 def readiness(df: DataFrame, label: str, key: Column, least: int) -> DataFrame:

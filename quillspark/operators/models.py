@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.session import absent
 
 
 def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
@@ -53,10 +54,11 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, sublinear:
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Adds weight n / (2 n_c), n_c the rows of the same class; a class table of any size is joined as the planner likes."""
+    one = absent(df, "class_of")[0]
     n = df.groupBy(label).count()
     total = n.agg(F.sum("count").alias("t"))
-    w = n.crossJoin(total).select(F.col(label).alias("__l"), (F.col("t") / (2 * F.col("count"))).alias("weight"))
-    return df.join(w, F.col(label).eqNullSafe(F.col("__l"))).drop("__l")
+    w = n.crossJoin(total).select(F.col(label).alias(one), (F.col("t") / (2 * F.col("count"))).alias("weight"))
+    return df.join(w, F.col(label).eqNullSafe(F.col(one))).drop(one)
 
 
 def text_pipeline(body: str = "text", label: str = "is_ai", words: int = 2, features: int = 20_000, least: int = 2, rows: int = 1000, c: float = 1.0, iterations: int = 100, stopwords: bool = False, chars: bool = False) -> Pipeline:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as lx
 from quillspark.functions import scores as sc
 from quillspark.functions import text as tx
+from quillspark.session import absent
 
 
 def exploded(df: DataFrame, key: str = "doc_id", body: str = "text", subject: str | None = None, most: int = lx.SEGMENTS) -> DataFrame:
@@ -15,23 +16,28 @@ def exploded(df: DataFrame, key: str = "doc_id", body: str = "text", subject: st
     parts = tx.segments(tx.nonnull(F.col(body)), most)
     # The number of segments is taken before the explode, not once more for each segment.
     rows = df.select(F.col(key), parts.alias("parts")).select(key, "parts", F.size("parts").alias("n")).select(key, F.posexplode("parts").alias("idx", "content"), "n")
-    rows = rows.select(key, "idx", F.when((F.col("idx") == F.col("n") - 1) & tx.has_sign_off(F.col("content")), "signature").otherwise("paragraph").alias("kind"), "content")
+    rows = rows.select(key, "idx", _kind(F.col("idx"), F.col("n"), F.col("content")).alias("kind"), "content")
     if subject:
         own = df.select(F.col(key), F.lit(-1).alias("idx"), F.lit("subject").alias("kind"), tx.strip(tx.nonnull(F.col(subject))).alias("content")).where("content <> ''")
         rows = rows.unionByName(own)
     return rows
 
 
+def _kind(idx: Column, n: Column, content: Column) -> Column:
+    return F.when((idx == n - 1) & tx.has_sign_off(content), "signature").otherwise("paragraph")
+
+
 def spans(df: DataFrame, key: str = "doc_id", body: str = "text", most: int = lx.SEGMENTS) -> DataFrame:
     """key, idx, content, start, end (code points) of each sentence-level or paragraph segment.
 
     A segment is found from the end of the one before it; both are in order of the text.
     """
+    t = absent(df, "span_text")[0]
     text = F.translate(F.substring(tx.nonnull(F.col(body)), 1, lx.SEMANTIC_CHARS), tx.MARK, " ")
     parts = tx.segments(F.col(body), most)
 
     def at(acc: Column, s: Column) -> Column:
-        return F.position(s, F.col("__t"), acc["at"])
+        return F.position(s, F.col(t), acc["at"])
 
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<content:string,start:int,end:int>>").alias("out"))
     found = F.aggregate(
@@ -39,7 +45,7 @@ def spans(df: DataFrame, key: str = "doc_id", body: str = "text", most: int = lx
         start,
         lambda acc, s: F.struct((at(acc, s) + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("content"), (at(acc, s) - 1).alias("start"), (at(acc, s) - 1 + F.length(s)).alias("end")))).alias("out")),
     )
-    return df.withColumn("__t", text).select(F.col(key), F.posexplode(found["out"]).alias("idx", "s")).select(key, "idx", "s.content", "s.start", "s.end")
+    return df.withColumn(t, text).select(F.col(key), F.posexplode(found["out"]).alias("idx", "s")).select(key, "idx", "s.content", "s.start", "s.end")
 
 
 def near_repeated(keys: Column) -> Column:
@@ -96,37 +102,48 @@ def rules(segments: DataFrame) -> DataFrame:
     return rows.withColumns({"sufficient": enough, "label": sc.semantic_label(F.col("score"), enough), "signals": signals}).drop("low", "sents", "lengths", "keys", "mean", "raw")
 
 
-def profile(segments: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each key: score, label, sufficient, segments, signals (distinct, in order, at most 12).
+def profile(segments: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys (doc_id if none is given): score, label, sufficient, segments, signals (distinct, in order, at most 12).
 
     Segments of a document stand in one partition after the explode, so the partial
     aggregation leaves one narrow row for each document before the shuffle.
     """
+    return _profile(segments, list(keys) or ["doc_id"], [])
+
+
+def _profile(segments: DataFrame, keys: list[str], along: list[str]) -> DataFrame:
+    """profile() with columns that are equal for all segments of the keys; a key without segments has one row with null content."""
     s = rules(segments)
     weight = F.when(F.col("sufficient"), F.greatest(F.sqrt(F.least(F.col("words"), F.lit(80))), F.lit(1.0)))
     weighted = F.sum(F.col("score") * weight) / F.sum(weight)
     highest = F.max(F.when(F.col("sufficient"), F.col("score")))
     seen = F.collect_list(F.when(F.size("signals") > 0, F.struct("idx", "signals")))
-    g = s.groupBy(key).agg(sc.clamp(F.coalesce(0.75 * weighted + 0.25 * highest, F.lit(0.0)), 0.0, 0.95).alias("score"), F.bool_or("sufficient").alias("sufficient"), F.count(F.lit(1)).alias("segments"), seen.alias("seen"))
+    g = s.groupBy(*keys).agg(sc.clamp(F.coalesce(0.75 * weighted + 0.25 * highest, F.lit(0.0)), 0.0, 0.95).alias("score"), F.bool_or("sufficient").alias("sufficient"), F.count("content").alias("segments"), seen.alias("seen"), *[F.any_value(c).alias(c) for c in along])
     signals = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort("seen"), lambda x: x["signals"]))), 1, 12)
-    return g.select(key, "score", sc.semantic_label(F.col("score"), F.col("sufficient")).alias("label"), "sufficient", "segments", signals.alias("signals"))
+    return g.select(*keys, *along, "score", sc.semantic_label(F.col("score"), F.coalesce("sufficient", F.lit(False))).alias("label"), "sufficient", "segments", signals.alias("signals"))
 
 
 def document_verdicts(docs: DataFrame, key: str = "doc_id", body: str = "text", models: DataFrame | None = None) -> DataFrame:
-    """key, base_score, semantic_score, score, label, verdict: the whole text path; with models also backend.
-
-    models (key, transformer, linear) has the scores of trained models, null where one has none.
-    A document's base score is the transformer's, else the linear model's, else that of the
-    keywords; only a model's score is raised by semantic evidence.  Without models every
-    document takes the keywords.
+    """key, base_score, semantic_score, score, label, verdict of each row: the whole text path; with models also backend.
+
+    models (key, transformer, linear) has the scores of trained models, null where one has none; of
+    several rows of one key the larger scores count.  A document's base score is the transformer's,
+    else the linear model's, else that of the keywords; only a model's score is raised by
+    semantic evidence.  Without models every document takes the keywords.  Rows that share a key,
+    or have none, are documents of their own: the segments of a row are put together by a number
+    of the row, and what is known of the row goes along with them.
     """
-    base = docs.select(F.col(key), tx.fallback_score(tx.mask(tx.nonnull(F.col(body)))).alias("base_score"), F.lit("keywords").alias("backend"))
+    text = tx.nonnull(F.col(body))
+    base = docs.select(F.col(key).alias("key"), tx.fallback_score(tx.mask(text)).alias("base_score"), F.lit("keywords").alias("backend"), tx.segments(text).alias("parts"))
     if models is not None:
-        scored = models.select(F.col(key), sc.valid_score(F.col("transformer")).alias("t"), sc.valid_score(F.col("linear")).alias("l"))
+        scored = models.groupBy(F.col(key).alias("key")).agg(F.max(sc.valid_score(F.col("transformer"))).alias("t"), F.max(sc.valid_score(F.col("linear"))).alias("l"))
         backend = F.when(F.col("t").isNotNull(), "transformer").when(F.col("l").isNotNull(), "linear").otherwise(F.col("backend"))
-        base = base.join(scored, key, "left").select(key, F.coalesce("t", "l", "base_score").alias("base_score"), backend.alias("backend"))
-    p = profile(exploded(docs, key, body), key).select(key, F.col("score").alias("semantic_score"), "label")
-    out = base.join(p, key, "left").withColumns({"semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "label": F.coalesce("label", F.lit("insufficient_context"))})
-    out = out.withColumn("score", sc.fuse(F.col("base_score"), F.col("semantic_score"), F.col("backend") != "keywords"))
+        base = base.join(scored, "key", "left").select("key", F.coalesce("t", "l", "base_score").alias("base_score"), backend.alias("backend"), "parts")
+    rows = base.withColumns({"rid": F.monotonically_increasing_id(), "n": F.size("parts")})
+    rows = rows.select("rid", "key", "base_score", "backend", "n", F.posexplode_outer("parts").alias("idx", "content"))
+    rows = rows.select("rid", "key", "base_score", "backend", "idx", _kind(F.col("idx"), F.col("n"), F.col("content")).alias("kind"), "content")
+    out = _profile(rows, ["rid"], ["key", "base_score", "backend"])
+    score = sc.fuse(F.col("base_score"), F.col("semantic_score"), F.col("backend") != "keywords")
+    out = out.select(F.col("key").alias(key), "base_score", "backend", F.col("score").alias("semantic_score"), "label").withColumn("score", score)
     out = out.withColumn("verdict", sc.verdict(F.col("score")))
     return out if models is not None else out.drop("backend")

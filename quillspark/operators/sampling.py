@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.session import ranged
+from quillspark.session import absent, ranged, row_hash
 
 
 def order_key(seed: int | str, *keys: str) -> Column:
@@ -22,56 +22,70 @@ def shuffled_sample(df: DataFrame, n: int, seed: int | str, *keys: str) -> DataF
     return df.orderBy(order_key(seed, *keys), *keys).limit(n)
 
 
-def exact_count(df: DataFrame, n: int) -> DataFrame:
-    """df, failing at run time if it has fewer than n rows."""
-    have = df.count()
-    if have < n:
-        raise ValueError(f"{have} rows, {n} wanted")
-    return df.limit(n)
+def exact_count(df: DataFrame, n: int, seed: int | str = 0, *keys: str) -> DataFrame:
+    """n rows in hash order of the keys (without any, of whole rows), an error at run time if there are fewer; reruns give the same rows."""
+    at = absent(df, "rows_there")[0]
+    have = df.groupBy().agg(F.count(F.lit(1)).alias(at)).select(F.assert_true(F.col(at) >= n, F.concat(F.col(at).cast("string"), F.lit(f" rows, {n} wanted"))).alias(at))
+    order = order_key(seed, *keys) if keys else F.sha2(F.concat(F.lit(f"{seed}|"), row_hash(df).cast("string")), 256)
+    # One row without content, so that the check runs with the query.
+    return df.orderBy(order, *keys, row_hash(df)).limit(n).crossJoin(F.broadcast(have)).where(F.col(at).isNull()).drop(at)
 
 
 def per_class(df: DataFrame, label: str, n: int, seed: int | str, *keys: str) -> DataFrame:
     """At most n rows of each class in hash order.  Spark keeps the first n of each class in
     every task before the shuffle (window group limit), so a large class costs no task more."""
+    rn = absent(df, "rank_of")[0]
     w = W.partitionBy(label).orderBy(order_key(seed, *keys), *keys)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= n).drop(rn)
 
 
 def split_labels(df: DataFrame, label: str, seed: int | str, key: str, stack: int = 150, calib: int = 120, test: int = 80) -> DataFrame:
     """Adds split: per class stack 20 %, calib and test 10 % each (at least 4, at most the caps), the rest base.
 
-    Only the bounded parts need an order: their union is a per-class top-n, which combines
-    before the shuffle, and the base is all that is left.
+    Only the bounded parts need an order: a per-class top-n, which combines before the shuffle,
+    gives the last place of each part, and every row is told its part by those places.  Rows that
+    share a key are told apart by a hash of all columns; rows equal in all columns go to one part.
     """
+    place, one = absent(df, "split_place", "split_label")
+    order = F.struct(order_key(seed, key).alias("o"), F.col(key).alias("k"), row_hash(df).alias("h"))
+    rows = df.withColumn(place, order)
     # A row for each class, however many there are: the planner chooses how to join it.
-    n = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
-    most = stack + calib + test
-    top = per_class(df.select(key, label), label, most, seed, key)
-    w = W.partitionBy(label).orderBy(order_key(seed, key), key)
-    ranked = top.withColumn("__rn", F.row_number().over(w)).join(n, F.col(label).eqNullSafe(F.col("__label")))
-    size = lambda share, cap: F.least(F.lit(cap), F.greatest(F.lit(4), F.round(F.col("__n") * share).cast("int")))
+    n = rows.groupBy(F.col(label).alias(one)).agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(label).orderBy(place)
+    top = rows.select(label, place).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= stack + calib + test)
+    ranked = top.join(n, F.col(label).eqNullSafe(F.col(one)))
+    size = lambda share, cap: F.least(F.lit(cap), F.greatest(F.lit(4), F.round(F.col("n") * share).cast("int")))
     s, c, t = size(0.2, stack), size(0.1, calib), size(0.1, test)
-    ranked = ranked.withColumn("split", F.when(F.col("__rn") <= s, "stack").when(F.col("__rn") <= s + c, "calib").when(F.col("__rn") <= s + c + t, "test"))
-    picked = ranked.where(F.col("split").isNotNull()).select(F.col(key).alias("__key"), "split")
-    return df.join(picked, df[key] == F.col("__key"), "left").drop("__key").withColumn("split", F.coalesce("split", F.lit("base")))
+    edges = {"stack": s, "calib": s + c, "test": s + c + t}
+    names = absent(rows, *(f"last_{e}" for e in edges))
+    last = ranked.groupBy(F.col(label).alias(one)).agg(*[F.max(F.when(F.col("rn") <= e, F.col(place))).alias(x) for x, e in zip(names, edges.values(), strict=True)])
+    out = rows.join(last, F.col(label).eqNullSafe(F.col(one)), "left")
+    part = F.lit("base")
+    for name, x in reversed(list(zip(edges, names, strict=True))):
+        part = F.when(F.col(place) <= F.col(x), name).otherwise(part)
+    return out.withColumn("split", part).drop(place, one, *names)
 
 
 def holdout(df: DataFrame, label: str, seed: int | str, key: str, share: float = 0.2) -> DataFrame:
-    """Adds held_out: the given share of each class by hash order; cells of the hash find the cut, so no class is sorted whole."""
+    """Adds held_out: the given share of each class by hash order; cells of the hash find the cut, so no class is sorted whole.
+
+    Rows that share a key are told apart by a hash of all columns; rows equal in all columns stay together.
+    """
+    place, cell, one, edge, need, last = absent(df, "hold_place", "hold_cell", "hold_label", "hold_edge", "hold_need", "hold_last")
     h = F.conv(F.substring(order_key(seed, key), 1, 8), 16, 10).cast("long")
-    keyed = df.withColumn("__h", h)
-    cell = F.floor(F.col("__h") / F.lit(1 << 20))
-    by_cell = keyed.groupBy(label, cell.alias("__c")).agg(F.count(F.lit(1)).alias("__m"))
-    w = W.partitionBy(label).orderBy("__c")
-    run = by_cell.withColumn("__upto", F.sum("__m").over(w)).withColumn("__all", F.sum("__m").over(W.partitionBy(label)))
-    want = F.round(F.col("__all") * share)
-    edge = run.where((F.col("__upto") >= want) & (F.col("__upto") - F.col("__m") < want)).select(F.col(label).alias("__label"), F.col("__c").alias("__edge"), (want - F.col("__upto") + F.col("__m")).cast("int").alias("__need"))
-    rows = keyed.withColumn("__c", cell).join(edge, F.col(label).eqNullSafe(F.col("__label")), "left")
-    inner = rows.where(F.col("__c") == F.col("__edge"))
-    rn = F.row_number().over(W.partitionBy(label).orderBy("__h", key))
-    inside = inner.withColumn("__rn", rn).where("__rn <= __need").select(F.col(key).alias("__k"))
-    out = rows.join(inside, rows[key] == F.col("__k"), "left")
-    return out.withColumn("held_out", F.coalesce((F.col("__c") < F.col("__edge")) | F.col("__k").isNotNull(), F.lit(False))).drop("__h", "__c", "__label", "__edge", "__need", "__k")
+    rows = df.withColumn(place, F.struct(h.alias("o"), F.col(key).alias("k"), row_hash(df).alias("h")))
+    rows = rows.withColumn(cell, F.floor(F.col(f"{place}.o") / F.lit(1 << 20)))
+    by_cell = rows.groupBy(label, cell).agg(F.count(F.lit(1)).alias("m"))
+    run = by_cell.withColumn("upto", F.sum("m").over(W.partitionBy(label).orderBy(cell))).withColumn("all", F.sum("m").over(W.partitionBy(label)))
+    want = F.round(F.col("all") * share)
+    cut = run.where((F.col("upto") >= want) & (F.col("upto") - F.col("m") < want)).select(F.col(label).alias(one), F.col(cell).alias(edge), (want - F.col("upto") + F.col("m")).cast("int").alias(need))
+    # Of the cell that holds the cut, the last place that is held out.
+    inner = rows.select(label, cell, place).join(cut, F.col(label).eqNullSafe(F.col(one)) & (F.col(cell) == F.col(edge)))
+    ranked = inner.withColumn("rn", F.row_number().over(W.partitionBy(label).orderBy(place))).where(F.col("rn") <= F.col(need))
+    ends = ranked.groupBy(F.col(label).alias(one)).agg(F.max(edge).alias(edge), F.max(place).alias(last))
+    out = rows.join(ends, F.col(label).eqNullSafe(F.col(one)), "left")
+    inside = (F.col(cell) < F.col(edge)) | ((F.col(cell) == F.col(edge)) & (F.col(place) <= F.col(last)))
+    return out.withColumn("held_out", F.coalesce(inside, F.lit(False))).drop(place, cell, one, edge, last)
 
 
 def pending(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -84,11 +98,12 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
 
     Positions come from range partitions and their sizes, not from one global window.
     """
-    part = ranged(df, *order)
-    counts = part.groupBy("__part").count()
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    local = part.withColumn("__rn", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    return local.join(F.broadcast(before), "__part").withColumn("batch", F.floor((F.col("__before") + F.col("__rn") - 1) / size).cast("long")).drop("__part", "__rn", "__before")
+    part, before, rn = absent(df, "part_of", "before_of", "place_of")
+    rows = ranged(df, part, *order)
+    counts = rows.groupBy(part).count()
+    earlier = counts.withColumn(before, F.coalesce(F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(part, before)
+    local = rows.withColumn(rn, F.row_number().over(W.partitionBy(part).orderBy(*order)))
+    return local.join(F.broadcast(earlier), part).withColumn("batch", F.floor((F.col(before) + F.col(rn) - 1) / size).cast("long")).drop(part, rn, before)
 
 
 def drawn(key: str, seed: str, options: list) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores as sc
+from quillspark.session import absent
 
 
 def centroids(df: DataFrame, vector: str, *keys: str, least: int = 3) -> DataFrame:
@@ -21,6 +22,7 @@ def centroids(df: DataFrame, vector: str, *keys: str, least: int = 3) -> DataFra
 
 def similarity(df: DataFrame, vector: str, centres: DataFrame, label: str, ai: int, human: int) -> DataFrame:
     """Adds similarity to df; centres has one row for each label, of which two are used."""
-    two = centres.where(F.col(label).isin(ai, human)).groupBy().agg(F.max_by("centroid", F.when(F.col(label) == ai, 1)).alias("__ai"), F.max_by("centroid", F.when(F.col(label) == human, 1)).alias("__human"))
-    d = df.crossJoin(F.broadcast(two))  # one row
-    return d.withColumn("similarity", sc.similarity_score(sc.normalised(F.col(vector)), F.col("__ai"), F.col("__human"))).drop("__ai", "__human")
+    one, two = absent(df, "centre_ai", "centre_human")
+    both = centres.where(F.col(label).isin(ai, human)).groupBy().agg(F.max_by("centroid", F.when(F.col(label) == ai, 1)).alias(one), F.max_by("centroid", F.when(F.col(label) == human, 1)).alias(two))
+    d = df.crossJoin(F.broadcast(both))  # one row
+    return d.withColumn("similarity", sc.similarity_score(sc.normalised(F.col(vector)), F.col(one), F.col(two))).drop(one, two)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as lx
 from quillspark.functions import scores as sc
 from quillspark.functions import text as tx
+from quillspark.session import absent
 
 
 def split(df: DataFrame, subject: str = "subject", body: str = "body") -> DataFrame:
@@ -17,23 +18,24 @@ def split(df: DataFrame, subject: str = "subject", body: str = "body") -> DataFr
     first sign-off within the last seven lines on, else the last of several blocks if it
     has at most four lines and a contact.
     """
+    flat_, first_, rest_, lines_, n_, hit_, blocks_, last_ = made = absent(df, *(f"zone_{x}_of" for x in ("flat", "first", "rest", "lines", "n", "hit", "blocks", "last")))
     lines = F.transform(F.split(F.replace(tx.nonnull(F.col(body)), F.lit("\r\n"), F.lit("\n")), "\n"), lambda s: F.rtrim(s, F.lit(tx.BLANKS)))
     flat = F.btrim(F.array_join(lines, "\n"), F.lit("\n"))
-    d = df.withColumn("__flat", flat).withColumn("__first", F.substring_index("__flat", "\n", 1))
-    greets = (F.length("__first") <= 120) & tx.strip(F.col("__first")).rlike(lx.GREETING_START)
-    d = d.withColumn("zone_greeting", F.when(greets, tx.strip(F.col("__first"))).otherwise(""))
-    rest = F.when(greets, F.ltrim(F.substring(F.col("__flat"), F.length("__first") + 1, F.length("__flat")), F.lit("\n"))).otherwise(F.col("__flat"))
-    d = d.withColumn("__rest", rest).withColumn("__lines", F.when(F.col("__rest") == "", F.array().cast("array<string>")).otherwise(F.split("__rest", "\n"))).withColumn("__n", F.size("__lines"))
-    tail = F.slice(F.col("__lines"), F.greatest(F.col("__n") - 6, F.lit(1)), F.lit(7))
+    d = df.withColumn(flat_, flat).withColumn(first_, F.substring_index(flat_, "\n", 1))
+    greets = (F.length(first_) <= 120) & tx.strip(F.col(first_)).rlike(lx.GREETING_START)
+    d = d.withColumn("zone_greeting", F.when(greets, tx.strip(F.col(first_))).otherwise(""))
+    rest = F.when(greets, F.ltrim(F.substring(F.col(flat_), F.length(first_) + 1, F.length(flat_)), F.lit("\n"))).otherwise(F.col(flat_))
+    d = d.withColumn(rest_, rest).withColumn(lines_, F.when(F.col(rest_) == "", F.array().cast("array<string>")).otherwise(F.split(rest_, "\n"))).withColumn(n_, F.size(lines_))
+    tail = F.slice(F.col(lines_), F.greatest(F.col(n_) - 6, F.lit(1)), F.lit(7))
     hit = F.array_position(F.transform(tail, lambda s: tx.strip(s).rlike(lx.SIGN_OFF_START)), F.lit(True)).cast("int")
-    d = d.withColumn("__hit", F.when(hit > 0, F.greatest(F.col("__n") - 6, F.lit(1)) + hit - 1).otherwise(0))
-    d = d.withColumn("__blocks", F.split("__rest", r"\n\s*\n")).withColumn("__last", tx.strip(F.element_at("__blocks", -1)))
-    contact = (F.col("__n") >= 3) & (F.size("__blocks") > 1) & (F.size(F.split("__last", "\n")) <= 4) & F.col("__last").rlike(lx.CONTACT)
-    signature = F.when(F.col("__hit") > 0, tx.strip(F.array_join(F.slice(F.col("__lines"), F.greatest("__hit", F.lit(1)), F.greatest("__n", F.lit(1))), "\n"))).when(contact, F.col("__last")).otherwise("")
-    kept = F.when(F.col("__hit") > 0, F.array_join(F.slice(F.col("__lines"), F.lit(1), F.greatest(F.col("__hit") - 1, F.lit(0))), "\n"))
-    kept = kept.when(contact, F.array_join(F.slice(F.col("__blocks"), F.lit(1), F.greatest(F.size("__blocks") - 1, F.lit(0))), "\n\n")).otherwise(F.col("__rest"))
+    d = d.withColumn(hit_, F.when(hit > 0, F.greatest(F.col(n_) - 6, F.lit(1)) + hit - 1).otherwise(0))
+    d = d.withColumn(blocks_, F.split(rest_, r"\n\s*\n")).withColumn(last_, tx.strip(F.element_at(blocks_, -1)))
+    contact = (F.col(n_) >= 3) & (F.size(blocks_) > 1) & (F.size(F.split(last_, "\n")) <= 4) & F.col(last_).rlike(lx.CONTACT)
+    signature = F.when(F.col(hit_) > 0, tx.strip(F.array_join(F.slice(F.col(lines_), F.greatest(hit_, F.lit(1)), F.greatest(n_, F.lit(1))), "\n"))).when(contact, F.col(last_)).otherwise("")
+    kept = F.when(F.col(hit_) > 0, F.array_join(F.slice(F.col(lines_), F.lit(1), F.greatest(F.col(hit_) - 1, F.lit(0))), "\n"))
+    kept = kept.when(contact, F.array_join(F.slice(F.col(blocks_), F.lit(1), F.greatest(F.size(blocks_) - 1, F.lit(0))), "\n\n")).otherwise(F.col(rest_))
     out = d.withColumns({"zone_subject": tx.strip(tx.nonnull(F.col(subject))), "zone_signature": signature, "zone_body": tx.strip(kept)})
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop(*made)
 
 
 def long_form(df: DataFrame, key: str) -> DataFrame:
@@ -67,11 +69,10 @@ def final_scores(zones: DataFrame, trees: DataFrame, key: str) -> DataFrame:
 def verdicts(finals: DataFrame, zones: DataFrame, thresholds: DataFrame, key: str, human_cut: Column, ai_cut: Column, embeddings_expected: bool = True) -> DataFrame:
     """key, final, verdict, flagged.  A lost embedding or zones that disagree make it uncertain.
 
-    thresholds: kind, threshold: one row for each kind at most; a kind with two is an error, as it would repeat the zones.
+    thresholds: kind, threshold: one row for each kind at most; a kind with two is an error when the result is computed, as it would repeat the zones.
     """
-    if thresholds.groupBy("kind").count().where("count > 1").limit(1).count():
-        raise ValueError("two thresholds for one kind")
-    z = zones.join(thresholds, "kind", "left").withColumn("label", sc.zone_label(F.col("no_llm"), F.col("threshold")))
+    one = F.when(F.assert_true(F.count(F.lit(1)) == 1, F.lit("two thresholds for one kind")).isNull(), F.max("threshold"))
+    z = zones.join(thresholds.groupBy("kind").agg(one.alias("threshold")), "kind", "left").withColumn("label", sc.zone_label(F.col("no_llm"), F.col("threshold")))
     g = z.groupBy(key).agg(F.bool_or(F.col("label") == "AI").alias("any_ai"), F.bool_or(F.col("label") == "HUMAN").alias("any_human"), F.bool_or(F.col("embedding").isNull()).alias("lost"), F.array_sort(F.collect_set(F.when(F.col("label") == "AI", F.col("kind")))).alias("flagged"))
     d = finals.join(g, key, "left")
     base = sc.three_way(F.col("final"), human_cut, ai_cut)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,24 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", nam
     )
 
 
-def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """df range-partitioned by order, with its partition as __part; written to the shared folder once.
+def absent(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of df has, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, which tells apart rows that are equal in the columns at hand; rows equal in it are equal rows."""
+    return F.xxhash64(*[df[c] if not kind.startswith(("map", "variant")) else F.to_json(df[c]) for c, kind in df.dtypes])
+
+
+def ranged(df: DataFrame, part: str, *order: str) -> DataFrame:
+    """df range-partitioned by order, with its partition in the column part; written to the shared folder once.
 
     Range bounds are drawn anew wherever a plan is run, so numbers that are put together from two
     readings of the partitions must both come from one written table.
@@ -31,7 +47,7 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillspark/ranged-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -42,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         found = context.getCheckpointDir()

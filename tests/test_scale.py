@@ -58,8 +58,8 @@ def test_large_lists_and_classes_are_not_cut(spark, monkeypatch):
     assert sorted((r["y"], r["weight"]) for r in three) == [(0, 2.0), (1, 1.0), (1, 1.0), (2, 2.0)]
     z = spark.createDataFrame([(1, "body", 0.5, 0.5)], "id int, kind string, no_llm double, embedding double")
     cuts = spark.createDataFrame([("body", 0.4), ("body", 0.6)], "kind string, threshold double")
-    with pytest.raises(ValueError, match="two thresholds"):
-        zones.verdicts(z.select("id", F.lit(0.5).alias("final")), z, cuts, "id", F.lit(0.4), F.lit(0.6))
+    with pytest.raises(Exception, match="two thresholds"):
+        zones.verdicts(z.select("id", F.lit(0.5).alias("final")), z, cuts, "id", F.lit(0.4), F.lit(0.6)).collect()
 
 
 def test_keys_repeated_within_one_append(spark, tmp_path):
