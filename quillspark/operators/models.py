@@ -1,20 +1,21 @@
 """TF-IDF tables, logistic regression and decision trees for the authorship models.
 
-TF-IDF is computed twice: as plain aggregates, which SQL can check, and as a Spark ML
-pipeline, which serves training.  Weights follow ln((1 + n) / (1 + df)) + 1 with unit length.
+TF-IDF is computed twice: as plain aggregates, and by the estimator in features, which serves
+training.  Weights follow ln((1 + n) / (1 + df)) + 1 with unit length; SQL checks both.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators.features import UNION, Branch, TextFeatures
 from quillspark.session import absent
 
 
@@ -61,33 +62,20 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(w, F.col(label).eqNullSafe(F.col(one))).drop(one)
 
 
-def text_pipeline(body: str = "text", label: str = "is_ai", words: int = 2, features: int = 20_000, least: int = 2, rows: int = 1000, c: float = 1.0, iterations: int = 100, stopwords: bool = False, chars: bool = False) -> Pipeline:
-    """Tokens, n-grams, counts, IDF, unit length, logistic regression with weights.
-
-    The vocabulary is hashed nowhere: CountVectorizer keeps the `features` most frequent terms
-    of at least `least` documents.  regParam 1 / (c * rows) equals an inverse strength of c.
-    """
-    pattern = tx.TOKEN.replace("\\", "\\\\").replace("'", "\\'")
-    stages: list = [SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower({body}), '{pattern}', 0) AS __t FROM __THIS__")]
-    source = "__t"
-    if stopwords:
-        stages.append(StopWordsRemover(inputCol="__t", outputCol="__s"))
-        source = "__s"
-    parts = []
-    for n in range(1, words + 1):
-        stages += [NGram(n=n, inputCol=source, outputCol=f"__n{n}"), CountVectorizer(inputCol=f"__n{n}", outputCol=f"__c{n}", vocabSize=features, minDF=least), IDF(inputCol=f"__c{n}", outputCol=f"__i{n}")]
-        parts.append(f"__i{n}")
-    if chars:
-        stages += [SQLTransformer(statement=f"SELECT *, transform(sequence(1, greatest(length({body}) - 3, 1)), i -> substring({body}, i, 4)) AS __g FROM __THIS__"), CountVectorizer(inputCol="__g", outputCol="__cg", vocabSize=features, minDF=least), IDF(inputCol="__cg", outputCol="__ig")]
-        parts.append("__ig")
-    stages += [VectorAssembler(inputCols=parts, outputCol="__v"), Normalizer(inputCol="__v", outputCol="features")]
-    stages.append(LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * max(rows, 1)), standardization=False, maxIter=iterations))
-    return Pipeline(stages=stages)
+def text_pipeline(body: str = "text", label: str = "is_ai", branches: tuple[Branch, ...] = UNION, rows: int = 1000, c: float = 1.0, iterations: int = 100) -> Pipeline:
+    """TF-IDF features by branches, then logistic regression with weights; regParam 1 / (c * rows) equals an inverse strength of c."""
+    features = TextFeatures(inputCol=body, outputCol="features", branches=branches)
+    return Pipeline(stages=[features, LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * max(rows, 1)), standardization=False, maxIter=iterations)])
+
+
+def chance() -> Column:
+    """The chance of class 1 in what a classifier adds."""
+    return vector_to_array("probability")[1]
 
 
 def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds score, the chance of class 1."""
-    out = model.transform(df).withColumn("score", F.round(vector_to_array("probability")[1], 4))
+    out = model.transform(df).withColumn("score", F.round(chance(), 4))
     return out.select(*df.columns, "score")
 
 

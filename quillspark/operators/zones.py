@@ -38,10 +38,10 @@ def split(df: DataFrame, subject: str = "subject", body: str = "body") -> DataFr
     return out.drop(*made)
 
 
-def long_form(df: DataFrame, key: str) -> DataFrame:
-    """key, kind, text of each zone that isn't blank."""
+def long_form(df: DataFrame, key: str, *along: str) -> DataFrame:
+    """key, the columns that go along, kind, text of each zone that isn't blank."""
     zones = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"zone_{k}").alias("text")) for k in lx.KINDS])
-    return df.select(key, F.inline(F.filter(zones, lambda z: tx.strip(z["text"]) != "")))
+    return df.select(key, *along, F.inline(F.filter(zones, lambda z: tx.strip(z["text"]) != "")))
 
 
 def means(zones: DataFrame) -> DataFrame:

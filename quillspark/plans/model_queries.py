@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import features as ft
 from quillspark.operators import models as md
 from quillspark.operators import zones as zn
 from quillspark.plans.corpus_queries import TURNS, turns
@@ -47,8 +48,8 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out scores of the text model: words of 1 to 3 without stopwords, 20,000 features for each length, 1,000 iterations at most."""
-    held, _ = md.evaluate_then_refit(turns(spark, sf_dir), "msg_id", "is_ai", words=3, features=20_000, iterations=1000, stopwords=True)
+    """Held-out scores of the text model: words of 1 to 3 without stopwords, 20,000 features in all, 1,000 iterations at most."""
+    held, _ = md.evaluate_then_refit(turns(spark, sf_dir), "msg_id", "is_ai", branches=ft.baseline(ft.english_stopwords()), iterations=1000)
     return held.select("msg_id", "is_ai", "score")
 
 

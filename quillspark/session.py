@@ -51,6 +51,45 @@ def ranged(df: DataFrame, part: str, *order: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that lineage ends on storage that outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with this text unless it is there; it is renamed into place, so nobody reads half of it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    fs.mkdirs(at.getParent())
+    aside = hadoop.Path(at.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    plain = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.makeQualified(at).toUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(at), plain)
+    except Exception:
+        fs.delete(aside, False)
+        # Another writer was first; any other failure goes on.
+        if not fs.exists(at):
+            raise
+        return False
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one for a local session and an error for a cluster."""
     import tempfile

@@ -11,6 +11,7 @@ from quillspark.operators import decision as dc
 from quillspark.operators import dedupe as dd
 from quillspark.operators import metrics as mt
 from quillspark.operators import models as md
+from quillspark.operators.features import Branch
 from quillspark.operators import remote as rm
 from quillspark.operators import sampling as sp
 from quillspark.sources import files, sinks
@@ -178,7 +179,7 @@ def test_settings():
 
 def test_artefacts(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"word{i % 2} common text here", i % 2) for i in range(24)], "i long, text string, is_ai int")
-    held, model = md.evaluate_then_refit(rows, "i", "is_ai", features=50, iterations=5)
+    held, model = md.evaluate_then_refit(rows, "i", "is_ai", branches=(Branch(limit=50),), iterations=5)
     assert held.count() == 4
     sinks.save_artefacts(str(tmp_path / "m"), model, metrics=spark.createDataFrame([(1.0,)], "auc double"))
     back = sinks.load_artefacts(spark, str(tmp_path / "m"), "metrics")

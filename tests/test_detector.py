@@ -1,0 +1,247 @@
+"""The detector: features against SQL, the chain against the same steps by hand, and the registry."""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.functions import lexicon as lx
+from quillspark.operators import detector as dt
+from quillspark.operators import features as ft
+from quillspark.operators import models as md
+from quillspark.operators import zones as zn
+from quillspark.plans import detector_queries as dq
+from quillspark.plans import registry as queries
+from quillspark.session import read_text
+from quillspark.sources import registry
+
+TEXTS = ["The cat sat on the mat", "the dog sat", "A   cat\n\nand a Dog", "Été à Paris, été à Nice", "", None, "x", "cat cat cat dog", "ÉTÉ ete"]
+
+
+def frame(spark, texts=TEXTS):
+    return spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+
+def plain_rows(texts, branches):
+    """Vectors by plain loops: vocabulary of each branch by total and term, weights, unit length."""
+    out = [{} for _ in texts]
+    for k, b in enumerate(branches):
+        own = [Counter(ft.grams(t or "", b)) for t in texts]
+        total, df = Counter(), Counter()
+        for c in own:
+            total.update(c)
+            df.update(c.keys())
+        kept = sorted((t for t in total if df[t] >= b.least), key=lambda t: (-total[t], t))[: b.limit]
+        for row, c in zip(out, own, strict=True):
+            w = {t: ((1 + math.log(c[t])) if b.sublinear else c[t]) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t in kept if t in c}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            row |= {(k, t): x / norm for t, x in w.items()}
+    return out
+
+
+BRANCHES = (ft.Branch(hi=3, limit=12, least=1, accents=False, stopwords=("the", "on")), ft.Branch(kind="char", lo=2, hi=3, limit=20), ft.Branch(limit=30, least=1, sublinear=False, pattern=r"\w+"))
+
+
+def test_features_against_plain_loops(spark, tmp_path):
+    d = frame(spark)
+    model = ft.TextFeatures(branches=BRANCHES).fit(d)
+    names = [(k, t) for k, own in enumerate(model.terms) for t in own]
+    assert [len(x) for x in model.terms[:2]] == [12, 20] and len(names) == model.size
+    want = plain_rows(TEXTS, BRANCHES)
+    for m in (model, saved(model, str(tmp_path / "m"))):
+        for r in m.transform(d).collect():
+            got = {names[i]: v for i, v in zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)}
+            assert got == pytest.approx(want[r["i"]]) and r["features"].size == model.size
+    # Accents go where they should.
+    assert any("é" in t for k, t in names if k == 2) and not any("é" in t for k, t in names if k == 0)
+
+
+def saved(model, path):
+    model.write().save(path)
+    back = ft.TextFeaturesModel.read().load(path)
+    assert (back.terms, back.of(), back.getInputCol()) == (model.terms, model.of(), model.getInputCol())
+    return back
+
+
+def test_one_limit_for_all_lengths_against_sql(spark, duck, data):
+    """The baseline's vocabulary, with stopwords, is the top of the union of its lengths."""
+    stop = ft.english_stopwords()
+    rows = [tuple(r) for r in queries.QUERIES["baseline_vocab"](spark, data).collect()]
+    words = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains([" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop) + "], w))"
+    sql = f"""WITH {dq.TURNS}, a AS (SELECT msg_id, {words} AS t FROM turns),
+      g AS (SELECT msg_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term FROM a),
+      c AS (SELECT msg_id, term, count(*) AS tf FROM g GROUP BY 1, 2)
+      SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 20000"""
+    assert sorted(rows) == sorted(duck.sql(sql).fetchall()) and len(rows) > 100
+    few = ft.term_table(dq.turns(spark, data), "text", (ft.Branch(hi=3, limit=77, stopwords=stop),)).collect()
+    assert sorted(r["term"] for r in few) == sorted(t for t, _, n in sorted(rows, key=lambda x: (-x[2], x[0]))[:77])
+
+
+def corpus(n=160):
+    """Mails of two ways to write, with greetings and signatures in some."""
+    import random
+
+    r = random.Random(4)
+    kinds = ["garden rose tulip spade soil water".split(), "kernel buffer thread cache lock queue".split()]
+    rows = []
+    for i in range(n):
+        y = i % 2
+        words = [r.choice(kinds[y] if r.random() < 0.7 else kinds[1 - y]) for _ in range(30)]
+        body = " ".join(words) + "."
+        body = ("Dear all,\n\n" if i % 3 == 0 else "") + body + ("\n\nBest regards,\nAnna" if i % 5 == 0 else "")
+        rows.append((i, f"{r.choice(kinds[y])} news", body, y))
+    return rows
+
+
+def raw_of(subject, body):
+    return f"Subject: {subject}\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n{body}".encode()
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rows = corpus()
+    raw = spark.createDataFrame([(i, raw_of(s, b), y) for i, s, b, y in rows], "msg_id int, raw binary, is_ai int").repartition(4)
+    mails = dt.read(raw)
+    labels = raw.select(F.col("msg_id").alias("key"), "is_ai")
+    zones = zn.long_form(zn.split(mails), "rid")
+    # Embeddings lean to the class; signatures have none.
+    lean = F.when(F.col("text").rlike("kernel|buffer|thread"), 1.0).otherwise(0.0)
+    embeddings = zones.where("kind <> 'signature'").select(dt.zone_key().alias("text_key"), F.array(lean, 1.0 - lean, F.lit(0.2)).alias("embedding")).distinct()
+    semantic = zones.select("kind", "text").distinct().where("NOT text LIKE 'Dear%'").select(dt.zone_key().alias("text_key"), F.when(F.col("text").rlike("lock|queue|cache"), 0.8).otherwise(0.3).alias("score"))
+    embeddings, semantic = (spark.createDataFrame(d.collect(), d.schema) for d in (embeddings, semantic))
+    detector, report = dt.train(mails.join(labels, "key"), embeddings=embeddings, semantic=semantic, iterations=50)
+    return mails, detector, report, embeddings, semantic
+
+
+def by_hand(mails, detector, embeddings, semantic):
+    """Verdicts by plain loops over the zones."""
+    model, out = detector.text, {}
+    emb = {r["text_key"]: r["embedding"] for r in embeddings.collect()} if embeddings is not None else {}
+    sem = {r["text_key"]: r["score"] for r in semantic.collect()} if semantic is not None else {}
+    rows = {}
+    for r in zn.long_form(zn.split(mails), "rid").withColumn("k", dt.zone_key()).collect():
+        rows.setdefault(r["rid"], {})[r["kind"]] = (r["text"], r["k"])
+    terms = {t: i for i, t in enumerate(model.features.terms[0])}
+    mean = lambda x: sum(v for v in x if v is not None) / len([v for v in x if v is not None]) if any(v is not None for v in x) else None
+    tree = {}
+    feats = []
+    scored = {}
+    for rid, zones in rows.items():
+        z = {}
+        for kind, (text, key) in zones.items():
+            words = re.findall(r"\w+", text.lower())
+            found = Counter(g for g in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] if g in terms)
+            w = {terms[g]: (1 + math.log(n)) * model.features.idf[0][terms[g]] for g, n in found.items()}
+            norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+            tf = 1 / (1 + math.exp(-(sum(v / norm * model.weights[i] for i, v in w.items()) + model.intercept)))
+            e = None
+            wants = (kind, 0) in detector.centroids and (kind, 1) in detector.centroids
+            if wants and key in emb:
+                v = np.array(emb[key]) / np.linalg.norm(emb[key])
+                gap = 8 * (v @ detector.centroids[kind, 1] - v @ detector.centroids[kind, 0])
+                e = 1 / (1 + math.exp(-max(-50, min(50, gap))))
+            z[kind] = {"tfidf": tf, "embedding": e, "semantic": sem.get(key), "wants": wants, "no_llm": mean([tf, e]), "with_llm": mean([tf, e, sem.get(key)])}
+        scored[rid] = z
+        no = [z[k]["no_llm"] if k in z else None for k in lx.KINDS]
+        feats.append((rid, *[x or 0.0 for x in no], *[float(k in z) for k in lx.KINDS], mean(no), mean([z[k]["tfidf"] for k in z])))
+    d = mails.sparkSession.createDataFrame(feats, "rid long, " + ", ".join(f"{c} double" for c in md.TREE_INPUTS))
+    tree = {r["rid"]: r["t"] for r in detector.tree.transform(d).select("rid", md.chance().alias("t")).collect()}
+    for m in mails.collect():
+        z = scored.get(m["rid"])
+        if not z:
+            out[m["rid"]] = (None, "UNCERTAIN", [], ["empty_message"])
+            continue
+        mode = "with_llm" if "with_llm" in detector.engine and all(x["semantic"] is not None for x in z.values()) else "no_llm"
+        final = (mean([x[mode] for x in z.values()]) + tree[m["rid"]]) / 2
+        cuts, flagged, labels = detector.engine[mode], [], set()
+        for kind in lx.KINDS:
+            if kind in z:
+                own = "with_llm" if mode == "with_llm" and z[kind]["semantic"] is not None else "no_llm"
+                cut = detector.zone_cuts.get((kind, own))
+                if cut is not None:
+                    labels.add("AI" if z[kind][own] >= cut else "HUMAN")
+                    flagged += [kind] if z[kind][own] >= cut else []
+        verdict = "HUMAN" if final < cuts["human_cut"] else "AI" if final >= cuts["ai_cut"] else "UNCERTAIN"
+        notes = []
+        lost = any(x["wants"] and x["embedding"] is None for x in z.values())
+        if lost:
+            verdict, notes = "UNCERTAIN", ["embedding missing"]
+        elif len(labels) == 2 and verdict != "UNCERTAIN":
+            verdict, notes = "UNCERTAIN", ["zones disagree"]
+        out[m["rid"]] = (round(final, 5), verdict, flagged, notes)
+    return out
+
+
+@pytest.mark.parametrize("given", ["both", "embeddings", "semantic", "none"])
+def test_chain_against_the_same_steps_by_hand(spark, trained, given):
+    mails, detector, _, embeddings, semantic = trained
+    empty = dt.read(spark.createDataFrame([(900, b"Subject: \r\n\r\n\r\n"), (901, b"Subject: only\r\n\r\n"), (901, b"Subject: garden rose\r\n\r\nDear all,\n\nkernel buffer lock queue thread cache."), (None, b"\xff\xfe broken")], "msg_id int, raw binary"))
+    for m in (mails, empty):
+        e, s = embeddings if given in ("both", "embeddings") else None, semantic if given in ("both", "semantic") else None
+        found = dt.detect(m, detector, e, s)
+        want = Counter(repr(x) for x in by_hand(m, detector, e, s).values())
+        got = [(r["final"], r["verdict"], list(r["flagged"]), list(r["warnings"])) for r in found.collect()]
+        assert Counter(map(repr, got)) == want and found.count() == m.count()
+    assert set(detector.engine) == {"no_llm", "with_llm"} and detector.dimension == 3
+
+
+def test_training_parts_are_apart_and_the_report_is_good(trained):
+    _, detector, report, _, _ = trained
+    rows = {r["mode"]: r for r in report.collect()}
+    assert set(rows) == set(detector.engine)
+    r = rows["no_llm"]
+    assert r["auc"] > 0.95 and r["n_test"] == r["tp"] + r["tn"] + r["fp"] + r["fn"] and r["balanced_accuracy"] > 0.8
+    assert all(c["human_cut"] <= c["ai_cut"] for c in detector.engine.values()) and ("body", "no_llm") in detector.zone_cuts
+
+
+def test_mail_verdict_query(spark, data):
+    got = queries.QUERIES["mail_verdict"](spark, data).collect()
+    n = dq.labelled_mail(spark, data).count()
+    assert len(got) == n and {r["verdict"] for r in got} <= {"AI", "HUMAN", "UNCERTAIN"} and all(0 <= r["final"] <= 1 for r in got)
+    mails, detector, _ = dq._trained(spark, data)
+    want = by_hand(mails, detector, None, None)
+    keys = {r["rid"]: r["key"] for r in mails.collect()}
+    assert {(r["msg_id"], r["final"], r["verdict"], r["flagged"]) for r in got} == {(keys[k], f, v, ",".join(g)) for k, (f, v, g, _) in want.items()}
+
+
+def test_registry_gives_back_what_was_published(spark, trained, tmp_path):
+    mails, detector, _, embeddings, semantic = trained
+    path = str(tmp_path / "models")
+    with pytest.raises(RuntimeError, match="artefact missing"):
+        registry.predictor(spark, path)
+    assert registry.publish(spark, path, detector) == 1 and registry.publish(spark, path, detector) == 2
+    assert registry.versions(spark, path) == [1, 2]
+    back = registry.predictor(spark, path)
+    assert back is registry.predictor(spark, path, 2) and back is not registry.predictor(spark, path, 1)
+    one, two = (sorted(map(repr, dt.detect(mails, d, embeddings, semantic).collect())) for d in (detector, back))
+    assert one == two
+    assert registry.load(spark, path, 1, dimension=3).centroids == detector.centroids
+    with pytest.raises(registry.Mismatch, match="5 dimensions"):
+        registry.load(spark, path, dimension=5)
+    with pytest.raises(RuntimeError, match="artefact missing: version 7"):
+        registry.load(spark, path, 7)
+
+
+@pytest.mark.parametrize(("change", "what"), [({"terms": 3}, "terms"), ({"format": 99}, "format"), ({"kinds": ["body"]}, "zones"), ({"tree_inputs": ["a"]}, "tree"), ({"dimension": 8}, "dimensions"), ({"modes": ["no_llm"]}, "modes"), ({"place": "parts/none"}, "artefact missing")])
+def test_registry_refuses_what_does_not_fit(spark, trained, tmp_path, change, what):
+    path = str(tmp_path / "models")
+    registry.publish(spark, path, trained[1])
+    at = f"{path}/manifests/00000001.json"
+    manifest = json.loads(read_text(spark, at)) | change
+    (tmp_path / "models" / "manifests" / "00000002.json").write_text(json.dumps(manifest))
+    with pytest.raises(RuntimeError, match=what):
+        registry.load(spark, path)
+    assert registry.load(spark, path, 1).engine
+
+
+def test_too_few_labels(spark):
+    raw = spark.createDataFrame([(i, raw_of("s", f"word{i % 2} text"), i % 2) for i in range(6)], "msg_id int, raw binary, is_ai int")
+    mails = dt.read(raw).join(raw.select(F.col("msg_id").alias("key"), "is_ai"), "key")
+    with pytest.raises(Exception):  # noqa: B017  no row is left for some part
+        dt.train(mails)

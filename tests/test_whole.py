@@ -106,7 +106,9 @@ def test_text_model_has_the_surveyed_sizes(spark, monkeypatch):
     monkeypatch.setattr(md, "text_pipeline", lambda **o: seen.append(o) or whole(**o))
     rows = registry.QUERIES["logreg_scores"](spark, SMALL).collect()
     assert rows and all(0 <= r["score"] <= 1 for r in rows)
-    assert seen and all((o["words"], o["features"], o["iterations"], o["stopwords"]) == (3, 20_000, 1000, True) for o in seen)
+    assert seen and all(o["iterations"] == 1000 and len(o["branches"]) == 1 for o in seen)
+    branch = seen[0]["branches"][0]
+    assert (branch.kind, branch.lo, branch.hi, branch.limit, branch.least, branch.sublinear) == ("word", 1, 3, 20_000, 2, False) and "the" in branch.stopwords
 
 
 def sha(t: str) -> str:
