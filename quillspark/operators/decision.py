@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +89,44 @@ def with_cache(jobs: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Dat
     return hit, hit.where("value IS NULL").select(key).distinct()
 
 
-#: Phrases that every task may hold.
+#: Phrases of one automaton; a longer list is cut into so many parts by hash.
 MOST_PHRASES = 100_000
 
 
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, key: str, body: str) -> DataFrame:
-    """key, group, hits: phrases of each group that occur in the lower-cased text.
+    """key, group, hits: phrases of each group that occur in the lower-cased text; rows that share a key are one.
 
-    lexicon (group, phrase) is a word list, so it is broadcast; one of more than MOST_PHRASES rows is an error.
+    An automaton of the distinct phrases finds all of them in one pass over a text.  A list of
+    over MOST_PHRASES is cut into parts by hash, each an automaton of its own over the same texts,
+    so what a task holds is bounded and no list is too long.  An empty phrase is in every text, a
+    null one in none, and null texts have none at all.
     """
-    if lexicon.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
-        raise ValueError(f"a lexicon of over {MOST_PHRASES} phrases")
-    texts = df.select(F.col(key), F.lower(body).alias("__low"))
-    hits = texts.join(F.broadcast(lexicon), F.contains("__low", F.col("phrase")))
-    return hits.groupBy(key, "group").agg(F.count_distinct("phrase").alias("hits"))
+    phrases = lexicon.where(F.col("phrase").isNotNull()).select("group", "phrase").distinct()
+    texts = df.where(F.col(body).isNotNull()).select(F.col(key), F.lower(body).alias("low"))
+    parts = max(1, -(-phrases.select("phrase").distinct().count() // MOST_PHRASES))
+    found = None
+    for i in range(parts):
+        # At most about MOST_PHRASES rows.
+        own = sorted(r["phrase"] for r in phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i).select("phrase").distinct().collect())
+        hits = texts.select(key, F.explode(_occurring(own)(F.col("low"))).alias("phrase"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(phrases, "phrase").groupBy(key, "group").agg(F.count_distinct("phrase").alias("hits"))
+
+
+def _occurring(phrases: list[str]):
+    """Column function: the distinct phrases that occur in a text."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p in phrases:
+            if p:
+                machine.add_word(p, p)
+        machine.make_automaton()
+        always = ["" for p in phrases if not p]
+        search = machine.iter if len(machine) else lambda _: ()
+        return pd.Series([[*always, *{p for _, p in search(t)}] for t in s])
+
+    return run

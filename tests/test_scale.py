@@ -48,10 +48,8 @@ def test_numbers_past_9999(spark):
 def test_large_lists_and_classes_are_not_cut(spark, monkeypatch):
     d = spark.createDataFrame([(1, "some words")], "k int, t string")
     monkeypatch.setattr(decision, "MOST_PHRASES", 3)
-    words = lambda n: spark.createDataFrame([("g", f"w{i}") for i in range(n)], "group string, phrase string")
-    assert decision.lexicon_matches(d, words(3), "k", "t").count() == 0
-    with pytest.raises(ValueError, match="over 3"):
-        decision.lexicon_matches(d, words(4), "k", "t")
+    words = spark.createDataFrame([("g", w) for w in "so me word s wor ds x y z".split()] + [("h", "me"), (None, "e w"), ("h", ""), ("h", None), ("g", "so")], "group string, phrase string")
+    assert {(r["group"], r["hits"]) for r in decision.lexicon_matches(d, words, "k", "t").collect()} == {("g", 6), ("h", 2), (None, 1)}
     rows = spark.createDataFrame([(i, i % 1500) for i in range(15_000)], "k int, y int")
     assert sampling.split_labels(rows, "y", 1, "k").where("split = 'stack'").select("y").distinct().count() == 1500
     three = models.balanced(spark.createDataFrame([(0,), (1,), (1,), (2,)], "y int"), "y").collect()
@@ -152,3 +150,73 @@ def test_char_grams_of_wide_characters(spark):
     texts = ["", "a", "ab", "abc", "漢字😀é", "😀😀😀😀😀"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", models.char_grams(F.col("t"), 2, 3).alias("g")).collect()
     assert {r["t"]: sorted(r["g"]) for r in got} == {t: sorted(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)) for t in texts}
+
+
+def test_lexicon_against_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    phrases = [("".join(r.choice("ab c") for _ in range(r.randint(0, 5)))) for _ in range(300)]
+    lexicon = [(r.choice(["x", "y", None]), p) for p in phrases]
+    texts = [(r.choice([1, 2, None, i]), "".join(r.choice("AabBc  ") for _ in range(r.randint(0, 60)))) for i in range(80)] + [(900, None), (901, "")]
+    want: dict = {}
+    for k, t in texts:
+        for g, p in lexicon:
+            if t is not None and p in t.lower():
+                want.setdefault((k, g), set()).add(p)
+    d = spark.createDataFrame(texts, "k int, t string").repartition(3)
+    for most in (100_000, 40):
+        monkeypatch.setattr(decision, "MOST_PHRASES", most)
+        got = decision.lexicon_matches(d, spark.createDataFrame(lexicon, "group string, phrase string"), "k", "t").collect()
+        assert {(x["k"], x["group"]): x["hits"] for x in got} == {k: len(v) for k, v in want.items()}
+    monkeypatch.setattr(decision, "MOST_PHRASES", 100_000)
+    assert decision.lexicon_matches(d, spark.createDataFrame([], "group string, phrase string"), "k", "t").count() == 0
+
+
+def test_a_long_lexicon_is_quick(spark):
+    lexicon = spark.range(150_000).select((F.col("id") % 7).cast("string").alias("group"), F.concat(F.lit("p"), F.hex("id"), F.lit("q")).alias("phrase"))
+    d = spark.range(2000).select("id", F.concat(F.lit("some text with P"), F.hex("id"), F.lit("Q in it")).alias("t"))
+    began = time.perf_counter()
+    # Phrases of capital digits are not in a lower-cased text; decimal ones are.
+    assert decision.lexicon_matches(d, lexicon.withColumn("phrase", F.lower("phrase")), "id", "t").count() == 2000
+    assert time.perf_counter() - began < 40
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_curves_in_any_number_of_partitions(spark, parts):
+    """Thresholds, quantiles and AUC by group, null group too, against plain loops; no window without the partition."""
+    import random
+    import statistics
+
+    from quillspark.operators import metrics
+
+    r = random.Random(parts)
+    rows = [(g, y, round(min(1.0, max(0.0, r.random() * 0.6 + 0.3 * y)), r.choice([1, 2, 6]))) for g in ("a", "b", None) for y in (r.choice([0, 1]) for _ in range(150))] + [("c", 1, 0.5)] * 4 + [("d", 0, None)]
+    d = spark.createDataFrame(rows, "g string, y int, s double").repartition(4)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        cuts = {x["g"]: (x["cut"], x["j"]) for x in metrics.youden_cut(d, "y", "s", "g").collect()}
+        engine = {x["g"]: x for x in metrics.engine_thresholds(d, "y", "s", "g").collect()}
+        auc = {x["g"]: x["auc"] for x in metrics.roc_auc(d, "y", "s", "g").collect()}
+        assert set(cuts) == set(engine) == {"a", "b", None} and set(auc) == {"a", "b", None, "c"} and auc["c"] is None
+        for g in ("a", "b", None):
+            own = [(s, y) for x, y, s in rows if x == g]
+            pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+            assert auc[g] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg), abs=2e-6)
+            u = sorted({s for s, _ in own})
+            tries = [max(0.0, u[0] - 1e-6), *((x + y) / 2 for x, y in zip(u, u[1:], strict=False)), min(1.0, u[-1] + 1e-6)]
+            js = [sum(p >= c for p in pos) / len(pos) - sum(n >= c for n in neg) / len(neg) for c in tries]
+            best = statistics.median(c for c, j in zip(tries, js, strict=True) if abs(j - max(js)) < 1e-10)
+            assert cuts[g] == (pytest.approx(best, abs=2e-5), pytest.approx(max(js), abs=2e-4))
+            import numpy as np
+
+            human, ai = np.quantile(neg, 0.9), np.quantile(pos, 0.1)
+            gap = min(0.15, max(0.025, 0.15 * (ai - human)))
+            lo, hi = max(human, cuts[g][0] - gap), min(ai, cuts[g][0] + gap)
+            want = (lo, hi) if human < ai and lo < hi else (max(0.0, cuts[g][0] - 0.025), min(1.0, cuts[g][0] + 0.025))
+            assert (engine[g]["human_cut"], engine[g]["ai_cut"]) == pytest.approx(want, abs=2e-5)
+        whole = metrics.roc_auc(d, "y", "s").collect()
+        assert len(whole) == 1 and len(metrics.engine_thresholds(d, "y", "s").collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
