@@ -166,3 +166,14 @@ KINDS = ("subject", "greeting", "body", "signature")
 SEMANTIC_CHARS, SEGMENTS, PREVIEW, LEAST_WORDS = 100_000, 50, 500, 8
 RAW_MAIL_BYTES, ZONE_MAIL_BYTES, IMAGE_BYTES, IMAGES = 25 * 1024 * 1024, 5 * 1024 * 1024, 6 * 1024 * 1024, 8
 NEAR_SENTENCES, NEAR_JACCARD = 40, 0.82
+
+# What a generation task draws from.
+TASK_LISTS = {
+    "topic": ("changing a meeting time", "clarifying a previous request", "project updates", "asking for help with a technical issue", "planning a visit", "sending a reminder", "asking a colleague a question", "inviting a friend", "following up on a purchase", "explaining a delay", "discussing classwork", "coordinating travel", "responding to a complaint", "sharing event details", "asking for feedback", "requesting a document", "organizing a group activity", "reporting a small problem", "apologizing for a mix-up", "giving informal advice", "rescheduling a call", "asking for clarification about deadlines", "replying about an appointment", "thanking a teammate", "describing a weekend plan", "chatting about hobbies", "arranging a delivery", "requesting information about a service"),
+    "style": ("warm and informal", "direct and practical", "somewhat rushed", "polite and professional", "very short sentences", "slightly disorganized", "friendly with colloquialisms", "matter-of-fact", "chatty", "reserved", "casual but respectful", "straight to the point"),
+    "role": ("student", "colleague", "team lead", "customer", "classmate", "neighbor", "family friend", "volunteer", "organizer", "support agent", "club member", "freelancer", "community member"),
+    "recipient": ("a close friend", "a professor", "a coworker", "a small group", "a new client", "an acquaintance", "a teammate", "a service provider", "a project manager", "a neighbor"),
+    "detail": ("a last-minute complication", "a misread calendar entry", "a missing attachment", "a slight disagreement", "a suggested alternative", "a tight deadline", "an unexpectedly good outcome", "a practical concern", "an update after an earlier reply", "a small favor", "an unclear instruction", "a conflicting commitment", "a follow-up after two days", "a time-sensitive change", "a helpful suggestion", "an unfinished task", "a travel disruption", "a change in priorities", "an unanticipated expense", "a small technical issue"),
+    "format": ("with a greeting but no signature", "with a short sign-off", "without a greeting", "with ordinary paragraph breaks", "as a reply to an earlier conversation", "with a subject and a single paragraph"),
+}
+TASK_WORDS = (45, 250)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicon as lx
 from quillspark.functions import scores as sc
 from quillspark.functions import text as tx
 from quillspark.operators import dedupe as dd
+from quillspark.operators import generation as gn
 from quillspark.operators import metrics as mt
 from quillspark.operators import sampling as sp
-from quillspark.plans.sql import key_sql
+from quillspark.plans.sql import key_sql, quoted
 from quillspark.plans.text_queries import table
 
 
@@ -102,14 +104,35 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
-STYLES = ["warm and informal", "direct and practical", "somewhat rushed", "polite and professional", "chatty", "reserved"]
-FORMATS = ["with a greeting but no signature", "with a short sign-off", "without a greeting"]
+def task_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generation task for each document id: one of each list by hash, and a length drawn from those of the human turns."""
+    human = turns(spark, sf_dir).where("is_ai = 0")
+    return gn.tasks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", gn.length_cdf(human, "text"))
 
 
-def task_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generation task for each document id: style and format by hash, length from the corpus's own lengths within [45, 250]."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(45), F.least(F.lit(250), tx.space_word_count(F.col("text")))).cast("long").alias("words"))
-    return d.select("doc_id", sp.drawn("doc_id", "style", STYLES).alias("style"), sp.drawn("doc_id", "format", FORMATS).alias("format"), "words")
+TEMPLATES = {
+    "service notice": ("Dear customer, your request {n} was registered.", "Please note that your plan ends in {d} days, {company}.", "We inform you that order {n} has left our store."),
+    "service fraud": ("Your account closes in {d} hours, confirm it with {company}.", "A payment to {company} failed, case {n}: act within {d} hours.", "To claim prize {n} confirm who you are.", "We saw an unusual login, see case {n}."),
+    "personal note": ("Hi! Can you check file {n} before lunch?", "Meet at {company} in {d} hours?", "Please bring the {d} keys.", "Parcel {n} came, thanks!", "Call me."),
+    "personal fraud": ("Earn {n} a day from home, write to me!!!", "{company} gives {n} to everyone who answers in {d} hours"),
+}
+SLOTS = {"n": tuple(str(100 + 37 * i) for i in range(40)), "d": ("3", "7", "12", "14", "24", "48", "72"), "company": ("the bank", "the shop", "the service desk", "the market", "Online Ltd")}
+
+
+def slot_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text from slotted templates for each document id."""
+    return gn.expanded(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", TEMPLATES, SLOTS)
+
+
+def contradiction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each source and first word taken in order, whose labels contradict often: what is held at the end."""
+    t = turns(spark, sf_dir).withColumn("first", F.regexp_extract(F.lower("text"), r"^(\S{0,2})", 1))
+    return dd.fold_contradictions(t, F.concat_ws("|", "source", "first"), "is_ai", "msg_id").select("msg_id", "is_ai", "source")
+
+
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 documents, or an error; the same ones in every run."""
+    return sp.exact_count(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "exact", "doc_id")
 
 
 def row_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +192,7 @@ def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy("is_ai").agg(F.round(F.percentile("score", F.lit(0.9)), 6).alias("q90"), F.round(F.percentile("score", F.lit(0.1)), 6).alias("q10"), F.round(F.median("score"), 6).alias("q50"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_keep_first, contradictory_labels, contradiction_dedupe, class_length_profile, confound_report, source_crosstab, split_leak_check, benchmark_contamination, stratified_split, holdout_split, per_class_sample, review_sample, resume_anti_join, batch_plan, task_plan, row_numbering, readiness_gate, provenance_check, schema_tolerant_union, missing_labels, youden_cut, engine_thresholds, roc_auc, confusion_matrix, evaluation_report, classification_report, decision_flags, score_quantiles)}
+QUERIES = {f.__name__: f for f in (dedupe_keep_first, contradictory_labels, contradiction_dedupe, class_length_profile, confound_report, source_crosstab, split_leak_check, benchmark_contamination, stratified_split, holdout_split, per_class_sample, review_sample, resume_anti_join, batch_plan, task_plan, slot_templates, contradiction_fold, exact_sample, row_numbering, readiness_gate, provenance_check, schema_tolerant_union, missing_labels, youden_cut, engine_thresholds, roc_auc, confusion_matrix, evaluation_report, classification_report, decision_flags, score_quantiles)}
 
 _KEYED = f"{TURNS}, k AS (SELECT *, sha256({key_sql('text')}) AS key FROM turns)"
 _HELD = lambda seed: f"{_KEYED}, h AS (SELECT *, row_number() OVER (PARTITION BY is_ai ORDER BY ('0x' || substr({order_sql(seed, 'msg_id')}, 1, 8))::BIGINT, msg_id) <= round(count(*) OVER (PARTITION BY is_ai) * 0.2) AS held_out FROM k)"
@@ -187,6 +210,37 @@ y AS (SELECT source, round(median(c), 5) AS cut, round(max(j), 4) AS j FROM b WH
 _R = lambda a, b: f"round(coalesce(({a}) / nullif({b}, 0), 0.0), 6)"
 _CONF = "count(*) FILTER (is_ai = 0 AND NOT z) AS tn, count(*) FILTER (is_ai = 0 AND z) AS fp, count(*) FILTER (is_ai = 1 AND NOT z) AS fn, count(*) FILTER (is_ai = 1 AND z) AS tp"
 
+
+
+def _options(values) -> str:
+    return "[" + ", ".join(quoted(v) for v in values) + "]"
+
+
+def _hash(seed: str) -> str:
+    return f"('0x' || substr({order_sql(seed, 'doc_id')}, 1, 12))::BIGINT"
+
+
+_TASKS_SQL = f"""WITH {TURNS}, w AS (SELECT greatest(45, least(250, len(regexp_extract_all(text, '\\S+')))) AS words FROM turns WHERE is_ai = 0 AND len(regexp_extract_all(text, '\\S+')) > 0),
+  c AS (SELECT words, sum(count(*)) OVER (ORDER BY words)::BIGINT AS upto, sum(count(*)) OVER ()::BIGINT AS total FROM w GROUP BY 1)
+  SELECT doc_id, """ + ", ".join(f"({_options(v)})[{_hash(k)} % {len(v)} + 1] AS {k}" for k, v in lx.TASK_LISTS.items()) + f""",
+  (SELECT min(words) FROM c WHERE {_hash('words')} % total < upto)::BIGINT AS words FROM documents"""
+
+
+def _rounds(values, place: str, seed: str) -> str:
+    """generation.in_rounds in SQL."""
+    return f"(list_sort(list_transform({_options(values)}, lambda o: {{'h': sha256('{seed}|' || ({place} // {len(values)}) || '|' || o), 'o': o}})))[{place} % {len(values)} + 1].o"
+
+
+def _slotted() -> str:
+    n = len(TEMPLATES)
+    text = "CASE doc_id % " + str(n) + " " + " ".join(f"WHEN {i} THEN {_rounds(v, f'(doc_id // {n})', f'template-{k}')}" for i, (k, v) in enumerate(TEMPLATES.items())) + " END"
+    for k, v in SLOTS.items():
+        text = f"replace({text}, '{{{k}}}', {_rounds(v, 'doc_id', f'template-{k}')})"
+    return f"SELECT doc_id, ({_options(TEMPLATES)})[doc_id % {n} + 1] AS kind, {text} AS text FROM documents"
+
+
+_TEMPLATES_SQL = _slotted()
+
 ORACLES = {
     "dedupe_keep_first": f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {key_sql('text')} ORDER BY doc_id) = 1",
     "contradictory_labels": f"WITH {_KEYED} SELECT key, count(*) AS n FROM k GROUP BY 1 HAVING min(is_ai) <> max(is_ai)",
@@ -210,7 +264,13 @@ ORACLES = {
     "review_sample": f"SELECT doc_id, substring(text, 1, 450) AS preview, regexp_matches(text, '(?i)unsubscribe|newsletter|automatic|noreply|no-reply|do not reply|mailing list|notification|license')::BIGINT AS possible_automation FROM documents ORDER BY {order_sql('986', 'doc_id')}, doc_id LIMIT 50",
     "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "batch_plan": "SELECT batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch FROM documents) GROUP BY 1",
-    "task_plan": f"SELECT doc_id, ({STYLES!r})[('0x' || substr({order_sql('style', 'doc_id')}, 1, 12))::BIGINT % {len(STYLES)} + 1] AS style, ({FORMATS!r})[('0x' || substr({order_sql('format', 'doc_id')}, 1, 12))::BIGINT % {len(FORMATS)} + 1] AS format, greatest(45, least(250, len(regexp_extract_all(text, '\\S+'))))::BIGINT AS words FROM documents",
+    "task_plan": _TASKS_SQL,
+    "slot_templates": _TEMPLATES_SQL,
+    "contradiction_fold": f"""WITH {TURNS}, t AS (SELECT *, source || '|' || regexp_extract(lower(text), '^(\\S{{0,2}})', 1) AS k FROM turns),
+      s AS (SELECT k, list(is_ai ORDER BY msg_id) AS y, list(msg_id ORDER BY msg_id) AS id, any_value(source) AS source FROM t GROUP BY 1),
+      f AS (SELECT *, list_reduce(list_prepend(0, list_transform(range(1, len(y) + 1), lambda i: i)), lambda held, i: CASE WHEN held = 0 THEN i WHEN y[held] <> y[i] THEN 0 ELSE held END) AS held FROM s)
+      SELECT id[held] AS msg_id, y[held] AS is_ai, source FROM f WHERE held > 0""",
+    "exact_sample": f"SELECT doc_id, lang FROM documents ORDER BY {order_sql('exact', 'doc_id')}, doc_id LIMIT 100",
     "row_numbering": "SELECT doc_id, lang || '_' || format('{:04d}', row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS name FROM documents",
     "readiness_gate": f"WITH {_KEYED}, p AS (SELECT key, count(*) AS n, count(*) FILTER (is_ai = 0) AS n0, count(*) FILTER (is_ai = 1) AS n1 FROM k GROUP BY 1), g AS (SELECT sum(n0)::BIGINT AS human, sum(n1)::BIGINT AS ai, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n0 > 0 AND n1 > 0) AS contradictory FROM p) SELECT *, human >= 20 AND ai >= 20 AND repeated = 0 AND contradictory = 0 AS ready FROM g",
     "provenance_check": f"WITH {TURNS} SELECT source, bool_or(NOT starts_with(source, 'conv3')) AS unexpected, count(*) AS n FROM turns WHERE is_ai = 1 GROUP BY 1",

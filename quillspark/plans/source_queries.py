@@ -14,6 +14,7 @@ from quillspark.plans.sql import key_sql, strip_sql
 from quillspark.plans.text_queries import table
 from quillspark.session import shared_folder
 from quillspark.sources import files, sinks
+from quillspark.sources import images as im
 from quillspark.sources import mail as ml
 from quillspark.streaming import verdicts as sv
 
@@ -81,9 +82,69 @@ def first_answer_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("msg_id", "is_ai", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (csv_roundtrip, labelled_corpus, resumed_append, json_report, remote_signals, text_as_mail, event_windows, first_answer_sample)}
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: tar archives of mails of about 20 documents each, below folders of spam and ham; every fifth one breaks off."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            group, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = []
+            for g, own in zip(group, docs, strict=True):
+                held = io.BytesIO()
+                with tarfile.open(fileobj=held, mode="w") as t:
+                    for d in sorted(own, key=lambda x: x["doc_id"]):
+                        text = (d["text"] or "").encode()
+                        body = b"Subject: " + str(d["doc_id"]).encode() + b'\r\nContent-Type: text/plain; charset="utf-8"\r\n\r\n' + text
+                        info = tarfile.TarInfo(f"{'spam_x' if d['doc_id'] % 2 else 'easy_ham'}/{d['doc_id']}")
+                        info.size = len(body)
+                        t.addfile(info, io.BytesIO(body))
+                out.append(held.getvalue()[: 512 + 7] if g % 5 == 0 else held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"archives/{g}.tar" for g in group]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    d = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 20)).cast("long").alias("g"), F.struct("doc_id", "text").alias("d"))
+    return d.groupBy("g").agg(F.collect_list("d").alias("docs")).mapInArrow(run, "path string, content binary")
+
+
+def archived_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of tar archives with labels by folder; archives that break off, and mails without text, are rows with an error."""
+    m = files.members_of(_archives(spark, sf_dir), 1 << 30).withColumn("path", F.concat_ws("/", "archive", "member"))
+    t = files.labelled_mail(m.select("path", "raw", "error"))
+    return t.select("path", "label", "subject", F.sha2(tx.strip(F.col("text")), 256).alias("text_sha256"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def image_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of four types, whose headers give sizes by doc_id, with the document's text behind them; some are refused."""
+    i = F.col("doc_id")
+    hexa = lambda c, n: F.lpad(F.hex(c), n, "0")
+    swap = lambda c: F.concat(F.substring(hexa(c, 4), 3, 2), F.substring(hexa(c, 4), 1, 2))
+    w, h = i % 7000, i % 5003 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexa(w, 8), hexa(h, 8))
+    gif = F.concat(F.lit("474946383961"), swap(w), swap(h))
+    jpeg = F.concat(F.lit("FFD8FFE000040102FFC0001108"), hexa(h, 4), hexa(w, 4))
+    webp = F.concat(F.lit("524946460000000057454250565038200000000000000000"[:40]), F.lit("0000009D012A"), swap(w), swap(h))
+    kind = i % 6
+    head = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, jpeg).when(kind == 3, webp).when(kind == 4, F.lit("00"))
+    mime = F.when(kind == 0, "image/PNG").when(kind == 1, "image/gif").when(kind == 5, F.when(i % 4 == 1, "text/plain").otherwise("image/png")).otherwise("image/jpeg")
+    content = F.concat(F.unhex(head), F.encode("text", "utf-8"))
+    d = table(spark, sf_dir, "documents").select("doc_id", im.upload_gate(mime, F.when(kind == 5, F.lit(b"")).otherwise(content)).alias("g"))
+    return d.select("doc_id", F.col("g.status").cast("long").alias("status"), "g.reason", "g.kind", F.col("g.width").cast("long").alias("width"), F.col("g.height").cast("long").alias("height"))
+
+
+QUERIES = {f.__name__: f for f in (archived_mail, image_uploads, csv_roundtrip, labelled_corpus, resumed_append, json_report, remote_signals, text_as_mail, event_windows, first_answer_sample)}
 
 ORACLES = {
+    "archived_mail": f"""WITH d AS (SELECT *, doc_id // 20 AS g, {strip_sql("regexp_replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10), 'g')")} AS t FROM documents)
+      SELECT 'archives/' || g || '.tar/' || CASE WHEN doc_id % 2 = 1 THEN 'spam_x' ELSE 'easy_ham' END || '/' || doc_id AS path, (doc_id % 2)::INT AS label, doc_id::VARCHAR AS subject, CASE WHEN t <> '' THEN sha256(t) END AS text_sha256, CASE WHEN t = '' THEN 'no text' END AS error FROM d WHERE g % 5 <> 0
+      UNION ALL SELECT DISTINCT 'archives/' || g || '.tar', NULL::INT, '', NULL, 'archive failed' FROM d WHERE g % 5 = 0""",
+    "image_uploads": """WITH d AS (SELECT doc_id, doc_id % 6 AS k, doc_id % 7000 AS w, doc_id % 5003 + 1 AS h FROM documents),
+      s AS (SELECT *, CASE WHEN k = 5 AND doc_id % 4 = 1 THEN 'unsupported type' WHEN k = 5 THEN 'empty image' WHEN k = 4 THEN 'not an image' WHEN w = 0 THEN 'image without pixels' WHEN w * h > 20000000 THEN 'too many pixels' END AS reason FROM d)
+      SELECT doc_id, (CASE WHEN reason IS NULL THEN 200 WHEN reason = 'unsupported type' THEN 415 ELSE 400 END)::BIGINT AS status, reason, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/webp' END AS kind,
+        CASE WHEN k < 4 THEN w END AS width, CASE WHEN k < 4 THEN h END AS height FROM s""",
     "csv_roundtrip": "SELECT doc_id, lang AS label, sha256('say \"x\", ' || chr(10) || text) AS text_sha256 FROM documents",
     "labelled_corpus": f"WITH {TURNS} SELECT is_ai, count(*) AS n, sum(length(text))::BIGINT AS chars FROM turns WHERE msg_id % 11 <> 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1",
     "resumed_append": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",

@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,37 +68,87 @@ def numeric_label(c: Column) -> Column:
     return F.coalesce(c.try_cast("int"), F.lit(0))
 
 
-def mail_folder(spark: SparkSession, path: str) -> DataFrame:
-    """path, raw, is_ai of .eml files below human/ (0) and ai/ (1); the size limit is checked before content is read on."""
+def mail_folder(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """path, raw, is_ai of .eml files below human/ (0) and ai/ (1), by path if ordered; the size limit is checked before content is read on."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eml").load(path)
     label = F.when(F.col("path").rlike(r"/human/"), 0).when(F.col("path").rlike(r"/ai/"), 1)
-    return d.where(F.col("length") <= lx.RAW_MAIL_BYTES).select("path", F.col("content").alias("raw"), label.alias("is_ai")).where("is_ai IS NOT NULL")
+    out = d.where(F.col("length") <= lx.RAW_MAIL_BYTES).select("path", F.col("content").alias("raw"), label.alias("is_ai")).where("is_ai IS NOT NULL")
+    return out.orderBy("path") if ordered else out
+
+
+def folder_label(path: Column) -> Column:
+    """1 below a folder whose name has spam, 0 below one with ham; spam is tested first; null elsewhere."""
+    parent = F.lower(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+    return F.when(F.contains(parent, F.lit("spam")), 1).when(F.contains(parent, F.lit("ham")), 0)
 
 
 def spam_folder(spark: SparkSession, path: str) -> DataFrame:
-    """path, raw, label: 1 below a folder whose name has spam, 0 below one with ham; spam is tested first."""
+    """path, raw, label: all files below folders of spam and ham."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    parent = F.lower(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-    label = F.when(F.contains(parent, F.lit("spam")), 1).when(F.contains(parent, F.lit("ham")), 0)
-    return d.select("path", F.col("content").alias("raw"), label.alias("label"), F.lit(0).alias("ai_assisted")).where("label IS NOT NULL")
+    return d.select("path", F.col("content").alias("raw"), folder_label(F.col("path")).alias("label"), F.lit(0).alias("ai_assisted")).where("label IS NOT NULL")
 
 
-def archive_members(spark: SparkSession, path: str, most_archive: int = 15 << 20, most_member: int = 500_000) -> DataFrame:
-    """archive, member, raw of the files in tar archives; oversized archives and members are skipped.
+def labelled_mail(mails: DataFrame) -> DataFrame:
+    """path, label, subject, text, error of mails (path, raw and maybe error) below folders of spam and ham.
+
+    The text is the plain part, else that of the HTML part.  What can't be read is a row with an
+    error and without text, and so is a mail without text; what lies in other folders is no row.
+    """
+    from quillspark.sources import mail as ml
+
+    known = F.col("error") if "error" in mails.columns else F.lit(None).cast("string")
+    d = mails.select("path", folder_label(F.col("path")).alias("label"), known.alias("known"), ml.preferred(F.col("raw")).alias("m"))
+    blank = tx.strip(F.col("m.body")) == ""
+    error = F.coalesce("known", F.when(blank, "no text"))
+    d = d.where(F.col("label").isNotNull() | F.col("known").isNotNull())
+    return d.select("path", "label", "m.subject", F.when(error.isNull(), F.col("m.body")).alias("text"), error.alias("error"))
+
+
+def members_of(archives: DataFrame, most_member: int = 500_000) -> DataFrame:
+    """archive, member, raw, error of the files in tar archives (path, content); oversized members are left out.
 
-    Members are streamed out one at a time, so a task holds one archive and one member.
+    Members are streamed out, a few at a time, so a task holds one archive and these.  An archive
+    that can't be read, or breaks off, gives the members before that and a row with an error.
     """
+    names = ["archive", "member", "raw", "error"]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                for m in tar:
+                    if m.isfile() and m.size <= most_member:
+                        yield name, m.name.encode("utf-8", "replace").decode(), tar.extractfile(m).read(), None
+        except Exception as e:  # noqa: BLE001  broken archives fail in many ways
+            yield name, None, None, f"archive failed: {type(e).__name__}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.size <= most_member:
-                            yield pd.DataFrame({"archive": [name], "member": [m.name], "raw": [tar.extractfile(m).read()]})
-
-    d = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_archive)
-    return d.select("path", "content").mapInPandas(run, "archive string, member string, raw binary")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in rows(name, content or b""):
+                    held.append(row)
+                    size += len(row[2] or b"")
+                    if size >= 1 << 22 or len(held) >= 1000:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    return archives.select("path", "content").mapInArrow(run, "archive string, member string, raw binary, error string")
+
+
+def archive_members(spark: SparkSession, path: str, most_archive: int = 15 << 20, most_member: int = 500_000) -> DataFrame:
+    """members_of() for tar files; an archive beyond the size limit is a row with an error and is not read."""
+    d = spark.read.format("binaryFile").load(path)
+    none = F.lit(None)
+    large = d.where(F.col("length") > most_archive).select(F.col("path").alias("archive"), none.cast("string").alias("member"), none.cast("binary").alias("raw"), F.lit("archive too large").alias("error"))
+    return members_of(d.where(F.col("length") <= most_archive), most_member).unionByName(large)
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

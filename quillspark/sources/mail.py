@@ -447,3 +447,13 @@ def preferred_body(raw: bytes) -> tuple[str, str]:
         return sound(str(m.get("subject", "")).strip()), sound(text)
     except Exception:  # noqa: BLE001  an unreadable mail is an empty one here
         return "", ""
+
+
+def preferred(c: Column) -> Column:
+    """struct<subject, body> of preferred_body()."""
+
+    @F.pandas_udf(_struct(subject=_S, body=_S))
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([preferred_body(bytes(x)) if x is not None else ("", "") for x in s], columns=["subject", "body"])
+
+    return run(c)
