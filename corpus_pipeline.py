@@ -5,7 +5,7 @@ Parquet and read again as the next one's docs.  All but the last return the colu
 documents.  Counted as part of the subpackage quillspark.llm.
 
 Each stage works on all rows its predecessor kept.  Null and empty texts: the classifier scores
-them as the labelled rows' share of label 1, exact dedup keeps one of them, near dedup leaves
+them as the labelled rows' share of label 1 (without any labelled row it keeps all documents), exact dedup keeps one of them, near dedup leaves
 them alone, the mix leaves them out, since they cost no words.  Very long texts go through every
 stage whole; packing cuts them into sequences.  Rows that repeat a doc_id, or have none, are told
 apart by their texts; repeated rows are equal texts, of which one stays.  Ties are broken by

@@ -210,8 +210,13 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """Rows of docs whose score reaches cut, all columns as they were; filtered where they are read, without a join."""
+    """Rows of docs whose score reaches cut, all columns as they were; filtered where they are read, without a join.
+
+    Without any labelled row nothing is known against a document, and all stay.
+    """
     model = fit(docs, labels)
+    if model.shift == 0.0 and not model.weight.any():
+        return docs
     weight, shift, at = model.weight.astype(np.float64), model.shift, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,3 +144,10 @@ def test_grams_stay_within_words():
     kinds = [len(b) for _, b in q._features(s)]
     # Two words, a pair of words, two pairs of characters, no longer runs.
     assert kinds == [2, 1, 2, 0, 0]
+
+
+def test_without_labels_all_documents_stay(spark, edge):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(edge, none).count() == edge.count()
+    unlabelled = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(edge, unlabelled).count() == edge.count()
