@@ -148,6 +148,6 @@ def test_grams_stay_within_words():
 
 def test_without_labels_all_documents_stay(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.keep_good(edge, none).count() == edge.count()
+    assert q.keep_good(edge, none).count() == edge.count()
     unlabelled = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")
-    assert quality.keep_good(edge, unlabelled).count() == edge.count()
+    assert q.keep_good(edge, unlabelled).count() == edge.count()
