@@ -9,7 +9,9 @@ that the index knows from an earlier batch is a duplicate of the document named
 A batch that is sent again, after a crash at any point or because its answer was lost, gets
 its first answer: digests that the index holds under the batch's own name are its own, and
 only those that are still missing are appended.  The number of buckets stands beside the
-index, so that it is opened as it was written.
+index, so that it is opened as it was written.  Each batch adds a file to every bucket it has
+digests for; compact() merges them into one sorted file a bucket.  One writer at a time: two that
+append at once may both find a digest missing.
 
 Defined cases: null text counts as empty; null doc_id is smaller than any other; rows that
 repeat both doc_id and text are equal texts like any others, and exactly one of them is
@@ -27,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text, scratch, settled, staged
+from quillspark.llm.common import absent, documents, exists, hadoop_fs, id_text, remove, scratch, settled, staged
 
 #: At most so many digests count as heavy, since each has over 1/HEAVY of all rows.
 HEAVY = 2000
@@ -61,7 +63,8 @@ class DigestIndex:
         self.table = f"digest_index_{uuid.uuid4().hex}"
         self.known = exists(spark, self.note)
         if self.known:
-            self.buckets = json.loads(self._noted())["buckets"]
+            note = json.loads(self._noted())
+            self.buckets, self.rows = note["buckets"], f"{self.path}/{note.get('rows', 'rows')}"
             self._declare()
 
     def _noted(self) -> str:
@@ -81,13 +84,46 @@ class DigestIndex:
         """Fixes the number of buckets, before any row is written, and notes it beside the rows."""
         if self.buckets is None:
             self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, -(-expected // PER_BUCKET) - 1).bit_length()))
-        fs, at = hadoop_fs(self.spark, self.note)
-        stream = fs.create(at, False)
-        stream.write(bytearray(json.dumps({"buckets": self.buckets}).encode()))
-        stream.close()
+        self._note({"buckets": self.buckets}, False)
         self._declare()
         self.known = True
 
+    def files(self) -> int:
+        """How many files the index has."""
+        fs, at = hadoop_fs(self.spark, self.rows)
+        return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(at)) if fs.exists(at) else 0
+
+    def compact(self) -> bool:
+        """Writes every bucket as one sorted file; False if that is what there is.
+
+        The new rows stand beside the old ones until the note names them, so a crash on the way leaves
+        the index as it was; the old rows are deleted last.
+        """
+        if not self.known or self.files() <= self.buckets:
+            return False
+        old, new = self.rows, f"rows-{uuid.uuid4().hex}"
+        # As plain files: the planner takes a bucketed table for dealt out already, and leaves the repartition out.
+        rows, was = self.spark.read.schema("digest binary, keep_id long, batch string").parquet(old), self.table
+        self.rows, self.table = f"{self.path}/{new}", f"digest_index_{uuid.uuid4().hex}"
+        self._declare()
+        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+        self._note({"buckets": self.buckets, "rows": new}, True)
+        self.spark.sql(f"DROP TABLE {was}")
+        remove(self.spark, old)
+        self.spark.catalog.refreshTable(self.table)
+        return True
+
+    def close(self) -> None:
+        """Takes the index out of the session's catalog; its files stay."""
+        if self.known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def _note(self, note: dict, again: bool) -> None:
+        fs, at = hadoop_fs(self.spark, self.note)
+        stream = fs.create(at, again)
+        stream.write(bytearray(json.dumps(note).encode()))
+        stream.close()
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table) if self.known else self.spark.createDataFrame([], "digest binary, keep_id long, batch string")
 

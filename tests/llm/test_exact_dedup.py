@@ -154,3 +154,46 @@ def test_heavy_digests(spark, monkeypatch):
 def test_no_python_in_plan(docs, spark):
     plan = e.dedup(docs, e.DigestIndex(spark, scratch(spark, "t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_compaction_leaves_one_sorted_file_a_bucket(spark, docs):
+    """After several batches; answers stay, other sessions open what is there, and old files go."""
+    path = scratch(spark, "index")
+    index = e.DigestIndex(spark, path, buckets=4)
+    parts = [docs.where(f"doc_id % 5 = {i}") for i in range(5)]
+    before = [sorted(map(tuple, e.dedup(d, index, batch=str(i)).drop("rid").collect())) for i, d in enumerate(parts)]
+    held = sorted((bytes(r["digest"]), r["keep_id"], r["batch"]) for r in index.read().collect())
+    assert index.files() > 4 and index.compact() and not index.compact()
+    assert index.files() <= 4 and sorted((bytes(r["digest"]), r["keep_id"], r["batch"]) for r in index.read().collect()) == held
+    plan = index.read().select("digest").hint("merge").join(index.read().select("digest"), "digest")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    other = e.DigestIndex(spark, path)
+    assert other.buckets == 4 and sorted(bytes(r["digest"]) for r in other.read().collect()) == [d for d, _, _ in held]
+    # A batch that is sent again gets its first answer; a new one goes on.
+    for i, d in enumerate(parts):
+        assert sorted(map(tuple, e.dedup(d, other, batch=str(i)).drop("rid").collect())) == before[i]
+    assert not any(r["kept"] for r in e.dedup(docs, other, batch="more").collect())
+    fs, at = e.hadoop_fs(spark, path)
+    assert sum(f.getPath().getName().startswith("rows") for f in fs.listStatus(at)) == 1
+    name = other.table
+    other.close()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_a_crash_before_the_note_leaves_the_index(spark, docs, monkeypatch):
+    path = scratch(spark, "index")
+    index = e.DigestIndex(spark, path, buckets=2)
+    for i in range(3):
+        e.dedup(docs.where(f"doc_id % 3 = {i}"), index, batch=str(i))
+    held = sorted(bytes(r["digest"]) for r in index.read().collect())
+
+    def crash(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(e.DigestIndex, "_note", crash)
+    with pytest.raises(OSError, match="gone"):
+        index.compact()
+    monkeypatch.undo()
+    again = e.DigestIndex(spark, path)
+    assert sorted(bytes(r["digest"]) for r in again.read().collect()) == held and again.compact()
+    assert sorted(bytes(r["digest"]) for r in e.DigestIndex(spark, path).read().collect()) == held
