@@ -153,8 +153,16 @@ def overlap(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> DataFra
     return a.select(key_a.alias("key")).distinct().join(b.select(key_b.alias("key")), "key", "left_semi")
 
 
+#: Runs of words that are sent to all tasks, 24 bytes each; more are joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
 def shared_passages(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """doc_id, item_id, shared: distinct runs of `words` words that a document has in common with an item."""
+    """doc_id, item_id, shared: distinct runs of `words` words that a document has in common with an item.
+
+    The items' runs are counted first: where they are few, every document meets them in its own
+    task and only what it shares is shuffled.
+    """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         t = df.select(F.col(key), F.regexp_extract_all(F.lower(tx.nonnull(F.col("text"))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
@@ -162,6 +170,8 @@ def shared_passages(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFr
         return t.where(F.size("w") >= words).select(key, F.explode(F.array_distinct(g)).alias("g"))
 
     wanted = grams(items, "item_id")
+    if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
     return grams(docs, "doc_id").join(wanted, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 

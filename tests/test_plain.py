@@ -93,3 +93,25 @@ def test_tree_scores(spark, data):
     want = {r["msg_id"]: round(chance(root, [float(r[c]) for c in md.TREE_INPUTS]), 4) for r in f.collect()}
     got = {r["msg_id"]: r["score"] for r in registry.QUERIES["tree_scores"](spark, data).collect()}
     assert got == pytest.approx(want, abs=1e-4) and len(set(got.values())) > 1
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_shared_passages_sent_or_shuffled(spark, data, monkeypatch, most):
+    from quillspark.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "MOST_SENT", most)
+    d, b = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    runs = defaultdict(set)
+    for r in b.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").lower())
+        for i in range(len(w) - 7):
+            runs[" ".join(w[i : i + 8])].add(r["item_id"])
+    want = defaultdict(int)
+    for r in d.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"].lower())
+        for g in {" ".join(w[i : i + 8]) for i in range(len(w) - 7)}:
+            for item in runs.get(g, ()):
+                want[r["doc_id"], item] += 1
+    found = dedupe.shared_passages(d, b)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) or not most
+    assert {(r["doc_id"], r["item_id"]): r["shared"] for r in found.collect()} == dict(want) and want
