@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
 from quillspark.functions import scores as sc
+from quillspark.session import opened
 
 
 def decide(df: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, key: str, body: str) -> D
     for i in range(parts):
         # At most about MOST_PHRASES rows.
         own = sorted(r["phrase"] for r in phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i).select("phrase").distinct().collect())
-        hits = texts.select(key, F.explode(_occurring(own)(F.col("low"))).alias("phrase"))
+        hits = opened(texts, key, _occurring(own)(F.col("low")), "phrase")
         found = hits if found is None else found.unionByName(hits)
     return found.join(phrases, "phrase").groupBy(key, "group").agg(F.count_distinct("phrase").alias("hits"))
 
@@ -117,7 +120,8 @@ def _occurring(phrases: list[str]):
     """Column function: the distinct phrases that occur in a text."""
 
     @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # The automaton is built once for a task, not once for each batch.
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -127,6 +131,7 @@ def _occurring(phrases: list[str]):
         machine.make_automaton()
         always = ["" for p in phrases if not p]
         search = machine.iter if len(machine) else lambda _: ()
-        return pd.Series([[*always, *{p for _, p in search(t)}] for t in s])
+        for s in batches:
+            yield pd.Series([[*always, *{p for _, p in search(t)}] for t in s])
 
     return run

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.session import absent, ranged, row_hash
+from quillspark.session import absent, opened, ranged, row_hash
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -167,7 +167,7 @@ def shared_passages(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFr
     def grams(df: DataFrame, key: str) -> DataFrame:
         t = df.select(F.col(key), F.regexp_extract_all(F.lower(tx.nonnull(F.col("text"))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
         g = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-        return t.where(F.size("w") >= words).select(key, F.explode(F.array_distinct(g)).alias("g"))
+        return opened(t, key, F.when(F.size("w") >= words, F.array_distinct(g)), "g")
 
     wanted = grams(items, "item_id")
     if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:

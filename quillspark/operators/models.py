@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators.features import UNION, Branch, TextFeatures
-from quillspark.session import absent
+from quillspark.session import absent, opened
 
 
 def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
@@ -37,7 +37,7 @@ def char_grams(c: Column, lo: int = 3, hi: int = 5) -> Column:
 
 def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
     """key, term, tf.  A document's terms stand in one partition after the explode, so counts combine before the shuffle."""
-    return df.select(F.col(key), F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return opened(df, key, grams, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, least: int = 2, most: int = 20_000) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as lx
 from quillspark.functions import scores as sc
 from quillspark.functions import text as tx
-from quillspark.session import absent
+from quillspark.session import absent, opened
 
 
 def exploded(df: DataFrame, key: str = "doc_id", body: str = "text", subject: str | None = None, most: int = lx.SEGMENTS) -> DataFrame:
     """A row for each segment: key, idx, kind, content.  The subject, if any, is segment -1."""
     parts = tx.segments(tx.nonnull(F.col(body)), most)
     # The number of segments is taken before the explode, not once more for each segment.
-    rows = df.select(F.col(key), parts.alias("parts")).select(key, "parts", F.size("parts").alias("n")).select(key, F.posexplode("parts").alias("idx", "content"), "n")
+    rows = opened(df.select(F.col(key), parts.alias("parts")).select(key, "parts", F.size("parts").alias("n")), [key, "n"], F.col("parts"), "content", "idx")
     rows = rows.select(key, "idx", _kind(F.col("idx"), F.col("n"), F.col("content")).alias("kind"), "content")
     if subject:
         own = df.select(F.col(key), F.lit(-1).alias("idx"), F.lit("subject").alias("kind"), tx.strip(tx.nonnull(F.col(subject))).alias("content")).where("content <> ''")
@@ -45,7 +45,7 @@ def spans(df: DataFrame, key: str = "doc_id", body: str = "text", most: int = lx
         start,
         lambda acc, s: F.struct((at(acc, s) + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("content"), (at(acc, s) - 1).alias("start"), (at(acc, s) - 1 + F.length(s)).alias("end")))).alias("out")),
     )
-    return df.withColumn(t, text).select(F.col(key), F.posexplode(found["out"]).alias("idx", "s")).select(key, "idx", "s.content", "s.start", "s.end")
+    return opened(df.withColumn(t, text), key, found["out"], "s", "idx").select(key, "idx", "s.content", "s.start", "s.end")
 
 
 def near_repeated(keys: Column) -> Column:

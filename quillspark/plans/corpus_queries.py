@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,12 @@ from quillspark.operators import generation as gn
 from quillspark.operators import metrics as mt
 from quillspark.operators import sampling as sp
 from quillspark.plans.sql import key_sql, quoted
-from quillspark.plans.text_queries import table
+from quillspark.plans.text_queries import table, texts
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str, read: Callable[..., DataFrame] = table) -> DataFrame:
     """The labelled corpus: turns of users (0) and assistants (1), with a key for each."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    c = read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text", (F.col("role") == "assistant").cast("int").alias("is_ai"), F.concat(F.lit("conv"), F.col("conv_id") % 7).alias("source"))
 
 
@@ -40,7 +42,7 @@ def order_sql(seed: str, key: str) -> str:
 
 
 def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = texts(spark, sf_dir).select("doc_id", "text", "source")
     return dd.keep_first(d, tx.fingerprint(F.col("text")), "doc_id").select("doc_id", "source")
 
 
@@ -72,7 +74,7 @@ def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.shared_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return dd.shared_passages(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:

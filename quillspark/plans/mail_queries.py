@@ -15,7 +15,8 @@ from quillspark.operators import decision as dc
 from quillspark.operators import vectors as vc
 from quillspark.operators import zones as zn
 from quillspark.plans.sql import mask_sql, quoted, strip_sql, verdict_sql
-from quillspark.plans.text_queries import table
+from quillspark.plans.text_queries import table, texts
+from quillspark.session import opened
 from quillspark.sources import html as ht
 from quillspark.sources import mail as ml
 
@@ -32,7 +33,7 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.concat(F.lit(f'--AAA{crlf}Content-Type: text/plain; charset="utf-8"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("text")), F.lit(crlf))
     web = F.concat(F.lit(f'--AAA{crlf}Content-Type: multipart/related; boundary="BBB"{crlf}{crlf}--BBB{crlf}Content-Type: text/html; charset="utf-8"{crlf}{crlf}<p>Hi <a href="https://example.org/'), F.col("doc_id").cast("string"), F.lit(f'">go</a> <img src="cid:logo@x"></p>{crlf}--BBB{crlf}Content-Type: image/png{crlf}Content-ID: <logo@x>{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("source")), F.lit(f"{crlf}--BBB--{crlf}"))
     file = F.concat(F.lit(f'--AAA{crlf}Content-Type: application/pdf{crlf}Content-Disposition: attachment; filename="r'), F.col("doc_id").cast("string"), F.lit(f'.pdf"{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}'), b64(F.col("text")), F.lit(f"{crlf}--AAA--{crlf}"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, plain, web, file), "utf-8").alias("raw"))
+    return texts(spark, sf_dir).select("doc_id", F.encode(F.concat(head, plain, web, file), "utf-8").alias("raw"))
 
 
 def mime_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def mime_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachment_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ml.emails(raw_mail(spark, sf_dir), "doc_id")
-    return e.select("doc_id", F.explode("attachments").alias("a")).select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
+    return opened(e, "doc_id", F.col("attachments"), "a").select("doc_id", "a.filename", "a.mime_type", "a.size", F.col("a.sha256").alias("sha256"))
 
 
 def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +86,13 @@ def image_ref_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of pages by every flavour, as digests."""
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages")
     return p.select("page_id", *[F.sha2(ht.text_of(F.col("html"), f), 256).alias(f"{f}_sha256") for f in ("rich", "zones", "corpus")], F.length(ht.parsed(F.col("html"))["text"]).cast("long").alias("simple_chars"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", ht.artifacts_of(F.col("html")).alias("a"))
-    return p.select("page_id", F.explode("a.links").alias("l")).select("page_id", F.col("l.position").cast("long").alias("position"), "l.url", "l.context", "l.scheme", "l.is_cid")
+    p = texts(spark, sf_dir, "pages").select("page_id", ht.artifacts_of(F.col("html")).alias("a"))
+    return opened(p, "page_id", F.col("a.links"), "l").select("page_id", F.col("l.position").cast("long").alias("position"), "l.url", "l.context", "l.scheme", "l.is_cid")
 
 
 def link_scheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +100,12 @@ def link_scheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(tx.strip_tags(F.col("html")), 256).alias("text_sha256"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.sha2(tx.strip_tags(F.col("html")), 256).alias("text_sha256"))
 
 
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cleaned; DuckDB has neither NFKC nor HTML entities, so a test holds it against brute force."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(ht.canonical(F.col("text")), 256).alias("clean_sha256"))
 
 
 _GREETING, _SIGN, _CONTACT = "Dear team,", "Best regards,\nAnna", "Anna\n+49 30 1234567"
@@ -113,7 +114,7 @@ _GREETING, _SIGN, _CONTACT = "Dear team,", "Best regards,\nAnna", "Anna\n+49 30
 def zone_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("doc_id") % 4, F.col("text")
     body = F.when(k == 0, F.concat(F.lit(f"\n\n{_GREETING}\n\n"), t, F.lit(f"\n{_SIGN}\n"))).when(k == 1, F.concat(t, F.lit(f"\r\n\r\n{_CONTACT}"))).when(k == 2, F.concat(F.lit(f"{_GREETING}\n"), t)).otherwise(t)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), F.concat(F.lit(" Re: "), F.col("source"), F.lit(" ")).alias("subject"), body.alias("body"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("msg_id"), F.concat(F.lit(" Re: "), F.col("source"), F.lit(" ")).alias("subject"), body.alias("body"))
 
 
 def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +214,7 @@ def signal_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([("articles", "the"), ("articles", "der"), ("articles", "les"), ("endings", "tion"), ("endings", "keit"), ("licences", "license")], "group string, phrase string")
-    return dc.lexicon_matches(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+    return dc.lexicon_matches(texts(spark, sf_dir), words, "doc_id", "text")
 
 
 def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

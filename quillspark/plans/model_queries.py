@@ -13,7 +13,7 @@ from quillspark.operators import zones as zn
 from quillspark.plans.corpus_queries import TURNS, turns
 from quillspark.plans.mail_queries import zone_scores
 from quillspark.plans.sql import tokens_sql, verdict_sql
-from quillspark.plans.text_queries import VERDICTS_OF_TEXT
+from quillspark.plans.text_queries import VERDICTS_OF_TEXT, texts
 from quillspark.session import shared_folder
 from quillspark.streaming import verdicts as sv
 
@@ -23,12 +23,12 @@ TERMS = 35_000
 
 
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = md.term_counts(turns(spark, sf_dir), "msg_id", md.word_grams(F.col("text")))
+    c = md.term_counts(turns(spark, sf_dir, texts), "msg_id", md.word_grams(F.col("text")))
     return md.vocabulary(c, 2, TERMS)
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
+    t = turns(spark, sf_dir, texts)
     # Written once: both the vocabulary and the weights read them.
     path = f"{shared_folder(spark)}/quillspark/terms-{uuid.uuid4().hex}"
     md.term_counts(t, "msg_id", md.word_grams(F.col("text"))).write.parquet(path)
@@ -39,7 +39,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of whole turns."""
-    c = md.term_counts(turns(spark, sf_dir), "msg_id", md.char_grams(F.col("text"), 3, 5))
+    c = md.term_counts(turns(spark, sf_dir, texts), "msg_id", md.char_grams(F.col("text"), 3, 5))
     return md.vocabulary(c, 2, TERMS)
 
 
@@ -61,7 +61,7 @@ def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty mutations of each turn, counted by kind."""
-    return md.augment(turns(spark, sf_dir), "msg_id", "text", "is_ai").groupBy("is_ai", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return md.augment(turns(spark, sf_dir, texts), "msg_id", "text", "is_ai").groupBy("is_ai", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

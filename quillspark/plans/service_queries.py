@@ -10,7 +10,7 @@ from quillspark.operators import metrics as mt
 from quillspark.operators import profile as pr
 from quillspark.plans.mail_queries import _ZONES, zone_scores
 from quillspark.plans.sql import verdict_sql
-from quillspark.plans.text_queries import _PLANTED_SQL, _VERDICT, _seeded, table
+from quillspark.plans.text_queries import _PLANTED_SQL, _VERDICT, _seeded, table, texts
 from quillspark.sources import files as fl
 from quillspark.sources import mail as ml
 
@@ -36,7 +36,7 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backend_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's verdict where some have a transformer's score, some a linear model's, and some none."""
-    return pr.document_verdicts(table(spark, sf_dir, "documents").select("doc_id", _seeded().alias("text")), models=_models(spark, sf_dir)).select("doc_id", "backend", "base_score", "score", "verdict")
+    return pr.document_verdicts(texts(spark, sf_dir).select("doc_id", _seeded().alias("text")), models=_models(spark, sf_dir)).select("doc_id", "backend", "base_score", "score", "verdict")
 
 
 def zone_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,34 +20,40 @@ from quillspark.plans.sql import (
     tokens_sql,
     verdict_sql,
 )
+from quillspark.session import dealt, opened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on: dealt out over all cores where it has few splits."""
+    return dealt(spark, f"{sf_dir}/{name}.parquet")
+
+
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"), "text")
+    d = texts(spark, sf_dir).select("doc_id", tx.tokens(F.col("text")).alias("t"), "text")
     return d.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"), tx.space_word_count(F.col("text")).cast("long").alias("space_words"), F.get("t", F.lit(0)).alias("first_token"))
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    d = texts(spark, sf_dir).select("doc_id", tx.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.size(F.array_distinct("s")).cast("long").alias("distinct_sentences"))
 
 
 def normalized_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.fingerprint(F.col("text")).alias("fingerprint"))
+    return texts(spark, sf_dir).select("doc_id", tx.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def ascii_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.ascii_ratio(F.col("text")), 6).alias("ascii_ratio"), F.length("text").cast("long").alias("chars"))
+    return texts(spark, sf_dir).select("doc_id", F.round(tx.ascii_ratio(F.col("text")), 6).alias("ascii_ratio"), F.length("text").cast("long").alias("chars"))
 
 
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word lists over the texts of documents, each with one of the list's phrases worked in by its id."""
     low = F.lower(_seeded())
-    d = table(spark, sf_dir, "documents").select("doc_id", low.alias("t"))
+    d = texts(spark, sf_dir).select("doc_id", low.alias("t"))
     return d.select("doc_id", tx.distinct_hits(F.col("t"), lx.FORMULAIC).cast("long").alias("formulaic"), tx.distinct_hits(F.col("t"), lx.TRANSITIONS).cast("long").alias("transitions"), tx.occurrences(F.col("t"), lx.GENERIC).cast("long").alias("generic"), tx.distinct_hits(F.col("t"), lx.INDICATORS).cast("long").alias("indicators"), F.array_join(tx.hit_list(F.col("t"), lx.FORMULAIC), "; ").alias("first_formulaic"))
 
 
@@ -64,15 +70,15 @@ _PLANTED_SQL = "text || ' ' || (['" + "', '".join(p.replace("'", "''") for p in
 
 
 def number_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.number_count(F.col("text")).cast("long").alias("numbers"))
+    return texts(spark, sf_dir).select("doc_id", tx.number_count(F.col("text")).cast("long").alias("numbers"))
 
 
 def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.mask(F.col("text")), 256).alias("masked_sha256"), F.length(tx.mask(F.col("text"))).cast("long").alias("masked_chars"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(tx.mask(F.col("text")), 256).alias("masked_sha256"), F.length(tx.mask(F.col("text"))).cast("long").alias("masked_chars"))
 
 
 def fallback_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.fallback_score(F.lower(_seeded())).alias("score"))
+    return texts(spark, sf_dir).select("doc_id", tx.fallback_score(F.lower(_seeded())).alias("score"))
 
 
 def _mail_like():
@@ -83,11 +89,11 @@ def _mail_like():
 def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as mails, cleaned; the rule for numbers looks around, which DuckDB can't, so a test holds it against brute force."""
     c = tx.clean_corpus_text(_mail_like())
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(c, 256).alias("clean_sha256"), F.length(c).cast("long").alias("clean_chars"))
 
 
 def fake_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     full = F.concat(F.lit("Return-Path: <a@b.c>\nSubject: x "), F.col("lang"), F.lit("\n\n"), F.col("text"))
     broken = F.concat(F.lit("Return-Path: <a@b.c>\n\n"), F.col("text"))
     both = F.when(F.col("doc_id") % 3 == 0, full).when(F.col("doc_id") % 3 == 1, broken).otherwise(F.col("text"))
@@ -96,7 +102,7 @@ def fake_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def likely_human_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = F.concat(F.lit("Re: "), F.col("source"))
-    return table(spark, sf_dir, "documents").where(tx.likely_human(subject, F.col("text"))).select("doc_id", F.col("source").alias("subject_source"))
+    return texts(spark, sf_dir).where(tx.likely_human(subject, F.col("text"))).select("doc_id", F.col("source").alias("subject_source"))
 
 
 def label_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,74 +111,74 @@ def label_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pr.profile(pr.exploded(table(spark, sf_dir, "documents").select("doc_id", _seeded().alias("text"))))
+    p = pr.profile(pr.exploded(texts(spark, sf_dir).select("doc_id", _seeded().alias("text"))))
     return p.select("doc_id", "score", "label", "sufficient", "segments", F.size("signals").cast("long").alias("n_signals"))
 
 
 def segment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = pr.rules(pr.exploded(table(spark, sf_dir, "documents").select("doc_id", _seeded().alias("text"))))
+    r = pr.rules(pr.exploded(texts(spark, sf_dir).select("doc_id", _seeded().alias("text"))))
     return r.select("doc_id", F.col("idx").cast("long").alias("idx"), "kind", F.col("words").cast("long").alias("words"), F.col("formulaic").cast("long").alias("formulaic"), F.col("generic").cast("long").alias("generic"), F.col("numbers").cast("long").alias("numbers"), "score", "label")
 
 
 def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pr.spans(table(spark, sf_dir, "documents"))
+    s = pr.spans(texts(spark, sf_dir))
     return s.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"))
 
 
 def sentence_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population variation of sentence lengths over each whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s")).select("doc_id", tx.word_count(F.col("s")).alias("n")).where("n > 0")
+    d = opened(texts(spark, sf_dir), "doc_id", tx.sentences(F.col("text")), "s").select("doc_id", tx.word_count(F.col("s")).alias("n")).where("n > 0")
     g = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"))
     return g.select("doc_id", "sentences", F.round("mean", 6).alias("mean_words"), F.round(F.col("sd") / F.col("mean"), 6).alias("variation"), ((F.col("sentences") >= 4) & (F.col("mean") >= 8) & (F.col("sd") / F.col("mean") <= 0.22)).alias("uniform"))
 
 
 def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.filter(F.transform(tx.sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))), lambda k: tx.word_count(k) >= 5)
-    d = table(spark, sf_dir, "documents").select("doc_id", keys.alias("k"))
+    d = texts(spark, sf_dir).select("doc_id", keys.alias("k"))
     return d.select("doc_id", F.size("k").cast("long").alias("long_sentences"), (F.size("k") - F.size(F.array_distinct("k"))).cast("long").alias("repeats"))
 
 
 def near_duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.filter(F.transform(tx.sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))), lambda k: tx.word_count(k) >= 5)
-    d = table(spark, sf_dir, "documents").select("doc_id", keys.alias("k"))
+    d = texts(spark, sf_dir).select("doc_id", keys.alias("k"))
     # The rule looks at texts of at most NEAR_SENTENCES sentences; of longer ones it says no.
     return d.select("doc_id", F.when(F.size("k").between(2, lx.NEAR_SENTENCES), pr.near_repeated(F.col("k"))).otherwise(F.lit(False)).alias("near_repeated"))
 
 
 def doc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every document's semantic profile, fused score and five-way verdict."""
-    return pr.document_verdicts(table(spark, sf_dir, "documents").select("doc_id", _seeded().alias("text")))
+    return pr.document_verdicts(texts(spark, sf_dir).select("doc_id", _seeded().alias("text")))
 
 
 def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", _seeded().alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", "source", _seeded().alias("text"))
     v = pr.document_verdicts(d)
     return d.select("doc_id", "source").join(v, "doc_id").groupBy("source", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 def subject_body_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first sentence as a subject against the rest of its text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("subject"), "text")
+    d = texts(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("subject"), "text")
     body = F.substring(F.col("text"), F.length("subject") + 1, F.length("text"))
     return d.select("doc_id", tx.subject_overlap(F.col("subject"), body).alias("relevance"))
 
 
 def subject_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with the subject as a segment of its own; the subject is the first line."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("subject"), _seeded().alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("subject"), _seeded().alias("text"))
     return pr.profile(pr.exploded(d, subject="subject")).select("doc_id", "score", "segments")
 
 
 def signal_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", _seeded().alias("text"))
-    r = pr.rules(pr.exploded(d)).select(F.explode("signals").alias("s"))
+    d = texts(spark, sf_dir).select("doc_id", _seeded().alias("text"))
+    r = opened(pr.rules(pr.exploded(d)), [], F.col("signals"), "s")
     return r.groupBy(tx.signal_category(F.col("s")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite keys of cached signals, over the JSON of task, version, url, model, kind and text."""
     payload = F.to_json(F.array(F.lit("semantic"), F.lit("v1"), F.lit("local"), F.lit("m"), F.col("role"), F.col("text")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(payload, 256).alias("key"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(payload, 256).alias("key"))
 
 
 QUERIES = {f.__name__: f for f in (token_stats, sentence_stats, normalized_key_hash, ascii_share, lexicon_hits, number_counts, masked_text, fallback_scores, corpus_clean, fake_headers, likely_human_filter, label_parsing, segment_profile, segment_rules, segment_spans, sentence_uniformity, repeated_sentences, near_duplicate_sentences, doc_verdict, verdict_histogram, subject_body_overlap, subject_profile, signal_categories, cache_keys)}

@@ -38,6 +38,30 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[df[c] if not kind.startswith(("map", "variant")) else F.to_json(df[c]) for c, kind in df.dtypes])
 
 
+def dealt(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for heavy work on each row, dealt out over all cores where its splits are fewer than the cores.
+
+    A file of one row group is one task's work, however many cores wait.  A large table has more splits than
+    cores and is read as it is, without a shuffle; where it has fewer, a shuffle of the columns in use costs
+    less than the cores that would idle.  Two partitions a core even out long rows.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def opened(df: DataFrame, keep: str | list[str], array: Column, item: str, place: str | None = None) -> DataFrame:
+    """keep and item (and its place) for each element of array; a row whose array is empty or null has none.
+
+    A plain explode lets the optimizer ask for the array's size before, which computes the array
+    again; the outer one with a filter on the place computes it once.
+    """
+    keep = [keep] if isinstance(keep, str) else keep
+    at = place or absent(df, "place_of")[0]
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+    return rows if place else rows.drop(at)
+
+
 def ranged(df: DataFrame, part: str, *order: str) -> DataFrame:
     """df range-partitioned by order, with its partition in the column part; written to the shared folder once.
 

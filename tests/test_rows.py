@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import dedupe, models, profile, sampling, vectors, zones
+from quillspark.session import dealt, opened
+from tests.compare import rows_of
 
 SCHEMA = "k int, y int, o int, v string"
 
@@ -180,3 +182,26 @@ def test_columns_of_the_caller_survive(spark):
         assert len(got) == 40 and made.columns[: len(d.columns)] == d.columns
         assert all(x[c] == f"x{x['k']}" for x in got for c in d.columns[6:-1])
     assert profile.spans(d, "k").count() == 40
+
+
+def test_opened_arrays(spark):
+    """As explode: no row for an empty or absent array, one for each element, null ones too; columns of any name stay."""
+    rows = spark.createDataFrame([(1, ["a", None, "a"], 7), (2, [], 8), (3, None, 9), (None, ["b"], None)], "id int, xs array<string>, place_of int")
+    got = opened(rows, ["id", "place_of"], F.col("xs"), "x")
+    assert got.columns == ["id", "place_of", "x"]
+    assert rows_of(got) == rows_of(rows.select("id", "place_of", F.explode("xs").alias("x")))
+    placed = opened(rows, "id", F.col("xs"), "x", "at").where("id = 1").collect()
+    assert sorted((r["at"], r["x"] or "") for r in placed) == [(0, "a"), (1, ""), (2, "a")]
+
+
+def test_dealt_tables(spark, data, tmp_path):
+    """One row group is dealt out over the cores, a table of many splits is read as it is; rows are the same."""
+    cores = spark.sparkContext.defaultParallelism
+    d = dealt(spark, f"{data}/documents.parquet")
+    assert d.rdd.getNumPartitions() == 2 * cores
+    assert rows_of(d) == rows_of(spark.read.parquet(f"{data}/documents.parquet"))
+    spark.range(100).repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    with_splits = spark.read.parquet(str(tmp_path / "many"))
+    if with_splits.rdd.getNumPartitions() >= cores:
+        plan = dealt(spark, str(tmp_path / "many"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
