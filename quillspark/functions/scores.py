@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
+from quillspark.functions import text as tx
 
 
 def clamp(c: Column, lo: float, hi: float, digits: int = 4) -> Column:
@@ -65,10 +66,13 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit vector; null if empty, zero or not finite."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    n = norm(d)
-    good = (F.size(d) > 0) & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (n > 0)
-    return F.when(good, F.transform(d, lambda x: x / n))
+
+    def of(d: Column, n: Column) -> Column:
+        good = (F.size(d) > 0) & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (n > 0)
+        return F.when(good, F.transform(d, lambda x: x / n))
+
+    # Bound outside the loop, so the norm is summed once and not once for each dimension.
+    return tx.once(F.transform(v, lambda x: x.cast("double")), lambda d: tx.once(norm(d), lambda n: of(d, n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,14 +81,18 @@ def dot(a: Column, b: Column) -> Column:
 
 def similarity_score(v: Column, ai: Column, human: Column) -> Column:
     """Logistic of 8 times the similarity gap, clipped at 50; null on missing or unequal vectors."""
-    gap = F.lit(8.0) * (dot(v, ai) - dot(v, human))
-    d = F.least(F.greatest(gap, F.lit(-50.0)), F.lit(50.0))
-    ok = v.isNotNull() & ai.isNotNull() & human.isNotNull() & (F.size(v) == F.size(ai)) & (F.size(v) == F.size(human))
-    return F.when(ok, 1 / (1 + F.exp(-d)))
+
+    def of(v: Column) -> Column:
+        gap = F.lit(8.0) * (dot(v, ai) - dot(v, human))
+        d = F.least(F.greatest(gap, F.lit(-50.0)), F.lit(50.0))
+        ok = v.isNotNull() & ai.isNotNull() & human.isNotNull() & (F.size(v) == F.size(ai)) & (F.size(v) == F.size(human))
+        return F.when(ok, 1 / (1 + F.exp(-d)))
+
+    return tx.once(v, of)
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    def of(e: Column) -> Column:
+        return tx.once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return tx.once(F.array_max(v), lambda top: tx.once(F.transform(v, lambda x: F.exp(x - top)), of))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores as sc
-from quillspark.session import absent
+from quillspark.session import absent, opened
 
 
 def centroids(df: DataFrame, vector: str, *keys: str, least: int = 3) -> DataFrame:
@@ -14,8 +14,7 @@ def centroids(df: DataFrame, vector: str, *keys: str, least: int = 3) -> DataFra
 
     Sums run by dimension, so the shuffle carries one number for each key and dimension.
     """
-    u = df.select(*keys, sc.normalised(F.col(vector)).alias("u")).where("u IS NOT NULL")
-    dims = u.select(*keys, F.posexplode("u").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    dims = opened(df, list(keys), sc.normalised(F.col(vector)), "x", "i").groupBy(*keys, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
     g = dims.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
     return g.where(F.col("n") >= least).select(*keys, "n", sc.normalised(F.col("mean")).alias("centroid"))
 

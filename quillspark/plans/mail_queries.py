@@ -158,12 +158,12 @@ def final_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = vc.centroids(table(spark, sf_dir, "embeddings"), "embedding", "label")
-    return c.select("label", "n", F.posexplode("centroid").alias("i", "x")).select("label", "n", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
+    c = vc.centroids(texts(spark, sf_dir, "embeddings"), "embedding", "label")
+    return opened(c, ["label", "n"], F.col("centroid"), "x", "i").select("label", "n", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
 def embedding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
+    e = texts(spark, sf_dir, "embeddings")
     s = vc.similarity(e, "embedding", vc.centroids(e, "embedding", "label"), "label", 1, 0)
     return s.select("vec_id", F.round("similarity", 5).alias("similarity"))
 
@@ -171,7 +171,7 @@ def embedding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The softmax over all dimensions of each vector, a row for each."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", sc.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
-    return e.select("vec_id", F.posexplode("p").alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("p", 5).alias("p"))
+    return opened(e, "vec_id", F.col("p"), "x", "i").select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("p"))
 
 
 def modality_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
