@@ -132,7 +132,7 @@ def finals(zones: DataFrame, tree: PipelineModel, modes: tuple[str, ...], *along
     """rid, the columns that go along, covered, tree, and final in each mode."""
     f = zn.features(zones, "rid")
     scored = tree.transform(f).select("rid", md.chance().alias("tree"))
-    g = zones.groupBy("rid").agg(F.bool_and(F.col("semantic").isNotNull()).alias("covered"), *[F.avg(m).alias(f"mean_{m}") for m in modes], *[F.any_value(c).alias(c) for c in along])
+    g = zones.groupBy("rid").agg(F.bool_and(F.col("semantic").isNotNull()).alias("covered"), *[zn.mean_over(m).alias(f"mean_{m}") for m in modes], *[F.any_value(c).alias(c) for c in along])
     out = g.join(scored, "rid")
     return out.select("rid", *along, "covered", "tree", *[sc.final_score(F.col(f"mean_{m}"), F.col("tree")).alias(m) for m in modes])
 

@@ -50,17 +50,27 @@ def means(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"no_llm": sc.mean_present(t, e), "with_llm": sc.mean_present(t, e, s)})
 
 
+def mean_over(name: str) -> Column:
+    """An aggregate: the mean of a column over a mail's zones, summed in the order of KINDS however the rows stand, so that a mean on a cut falls on one side of it in every run."""
+    known = F.col("kind").isin(*lx.KINDS)
+    sums = [F.sum(F.when(F.col("kind") == k, F.col(name))) for k in lx.KINDS] + [F.sum(F.when(known, None).otherwise(F.col(name)))]
+    total = F.coalesce(sums[0], F.lit(0.0))
+    for x in sums[1:]:
+        total = total + F.coalesce(x, F.lit(0.0))
+    return total / F.nullif(F.count(name), F.lit(0))
+
+
 def features(zones: DataFrame, key: str) -> DataFrame:
     """The ten inputs of the tree: a score and a flag for each zone, the mean of scores and of tfidf; absent scores are 0."""
     cols = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("no_llm"))), F.lit(0.0)).alias(f"score_{k}") for k in lx.KINDS]
     cols += [F.max((F.col("kind") == k).cast("double")).alias(f"has_{k}") for k in lx.KINDS]
-    cols += [F.coalesce(F.avg("no_llm"), F.lit(0.0)).alias("mean_score"), F.coalesce(F.avg("tfidf"), F.lit(0.0)).alias("mean_tf")]
+    cols += [F.coalesce(mean_over("no_llm"), F.lit(0.0)).alias("mean_score"), F.coalesce(mean_over("tfidf"), F.lit(0.0)).alias("mean_tf")]
     return zones.groupBy(key).agg(*cols)
 
 
 def final_scores(zones: DataFrame, trees: DataFrame, key: str) -> DataFrame:
     """key, covered (every zone has a semantic score), mode, final: the zones' mean in that mode, averaged with the tree's chance."""
-    g = zones.groupBy(key).agg(F.bool_and(F.col("semantic").isNotNull()).alias("covered"), F.avg("no_llm").alias("n"), F.avg("with_llm").alias("w"))
+    g = zones.groupBy(key).agg(F.bool_and(F.col("semantic").isNotNull()).alias("covered"), mean_over("no_llm").alias("n"), mean_over("with_llm").alias("w"))
     g = g.join(trees.select(key, "tree"), key, "left")
     mean = F.when(F.col("covered"), F.col("w")).otherwise(F.col("n"))
     return g.select(key, "covered", F.when(F.col("covered"), "with_llm").otherwise("no_llm").alias("mode"), sc.final_score(mean, F.col("tree")).alias("final"))
