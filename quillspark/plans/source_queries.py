@@ -92,19 +92,18 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            group, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for g, own in zip(group, docs, strict=True):
-                held = io.BytesIO()
+            # An archive at a time: a batch has up to 10,000.
+            for group, docs in zip(*batch.columns, strict=True):
+                g, held = group.as_py(), io.BytesIO()
                 with tarfile.open(fileobj=held, mode="w") as t:
-                    for d in sorted(own, key=lambda x: x["doc_id"]):
+                    for d in sorted(docs.as_py(), key=lambda x: x["doc_id"]):
                         text = (d["text"] or "").encode()
                         body = b"Subject: " + str(d["doc_id"]).encode() + b'\r\nContent-Type: text/plain; charset="utf-8"\r\n\r\n' + text
                         info = tarfile.TarInfo(f"{'spam_x' if d['doc_id'] % 2 else 'easy_ham'}/{d['doc_id']}")
                         info.size = len(body)
                         t.addfile(info, io.BytesIO(body))
-                out.append(held.getvalue()[: 512 + 7] if g % 5 == 0 else held.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([f"archives/{g}.tar" for g in group]), pa.array(out, pa.binary())], names=["path", "content"])
+                content = held.getvalue()[: 512 + 7] if g % 5 == 0 else held.getvalue()
+                yield pa.RecordBatch.from_arrays([pa.array([f"archives/{g}.tar"]), pa.array([content], pa.binary())], names=["path", "content"])
 
     d = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 20)).cast("long").alias("g"), F.struct("doc_id", "text").alias("d"))
     return d.groupBy("g").agg(F.collect_list("d").alias("docs")).mapInArrow(run, "path string, content binary")

@@ -130,8 +130,8 @@ def members_of(archives: DataFrame, most_member: int = 500_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows(name, content or b""):
+            for name, content in zip(*batch.columns, strict=True):
+                for row in rows(name.as_py(), content.as_py() or b""):
                     held.append(row)
                     size += len(row[2] or b"")
                     if size >= 1 << 22 or len(held) >= 1000:
