@@ -1,7 +1,7 @@
 """TF-IDF features of texts as a Spark ML estimator that can be saved.
 
 A branch is one vocabulary: word or character n-grams of several lengths under one common limit.
-Terms are counted in the tasks, over batches, and summed; the most frequent terms of a branch
+Terms are counted in the tasks, up to HELD at a time, and summed; the most frequent terms of a branch
 (ties by term) that occur in enough texts are found by a distributed top-n, so the driver
 gets at most the limits.  Weights are 1 + ln(tf) or tf, times ln((1 + n) / (1 + df)) + 1, with
 unit length in each branch; the branches stand one after another in the vector.
@@ -20,7 +20,6 @@ from dataclasses import asdict, dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -31,6 +30,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import by_rows, parts_for
+
 
 @dataclass(frozen=True)
 class Branch:
@@ -92,24 +93,37 @@ def grams(text: str, branch: Branch) -> list[str]:
     return out
 
 
+#: Terms that a task counts before it hands them on, besides those of one text.
+HELD = 100_000
+
+
 def term_table(texts: DataFrame, column: str, branches: tuple[Branch, ...]) -> DataFrame:
     """branch, term, df, total: the terms that each branch keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[Counter] = [Counter() for _ in branches]
+        docs: list[Counter] = [Counter() for _ in branches]
+
+        def counted(k: int) -> pa.RecordBatch:
+            t, d = total[k], docs[k]
+            total[k], docs[k] = Counter(), Counter()
+            return pa.RecordBatch.from_arrays([pa.array([k] * len(t), pa.int32()), pa.array(list(t)), pa.array([d[x] for x in t], pa.int64()), pa.array(list(t.values()), pa.int64())], names=["branch", "term", "df", "total"])
+
         for batch in batches:
-            total: list[Counter] = [Counter() for _ in branches]
-            docs: list[Counter] = [Counter() for _ in branches]
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
                 for k, b in enumerate(branches):
-                    found = Counter(grams(text, b))
+                    found = Counter(grams(text.as_py(), b))
                     total[k].update(found)
                     docs[k].update(found.keys())
-            for k, t in enumerate(total):
-                if t:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(t), pa.int32()), pa.array(list(t)), pa.array([docs[k][x] for x in t], pa.int64()), pa.array(list(t.values()), pa.int64())], names=["branch", "term", "df", "total"])
+                    if len(total[k]) >= HELD:
+                        yield counted(k)
+        for k, t in enumerate(total):
+            if t:
+                yield counted(k)
 
     rows = texts.select(F.coalesce(F.col(column), F.lit("")).alias("t")).mapInArrow(run, "branch int, term string, df long, total long")
-    counts = rows.groupBy("branch", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    # Rows are counts already, so nothing is combined before they are dealt out by term.
+    counts = rows.repartition(parts_for(texts, column), "branch", "term").groupBy("branch", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     kept = [counts.where((F.col("branch") == k) & (F.col("df") >= b.least)).orderBy(F.desc("total"), "term").limit(b.limit) for k, b in enumerate(branches)]
     out = kept[0]
     for d in kept[1:]:
@@ -188,18 +202,16 @@ class TextFeaturesModel(Model, _Shared, MLReadable, MLWritable):
         """df with the column out: struct<indices, values>."""
         made = self.vectorizer()
 
-        @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
-        def run(s: pd.Series) -> pd.DataFrame:
-            pairs = [made.row(x) for x in s.fillna("")]
-            return pd.DataFrame({"indices": [a for a, _ in pairs], "values": [v for _, v in pairs]})
+        def run(text: str | None) -> tuple[list[int], list[float]]:
+            at, values = made.row(text or "")
+            return at.tolist(), values.tolist()
 
-        return df.withColumn(out, run(F.col(self.getInputCol())))
+        return df.withColumn(out, by_rows(run, "struct<indices:array<int>,values:array<double>>")(F.col(self.getInputCol())))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        size = self.size
-        vector = F.udf(lambda r: SparseVector(size, r["indices"], r["values"]), VectorUDT())
-        out = self.getOutputCol()
-        return self.rows(df, out).withColumn(out, vector(F.col(out)))
+        size, made = self.size, self.vectorizer()
+        vector = by_rows(lambda text: SparseVector(size, *made.row(text or "")), VectorUDT())
+        return df.withColumn(self.getOutputCol(), vector(F.col(self.getInputCol())))
 
     def write(self) -> MLWriter:
         return _Writer(self)
