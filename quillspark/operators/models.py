@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators.features import UNION, Branch, TextFeatures
-from quillspark.session import absent, opened
+from quillspark.session import absent, by_class, opened
 
 
 def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
@@ -35,9 +35,9 @@ def char_grams(c: Column, lo: int = 3, hi: int = 5) -> Column:
     return F.concat(*runs)
 
 
-def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
-    """key, term, tf.  A document's terms stand in one partition after the explode, so counts combine before the shuffle."""
-    return opened(df, key, grams, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, key: str, grams: Column, parts: int) -> DataFrame:
+    """key, term, tf.  Texts are dealt out by key to `parts` partitions before the explode, so the terms themselves are not shuffled; parts_for() gives a number that grows with the texts."""
+    return opened(df.repartition(parts, key), key, grams, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, least: int = 2, most: int = 20_000) -> DataFrame:
@@ -46,20 +46,24 @@ def vocabulary(counts: DataFrame, least: int = 2, most: int = 20_000) -> DataFra
     return v.where(F.col("df") >= least).orderBy(F.desc("total"), "term").limit(most)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, sublinear: bool = True) -> DataFrame:
-    """key, term, weight with unit length for each key."""
+def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, parts: int, sublinear: bool = True) -> DataFrame:
+    """key, term, weight with unit length for each key, in `parts` partitions by key; the vocabulary, whose limit bounds it, goes to all tasks."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    raw = counts.join(vocab.select("term", "df"), "term").select(key, "term", (tf * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
-    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).drop("w")
+    raw = counts.join(F.broadcast(vocab.select("term", "df")), "term").select(key, "term", (tf * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
+    return raw.repartition(parts, key).withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).drop("w")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Adds weight n / (2 n_c), n_c the rows of the same class; a class table of any size is joined as the planner likes."""
+    """Adds weight n / (2 n_c), n_c the rows of the same class.
+
+    Up to FEW classes go to the tasks as a table, since a join by class would send each class to one task;
+    a longer class table is joined as the planner likes.
+    """
     one = absent(df, "class_of")[0]
     n = df.groupBy(label).count()
     total = n.agg(F.sum("count").alias("t"))
     w = n.crossJoin(total).select(F.col(label).alias(one), (F.col("t") / (2 * F.col("count"))).alias("weight"))
-    return df.join(w, F.col(label).eqNullSafe(F.col(one))).drop(one)
+    return df.join(by_class(n, w), F.col(label).eqNullSafe(F.col(one))).drop(one)
 
 
 def text_pipeline(body: str = "text", label: str = "is_ai", branches: tuple[Branch, ...] = UNION, rows: int = 1000, c: float = 1.0, iterations: int = 100) -> Pipeline:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.session import absent, ranged, row_hash
+from quillspark.session import absent, by_class, ranged, row_hash
 
 
 def order_key(seed: int | str, *keys: str) -> Column:
@@ -59,7 +59,7 @@ def split_labels(df: DataFrame, label: str, seed: int | str, key: str, stack: in
     edges = {"stack": s, "calib": s + c, "test": s + c + t}
     names = absent(rows, *(f"last_{e}" for e in edges))
     last = ranked.groupBy(F.col(label).alias(one)).agg(*[F.max(F.when(F.col("rn") <= e, F.col(place))).alias(x) for x, e in zip(names, edges.values(), strict=True)])
-    out = rows.join(last, F.col(label).eqNullSafe(F.col(one)), "left")
+    out = rows.join(by_class(n, last), F.col(label).eqNullSafe(F.col(one)), "left")
     part = F.lit("base")
     for name, x in reversed(list(zip(edges, names, strict=True))):
         part = F.when(F.col(place) <= F.col(x), name).otherwise(part)
@@ -83,7 +83,7 @@ def holdout(df: DataFrame, label: str, seed: int | str, key: str, share: float =
     inner = rows.select(label, cell, place).join(cut, F.col(label).eqNullSafe(F.col(one)) & (F.col(cell) == F.col(edge)))
     ranked = inner.withColumn("rn", F.row_number().over(W.partitionBy(label).orderBy(place))).where(F.col("rn") <= F.col(need))
     ends = ranked.groupBy(F.col(label).alias(one)).agg(F.max(edge).alias(edge), F.max(place).alias(last))
-    out = rows.join(ends, F.col(label).eqNullSafe(F.col(one)), "left")
+    out = rows.join(by_class(rows.select(label).distinct(), ends), F.col(label).eqNullSafe(F.col(one)), "left")
     inside = (F.col(cell) < F.col(edge)) | ((F.col(cell) == F.col(edge)) & (F.col(place) <= F.col(last)))
     return out.withColumn("held_out", F.coalesce(inside, F.lit(False))).drop(place, cell, one, edge, last)
 

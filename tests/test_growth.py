@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark import session
+from quillspark.operators import features as ft
+from quillspark.operators import models as md
+from quillspark.operators import sampling
 from quillspark.operators import zones as zn
 from quillspark.plans import registry
 
@@ -25,3 +30,35 @@ def test_parsers_get_rows_by_the_hundred(spark, data, name):
     """A worker that gets Arrow batches holds up to 10,000 pages or mails and all that is made of them."""
     plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_terms_are_not_shuffled_and_partitions_grow_with_the_text(spark, monkeypatch):
+    """Counts by document and term stand where the document's text was dealt to, and a larger table has more such parts."""
+    t = spark.createDataFrame([(i, f"word{i} common text") for i in range(40)], "k int, text string")
+    few = session.parts_for(t, "text")
+    monkeypatch.setattr(session, "PART_CHARS", 10)
+    assert session.parts_for(t, "text") > few
+    plan = md.term_counts(t, "k", md.word_grams(F.col("text")), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(k" in plan
+
+
+def test_counters_of_terms_are_bounded(spark, monkeypatch):
+    """A task hands terms on before it has counted a whole batch of texts, and the sums stay the same."""
+    texts = spark.createDataFrame([(f"alpha beta{i % 7} gamma{i}",) for i in range(60)], "text string").coalesce(1)
+    rows = lambda: sorted(map(tuple, ft.term_table(texts, "text", (ft.Branch(limit=1000),)).collect()))
+    whole = rows()
+    monkeypatch.setattr(ft, "HELD", 5)
+    assert rows() == whole and (0, "alpha", 60, 60) in whole
+
+
+def test_classes_are_not_sent_to_a_task_each(spark):
+    """All rows of one class in one task would be as large as the table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        d = spark.createDataFrame([(i, i % 2, "text") for i in range(50)], "k int, y int, text string")
+        for rows in (md.balanced(d, "y"), sampling.holdout(d, "y", "s", "k"), sampling.split_labels(d, "y", "s", "k")):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            top = plan[: plan.index("BroadcastHashJoin")] if "BroadcastHashJoin" in plan else plan
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in top
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
