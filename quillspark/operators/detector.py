@@ -143,7 +143,7 @@ def train(mails: DataFrame, label: str = "is_ai", embeddings: DataFrame | None =
     zones = staged(zones_of(rows, "y", "split"), "zones")
     base = zones.where("split = 'base'")
     weighted = md.balanced(base, "y")
-    model = md.text_pipeline("text", "y", branches, base.count(), iterations=iterations).fit(weighted)
+    model = md.fit_text(weighted, "text", "y", branches=branches, rows=base.count(), iterations=iterations)
     text = TextModel.of(model)
     centroids: dict[tuple[str, int], list[float]] = {}
     if embeddings is not None:

@@ -89,7 +89,7 @@ def grams(text: str, branch: Branch) -> list[str]:
         words = [w for w in words if w not in stop]
     out = list(words) if branch.lo == 1 else []
     for n in range(max(branch.lo, 2), branch.hi + 1):
-        out += [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+        out += map(" ".join, zip(*(words[i:] for i in range(n)), strict=False))
     return out
 
 
@@ -112,9 +112,10 @@ def term_table(texts: DataFrame, column: str, branches: tuple[Branch, ...]) -> D
         for batch in batches:
             for text in batch.column(0):
                 for k, b in enumerate(branches):
-                    found = Counter(grams(text.as_py(), b))
+                    # Counters take a list in one call, and another counter term by term.
+                    found = grams(text.as_py(), b)
                     total[k].update(found)
-                    docs[k].update(found.keys())
+                    docs[k].update(set(found))
                     if len(total[k]) >= HELD:
                         yield counted(k)
         for k, t in enumerate(total):
@@ -144,7 +145,8 @@ class Vectorizer:
         at: list[np.ndarray] = []
         values: list[np.ndarray] = []
         for b, places in zip(self.branches, self.places, strict=True):
-            found = Counter(places[g] for g in grams(text, b) if g in places)
+            found = Counter(map(places.get, grams(text, b)))
+            found.pop(None, None)
             i = np.array(sorted(found), dtype=np.int32)
             tf = np.array([found[x] for x in i.tolist()], dtype=float)
             w = (1 + np.log(tf) if b.sublinear else tf) * self.idf[i]

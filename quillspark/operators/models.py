@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators.features import UNION, Branch, TextFeatures
-from quillspark.session import absent, by_class, opened
+from quillspark.session import absent, by_class, opened, staged
 
 
 def word_grams(c: Column, lo: int = 1, hi: int = 2) -> Column:
@@ -72,6 +72,14 @@ def text_pipeline(body: str = "text", label: str = "is_ai", branches: tuple[Bran
     return Pipeline(stages=[features, LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * max(rows, 1)), standardization=False, maxIter=iterations)])
 
 
+def fit_text(df: DataFrame, body: str = "text", label: str = "is_ai", **options) -> PipelineModel:
+    """text_pipeline() fitted on df with its weights.  Vectors are staged, since the regression reads its rows twice and would else have them made twice."""
+    features, regression = text_pipeline(body=body, label=label, **options).getStages()
+    model = features.fit(df)
+    vectors = staged(model.transform(df).select("features", label, "weight"), "vectors")
+    return PipelineModel([model, regression.fit(vectors)])
+
+
 def chance() -> Column:
     """The chance of class 1 in what a classifier adds."""
     return vector_to_array("probability")[1]
@@ -99,8 +107,8 @@ def evaluate_then_refit(df: DataFrame, key: str, label: str, **options) -> tuple
 
     rows = balanced(holdout(df, label, "refit", key), label)
     n = rows.count()
-    first = text_pipeline(label=label, rows=n, **options).fit(rows.where("NOT held_out"))
-    return probability(first, rows.where("held_out")), text_pipeline(label=label, rows=n, **options).fit(rows)
+    first = fit_text(rows.where("NOT held_out"), label=label, rows=n, **options)
+    return probability(first, rows.where("held_out")), fit_text(rows, label=label, rows=n, **options)
 
 
 # Chances of each mutation of a seed text, as upper bounds of a uniform draw.

@@ -62,3 +62,19 @@ def test_classes_are_not_sent_to_a_task_each(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in top
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_text_model_makes_its_vectors_once(spark, monkeypatch):
+    """The regression reads its rows twice and then often; none of that may go through Python again."""
+    rows = spark.createDataFrame([(f"alpha {'beta' if i % 2 else 'gamma'}", i % 2, 1.0) for i in range(40)], "text string, is_ai int, weight double")
+    made = spark.sparkContext.accumulator(0)
+    row = ft.Vectorizer.row
+
+    class Counted(ft.Vectorizer):
+        def row(self, text):
+            made.add(1)
+            return row(self, text)
+
+    monkeypatch.setattr(ft.TextFeaturesModel, "vectorizer", lambda self: Counted(self.of(), self.terms, self.idf))
+    model = md.fit_text(rows, rows=40)
+    assert made.value == 40 and len(model.stages) == 2
