@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import session
+from quillspark.functions import lexicon as lx
+from quillspark.functions import text as tx
 from quillspark.operators import features as ft
 from quillspark.operators import models as md
+from quillspark.operators import profile as pr
 from quillspark.operators import sampling
 from quillspark.operators import zones as zn
 from quillspark.plans import registry
@@ -78,3 +83,31 @@ def test_text_model_makes_its_vectors_once(spark, monkeypatch):
     monkeypatch.setattr(ft.TextFeaturesModel, "vectorizer", lambda self: Counted(self.of(), self.terms, self.idf))
     model = md.fit_text(rows, rows=40)
     assert made.value == 40 and len(model.stages) == 2
+
+
+ODD = (". Abc. Def", "... a. b", "A\x01b. c", "", " x ", "Hi!\tYou?\nNo…  end", "1.2.3. x", ". . a. . b", "a \r\n \r\nb. c", "WWW.x y@z.de <b> q://r\x00\x7f\n t", "solution и solutionsolution опыт", "комплексное решение, опыт", "x www. y", "ver<b>ify  hereby \n inform")
+
+
+def test_what_passes_over_texts_finds_the_same(spark):
+    """Sentences, phrases and the mask by plain rules: shortcuts for texts without ends, Cyrillic letters or addresses change nothing."""
+    blank = "[ \t\n\x0b\f\r]"
+    plain = lambda t: [x for s in re.sub(rf"(?s)([^ \t\n\x0b\f\r].*?[.!?…])({blank})", "\\1\x01\\2", t).split("\x01") if (x := s.strip(tx.BLANKS))]
+
+    def masked(t):
+        t = re.sub(r"(?i)(?:https?://|www\.)\S+", " url ", re.sub(r"<[^>]+>", " ", t), flags=re.ASCII)
+        t = re.sub(r"[\w.+-]+@[\w-]+\.[\w.-]+", " email ", t)
+        return re.sub(rf"{blank}+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t)).strip(" ").lower()
+
+    t = F.col("t")
+    got = spark.createDataFrame([(x,) for x in ODD], "t string").select("t", tx.sentences(t).alias("s"), tx.distinct_hits(t, lx.FORMULAIC + lx.GENERIC).alias("d"), tx.occurrences(t, lx.GENERIC).alias("o"), tx.mask(t).alias("m")).collect()
+    for r in got:
+        assert r["s"] == plain(r["t"]), r
+        assert (r["d"], r["o"]) == (sum(p in r["t"] for p in lx.FORMULAIC + lx.GENERIC), sum(r["t"].count(p) for p in lx.GENERIC)), r
+        assert r["m"] == masked(r["t"]), r
+
+
+def test_segments_of_one_sentence_are_not_taken_apart(spark):
+    """Lengths and keys of sentences are made where there are enough sentences for the rules that read them."""
+    d = spark.createDataFrame([(1, 0, "paragraph", "One sentence only.")], "doc_id int, idx int, kind string, content string")
+    plan = pr.rules(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"CASE WHEN (size(sents#{i}" in plan for i in re.findall(r"AS sents#(\d+)", plan)) and "AS sents#" in plan
