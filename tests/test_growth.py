@@ -111,3 +111,9 @@ def test_segments_of_one_sentence_are_not_taken_apart(spark):
     d = spark.createDataFrame([(1, 0, "paragraph", "One sentence only.")], "doc_id int, idx int, kind string, content string")
     plan = pr.rules(d)._jdf.queryExecution().optimizedPlan().toString()
     assert all(f"CASE WHEN (size(sents#{i}" in plan for i in re.findall(r"AS sents#(\d+)", plan)) and "AS sents#" in plan
+
+
+def test_mail_is_cleaned_once(spark, data):
+    """Each line of a mail goes through the patterns once, however often the rules read it."""
+    plan = registry.QUERIES["corpus_clean"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{9,}") == 1
