@@ -30,7 +30,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import by_rows, parts_for
+from quillspark.session import by_rows, parts_for, ranged
 
 
 @dataclass(frozen=True)
@@ -125,11 +125,32 @@ def term_table(texts: DataFrame, column: str, branches: tuple[Branch, ...]) -> D
     rows = texts.select(F.coalesce(F.col(column), F.lit("")).alias("t")).mapInArrow(run, "branch int, term string, df long, total long")
     # Rows are counts already, so nothing is combined before they are dealt out by term.
     counts = rows.repartition(parts_for(texts, column), "branch", "term").groupBy("branch", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    kept = [counts.where((F.col("branch") == k) & (F.col("df") >= b.least)).orderBy(F.desc("total"), "term").limit(b.limit) for k, b in enumerate(branches)]
-    out = kept[0]
-    for d in kept[1:]:
-        out = out.unionByName(d)
-    return out
+    enough = F.lit(False)
+    for k, b in enumerate(branches):
+        enough |= (F.col("branch") == k) & (F.col("df") >= b.least)
+    return most_frequent(counts.where(enough), [b.limit for b in branches])
+
+
+def most_frequent(counts: DataFrame, limits: list[int]) -> DataFrame:
+    """branch, term, df, total: of the k-th branch its limits[k] most frequent terms, ties by term.
+
+    A top-n would hand the driver n terms of every partition, whose number grows with the texts.  Here the terms
+    are ranged by place and counted for each range, so that only the range that holds a branch's last term is cut.
+    """
+    part = "part_of"
+    placed = ranged(counts, part, "branch", F.desc("total"), "term")
+    sizes = placed.groupBy("branch", part).count().orderBy("branch", part).collect()
+    whole, out = F.lit(False), placed.limit(0).drop(part)
+    for k, left in enumerate(limits):
+        here = F.col("branch") == k
+        for _, at, n in (r for r in sizes if r["branch"] == k):
+            if n > left:
+                out = out.unionByName(placed.where(here & (F.col(part) == at)).drop(part).orderBy(F.desc("total"), "term").limit(left))
+                here &= F.col(part) < at
+                break
+            left -= n
+        whole |= here
+    return out.unionByName(placed.where(whole).drop(part))
 
 
 class Vectorizer:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,22 @@ def test_mail_is_cleaned_once(spark, data):
     """Each line of a mail goes through the patterns once, however often the rules read it."""
     plan = registry.QUERIES["corpus_clean"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{9,}") == 1
+
+
+def test_terms_for_the_driver_do_not_grow_with_partitions(spark, monkeypatch):
+    """Of the most frequent terms each partition would hand on as many as are kept; ranges before the last term are kept whole, and one is cut."""
+    texts = spark.createDataFrame([(" ".join(f"w{j}" for j in range(i, i + 9)),) for i in range(300)], "text string").repartition(8)
+    branches = (ft.Branch(limit=150), ft.Branch(kind="char", lo=2, hi=3, limit=70), ft.Branch(limit=10_000))
+    monkeypatch.setattr(session, "PART_CHARS", 100)
+    parts = session.parts_for(texts, "text")
+    found = ft.term_table(texts, "text", branches)
+    got = [[tuple(r)[1:] for r in found.collect() if r["branch"] == k] for k in range(3)]
+    rows = [r["text"] for r in texts.collect()]
+    for own, b in zip(got, branches, strict=True):
+        lists = [ft.grams(t, b) for t in rows]
+        total, df = Counter(g for x in lists for g in x), Counter(g for x in lists for g in set(x))
+        want = sorted(((t, df[t], n) for t, n in total.items() if df[t] >= b.least), key=lambda x: (-x[2], x[0]))
+        assert sorted(own) == sorted(want[: b.limit])
+    # What a top-n sorts is the one range that holds a branch's last term, written before, and not all partitions of counts.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert parts > 20 and plan.count("TakeOrderedAndProject") == 2 and "MapInArrow" not in plan
